@@ -62,7 +62,7 @@ def normalize_email(c: Column | str) -> Column:
     """P3.  Trim, strip trailing punctuation, lower-case, then the basic check;
     null when the value is not an address."""
     e = F.lower(F.regexp_replace(F.trim(_c(c)), _RSTRIP_RE, ""))
-    return F.when(valid_email(e, "basic"), e)
+    return let(e, lambda x: F.when(valid_email(x, "basic"), x))
 
 
 def _decode_code_point(cp: Column) -> Column:

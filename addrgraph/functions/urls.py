@@ -157,8 +157,8 @@ def strict_seed_url(c: Column | str) -> Column:
     v = F.when(v.rlike(r"(?i)^https?://"), v).otherwise(F.concat(F.lit(DEFAULT_SCHEME_PREFIX), v))
     host = F.regexp_extract(v, r"(?i)^https?://(?:[^/?#@]*@)?(\[[^\]]*\]|[^/?#:]*)", 1)
     port = F.regexp_extract(v, r"(?i)^https?://(?:[^/?#@]*@)?(?:\[[^\]]*\]|[^/?#:]*)(:[^/?#]*)?", 1)
-    ok = (F.length(host) > 0) & ~host.rlike(r"\s") & (
-        (F.length(port) == 0) | port.rlike(r"^:[0-9]{1,5}$"))
+    port_ok = port.rlike(r"^:[0-9]{1,5}$") & (F.substring(port, 2, 5).cast("int") <= 65535)
+    ok = (F.length(host) > 0) & ~host.rlike(r"\s") & ((F.length(port) == 0) | port_ok)
     return F.when(ok, v)
 
 
@@ -166,11 +166,12 @@ def normalize_host(c: Column | str) -> Column:
     """P10.  Host name from a discovery value, null unless it is a syntactically
     valid host.  Full URLs give their host; otherwise a leading ``*.`` is
     dropped, the text is cut at ``/`` and a ``:digits`` port removed."""
-    v = F.lower(F.trim(_c(c)))
-    from_url = F.regexp_extract(v, r"^(?:[a-z][a-z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)", 1)
-    bare = F.regexp_replace(F.substring_index(F.regexp_replace(v, r"^\*\.", ""), "/", 1), ":[0-9]+$", "")
-    h = F.when(v.contains("//"), from_url).otherwise(bare)
-    return F.when((F.length(h) > 0) & h.rlike(HOST_PATTERN), h)
+    def host(v: Column) -> Column:
+        from_url = F.regexp_extract(v, r"^(?:[a-z][a-z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)", 1)
+        bare = F.regexp_replace(F.substring_index(F.regexp_replace(v, r"^\*\.", ""), "/", 1), ":[0-9]+$", "")
+        return F.when(v.contains("//"), from_url).otherwise(bare)
+
+    return let(host(F.lower(F.trim(_c(c)))), lambda h: F.when((F.length(h) > 0) & h.rlike(HOST_PATTERN), h))
 
 
 def in_domain(host: Column | str, domain: Column | str) -> Column:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from addrgraph.functions.common import let
 from addrgraph.functions.text import normalize_email
 from addrgraph.functions.urls import host_of, in_domain, normalize_host, normalize_url, registrable_domain
 
@@ -52,7 +53,7 @@ def accepted_records(discovery: DataFrame, target_domain: str,
     recs = filter_sources(discovery, requested)
     val = (F.when(F.col("kind") == "email", normalize_email(F.col("value")))
            .when(F.col("kind") == "host",
-                 F.when(in_domain(normalize_host(F.col("value")), F.lit(d)), normalize_host(F.col("value")))))
+                 let(normalize_host(F.col("value")), lambda h: F.when(in_domain(h, F.lit(d)), h))))
     return recs.select("rec_id", "source", "kind", val.alias("value")).filter(F.col("value").isNotNull())
 
 

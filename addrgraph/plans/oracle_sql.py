@@ -184,7 +184,7 @@ seeds_ok as (select seed_rank, url,
 seeds_k as (select seed_rank, url,
    regexp_replace(regexp_replace(regexp_replace(lower(url), '^(http://[^/?#]+):80([/?#]|$)', '\\1\\2'),
      '^(https://[^/?#]+):443([/?#]|$)', '\\1\\2'), '^(https?://[^/?#]+)([?#]|$)', '\\1/\\2') as k
- from seeds_ok where length(h) > 0 and not regexp_matches(h, '\\s') and (length(p) = 0 or regexp_matches(p, '^:[0-9]{1,5}$'))),
+ from seeds_ok where length(h) > 0 and not regexp_matches(h, '\\s') and (length(p) = 0 or (regexp_matches(p, '^:[0-9]{1,5}$') and cast(substr(p, 2) as integer) <= 65535))),
 seeds as (select min(seed_rank) as seed_rank, arg_min(url, seed_rank) as url from seeds_k group by k)"""
 
 SEEDS_LENIENT = f"""
