@@ -3,9 +3,9 @@
 The reference crawls with a FIFO queue.  Here a run is a level-by-level
 join loop over a link table extracted once:
 
-* ``edges`` (G1) is built once, hash-partitioned by ``src_key`` and written
-  to the checkpoint folder, so no level re-reads ``html`` and each level's
-  join shuffles only the frontier.
+* ``edges`` (G1) is built once, with the destination page's status joined
+  on, and written to the checkpoint folder: no level re-reads ``html`` or
+  the page table.
 * FIFO order is the lexicographic order of ``(depth, path)`` where ``path``
   is the seed rank followed by the link rank on each hop.  A URL reached
   first in FIFO order is exactly the one with the smallest such path, so the
@@ -13,8 +13,9 @@ join loop over a link table extracted once:
   aggregation; no global ranking).
 * The page budget keeps the FIFO prefix: the last level is cut with a top-k
   on ``path`` (at most the remaining budget).
-* Each level is checkpointed (reliable storage) and kept hash-partitioned by
-  key; a new level is anti-joined against every earlier level on the key.
+* Each level is written once as a table in the shared checkpoint folder
+  (lineage cut, survives executor loss); a new level is anti-joined against
+  every earlier level on the key.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ from pyspark.sql import functions as F
 from addrgraph.functions.urls import url_key
 from addrgraph.operators.extract import extract_emails
 from addrgraph.operators.links import dedupe_first_wins, link_graph, pages_by_key, seed_hosts
-from addrgraph.session import BROADCAST_MAX_ROWS, cut_lineage
+from addrgraph.session import BROADCAST_MAX_ROWS, write_through
 
 REACH_COLUMNS = ["url_key", "url", "depth", "path", "parent_key", "page_id", "ok", "failure_reason"]
 
@@ -49,22 +50,26 @@ class CrawlOptions:
     broadcast_max_rows: int = BROADCAST_MAX_ROWS
 
 
-def crawl_edges(pages: DataFrame, seeds: DataFrame, opts: CrawlOptions) -> DataFrame:
+def crawl_edges(pages: DataFrame, seeds: DataFrame, opts: CrawlOptions,
+                keyed: DataFrame | None = None) -> DataFrame:
     """G1 for a run: out-links of the captured page chosen for each key,
-    limited to the seed hosts when ``same_host_only``.  Partitioned by
-    ``src_key``; not yet materialised."""
+    limited to the seed hosts when ``same_host_only``, each carrying the
+    status of its destination page (J3 done once, not per level).
+
+    Output ``src_key, rank, dst_key, dst_url, dst_page_id, dst_ok, dst_reason``.
+    """
+    keyed = keyed if keyed is not None else pages_by_key(pages, opts.missing_type)
     hosts = seed_hosts(seeds) if opts.same_host_only else None
     edges = link_graph(pages, hosts, opts.max_links_per_page, only_fetchable=True,
                        anchors_only=opts.anchors_only, missing_type=opts.missing_type)
-    chosen = pages_by_key(pages, opts.missing_type).select("page_id")
-    edges = edges.join(chosen, "page_id", "left_semi")
-    return edges.select("src_key", "rank", "dst_key", "dst_url").repartition("src_key")
+    edges = edges.join(keyed.select("page_id"), "page_id", "left_semi")
+    dst = keyed.select(F.col("url_key").alias("dst_key"), F.col("page_id").alias("dst_page_id"),
+                       F.col("ok").alias("dst_ok"), F.col("failure_reason").alias("dst_reason"))
+    return edges.select("src_key", "rank", "dst_key", "dst_url").join(dst, "dst_key", "left")
 
 
-def _attach_pages(level: DataFrame, keyed_pages: DataFrame) -> DataFrame:
-    # J3: the "fetch"; no captured page means a failed fetch.
-    j = level.join(keyed_pages.select("url_key", "page_id", "ok", "failure_reason"), "url_key", "left")
-    return j.select(
+def _level_columns(df: DataFrame) -> DataFrame:
+    return df.select(
         "url_key", "url", "depth", "path", "parent_key", "page_id",
         F.coalesce(F.col("ok"), F.lit(False)).alias("ok"),
         F.when(F.col("page_id").isNull(), F.lit("not captured")).otherwise(F.col("failure_reason"))
@@ -74,7 +79,7 @@ def _attach_pages(level: DataFrame, keyed_pages: DataFrame) -> DataFrame:
 def _cut_to_budget(level: DataFrame, n: int, remaining: int | None) -> tuple[DataFrame, int]:
     if remaining is not None and n > remaining:
         # L3: the FIFO prefix of the level; a top-k bounded by the budget.
-        return level.orderBy("path").limit(remaining), remaining
+        return write_through(level.orderBy("path").limit(remaining), "crawl-level-cut"), remaining
     return level, n
 
 
@@ -86,21 +91,22 @@ def crawl_reach(pages: DataFrame, seeds: DataFrame, opts: CrawlOptions = CrawlOp
     Seeds are depth 0 in ``seed_rank`` order (deduped by key, first wins);
     every URL appears once, at its breadth-first depth, with the parent that
     reaches it first in FIFO order.  Only captured HTML pages have out-links.
+    One written table per level; one join per level against the edges.
     """
-    keyed = pages_by_key(pages, opts.missing_type)
+    keyed = write_through(pages_by_key(pages, opts.missing_type), "crawl-pages")
     if edges is None:
-        edges = crawl_edges(pages, seeds, opts)
-    edges = cut_lineage(edges)
+        edges = crawl_edges(pages, seeds, opts, keyed)
+    edges = write_through(edges, "crawl-edges")
 
     s = seeds.select(url_key(F.col("url")).alias("url_key"), "url", F.col("seed_rank").cast("long"))
     s = dedupe_first_wins(s, "url_key", "seed_rank")
     level = s.select("url_key", "url", F.lit(0).alias("depth"), F.array(F.col("seed_rank")).alias("path"),
                      F.lit(None).cast("string").alias("parent_key"))
-    remaining = opts.max_pages
-    level = level.repartition("url_key")
+    level = level.join(keyed.select("url_key", "page_id", "ok", "failure_reason"), "url_key", "left")
+    level = write_through(_level_columns(level), "crawl-level")
     n = level.count()
+    remaining = opts.max_pages
     level, n = _cut_to_budget(level, n, remaining)
-    level = cut_lineage(_attach_pages(level, keyed).repartition("url_key"))
     levels = [level]
     if remaining is not None:
         remaining -= n
@@ -115,18 +121,22 @@ def crawl_reach(pages: DataFrame, seeds: DataFrame, opts: CrawlOptions = CrawlOp
         best = (cand.groupBy("dst_key")
                 .agg(F.min(F.struct(F.concat("path", F.array(F.col("rank").cast("long"))).alias("path"),
                                     F.col("src_key").alias("parent_key"),
-                                    F.col("dst_url").alias("url"))).alias("b")))
+                                    F.col("dst_url").alias("url"),
+                                    F.col("dst_page_id").alias("page_id"),
+                                    F.col("dst_ok").alias("ok"),
+                                    F.col("dst_reason").alias("failure_reason"))).alias("b")))
         new = best.select(F.col("dst_key").alias("url_key"), F.col("b.url").alias("url"),
                           F.lit(depth + 1).alias("depth"), F.col("b.path").alias("path"),
-                          F.col("b.parent_key").alias("parent_key"))
+                          F.col("b.parent_key").alias("parent_key"), F.col("b.page_id").alias("page_id"),
+                          F.col("b.ok").alias("ok"), F.col("b.failure_reason").alias("failure_reason"))
         for prev in levels:  # J2: not seen at any earlier level
             new = new.join(prev.select("url_key"), "url_key", "left_anti")
-        new = cut_lineage(new)
+        new = write_through(_level_columns(new), "crawl-level")
         n = new.count()
         if n == 0:
             break
         new, n = _cut_to_budget(new, n, remaining)
-        level = cut_lineage(_attach_pages(new, keyed).repartition("url_key"))
+        level = new
         levels.append(level)
         if remaining is not None:
             remaining -= n
