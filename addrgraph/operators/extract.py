@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from addrgraph.functions.text import decode_html, page_emails
 from addrgraph.functions.urls import (blocked_extension, is_http_url, resolve_url, skipped_link,
                                       url_key)
+from addrgraph.session import spread_small_input
 from addrgraph.sources.pages import with_page_defaults
 
 # ---------------------------------------------------------------------------
@@ -25,7 +26,7 @@ ANCHOR_HREF_PATTERN = r"""(?is)<(?:a|area)\b[^>]*?\bhref\s*=\s*("[^"]*"|'[^']*'|
 
 def _strip_quotes(v: Column) -> Column:
     return F.when(v.rlike(r"""^"[^">]+"$""") | v.rlike(r"""^'[^'>]+'$"""),
-                  F.expr("substring(__raw, 2, length(__raw) - 2)")).otherwise(v)
+                  F.substring(v, F.lit(2), F.length(v) - 2)).otherwise(v)
 
 
 def _media_type(ct: Column) -> Column:
@@ -77,8 +78,10 @@ def extract_emails(pages: DataFrame, text_col: str = "html", id_col: str = "page
             (F.col(url_col) if url_col else F.lit(None).cast("string")).alias("source_url")]
     if time_col:
         cols.append(F.col(time_col).alias("seen_at"))
-    arr = page_emails(F.coalesce(F.col(text_col), F.lit("")), decode=decode, mode=mode)
-    return pages.select(*cols, F.explode(arr).alias("email"))
+    src = spread_small_input(pages.select(*cols, F.col(text_col).alias("__text")))
+    out = [c for c in src.columns if c != "__text"]
+    arr = page_emails(F.coalesce(F.col("__text"), F.lit("")), decode=decode, mode=mode)
+    return src.select(*out, F.explode(arr).alias("email"))
 
 
 def extract_links(pages: DataFrame, anchors_only: bool = False) -> DataFrame:
@@ -86,27 +89,37 @@ def extract_links(pages: DataFrame, anchors_only: bool = False) -> DataFrame:
 
     Output ``page_id, src_url, pos, raw, dst_url, dst_key``: the raw attribute
     value, the resolved absolute http(s) URL without fragment, and its key.
-    ``anchors_only`` takes ``href`` of ``a``/``area`` elements only (unique per
-    page, first position kept).
+    ``anchors_only`` takes ``href`` of ``a``/``area`` elements only.
+
+    The work is done inside the row on the page's array of links, one small
+    ``transform``/``filter`` stage per rule; each stage's values are stored
+    in the array, so later rules read them instead of recomputing, and the
+    rows are exploded only at the end.  No shuffle.
     """
     pattern = ANCHOR_HREF_PATTERN if anchors_only else HREF_PATTERN
     html = F.coalesce(F.col("html"), F.lit(""))
     hrefs = F.when(F.lower(html).contains("href"), F.regexp_extract_all(html, F.lit(pattern), 1)).otherwise(
         F.array().cast("array<string>"))
-    links = pages.select("page_id", F.col("url").alias("src_url"), F.posexplode(hrefs).alias("pos", "__raw"))
-    if anchors_only:
-        unq = F.regexp_replace(F.col("__raw"), r"""^(["'])(.*)\1$""", "$2")
-    else:
-        unq = _strip_quotes(F.col("__raw"))
-    value = F.trim(decode_html(unq))
-    links = links.withColumn("__val", value).filter(~skipped_link(F.col("__val")))
-    links = links.withColumn("dst_url", resolve_url(F.col("src_url"), F.col("__val")))
-    links = links.filter(F.col("dst_url").isNotNull() & is_http_url(F.col("dst_url")))
-    out = links.select("page_id", "src_url", "pos", F.col("__raw").alias("raw"), "dst_url",
-                       url_key(F.col("dst_url")).alias("dst_key"))
+    src = F.col("url")
+
+    def unquote(h: Column) -> Column:
+        if anchors_only:
+            return F.regexp_replace(h, r"""^(["'])(.*)\1$""", "$2")
+        return _strip_quotes(h)
+
+    a = F.transform(hrefs, lambda h, i: F.struct(i.alias("pos"), h.alias("raw"), unquote(h).alias("v")))
+    a = F.transform(a, lambda s: F.struct(s["pos"].alias("pos"), s["raw"].alias("raw"), F.trim(
+        F.when(s["v"].contains("&"), decode_html(s["v"])).otherwise(s["v"])).alias("v")))
+    a = F.filter(a, lambda s: ~skipped_link(s["v"]))
+    a = F.transform(a, lambda s: F.struct(s["pos"].alias("pos"), s["raw"].alias("raw"),
+                                          resolve_url(src, s["v"]).alias("dst")))
+    a = F.filter(a, lambda s: s["dst"].isNotNull() & is_http_url(s["dst"]))
     if anchors_only:
-        out = out.filter(~blocked_extension(F.col("dst_url")))
-    return out
+        a = F.filter(a, lambda s: ~blocked_extension(s["dst"]))
+    a = F.transform(a, lambda s: F.struct(s["pos"].alias("pos"), s["raw"].alias("raw"), s["dst"].alias("dst_url"),
+                                          url_key(s["dst"]).alias("dst_key")))
+    src_pages = spread_small_input(pages.select("page_id", "url", "html"))
+    return src_pages.select("page_id", F.col("url").alias("src_url"), F.inline(a))
 
 
 def extract_anchor_links(pages: DataFrame) -> DataFrame:

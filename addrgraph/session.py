@@ -92,3 +92,18 @@ def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> tup
 
     n = df.count()
     return (F.broadcast(df) if n <= max_rows else df), n
+
+
+def spread_small_input(df: DataFrame) -> DataFrame:
+    """Spread an input that arrives in fewer partitions than the session can
+    run at once (e.g. one small file), before costly per-row text work.
+
+    Large inputs already scan as many splits as there are cores and pass
+    through untouched; only a small input pays a (small) round-robin shuffle.
+    """
+    if df.isStreaming:
+        return df
+    par = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < par:
+        return df.repartition(par)
+    return df

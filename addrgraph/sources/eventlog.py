@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from addrgraph.session import spread_small_input
+
 # Fields of the protocol, by value kind.
 STRING_FIELDS = ["email", "source_url", "current_url", "message", "reason"]
 INT_FIELDS = ["processed_pages", "failed_pages", "unique_email_count", "total_email_hits", "queue_length"]
@@ -16,31 +18,23 @@ _INT_TEXT = r"^\s*[+-]?[0-9]+\s*$"
 _FLOAT_TEXT = r"^\s*[+-]?([0-9][0-9,]*\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?\s*$"
 
 
-def _vtype(v: Column, field: str) -> Column:
-    return F.schema_of_variant(F.variant_get(v, f"$.{field}", "variant"))
+_CORRUPT = "_corrupt_record"
 
 
-def _text_field(line: Column, field: str) -> Column:
-    """String value; another JSON kind gives its text; missing gives ''."""
-    return F.coalesce(F.get_json_object(line, f"$.{field}"), F.lit(""))
+def _schema() -> str:
+    fields = ["type"] + STRING_FIELDS + INT_FIELDS + DOUBLE_FIELDS + [_CORRUPT]
+    return ", ".join(f"`{f}` string" for f in fields)
 
 
-def _int_field(v: Column, line: Column, field: str) -> Column:
-    """Integer when the value is a 32-bit integer number or integer text; else null."""
-    t = _vtype(v, field)
-    s = F.get_json_object(line, f"$.{field}")
-    return (F.when(t == "BIGINT", F.try_variant_get(v, f"$.{field}", "int"))
-            .when((t == "STRING") & s.rlike(_INT_TEXT), F.trim(s).try_cast("int")))
+def _int_value(t: Column) -> Column:
+    """32-bit integer from a number or from integer text (surrounding white
+    space and a sign allowed); null otherwise (``1.5``, ``1e2``, overflow)."""
+    return F.when(t.rlike(_INT_TEXT), F.trim(t).try_cast("int"))
 
 
-def _double_field(v: Column, line: Column, field: str) -> Column:
-    """Double from any JSON number, or from number text (thousands commas allowed)."""
-    t = _vtype(v, field)
-    s = F.get_json_object(line, f"$.{field}")
-    num = t.isin("BIGINT", "DOUBLE", "FLOAT") | t.startswith("DECIMAL")
-    return (F.when(num, F.try_variant_get(v, f"$.{field}", "double"))
-            .when((t == "STRING") & s.rlike(_FLOAT_TEXT),
-                  F.regexp_replace(F.trim(s), ",", "").try_cast("double")))
+def _double_value(t: Column) -> Column:
+    """Double from a number or number text (thousands commas allowed)."""
+    return F.when(t.rlike(_FLOAT_TEXT), F.regexp_replace(F.trim(t), ",", "").try_cast("double"))
 
 
 def parse_event_lines(lines: DataFrame, line_col: str = "line", order_col: str = "line_no") -> DataFrame:
@@ -50,20 +44,27 @@ def parse_event_lines(lines: DataFrame, line_col: str = "line", order_col: str =
     (kept as a log line).  JSON that is not an object, or an object without
     ``type``, is ignored.  ``kind`` is the lower-cased ``type``.  Missing or
     unreadable numbers are null (the carry-forward rule fills them later).
+
+    Each line is parsed once (``from_json`` with every protocol field read as
+    text); scalar values keep their JSON text, so the number rules apply to
+    numbers and to number text alike.  Only lines the parser rejects are
+    parsed a second time, to tell bad JSON from non-object JSON.
     """
     src = lines.select(F.col(order_col).alias("line_no"), F.col(line_col).alias("line"))
+    if not src.isStreaming:
+        src = spread_small_input(src)
     src = src.filter(F.length(F.trim("line")) > 0)
-    v = F.try_parse_json("line")
-    src = src.withColumn("__v", v)
-    is_obj = F.schema_of_variant("__v").startswith("OBJECT")
-    typ = F.try_variant_get("__v", "$.type", "string")
-    kind = F.when(F.col("__v").isNull(), F.lit("unparsed")).when(is_obj & typ.isNotNull(), F.lower(typ))
+    j = F.from_json("line", _schema(), {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": _CORRUPT})
+    src = src.select("line_no", "line", j.alias("j"))
+    kind = (F.when(F.col(f"j.{_CORRUPT}").isNotNull(),
+                   F.when(F.try_parse_json("line").isNull(), F.lit("unparsed")))
+            .when(F.col("j.type").isNotNull(), F.lower("j.type")))
     src = src.withColumn("kind", kind).filter(F.col("kind").isNotNull())
-    line, vv = F.col("line"), F.col("__v")
-    cols = [F.col("line_no"), F.col("kind"), line]
-    cols += [F.when(F.col("kind") != "unparsed", _text_field(line, f)).alias(f) for f in STRING_FIELDS]
-    cols += [_int_field(vv, line, f).alias(f) for f in INT_FIELDS]
-    cols += [_double_field(vv, line, f).alias(f) for f in DOUBLE_FIELDS]
+    unparsed = F.col("kind") == "unparsed"
+    cols = [F.col("line_no"), F.col("kind"), F.col("line")]
+    cols += [F.when(~unparsed, F.coalesce(F.col(f"j.{f}"), F.lit(""))).alias(f) for f in STRING_FIELDS]
+    cols += [_int_value(F.col(f"j.{f}")).alias(f) for f in INT_FIELDS]
+    cols += [_double_value(F.col(f"j.{f}")).alias(f) for f in DOUBLE_FIELDS]
     return src.select(*cols)
 
 
