@@ -63,10 +63,27 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return d
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` to the reliable checkpoint folder (survives executor loss)."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+def cut_lineage(df: DataFrame, *partition_cols: str) -> DataFrame:
+    """Materialise ``df`` to the reliable checkpoint folder (survives executor
+    loss, cuts lineage).
+
+    With ``partition_cols`` the data is hash-partitioned on them first, into
+    ``spark.sql.shuffle.partitions`` parts; the checkpoint keeps that
+    partitioning, so later joins and aggregates on those columns do not
+    shuffle this side again.  The frame is cached while the checkpoint is
+    written, so it is computed once.
+    """
+    from pyspark import StorageLevel
+
+    spark = df.sparkSession
+    checkpoint_dir(spark)
+    if partition_cols:
+        n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        df = df.repartition(n, *partition_cols)
+    cached = df.persist(StorageLevel.MEMORY_AND_DISK)
+    out = cached.checkpoint(eager=True)
+    cached.unpersist()
+    return out
 
 
 def write_through(df: DataFrame, name: str) -> DataFrame:
