@@ -84,17 +84,13 @@ def extract_emails(pages: DataFrame, text_col: str = "html", id_col: str = "page
     return src.select(*out, F.explode(arr).alias("email"))
 
 
-def extract_links(pages: DataFrame, anchors_only: bool = False) -> DataFrame:
-    """P4/P5 + F2 + P6.  Links of each page in document order.
+def link_array(anchors_only: bool = False) -> Column:
+    """Per-page array of ``struct<pos, raw, dst_url, dst_key>`` in document order,
+    built from the row's ``url`` and ``html`` columns (P4/P5 + F2 + P6 + P7).
 
-    Output ``page_id, src_url, pos, raw, dst_url, dst_key``: the raw attribute
-    value, the resolved absolute http(s) URL without fragment, and its key.
-    ``anchors_only`` takes ``href`` of ``a``/``area`` elements only.
-
-    The work is done inside the row on the page's array of links, one small
-    ``transform``/``filter`` stage per rule; each stage's values are stored
-    in the array, so later rules read them instead of recomputing, and the
-    rows are exploded only at the end.  No shuffle.
+    The work is done inside the row, one small ``transform``/``filter`` stage
+    per rule; each stage's values are stored in the array, so later rules
+    read them instead of recomputing.
     """
     pattern = ANCHOR_HREF_PATTERN if anchors_only else HREF_PATTERN
     html = F.coalesce(F.col("html"), F.lit(""))
@@ -116,10 +112,20 @@ def extract_links(pages: DataFrame, anchors_only: bool = False) -> DataFrame:
     a = F.filter(a, lambda s: s["dst"].isNotNull() & is_http_url(s["dst"]))
     if anchors_only:
         a = F.filter(a, lambda s: ~blocked_extension(s["dst"]))
-    a = F.transform(a, lambda s: F.struct(s["pos"].alias("pos"), s["raw"].alias("raw"), s["dst"].alias("dst_url"),
-                                          url_key(s["dst"]).alias("dst_key")))
+    return F.transform(a, lambda s: F.struct(s["pos"].alias("pos"), s["raw"].alias("raw"),
+                                             s["dst"].alias("dst_url"), url_key(s["dst"]).alias("dst_key")))
+
+
+def extract_links(pages: DataFrame, anchors_only: bool = False) -> DataFrame:
+    """P4/P5 + F2 + P6.  Links of each page in document order.
+
+    Output ``page_id, src_url, pos, raw, dst_url, dst_key``: the raw attribute
+    value, the resolved absolute http(s) URL without fragment, and its key.
+    ``anchors_only`` takes ``href`` of ``a``/``area`` elements only.  The rows
+    are exploded only at the end (see ``link_array``).  No shuffle.
+    """
     src_pages = spread_small_input(pages.select("page_id", "url", "html"))
-    return src_pages.select("page_id", F.col("url").alias("src_url"), F.inline(a))
+    return src_pages.select("page_id", F.col("url").alias("src_url"), F.inline(link_array(anchors_only)))
 
 
 def extract_anchor_links(pages: DataFrame) -> DataFrame:
