@@ -178,16 +178,27 @@ class CrawlRun:
     summary: DataFrame
 
 
+# Reached pages up to this count are selected from the page table by a
+# literal id filter, which Parquet uses to skip row groups.
+PAGE_ID_FILTER_MAX = 100_000
+
+
 def crawl_hits(pages: DataFrame, reach: DataFrame, decode: bool = True, mode: str = "basic") -> DataFrame:
     """P2 on the pages a run processed: ``page_id, source_url, email, depth, path``.
 
-    Only the reached pages' ``html`` is read: the reached page ids (bounded by
-    the budget) are joined to the page table, broadcast when small.
+    Only the reached pages' ``html`` is decoded.  When the reached set is small
+    (counted; a page budget bounds it) the ids go into the scan as an ``IN``
+    filter, so row groups without a reached page are skipped; otherwise the
+    reached ids are joined (broadcast under the size bound).
     """
     ok = reach.filter("ok").select("page_id", "url", "depth", "path")
     n = ok.count()
+    body = pages.select("page_id", "html")
+    if n <= PAGE_ID_FILTER_MAX:
+        ids = [r[0] for r in ok.select("page_id").collect()]
+        body = body.filter(F.col("page_id").isin(ids))
     side = F.broadcast(ok) if n <= BROADCAST_MAX_ROWS else ok
-    body = pages.select("page_id", "html").join(side, "page_id")
+    body = body.join(side, "page_id")
     h = extract_emails(body.withColumnRenamed("url", "src"), url_col="src", decode=decode, mode=mode)
     return h.join(side.select("page_id", "depth", "path"), "page_id")
 

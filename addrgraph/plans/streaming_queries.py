@@ -52,7 +52,7 @@ def stream_email_report(spark: SparkSession, d: str) -> DataFrame:
     data, work = _stage(spark, hits, "k2")
     _await(K.run_email_report(_replay(spark, data, hits.schema), os.path.join(work, "out"),
                               os.path.join(work, "ckpt")))
-    return K.read_latest(spark, os.path.join(work, "out")).select("email", "hits", "first_seen", "last_seen",
+    return K.read_report(spark, os.path.join(work, "out")).select("email", "hits", "first_seen", "last_seen",
                                                                   "source_url")
 
 
@@ -71,7 +71,7 @@ def stream_progress(spark: SparkSession, d: str) -> DataFrame:
     site = fixture(spark, d, "site")
     data, work = _stage(spark, site, "k4")
     _await(K.run_progress(_replay(spark, data, site.schema), os.path.join(work, "out"), os.path.join(work, "ckpt")))
-    return K.read_latest(spark, os.path.join(work, "out", "progress")).select(
+    return K.read_progress(spark, os.path.join(work, "out", "progress")).select(
         "processed_pages", "failed_pages", "unique_email_count", "total_email_hits")
 
 

@@ -112,15 +112,20 @@ def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> tup
 
 
 def spread_small_input(df: DataFrame) -> DataFrame:
-    """Spread an input that arrives in fewer partitions than the session can
-    run at once (e.g. one small file), before costly per-row text work.
+    """Spread a small input over all cores before costly per-row text work.
 
-    Large inputs already scan as many splits as there are cores and pass
-    through untouched; only a small input pays a (small) round-robin shuffle.
+    A small table (e.g. one file with one row group) scans as a single task.
+    The decision uses the optimizer's size estimate (no job runs): an input
+    smaller than one split per core is round-robin repartitioned; anything
+    larger already scans as at least one split per core and passes through.
     """
     if df.isStreaming:
         return df
-    par = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < par:
+    spark = df.sparkSession
+    par = spark.sparkContext.defaultParallelism
+    split = spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(
+        spark.conf.get("spark.sql.files.maxPartitionBytes", "128m"))
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if size < split * par:
         return df.repartition(par)
     return df

@@ -49,42 +49,52 @@ def stream_unique_emails(hits_stream: DataFrame, watermark: str | None = None) -
     return hits_stream.dropDuplicates(["email"])
 
 
-def _upsert_table(spark: SparkSession, base: str, batch: DataFrame, key: str, epoch: int) -> None:
-    """Merge a micro-batch of updated rows into a versioned Parquet table."""
-    out = os.path.join(base, f"v{epoch:012d}")
-    prev = _latest_version(spark, base)
-    merged = batch
-    if prev is not None:
-        merged = spark.read.parquet(prev).join(batch.select(key), key, "left_anti").unionByName(batch)
-    merged.write.mode("overwrite").parquet(out)
+def _append_epoch(base: str, batch: DataFrame, epoch: int) -> None:
+    """Write one micro-batch's updated rows under its epoch (overwrite: a
+    replayed epoch rewrites the same folder, so the sink stays exactly-once)."""
+    batch.withColumn("__epoch", F.lit(epoch).cast("long")).write.mode("overwrite").parquet(
+        os.path.join(base, f"epoch={epoch:012d}"))
 
 
-def _latest_version(spark: SparkSession, base: str) -> str | None:
+def read_report(spark: SparkSession, base: str, key: str = "email") -> DataFrame:
+    """Current report from an update-mode log: the latest row per key.
+
+    Each epoch holds the full current aggregate of the keys it changed, so the
+    row from the highest epoch is the current one (a partial + final
+    aggregate; no table is rewritten per micro-batch).
+    """
+    log = spark.read.parquet(base)
+    cols = [c for c in log.columns if c not in (key, "__epoch", "epoch")]
+    last = F.max_by(F.struct(*cols), F.col("__epoch")).alias("__r")
+    return log.groupBy(key).agg(last).select(key, *[F.col(f"__r.{c}").alias(c) for c in cols])
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
     jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    path = jvm.org.apache.hadoop.fs.Path(base)
-    fs = path.getFileSystem(conf)
-    if not fs.exists(path):
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+
+
+def _epochs_before(spark: SparkSession, base: str, epoch: int) -> DataFrame | None:
+    """Rows written by earlier epochs (a replayed epoch never sees itself)."""
+    if not _exists(spark, base):
         return None
-    names = sorted(s.getPath().getName() for s in fs.listStatus(path)
-                   if s.getPath().getName().startswith("v")
-                   and fs.exists(jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS")))
-    return os.path.join(base, names[-1]) if names else None
+    return spark.read.parquet(base).filter(F.col("epoch") < epoch)
 
 
-def read_latest(spark: SparkSession, base: str) -> DataFrame:
-    p = _latest_version(spark, base)
-    if p is None:
-        raise FileNotFoundError(f"no committed version under {base}")
-    return spark.read.parquet(p)
+def read_progress(spark: SparkSession, base: str) -> DataFrame:
+    """Latest progress row of a K4 sink (one row)."""
+    log = spark.read.parquet(base)
+    cols = [c for c in log.columns if c != "epoch"]
+    return log.agg(F.max_by(F.struct(*cols), F.col("epoch")).alias("r")).select("r.*")
 
 
 def run_email_report(hits_stream: DataFrame, out: str, checkpoint: str, available_now: bool = True):
-    """K2 sink: update mode, each micro-batch merged into the report table."""
-    spark = hits_stream.sparkSession
+    """K2 sink: update mode; each micro-batch's changed rows are appended under
+    its epoch, and ``read_report`` gives the current table."""
 
     def merge(batch: DataFrame, epoch: int) -> None:
-        _upsert_table(spark, out, batch, "email", epoch)
+        _append_epoch(out, batch, epoch)
 
     w = (stream_email_report(hits_stream).writeStream.outputMode("update")
          .option("checkpointLocation", checkpoint).foreachBatch(merge))
@@ -95,34 +105,37 @@ def run_progress(pages_stream: DataFrame, out: str, checkpoint: str, available_n
     """K4.  Running counters per micro-batch: processed, failed, unique
     addresses so far, total hits so far.
 
-    The set of addresses seen so far is kept as a table; each batch adds its
-    new addresses (anti join) and appends one progress row.
+    Each micro-batch appends, under its epoch, the addresses it saw first (an
+    anti join against earlier epochs) and one progress row; nothing written
+    before is rewritten, and a replayed epoch overwrites only its own folder.
     """
     spark = pages_stream.sparkSession
     seen_dir, prog_dir = os.path.join(out, "seen"), os.path.join(out, "progress")
 
     def step(batch: DataFrame, epoch: int) -> None:
         pages = split_fetchable(batch).persist()
-        hits = extract_emails(pages.filter("ok")).select("email").persist()
-        prev = _latest_version(spark, prog_dir)
-        seen = _latest_version(spark, seen_dir)
-        new = hits.distinct()
+        emails = extract_emails(pages.filter("ok")).select("email").persist()
+        new = emails.distinct()
+        seen = _epochs_before(spark, seen_dir, epoch)
         if seen is not None:
-            new = new.join(spark.read.parquet(seen), "email", "left_anti")
+            new = new.join(seen.select("email"), "email", "left_anti")
+        new_dir = os.path.join(seen_dir, f"epoch={epoch:012d}")
+        new.write.mode("overwrite").parquet(new_dir)
+        n_new = spark.read.parquet(new_dir).count()
         counts = pages.agg(F.count(F.lit(1)).alias("p"), F.count_if(~F.col("ok")).alias("f")).first()
-        n_hits = hits.count()
-        new_dir = os.path.join(seen_dir, f"v{epoch:012d}")
-        merged = new if seen is None else spark.read.parquet(seen).unionByName(new)
-        merged.write.mode("overwrite").parquet(new_dir)
-        n_unique = spark.read.parquet(new_dir).count()
-        base = (0, 0, 0) if prev is None else tuple(spark.read.parquet(prev).select(
-            "processed_pages", "failed_pages", "total_email_hits").first())
-        row = (epoch, base[0] + counts["p"], base[1] + counts["f"], n_unique, base[2] + n_hits)
-        spark.createDataFrame([row], "epoch long, processed_pages long, failed_pages long, "
-                                     "unique_email_count long, total_email_hits long") \
-            .write.mode("overwrite").parquet(os.path.join(prog_dir, f"v{epoch:012d}"))
+        n_hits = emails.count()
+        prev = _epochs_before(spark, prog_dir, epoch)
+        base = (0, 0, 0, 0)
+        if prev is not None:
+            last = prev.agg(F.max_by(F.struct("processed_pages", "failed_pages", "unique_email_count",
+                                              "total_email_hits"), F.col("epoch")).alias("r")).first()["r"]
+            base = tuple(last) if last is not None else base
+        row = (base[0] + counts["p"], base[1] + counts["f"], base[2] + n_new, base[3] + n_hits)
+        spark.createDataFrame([row], "processed_pages long, failed_pages long, unique_email_count long, "
+                                     "total_email_hits long") \
+            .write.mode("overwrite").parquet(os.path.join(prog_dir, f"epoch={epoch:012d}"))
         pages.unpersist()
-        hits.unpersist()
+        emails.unpersist()
 
     w = pages_stream.writeStream.option("checkpointLocation", checkpoint).foreachBatch(step)
     return (w.trigger(availableNow=True) if available_now else w).start()
