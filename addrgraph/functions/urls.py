@@ -142,12 +142,17 @@ def normalize_url(c: Column | str) -> Column:
     with ``http://``/``https://`` (case-sensitive); require a non-empty
     authority; drop the fragment and an empty query mark.  Null when invalid.
     """
-    v = F.regexp_replace(F.trim(_c(c)), "[\t\r\n]", "")
-    v = F.when(v.startswith("http://") | v.startswith("https://"), v).otherwise(
-        F.concat(F.lit(DEFAULT_SCHEME_PREFIX), v))
-    netloc = F.regexp_extract(v, r"^https?://([^/?#]*)", 1)
-    out = F.regexp_replace(F.regexp_replace(v, "#.*$", ""), r"\?$", "")
-    return F.when((F.length(F.trim(_c(c))) > 0) & (F.length(netloc) > 0), out)
+    def with_scheme(v: Column) -> Column:
+        return F.when(v.startswith("http://") | v.startswith("https://"), v).otherwise(
+            F.concat(F.lit(DEFAULT_SCHEME_PREFIX), v))
+
+    def finish(v: Column) -> Column:
+        netloc = F.regexp_extract(v, r"^https?://([^/?#]*)", 1)
+        out = F.regexp_replace(F.regexp_replace(v, "#.*$", ""), r"\?$", "")
+        return F.when(F.length(netloc) > 0, out)
+
+    trimmed = F.regexp_replace(F.trim(_c(c)), "[\t\r\n]", "")
+    return let(trimmed, lambda t: F.when(F.length(t) > 0, let(with_scheme(t), finish)))
 
 
 def strict_seed_url(c: Column | str) -> Column:

@@ -77,7 +77,7 @@ def _py_normalize_url(raw):
 
 def test_normalize_url_against_urlparse(spark):
     vals = ["https://h.com/a#x", "  h.com/c/1 ", "HTTPS://H.com/c", "", "https://", "http://h.com:80/a/",
-            "h.com?x=1#f", "https://h.com/?", "ftp://x.org"]
+            "h.com?x=1#f", "https://h.com/?", "ftp://x.org", "http://a", " \t "]
     got = _two(spark, U.normalize_url(F.col("a")), [(v, "") for v in vals])
     assert got == [_py_normalize_url(v) for v in vals]
 
