@@ -85,7 +85,8 @@ def stream_event_demux(spark: SparkSession, d: str) -> DataFrame:
     u = parts[0]
     for p in parts[1:]:
         u = u.unionByName(p)
-    return u.drop("line").withColumn("table", F.when(F.col("kind") == "unparsed", "log").otherwise(F.col("kind")))
+    return (u.drop("line", "epoch")
+            .withColumn("table", F.when(F.col("kind") == "unparsed", "log").otherwise(F.col("kind"))))
 
 
 STREAM_QUERIES = {

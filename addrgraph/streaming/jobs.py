@@ -146,10 +146,12 @@ def run_event_demux(lines_stream: DataFrame, out: str, checkpoint: str, availabl
     tables (lines that are not JSON go to ``log``), one cached batch each."""
 
     def step(batch: DataFrame, epoch: int) -> None:
+        # One folder per epoch and table, overwritten on replay: exactly once.
         ev = parse_event_lines(batch).persist()
         for kind in EVENT_KINDS:
             kinds = [kind, "unparsed"] if kind == "log" else [kind]
-            ev.filter(F.col("kind").isin(kinds)).write.mode("append").parquet(os.path.join(out, kind))
+            (ev.filter(F.col("kind").isin(kinds)).write.mode("overwrite")
+             .parquet(os.path.join(out, kind, f"epoch={epoch:012d}")))
         ev.unpersist()
 
     w = lines_stream.writeStream.option("checkpointLocation", checkpoint).foreachBatch(step)
