@@ -4,7 +4,7 @@ The reference crawls with a FIFO queue.  Here a run is a level-by-level
 join loop over a link table extracted once:
 
 * ``edges`` (G1) is built once, with the destination page's status joined
-  on, and checkpointed hash-partitioned by ``src_key``: no level re-reads
+  on, and written as a table bucketed by ``src_key``: no level re-reads
   ``html`` or the page table, and no level shuffles the edges.
 * FIFO order is the lexicographic order of ``(depth, path)`` where ``path``
   is the seed rank followed by the link rank on each hop.  A URL reached
@@ -13,8 +13,8 @@ join loop over a link table extracted once:
   aggregation; no global ranking).
 * The page budget keeps the FIFO prefix: the last level is cut with a top-k
   on ``path`` (at most the remaining budget).
-* Each level is checkpointed once to the shared checkpoint folder (lineage
-  cut, survives executor loss), hash-partitioned by key; a new level's
+* Each level is written once as a table bucketed by key under the shared
+  checkpoint folder (lineage cut, survives executor loss); a new level's
   candidates come out of their aggregate partitioned the same way, so the
   anti-joins against every earlier level shuffle nothing.
 """
@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from addrgraph.functions.urls import url_key
 from addrgraph.operators.extract import extract_emails
 from addrgraph.operators.links import dedupe_first_wins, link_graph, pages_by_key, seed_hosts
-from addrgraph.session import BROADCAST_MAX_ROWS, cut_lineage
+from addrgraph.session import BROADCAST_MAX_ROWS, bucketed_table
 
 REACH_COLUMNS = ["url_key", "url", "depth", "path", "parent_key", "page_id", "ok", "failure_reason"]
 
@@ -80,7 +80,7 @@ def _level_columns(df: DataFrame) -> DataFrame:
 def _cut_to_budget(level: DataFrame, n: int, remaining: int | None) -> tuple[DataFrame, int]:
     if remaining is not None and n > remaining:
         # L3: the FIFO prefix of the level; a top-k bounded by the budget.
-        return cut_lineage(level.orderBy("path").limit(remaining), "url_key"), remaining
+        return bucketed_table(level.orderBy("path").limit(remaining), "crawl_level", "url_key")[0], remaining
     return level, n
 
 
@@ -94,20 +94,19 @@ def crawl_reach(pages: DataFrame, seeds: DataFrame, opts: CrawlOptions = CrawlOp
     reaches it first in FIFO order.  Only captured HTML pages have out-links.
     One written table per level; one join per level against the edges.
     """
-    keyed = cut_lineage(pages_by_key(pages, opts.missing_type), "url_key")
+    keyed, _ = bucketed_table(pages_by_key(pages, opts.missing_type), "crawl_pages", "url_key")
     if edges is None:
         edges = crawl_edges(pages, seeds, opts, keyed)
     # Stored hash-partitioned by source key: a level's join shuffles only the
     # frontier (or broadcasts it), never the edge table.
-    edges = cut_lineage(edges, "src_key")
+    edges, _ = bucketed_table(edges, "crawl_edges", "src_key")
 
     s = seeds.select(url_key(F.col("url")).alias("url_key"), "url", F.col("seed_rank").cast("long"))
     s = dedupe_first_wins(s, "url_key", "seed_rank")
     level = s.select("url_key", "url", F.lit(0).alias("depth"), F.array(F.col("seed_rank")).alias("path"),
                      F.lit(None).cast("string").alias("parent_key"))
     level = level.join(keyed.select("url_key", "page_id", "ok", "failure_reason"), "url_key", "left")
-    level = cut_lineage(_level_columns(level), "url_key")
-    n = level.count()
+    level, n = bucketed_table(_level_columns(level), "crawl_level", "url_key")
     remaining = opts.max_pages
     level, n = _cut_to_budget(level, n, remaining)
     levels = [level]
@@ -134,8 +133,7 @@ def crawl_reach(pages: DataFrame, seeds: DataFrame, opts: CrawlOptions = CrawlOp
                           F.col("b.ok").alias("ok"), F.col("b.failure_reason").alias("failure_reason"))
         for prev in levels:  # J2: not seen at any earlier level
             new = new.join(prev.select("url_key"), "url_key", "left_anti")
-        new = cut_lineage(_level_columns(new), "url_key")
-        n = new.count()
+        new, n = bucketed_table(_level_columns(new), "crawl_level", "url_key")
         if n == 0:
             break
         new, n = _cut_to_budget(new, n, remaining)

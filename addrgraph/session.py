@@ -47,31 +47,37 @@ def get_spark(master: str | None = None, app: str = "addrgraph",
 def checkpoint_dir(spark: SparkSession) -> str:
     """Return the reliable checkpoint folder of this session.
 
-    A cluster names a shared folder in ``spark.checkpoint.dir``; it is used
-    as is.  Only when the setting is absent (local runs, tests) is a fresh
-    folder created and registered.
+    A cluster names a shared folder in ``spark.checkpoint.dir`` (or the
+    context already has one); it is used as is.  Only when neither is set
+    (local runs, tests) is a fresh folder created and registered with the
+    context.  ``spark.checkpoint.dir`` itself is a core setting and is never
+    written at run time.
     """
     sc = spark.sparkContext
-    d = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
-    if not d:
-        d = sc._jsc.sc().getCheckpointDir()
-        d = d.get() if d.isDefined() else None
+    current = sc._jsc.sc().getCheckpointDir()
+    if current.isDefined():
+        return current.get()
+    d = sc.getConf().get("spark.checkpoint.dir", None)
     if not d:
         d = tempfile.mkdtemp(prefix="addrgraph-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
-        spark.conf.set("spark.checkpoint.dir", d)
     sc.setCheckpointDir(d)
-    return d
+    return sc._jsc.sc().getCheckpointDir().get()
 
 
 def cut_lineage(df: DataFrame, *partition_cols: str) -> DataFrame:
     """Materialise ``df`` to the reliable checkpoint folder (survives executor
-    loss, cuts lineage).
+    loss, cuts lineage).  See ``cut_lineage_counted``."""
+    return cut_lineage_counted(df, *partition_cols)[0]
+
+
+def cut_lineage_counted(df: DataFrame, *partition_cols: str) -> tuple[DataFrame, int]:
+    """Checkpoint ``df`` reliably and return it with its row count.
 
     With ``partition_cols`` the data is hash-partitioned on them first, into
     ``spark.sql.shuffle.partitions`` parts; the checkpoint keeps that
     partitioning, so later joins and aggregates on those columns do not
     shuffle this side again.  The frame is cached while the checkpoint is
-    written, so it is computed once.
+    written, so it is computed once; the count reads the checkpoint files.
     """
     from pyspark import StorageLevel
 
@@ -81,9 +87,32 @@ def cut_lineage(df: DataFrame, *partition_cols: str) -> DataFrame:
         n = int(spark.conf.get("spark.sql.shuffle.partitions"))
         df = df.repartition(n, *partition_cols)
     cached = df.persist(StorageLevel.MEMORY_AND_DISK)
+    # Eager: the checkpointed plan keeps the partitioning (a lazy one does not).
     out = cached.checkpoint(eager=True)
     cached.unpersist()
-    return out
+    return out, out.count()
+
+
+def bucketed_table(df: DataFrame, name: str, key: str) -> tuple[DataFrame, int]:
+    """Write ``df`` as a table bucketed by ``key`` under the shared checkpoint
+    folder, read it back, and return it with its row count.
+
+    Lineage is cut and the data survives executor loss.  The bucketing is
+    recorded in the catalog, so joins and aggregates on ``key`` read this side
+    without a shuffle (with or without AQE).  The data is hash-partitioned by
+    the key first, so each task writes one file per bucket, not one per task
+    and bucket.
+    """
+    import uuid
+
+    spark = df.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    table = f"{name}_{uuid.uuid4().hex[:12]}"
+    path = os.path.join(checkpoint_dir(spark), "tables", table)
+    (df.repartition(n, key).write.bucketBy(n, key).format("parquet")
+     .option("path", path).saveAsTable(table))
+    out = spark.table(table)
+    return out, out.count()
 
 
 def write_through(df: DataFrame, name: str) -> DataFrame:

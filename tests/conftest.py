@@ -22,7 +22,8 @@ def spark():
          .config("spark.driver.memory", "8g")
          .getOrCreate())
     s.sparkContext.setLogLevel("ERROR")
-    if not s.conf.get("spark.checkpoint.dir", None):
+    if not s.sparkContext._jsc.sc().getCheckpointDir().isDefined() and \
+            not s.sparkContext.getConf().get("spark.checkpoint.dir", None):
         # Tests only: a fresh local folder stands in for the cluster's shared one.
-        s.conf.set("spark.checkpoint.dir", tempfile.mkdtemp(prefix="addrgraph-test-"))
+        s.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="addrgraph-test-"))
     yield s
