@@ -81,7 +81,7 @@ def stream_event_demux(spark: SparkSession, d: str) -> DataFrame:
     out = os.path.join(work, "out")
     _await(K.run_event_demux(_replay(spark, data, lines.schema), out, os.path.join(work, "ckpt")))
     parts = [spark.read.parquet(os.path.join(out, k)) for k in K.EVENT_KINDS
-             if os.path.exists(os.path.join(out, k)) or "://" in out]
+             if K._exists(spark, os.path.join(out, k))]
     u = parts[0]
     for p in parts[1:]:
         u = u.unionByName(p)
