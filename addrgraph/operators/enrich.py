@@ -130,9 +130,42 @@ def add_enrichment_hits(hits: DataFrame, emails: DataFrame) -> DataFrame:
     return e.select(*cols).unionByName(hits.select(*cols))
 
 
-def target_domain(seeds: DataFrame, url_col: str = "url") -> DataFrame:
-    """P9.  One row ``target_domain``: the two-label domain of the first seed
-    (by ``seed_rank``) that has a host; '' when none has."""
+def registrable_domains(hosts: DataFrame, suffixes: DataFrame, host_col: str = "host") -> DataFrame:
+    """P9 with a public-suffix table: ``host, domain`` for each distinct host.
+
+    The domain is one label plus the longest suffix of the host found in
+    ``suffixes`` (column ``suffix``, entries taken literally); hosts with no
+    listed suffix, or that are a suffix themselves, fall back to the two-label
+    rule.  Hosts are made distinct before the candidate suffixes are exploded,
+    and the suffix table is broadcast only under its counted size bound.
+    """
+    from addrgraph.session import broadcast_if_small
+
+    h = hosts.select(F.lower(F.trim(F.col(host_col))).alias("host")).filter(F.col("host").isNotNull()).distinct()
+    labels = F.split(F.col("host"), r"\.", -1)
+    n = F.size(labels)
+    cand = h.select("host", F.explode(F.transform(
+        F.sequence(F.lit(2), F.greatest(n, F.lit(2))),
+        lambda i: F.struct(i.alias("i"), F.array_join(F.slice(labels, i, n), ".").alias("suffix")))).alias("c"))
+    cand = cand.filter(F.col("c.i") <= n).select("host", F.col("c.i").alias("i"), F.col("c.suffix").alias("suffix"))
+    sfx, _ = broadcast_if_small(suffixes.select(F.lower(F.trim("suffix")).alias("suffix")).distinct())
+    best = (cand.join(sfx, "suffix", "left_semi")
+            .groupBy("host").agg(F.min("i").alias("i")))
+    out = h.join(best, "host", "left")
+    lab = F.split(F.col("host"), r"\.", -1)
+    listed = F.array_join(F.slice(lab, F.col("i") - 1, F.size(lab)), ".")
+    return out.select("host", F.when(F.col("i").isNotNull(), listed)
+                      .otherwise(registrable_domain(F.col("host"))).alias("domain"))
+
+
+def target_domain(seeds: DataFrame, url_col: str = "url", suffixes: DataFrame | None = None) -> DataFrame:
+    """P9.  One row ``target_domain``: the registrable domain of the first seed
+    (by ``seed_rank``) that has a host; '' when none has.  Without a
+    public-suffix table the two-label rule applies (an IPv4 host stays whole)."""
     h = seeds.select("seed_rank", host_of(F.col(url_col)).alias("host")).filter(F.col("host").isNotNull())
-    return h.agg(F.coalesce(F.min_by(registrable_domain(F.col("host")), F.col("seed_rank")), F.lit(""))
-                 .alias("target_domain"))
+    if suffixes is not None:
+        h = h.join(registrable_domains(h, suffixes), "host", "left").select(
+            "seed_rank", F.coalesce("domain", registrable_domain(F.col("host"))).alias("d"))
+    else:
+        h = h.select("seed_rank", registrable_domain(F.col("host")).alias("d"))
+    return h.agg(F.coalesce(F.min_by("d", F.col("seed_rank")), F.lit("")).alias("target_domain"))

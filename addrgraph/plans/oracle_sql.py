@@ -101,11 +101,11 @@ def fx(*names: str) -> str:
 
 
 # F1 on a page table with status/content_type.
-def fetch_cols(t: str) -> str:
+def fetch_cols(t: str, accept_missing: bool = True) -> str:
     mt = "trim(split_part(content_type, ';', 1))"
     blank = f"({mt} is null or length({mt}) = 0)"
     s_ok = "(status is null or (status >= 200 and status <= 299))"
-    t_ok = f"(case when {blank} then true else contains(lower({mt}), 'html') end)"
+    t_ok = f"(case when {blank} then {'true' if accept_missing else 'false'} else contains(lower({mt}), 'html') end)"
     reason = (f"(case when not {s_ok} then 'HTTP ' || cast(status as varchar) "
               f"when not {t_ok} and {blank} then 'Content type ''unknown'' is not HTML' "
               f"when not {t_ok} then 'Content type ''' || {mt} || ''' is not HTML' end)")
@@ -200,9 +200,9 @@ DOC_HITS = f"doc_hits as ({email_hits('documents', 'text', 'doc_id', 'source', F
 SEED_HOSTS = f"seed_hosts as (select distinct {host_of('url')} as host from seeds where {host_of('url')} is not null)"
 
 
-def link_graph_ctes(cap: int) -> str:
+def link_graph_ctes(cap: int, anchors: bool = False) -> str:
     """G1 over the site from F1-ok pages, limited to the strict seeds' hosts."""
-    return f"""{links_ctes('(select page_id, url, html from site_ok where ok)', 'gl')},
+    return f"""{links_ctes('(select page_id, url, html from site_ok where ok)', 'gl', anchors=anchors)},
 g_f as (select * from gl where not {blocked('dst_url')} and {host_of('dst_url')} in (select host from seed_hosts)),
 g_d as (select page_id, dst_key, min(pos) as pos, arg_min(dst_url, pos) as dst_url, any_value(src_url) as src_url
         from g_f group by page_id, dst_key),
@@ -315,6 +315,8 @@ select email as "Email", cast(hits as varchar) as "Hits", strftime(first_seen, '
 
     # filters
     o["split_fetchable"] = W + site_base + "\nselect page_id, url, ok, failure_reason from site_ok"
+    o["split_fetchable_reject"] = (W + fx("site") + f", site_ok as ({fetch_cols('site', accept_missing=False)})"
+                                   + "\nselect page_id, url, ok, failure_reason from site_ok")
     o["filter_link_scheme"] = W + links_ctes("pages") + "\nselect page_id, pos, dst_url from lk"
     o["filter_same_host"] = (W + f"{site_base}, {seeds_base}, {SEED_HOSTS}, "
                              + links_ctes("(select * from site_ok where ok)")
@@ -450,6 +452,10 @@ select min(seed_rank)::integer as seed_rank, url from n where url is not null gr
     reach = reach_ctes(CRAWL.max_depth, CRAWL.max_pages)
     W = "with recursive "
     o["crawl_reach"] = W + crawl_base + ", " + reach + "\nselect url_key, depth, parent_key, page_id, ok from reach"
+    worker_base = (f"{fx('site')}, site_ok as ({fetch_cols('site', accept_missing=False)}), {seeds_base}, "
+                   f"{SEED_HOSTS}, {SITE_KEYED}, {link_graph_ctes(CRAWL.max_links_per_page, anchors=True)}")
+    o["crawl_reach_worker"] = (W + worker_base + ", " + reach
+                               + "\nselect url_key, depth, parent_key, page_id, ok from reach")
     o["page_budget"] = (W + crawl_base + ", " + reach_ctes(CRAWL.max_depth, BUDGET_PAGES)
                         + "\nselect url_key, depth, parent_key from reach")
     o["failed_pages"] = W + crawl_base + ", " + reach + """

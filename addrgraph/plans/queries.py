@@ -106,6 +106,11 @@ def split_fetchable(spark, d):
     return X.split_fetchable(_site(spark, d)).select("page_id", "url", "ok", "failure_reason")
 
 
+def split_fetchable_reject(spark, d):
+    # Worker rule: a missing content type is not HTML.
+    return X.split_fetchable(_site(spark, d), missing_type="reject").select("page_id", "url", "ok", "failure_reason")
+
+
 def filter_link_scheme(spark, d):
     return X.extract_links(_pages(spark, d)).select("page_id", "pos", "dst_url")
 
@@ -339,6 +344,14 @@ def crawl_reach(spark, d):
     return _reach(spark, d).select("url_key", "depth", "parent_key", "page_id", "ok")
 
 
+def crawl_reach_worker(spark, d):
+    from dataclasses import replace
+
+    # Worker rules: missing content type rejected, link elements only.
+    opts = replace(CRAWL, missing_type="reject", anchors_only=True)
+    return _reach(spark, d, opts).select("url_key", "depth", "parent_key", "page_id", "ok")
+
+
 def page_budget(spark, d):
     from dataclasses import replace
 
@@ -372,6 +385,7 @@ QUERIES: dict[str, Query] = {
     "export_report_csv": export_report_csv,
     # filters
     "split_fetchable": split_fetchable,
+    "split_fetchable_reject": split_fetchable_reject,
     "filter_link_scheme": filter_link_scheme,
     "filter_same_host": filter_same_host,
     "filter_non_html_ext": filter_non_html_ext,
@@ -427,6 +441,7 @@ QUERIES: dict[str, Query] = {
     # graph
     "link_graph": link_graph,
     "crawl_reach": crawl_reach,
+    "crawl_reach_worker": crawl_reach_worker,
     "page_budget": page_budget,
     "failed_pages": failed_pages,
     "queue_length_by_level": queue_length_by_level,

@@ -79,3 +79,17 @@ def test_failed_seed_counts_as_reached(spark):
     seeds = spark.createDataFrame([(0, "https://h0.example.com/c/999999")], "seed_rank int, url string")
     r = crawl_reach(site, seeds, OPEN).collect()
     assert len(r) == 1 and r[0]["ok"] is False and r[0]["failure_reason"] == "not captured"
+
+
+def test_unlimited_depth_reaches_closure(spark):
+    site = fixture(spark, SF_SMALL, "site")
+    seeds = _seeds(spark, [0, 1])
+    deep = crawl_reach(site, seeds, replace(OPEN, max_depth=None)).collect()
+    four = crawl_reach(site, seeds, OPEN).collect()
+    assert len(deep) > len(four)
+    assert max(r["depth"] for r in deep) > 4
+    # closure: every link of an expanded page in the result leads into the result
+    keys = {r["url_key"] for r in deep}
+    ok = {r["url_key"] for r in deep if r["ok"]}
+    edges = link_graph(site, seed_hosts(seeds)).select("src_key", "dst_key").collect()
+    assert all(e["dst_key"] in keys for e in edges if e["src_key"] in ok)
