@@ -44,6 +44,10 @@ def stream_unique_emails(hits_stream: DataFrame, watermark: str | None = None) -
     and an address seen again after the watermark passed is reported again.
     """
     if watermark:
+        # Watermarks need TIMESTAMP; a TIMESTAMP_NTZ column is read in the
+        # session time zone (UTC).
+        if hits_stream.schema["seen_at"].dataType.typeName() == "timestamp_ntz":
+            hits_stream = hits_stream.withColumn("seen_at", F.col("seen_at").cast("timestamp"))
         return (hits_stream.withWatermark("seen_at", watermark)
                 .dropDuplicatesWithinWatermark(["email"]))
     return hits_stream.dropDuplicates(["email"])

@@ -24,3 +24,23 @@ def test_stream_equals_batch(spark, name, batch):
     a = sorted(map(tuple, s.select(*cols).collect()), key=repr)
     e = sorted(map(tuple, b.collect()), key=repr)
     assert a == e
+
+
+def test_unique_with_watermark_bounds_state(spark):
+    import os
+
+    from addrgraph.plans.fixtures import fixture
+    from addrgraph.session import checkpoint_dir
+    from addrgraph.streaming import jobs as K
+
+    hits = fixture(spark, SF_SMALL, "hits")
+    work = K.new_run_folder(os.path.join(checkpoint_dir(spark), "streams"), "k3w")
+    hits.repartition(3).write.parquet(os.path.join(work, "in"))
+    src = spark.readStream.schema(hits.schema).option("maxFilesPerTrigger", 1).parquet(os.path.join(work, "in"))
+    q = (K.stream_unique_emails(src, watermark="365 days").select("email").writeStream.format("parquet")
+         .option("path", os.path.join(work, "out")).option("checkpointLocation", os.path.join(work, "ck"))
+         .trigger(availableNow=True).start())
+    q.awaitTermination()
+    got = sorted(r[0] for r in spark.read.parquet(os.path.join(work, "out")).collect())
+    # A watermark wider than the data keeps every address once.
+    assert got == sorted(r[0] for r in hits.select("email").distinct().collect())
