@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from addrgraph.functions.urls import url_key
 from addrgraph.operators.extract import extract_emails
 from addrgraph.operators.links import dedupe_first_wins, link_graph, pages_by_key, seed_hosts
-from addrgraph.session import BROADCAST_MAX_ROWS, bucketed_table
+from addrgraph.session import BROADCAST_MAX_ROWS, bucketed_table, write_through
 
 REACH_COLUMNS = ["url_key", "url", "depth", "path", "parent_key", "page_id", "ok", "failure_reason"]
 
@@ -77,10 +77,20 @@ def _level_columns(df: DataFrame) -> DataFrame:
         .alias("failure_reason"))
 
 
-def _cut_to_budget(level: DataFrame, n: int, remaining: int | None) -> tuple[DataFrame, int]:
+def _store_level(df: DataFrame, bounded: bool) -> tuple[DataFrame, int]:
+    """Write a level once.  Levels of a budgeted run are proven small (at most
+    the budget) and are plain tables that later joins broadcast; otherwise a
+    level is bucketed by key like the edges."""
+    if bounded:
+        out = write_through(df, "crawl_level")
+        return out, out.count()
+    return bucketed_table(df, "crawl_level", "url_key")
+
+
+def _cut_to_budget(level: DataFrame, n: int, remaining: int | None, bounded: bool) -> tuple[DataFrame, int]:
     if remaining is not None and n > remaining:
         # L3: the FIFO prefix of the level; a top-k bounded by the budget.
-        return bucketed_table(level.orderBy("path").limit(remaining), "crawl_level", "url_key")[0], remaining
+        return _store_level(level.orderBy("path").limit(remaining), bounded)[0], remaining
     return level, n
 
 
@@ -101,14 +111,19 @@ def crawl_reach(pages: DataFrame, seeds: DataFrame, opts: CrawlOptions = CrawlOp
     # frontier (or broadcasts it), never the edge table.
     edges, _ = bucketed_table(edges, "crawl_edges", "src_key")
 
+    # With a budget, a level holds at most max_pages rows and its candidates at
+    # most max_pages * max_links_per_page: a proven bound, so the levels can be
+    # broadcast instead of bucketed.
+    bounded = (opts.max_pages is not None
+               and opts.max_pages * opts.max_links_per_page <= opts.broadcast_max_rows)
     s = seeds.select(url_key(F.col("url")).alias("url_key"), "url", F.col("seed_rank").cast("long"))
     s = dedupe_first_wins(s, "url_key", "seed_rank")
     level = s.select("url_key", "url", F.lit(0).alias("depth"), F.array(F.col("seed_rank")).alias("path"),
                      F.lit(None).cast("string").alias("parent_key"))
     level = level.join(keyed.select("url_key", "page_id", "ok", "failure_reason"), "url_key", "left")
-    level, n = bucketed_table(_level_columns(level), "crawl_level", "url_key")
+    level, n = _store_level(_level_columns(level), bounded=False)
     remaining = opts.max_pages
-    level, n = _cut_to_budget(level, n, remaining)
+    level, n = _cut_to_budget(level, n, remaining, bounded)
     levels = [level]
     if remaining is not None:
         remaining -= n
@@ -132,11 +147,12 @@ def crawl_reach(pages: DataFrame, seeds: DataFrame, opts: CrawlOptions = CrawlOp
                           F.col("b.parent_key").alias("parent_key"), F.col("b.page_id").alias("page_id"),
                           F.col("b.ok").alias("ok"), F.col("b.failure_reason").alias("failure_reason"))
         for prev in levels:  # J2: not seen at any earlier level
-            new = new.join(prev.select("url_key"), "url_key", "left_anti")
-        new, n = bucketed_table(_level_columns(new), "crawl_level", "url_key")
+            seen = prev.select("url_key")
+            new = new.join(F.broadcast(seen) if bounded else seen, "url_key", "left_anti")
+        new, n = _store_level(_level_columns(new), bounded)
         if n == 0:
             break
-        new, n = _cut_to_budget(new, n, remaining)
+        new, n = _cut_to_budget(new, n, remaining, bounded)
         level = new
         levels.append(level)
         if remaining is not None:
