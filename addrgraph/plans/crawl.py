@@ -21,6 +21,7 @@ join loop over a link table extracted once:
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, Window
@@ -95,7 +96,8 @@ def _cut_to_budget(level: DataFrame, n: int, remaining: int | None, bounded: boo
 
 
 def crawl_reach(pages: DataFrame, seeds: DataFrame, opts: CrawlOptions = CrawlOptions(),
-                edges: DataFrame | None = None) -> DataFrame:
+                edges: DataFrame | None = None,
+                on_level: Callable[[int, int, int | None], None] | None = None) -> DataFrame:
     """G2.  URLs reached from the seeds: ``url_key, url, depth, path,
     parent_key, page_id, ok, failure_reason``.
 
@@ -103,6 +105,8 @@ def crawl_reach(pages: DataFrame, seeds: DataFrame, opts: CrawlOptions = CrawlOp
     every URL appears once, at its breadth-first depth, with the parent that
     reaches it first in FIFO order.  Only captured HTML pages have out-links.
     One written table per level; one join per level against the edges.
+    ``on_level(depth, urls, remaining_budget)`` is called after each level with
+    counts only (progress reporting; no rows pass through the driver).
     """
     keyed, _ = bucketed_table(pages_by_key(pages, opts.missing_type), "crawl_pages", "url_key")
     if edges is None:
@@ -127,6 +131,8 @@ def crawl_reach(pages: DataFrame, seeds: DataFrame, opts: CrawlOptions = CrawlOp
     levels = [level]
     if remaining is not None:
         remaining -= n
+    if on_level:
+        on_level(0, n, remaining)
 
     depth = 0
     while n > 0 and (opts.max_depth is None or depth < opts.max_depth) and (remaining is None or remaining > 0):
@@ -158,6 +164,8 @@ def crawl_reach(pages: DataFrame, seeds: DataFrame, opts: CrawlOptions = CrawlOp
         if remaining is not None:
             remaining -= n
         depth += 1
+        if on_level:
+            on_level(depth, n, remaining)
 
     out = levels[0]
     for lv in levels[1:]:
