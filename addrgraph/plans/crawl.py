@@ -82,10 +82,8 @@ def _store_level(df: DataFrame, bounded: bool) -> tuple[DataFrame, int]:
     """Write a level once.  Levels of a budgeted run are proven small (at most
     the budget) and are plain tables that later joins broadcast; otherwise a
     level is bucketed by key like the edges."""
-    if bounded:
-        out = write_through(df, "crawl_level")
-        return out, out.count()
-    return bucketed_table(df, "crawl_level", "url_key")
+    out = write_through(df, "crawl_level") if bounded else bucketed_table(df, "crawl_level", "url_key")
+    return out, out.count()
 
 
 def _cut_to_budget(level: DataFrame, n: int, remaining: int | None, bounded: bool) -> tuple[DataFrame, int]:
@@ -108,12 +106,12 @@ def crawl_reach(pages: DataFrame, seeds: DataFrame, opts: CrawlOptions = CrawlOp
     ``on_level(depth, urls, remaining_budget)`` is called after each level with
     counts only (progress reporting; no rows pass through the driver).
     """
-    keyed, _ = bucketed_table(pages_by_key(pages, opts.missing_type), "crawl_pages", "url_key")
+    keyed = bucketed_table(pages_by_key(pages, opts.missing_type), "crawl_pages", "url_key")
     if edges is None:
         edges = crawl_edges(pages, seeds, opts, keyed)
     # Stored hash-partitioned by source key: a level's join shuffles only the
     # frontier (or broadcasts it), never the edge table.
-    edges, _ = bucketed_table(edges, "crawl_edges", "src_key")
+    edges = bucketed_table(edges, "crawl_edges", "src_key")
 
     # With a budget, a level holds at most max_pages rows and its candidates at
     # most max_pages * max_links_per_page: a proven bound, so the levels can be

@@ -93,9 +93,9 @@ def cut_lineage_counted(df: DataFrame, *partition_cols: str) -> tuple[DataFrame,
     return out, out.count()
 
 
-def bucketed_table(df: DataFrame, name: str, key: str) -> tuple[DataFrame, int]:
+def bucketed_table(df: DataFrame, name: str, key: str) -> DataFrame:
     """Write ``df`` as a table bucketed by ``key`` under the shared checkpoint
-    folder, read it back, and return it with its row count.
+    folder and read it back.
 
     Lineage is cut and the data survives executor loss.  The bucketing is
     recorded in the catalog, so joins and aggregates on ``key`` read this side
@@ -111,8 +111,7 @@ def bucketed_table(df: DataFrame, name: str, key: str) -> tuple[DataFrame, int]:
     path = os.path.join(checkpoint_dir(spark), "tables", table)
     (df.repartition(n, key).write.bucketBy(n, key).format("parquet")
      .option("path", path).saveAsTable(table))
-    out = spark.table(table)
-    return out, out.count()
+    return spark.table(table)
 
 
 def write_through(df: DataFrame, name: str) -> DataFrame:

@@ -69,7 +69,10 @@ def parse_event_lines(lines: DataFrame, line_col: str = "line", order_col: str =
 
 
 def read_event_log(spark: SparkSession, path: str) -> DataFrame:
-    """S4 from NDJSON files.  File order gives ``line_no`` (increasing, not dense)."""
+    """S4 from NDJSON files.  ``line_no`` increases with the position in a file
+    (not dense).  A run's log is one file; for several files whose order
+    matters, read them into a table with an explicit order column and use
+    ``parse_event_lines``."""
     raw = spark.read.text(path).withColumn("line_no", F.monotonically_increasing_id())
     return parse_event_lines(raw.withColumnRenamed("value", "line"))
 
