@@ -64,10 +64,17 @@ def crawl_edges(pages: DataFrame, seeds: DataFrame, opts: CrawlOptions,
     hosts = seed_hosts(seeds) if opts.same_host_only else None
     edges = link_graph(pages, hosts, opts.max_links_per_page, only_fetchable=True,
                        anchors_only=opts.anchors_only, missing_type=opts.missing_type)
-    edges = edges.join(keyed.select("page_id"), "page_id", "left_semi")
     dst = keyed.select(F.col("url_key").alias("dst_key"), F.col("page_id").alias("dst_page_id"),
                        F.col("ok").alias("dst_ok"), F.col("failure_reason").alias("dst_reason"))
-    return edges.select("src_key", "rank", "dst_key", "dst_url").join(dst, "dst_key", "left")
+    edges = edges.select("page_id", "src_key", "rank", "dst_key", "dst_url").join(dst, "dst_key", "left")
+    # Only the capture chosen for the source key contributes links.  Joined on
+    # the source key, so the result leaves hash-partitioned by it, ready to be
+    # written bucketed without another shuffle.
+    chosen = keyed.select(F.col("url_key").alias("src_key"), F.col("page_id").alias("__chosen"))
+    # (Written as a difference so the optimizer keeps src_key as the only
+    # join key; page_id as a second key would re-shuffle both sides on it.)
+    edges = edges.join(chosen, "src_key").filter((F.col("page_id") - F.col("__chosen")) == 0)
+    return edges.select("src_key", "rank", "dst_key", "dst_url", "dst_page_id", "dst_ok", "dst_reason")
 
 
 def _level_columns(df: DataFrame) -> DataFrame:
@@ -111,7 +118,7 @@ def crawl_reach(pages: DataFrame, seeds: DataFrame, opts: CrawlOptions = CrawlOp
         edges = crawl_edges(pages, seeds, opts, keyed)
     # Stored hash-partitioned by source key: a level's join shuffles only the
     # frontier (or broadcasts it), never the edge table.
-    edges = bucketed_table(edges, "crawl_edges", "src_key")
+    edges = bucketed_table(edges, "crawl_edges", "src_key", repartition=False)
 
     # With a budget, a level holds at most max_pages rows and its candidates at
     # most max_pages * max_links_per_page: a proven bound, so the levels can be

@@ -93,7 +93,7 @@ def cut_lineage_counted(df: DataFrame, *partition_cols: str) -> tuple[DataFrame,
     return out, out.count()
 
 
-def bucketed_table(df: DataFrame, name: str, key: str) -> DataFrame:
+def bucketed_table(df: DataFrame, name: str, key: str, repartition: bool = True) -> DataFrame:
     """Write ``df`` as a table bucketed by ``key`` under the shared checkpoint
     folder and read it back.
 
@@ -101,7 +101,8 @@ def bucketed_table(df: DataFrame, name: str, key: str) -> DataFrame:
     recorded in the catalog, so joins and aggregates on ``key`` read this side
     without a shuffle (with or without AQE).  The data is hash-partitioned by
     the key first, so each task writes one file per bucket, not one per task
-    and bucket.
+    and bucket; ``repartition=False`` skips that when the frame already comes
+    out of a shuffle on ``key``.
     """
     import uuid
 
@@ -109,8 +110,8 @@ def bucketed_table(df: DataFrame, name: str, key: str) -> DataFrame:
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     table = f"{name}_{uuid.uuid4().hex[:12]}"
     path = os.path.join(checkpoint_dir(spark), "tables", table)
-    (df.repartition(n, key).write.bucketBy(n, key).format("parquet")
-     .option("path", path).saveAsTable(table))
+    (df.repartition(n, key) if repartition else df).write.bucketBy(n, key).format("parquet") \
+        .option("path", path).saveAsTable(table)
     return spark.table(table)
 
 

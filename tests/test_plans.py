@@ -34,12 +34,12 @@ def test_crawl_level_reads_bucketed_edges_without_exchange(spark, monkeypatch):
     captured = []
     orig = C.bucketed_table
 
-    def spy(df, name, key):
+    def spy(df, name, key, **kw):
         if name == "crawl_level" and captured == ["first"]:
             captured.append(_plan(df))
         elif name == "crawl_level" and not captured:
             captured.append("first")
-        return orig(df, name, key)
+        return orig(df, name, key, **kw)
 
     monkeypatch.setattr(C, "bucketed_table", spy)
     site = fixture(spark, SF_SMALL, "site")
