@@ -89,7 +89,10 @@ def _store_level(df: DataFrame, bounded: bool) -> tuple[DataFrame, int]:
     """Write a level once.  Levels of a budgeted run are proven small (at most
     the budget) and are plain tables that later joins broadcast; otherwise a
     level is bucketed by key like the edges."""
-    out = write_through(df, "crawl_level") if bounded else bucketed_table(df, "crawl_level", "url_key")
+    # An unbounded level comes out of joins/aggregates on url_key already
+    # hash-partitioned by it: written bucketed without another shuffle.
+    out = (write_through(df, "crawl_level") if bounded
+           else bucketed_table(df, "crawl_level", "url_key", repartition=False))
     return out, out.count()
 
 
@@ -113,7 +116,8 @@ def crawl_reach(pages: DataFrame, seeds: DataFrame, opts: CrawlOptions = CrawlOp
     ``on_level(depth, urls, remaining_budget)`` is called after each level with
     counts only (progress reporting; no rows pass through the driver).
     """
-    keyed = bucketed_table(pages_by_key(pages, opts.missing_type), "crawl_pages", "url_key")
+    # The first-wins aggregate is by url_key: written bucketed without another shuffle.
+    keyed = bucketed_table(pages_by_key(pages, opts.missing_type), "crawl_pages", "url_key", repartition=False)
     if edges is None:
         edges = crawl_edges(pages, seeds, opts, keyed)
     # Stored hash-partitioned by source key: a level's join shuffles only the
