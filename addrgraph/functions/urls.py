@@ -28,7 +28,6 @@ DEFAULT_SCHEME_PREFIX = "https://"
 _SCHEME = r"[a-zA-Z][a-zA-Z0-9+.-]*"
 _ORIGIN_RE = rf"^({_SCHEME}://[^/?#]*)"
 _PATH_RE = rf"^{_SCHEME}://[^/?#]*([^?#]*)"
-_QUERY_RE = rf"^{_SCHEME}://[^/?#]*[^?#]*(\?[^#]*)?"
 _HOST_RE = r"^(?i)https?://(?:[^/?#@]*@)?([^/?#:]+)"
 
 
@@ -63,7 +62,12 @@ def blocked_extension(c: Column | str) -> Column:
 def skipped_link(c: Column | str) -> Column:
     """F2 (first half): blank, fragment-only, mailto:, tel:, javascript: links."""
     v = _c(c)
-    return (F.length(F.trim(v)) == 0) | v.startswith("#") | v.rlike(r"(?i)^(mailto:|tel:|javascript:)")
+    exact, *folded = SKIPPED_LINK_PREFIXES  # "#" compares exactly, the schemes ignoring case
+    low = F.lower(v)
+    skip = (F.length(F.trim(v)) == 0) | v.startswith(exact)
+    for p in folded:
+        skip = skip | low.startswith(p)
+    return skip
 
 
 def is_http_url(c: Column | str) -> Column:
