@@ -11,7 +11,8 @@ from __future__ import annotations
 import hashlib
 import json
 import os
-from functools import lru_cache
+import sys
+import types
 
 
 class _Whole(Exception):
@@ -98,10 +99,12 @@ class TextEncoder:
             return len(self._whole(text))
 
 
-@lru_cache(2)
 def encoder(path: str, merges: str) -> TextEncoder:
     """One encoder per worker process, so what it remembers serves all its tasks."""
-    return TextEncoder(path, merges)
+    kept = sys.modules.setdefault("addrgraph_worker_state", types.ModuleType("addrgraph_worker_state")).__dict__
+    if (path, merges) not in kept:
+        kept[path, merges] = TextEncoder(path, merges)
+    return kept[path, merges]
 
 
 def file_digest(path: str) -> str:
