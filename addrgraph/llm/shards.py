@@ -84,8 +84,7 @@ def communication_matrix(blocks: DataFrame, n_shards: int, seed: int) -> DataFra
         uniform(F.lit(seed), F.lit("size"), s).alias("u"), s.alias("s"))))
     order = [r.s for r in spark.range(1).select(extra.alias("x")).first().x]
     sizes = [sizes[order.index(s)] for s in range(n_shards)]
-    nodes = spark.range(1).select(F.lit(0).cast("long").alias("node"),
-                                  F.array(*[F.lit(x).cast("long") for x in sizes]).alias("counts"))
+    nodes = spark.range(1).select(F.col("id").alias("node"), F.array(*[F.lit(x).cast("long") for x in sizes]).alias("counts"))
     for level in range(depth):
         half = depth - level - 1
         left = (leaves.groupBy(F.shiftright("leaf", half).cast("long").alias("half")).agg(F.sum("rows").alias("m"))

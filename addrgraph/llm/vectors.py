@@ -1,8 +1,9 @@
 """Near-duplicate vectors by a forest of random-projection trees.
 
 Equal vectors are one point with a count.  In every tree a node is split at the median of
-a random projection, points near the median go to both sides, and nodes of at most
-``leaf`` points are compared pair by pair in double precision.  Nodes too large for one
+a random projection, points nearer to it than linked points are usually apart go to both
+sides, and nodes of at most ``leaf`` points, or whose points are all that close, are
+compared pair by pair in double precision.  Nodes too large for one
 task are split by Spark (projection, quantiles by node, both children), level by level;
 from ``task_points`` points down a task grows the rest of the tree.  Links found by any
 tree are united; every link is verified, so only recall is approximate.
@@ -56,26 +57,25 @@ def _linked(x: np.ndarray, ids: np.ndarray, cosine: float, block: int = 1024):
                 yield np.minimum(ids[i + a], ids[j + b]), np.maximum(ids[i + a], ids[j + b])
 
 
-def _grow(cosine: float, leaf: int, spill: float, seed: int):
-    alike = np.cos(np.arccos(cosine) / 2)  # all within this of one direction: all pairs link
-
-    def grow(key, rows: pd.DataFrame) -> pd.DataFrame:
+def _grow(cosine: float, leaf: int, dense: float, seed: int):
+    def grow(key, rows):
         x = np.stack(rows["vec"].to_numpy()).astype(float)
         x /= np.sqrt((x * x).sum(1, keepdims=True))
+        # linked points lie this far apart at most; projected, a standard deviation of it
+        margin = np.sqrt((2 - 2 * cosine) / x.shape[1])
         ids, found, stack = rows["row"].to_numpy(), [], [(np.arange(len(x)), key[3])]
         while stack:
             at, path = stack.pop()
-            centre = x[at].mean(0)
-            if len(at) <= leaf or (x[at] @ centre).min() >= alike * np.sqrt(centre @ centre):
-                found.extend(_linked(x[at], ids[at], cosine))
-                continue
-            p = x[at] @ _direction(seed, key[0], path, x.shape[1])
-            low, high = np.quantile(p, [0.5 - spill, 0.5 + spill])
-            left, right = at[p <= high], at[p >= low]
-            if len(left) == len(at) or len(right) == len(at):  # projections tie: halve by rank
-                order = at[np.argsort(p, kind="stable")]
-                left, right = order[:int(len(at) * (0.5 + spill))], order[int(len(at) * (0.5 - spill)):]
-            stack += [(left, path + "l"), (right, path + "r")]
+            if len(at) > leaf:
+                direction = _direction(seed, key[0], path, x.shape[1])
+                p = x[at] @ (direction / np.sqrt(direction @ direction))
+                middle = np.median(p)
+                left, right = at[p <= middle + margin], at[p >= middle - margin]
+                if max(len(left), len(right)) < dense * len(at):
+                    stack += [(left, path + "l"), (right, path + "r")]
+                    continue
+            # a leaf, or points so close together that no split separates them
+            found.extend(_linked(x[at], ids[at], cosine))
         if not found:
             return pd.DataFrame({"a": pd.Series(dtype="int64"), "b": pd.Series(dtype="int64")})
         return pd.DataFrame({"a": np.concatenate([f[0] for f in found]),
@@ -84,10 +84,9 @@ def _grow(cosine: float, leaf: int, spill: float, seed: int):
     return grow
 
 
-def forest_links(points: DataFrame, cosine: float, trees: int, leaf: int, spill: float, task_points: int,
-                 seed: int) -> DataFrame:
+def forest_links(points: DataFrame, cosine: float, trees: int, leaf: int, spill: float, dense: float,
+                 task_points: int, seed: int) -> DataFrame:
     """Distinct links (a, b) between ``points`` (row, label, vec)."""
-    spark = points.sparkSession
     nodes = points.select("row", "label", F.size("vec").alias("dim"), "vec",
                           F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree"), F.lit("").alias("path"))
     ready = None
@@ -112,12 +111,11 @@ def forest_links(points: DataFrame, cosine: float, trees: int, leaf: int, spill:
         sides = F.array(F.when(high, F.concat("path", F.lit("l"))), F.when(low, F.concat("path", F.lit("r"))))
         nodes = written(split.withColumn("path", F.explode(F.filter(sides, lambda s: s.isNotNull())))
                         .select("row", "label", "dim", "vec", "tree", "path"), "nodes")
-    del spark
-    return ready.groupBy(*NODE).applyInPandas(_grow(cosine, leaf, spill, seed), "a long, b long").distinct()
+    return ready.groupBy(*NODE).applyInPandas(_grow(cosine, leaf, dense, seed), "a long, b long").distinct()
 
 
-def vector_groups(vectors: DataFrame, cosine: float = 0.93, trees: int = 8, leaf: int = 256, spill: float = 0.1,
-                  task_points: int = 8192, seed: int = 10) -> DataFrame:
+def vector_groups(vectors: DataFrame, cosine: float = 0.93, trees: int = 6, leaf: int = 256, spill: float = 0.15,
+                  dense: float = 0.9, task_points: int = 8192, seed: int = 10) -> DataFrame:
     """vec_id, n_links, component_id and kept for every row of ``vectors``.
 
     Vectors are compared if their labels and lengths are equal and not null.  Unusable vectors and null
@@ -135,7 +133,7 @@ def vector_groups(vectors: DataFrame, cosine: float = 0.93, trees: int = 8, leaf
     copies = written(rows.where("same is not null").groupBy("same").agg(
         F.min("row").alias("row"), F.min("vec_id").alias("first_id"), F.count("*").alias("copies")), "copies")
     points = rows.join(copies.select("row"), "row", "left_semi").select("row", "label", "vec")
-    links = written(forest_links(points, cosine, trees, leaf, spill, task_points, seed), "links")
+    links = written(forest_links(points, cosine, trees, leaf, spill, dense, task_points, seed), "links")
     both = links.union(links.select("b", "a"))
     others = both.join(copies.select(F.col("row").alias("b"), "copies"), "b").groupBy("a").agg(F.sum("copies").alias("others"))
     components = connected_components(links)
