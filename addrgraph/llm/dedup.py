@@ -134,14 +134,13 @@ def exact_groups(docs: DataFrame, text_column: str = "text", bucket_bytes: int =
 
 def drop_exact_copies(docs: DataFrame, text_column: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns."""
-    key = F.sha2(F.encode(lower_ascii(text_or_empty(docs, text_column)), "UTF-8"), 256)
+    sha = F.sha2(F.encode(lower_ascii(text_or_empty(docs, text_column)), "UTF-8"), 256)
     stay = (exact_groups(docs, text_column).where("kept")
-            .select(F.col("doc_id").alias("_keep_id"), F.col("text_sha256").alias("_keep_sha")).distinct())
-    names = docs.columns
-    keyed = docs.withColumn("_sha", key)
-    joined = keyed.join(stay, keyed["doc_id"].eqNullSafe(stay["_keep_id"]) & (keyed["_sha"] == stay["_keep_sha"]), "left_semi")
+            .select(F.col("doc_id").alias("keep_id"), F.col("text_sha256").alias("keep_sha")).distinct())
+    keyed = docs.select(F.struct("*").alias("doc"), docs["doc_id"].cast("long").alias("id"), sha.alias("sha"))
+    joined = keyed.join(stay, F.col("id").eqNullSafe(F.col("keep_id")) & (F.col("sha") == F.col("keep_sha")), "left_semi")
     # a repeated row passes the join as often as it stands there
-    return joined.dropDuplicates(["doc_id", "_sha"]).select(*names)
+    return joined.dropDuplicates(["id", "sha"]).select("doc.*")
 
 
 def op1_grace_hash_dedup(spark, sf_dir):

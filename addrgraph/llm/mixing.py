@@ -13,6 +13,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from addrgraph.functions.common import let
+
 from .common import WORD, read, uniform, written
 
 
@@ -109,15 +111,16 @@ def block_times(targets: DataFrame, n_shards: int, block_words: int, cap: int, s
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: int = 3, n_shards: int = 8,
-        block_words: int = 64, seed: int = 8, cell_rows: int = 50_000) -> tuple[DataFrame, DataFrame]:
+        block_words: int = 64, seed: int = 8, cell_rows: int = 50_000, row: Column | None = None) -> tuple[DataFrame, DataFrame]:
     """``rows``: row, doc_id, source, size, source_size, target, start; ``pieces``: row, block,
     from, to (words of the document in the block), times the mix takes it.
 
     Null and empty texts have size 0 and are never taken; null sources are a source of
     their own, the last; repeated rows and ids are rows like any other; an empty table gives
     none; other columns are ignored.  Given the input's order, the seed decides everything.
+    ``row`` numbers the rows if the caller has to know them.
     """
-    slim = docs.select(F.monotonically_increasing_id().alias("row"), docs["doc_id"].cast("long").alias("doc_id"),
+    slim = docs.select((F.monotonically_increasing_id() if row is None else row).alias("row"), docs["doc_id"].cast("long").alias("doc_id"),
                        docs["source"].cast("string").alias("source"), words(docs["text"]).alias("size"))
     rows = written(slim.withColumn("hash", F.xxhash64(F.lit(seed), "doc_id", "source", "row")), "sizes")
     targets = written(source_targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), weights, cap), "targets")
@@ -136,6 +139,29 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: int = 3, n_s
     return started, pieces.select("row", "block", "from", "to", "times")
 
 
+def mixed_documents(docs: DataFrame, **settings) -> DataFrame:
+    """The documents as the mix takes them, with the columns of ``docs``.
+
+    A document stands there once for every time round; a time that takes all its words gives
+    the text as it is, another the taken words in their order.  ``n_chars``, if there, is counted
+    anew.  Documents of which nothing is taken (those without words among them) are not there.
+    """
+    keyed = written(docs.select(F.monotonically_increasing_id().alias("row"), F.struct("*").alias("doc")), "keyed")
+    rows, pieces = mix(keyed.select("row", "doc.doc_id", "doc.source", "doc.text"), row=F.col("row"), **settings)
+    taken = pieces.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("from", "to", "times"))).alias("pieces"))  # of one document
+    turns = taken.join(rows.select("row", "size"), "row").join(keyed, "row").withColumn(
+        "turn", F.explode(F.sequence(F.lit(1), F.array_max("pieces.times").cast("int"))))
+    own = F.filter("pieces", lambda p: p["times"] >= F.col("turn"))
+    n = F.aggregate(own, F.lit(0).cast("long"), lambda a, p: a + p["to"] - p["from"])
+    every = F.regexp_extract_all(F.col("doc.text").cast("string"), F.lit(WORD), F.lit(0))
+    # words of a piece as slices of all words of the document
+    part = let(every, lambda ws: F.array_join(F.flatten(F.transform(own, lambda p: F.slice(
+        ws, (p["from"] + 1).cast("int"), (p["to"] - p["from"]).cast("int")))), " "))
+    turns = turns.withColumn("mixed", F.when(n == F.col("size"), F.col("doc.text").cast("string")).otherwise(part))
+    new = {"text": F.col("mixed"), "n_chars": F.length("mixed").cast("long")}
+    return turns.select(*[new.get(c, F.col("doc")[c]).alias(c) for c in docs.columns])
+
+
 def op8_block_mix(spark, sf_dir):
     rows, pieces = mix(read(spark, sf_dir, "documents"))
     taken = pieces.groupBy("row").agg(F.sum((F.col("to") - F.col("from")) * F.col("times")).alias("taken"))

@@ -154,22 +154,22 @@ def _scored(model, passage_words: int):
         for b in batches:
             out = np.full(len(b), 0.5)
             if model is not None and len(b):
-                bags = [[describe(p) for p in passages(t, passage_words)] for t in b.column("_text").to_pylist()]
+                bags = [[describe(p) for p in passages(t, passage_words)] for t in b.column(1).to_pylist()]
                 starts = np.concatenate([[0], np.cumsum([len(x) for x in bags])[:-1]]).astype(int)
                 out = model.score(np.array([m for x in bags for m in x]), starts)
-            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(b.num_columns - 1)), pa.array(out, pa.float64())],
-                                             [*b.schema.names[:-1], "_score"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.float64())], ["doc", "score"])
 
     return run
 
 
 def score(docs: DataFrame, model: AttentionModel | None, passage_words: int = 100) -> DataFrame:
-    """``docs`` with ``_score``; without a model every score is 0.5.  Null and empty texts are
-    scored as one passage without words; nulls, repeated rows and other columns pass through;
-    an empty table stays empty."""
-    rows = docs.withColumn("_text", text_or_empty(docs))
-    schema = rows.drop("_text").withColumn("_score", F.lit(0.0)).schema
-    return rows.mapInArrow(_scored(model, passage_words), schema)
+    """(doc, score): each row of ``docs`` as it is, and its score.
+
+    Without a model every score is 0.5.  Null and empty texts are scored as one passage without
+    words; nulls, repeated rows and other columns pass through; an empty table gives no row.
+    """
+    rows = docs.select(F.struct("*").alias("doc"), text_or_empty(docs).alias("text"))
+    return rows.mapInArrow(_scored(model, passage_words), rows.select("doc", F.lit(0.0).alias("score")).schema)
 
 
 def held_out(doc_id):
@@ -180,5 +180,4 @@ def op9_attention_quality(spark, sf_dir):
     docs, labels = read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")
     model = train(docs, labels.where(~held_out(labels["doc_id"])))
     return score(docs.select("doc_id", "text"), model).select(
-        "doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col("_score").alias("score"),
-        (F.col("_score") >= 0.5).cast("int").alias("predicted"))
+        "doc.doc_id", held_out(F.col("doc.doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))

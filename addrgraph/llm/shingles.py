@@ -266,7 +266,6 @@ def near_groups(docs: DataFrame, percent: int = 80, groups: int = 64, block_rows
     frequent hash slots that decides the order of shingles, not which pairs are found;
     blocks above ``block_rows`` are joined part by part.
     """
-    spark = docs.sparkSession
     text = F.encode(text_or_empty(docs), "UTF-8")
     slots = docs.select(text.alias("text")).mapInArrow(_slot_counts, "slot long, n long")
     total = slots.groupBy("slot").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "slot").limit(most_heavy)
@@ -303,7 +302,6 @@ def near_groups(docs: DataFrame, percent: int = 80, groups: int = 64, block_rows
             .join(pairs, ["a", "b"], "left_anti"))
     links = links.union(written(_verified(rest, active, percent), "links"))
     component = connected_components(links)
-    del spark
     # back to all rows, by digest
     sets = rows.where("digest is not null").groupBy("digest").agg(
         F.min("doc_id").alias("first_id"), F.min(F.when(F.col("node"), F.col("row"))).alias("node"))
@@ -318,11 +316,12 @@ def near_groups(docs: DataFrame, percent: int = 80, groups: int = 64, block_rows
 def keep_one_of_each_group(docs: DataFrame, percent: int = 80) -> DataFrame:
     """The rows of ``docs`` with the smallest id of their group, with all their columns.
 
-    Rows without an id stay (they cannot be told apart); of rows that repeat an id and text one stays.
+    Rows without an id stay, as nothing tells them apart; rows that repeat the smallest id all stay
+    (exact dedup is another operator's work).
     """
-    names = docs.columns
-    drop = near_groups(docs, percent).where("doc_id <> component_id").select(F.col("doc_id").alias("_drop")).distinct()
-    return docs.join(drop, docs["doc_id"] == drop["_drop"], "left_anti").select(*names)
+    drop = near_groups(docs, percent).where("doc_id <> component_id").select(F.col("doc_id").alias("drop_id")).distinct()
+    keyed = docs.select(F.struct("*").alias("doc"), docs["doc_id"].cast("long").alias("id"))
+    return keyed.join(drop, keyed["id"] == drop["drop_id"], "left_anti").select("doc.*")
 
 
 def op7_count_vector_rtree(spark, sf_dir):
