@@ -111,7 +111,7 @@ def block_times(targets: DataFrame, n_shards: int, block_words: int, cap: int, s
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: int = 3, n_shards: int = 8,
-        block_words: int = 64, seed: int = 8, cell_rows: int = 50_000, row: Column | None = None) -> tuple[DataFrame, DataFrame]:
+        block_words: int = 64, seed: int = 8, cell_rows: int = 8192, row: Column | None = None) -> tuple[DataFrame, DataFrame]:
     """``rows``: row, doc_id, source, size, source_size, target, start; ``pieces``: row, block,
     from, to (words of the document in the block), times the mix takes it.
 

@@ -1,9 +1,10 @@
 """Best-fit packing of token sequences with certified bin counts.
 
 Pieces are dealt to partitions of bounded size and packed by best-fit decreasing.  Dual
-feasible functions bound each partition's bin count from below; where the bound is met the
-packing is certified optimal.  Partitions with a gap give up the pieces of their bins that
-are not full, exchange them and pack again, as long as bins are saved.
+feasible functions bound each partition's bin count, and that of all pieces together, from
+below; where a bound is met the packing is certified optimal.  As long as there is a gap to
+the common bound, partitions give up the pieces of their bins that are not full, exchange
+them and pack again, until no bin is saved.
 """
 
 from __future__ import annotations
@@ -44,11 +45,12 @@ def _pieces(path: str, capacity: int, end_id: int):
     return run
 
 
-def bin_bound(lengths: np.ndarray, capacity: int) -> int:
-    """Fewest bins any packing of ``lengths`` can have, as far as two families of dual
+def bin_bound(lengths: np.ndarray, capacity: int, times: np.ndarray | None = None) -> int:
+    """Fewest bins any packing of ``lengths`` (each so many times) can have, as far as two families of dual
     feasible functions show: dropping pieces below a size while rounding their complements
     up, and rounding to multiples of capacity over k."""
-    count = np.bincount(lengths, minlength=capacity + 1)
+    count = np.zeros(capacity + 1, np.int64)
+    np.add.at(count, lengths, 1 if times is None else times)
     size = np.arange(capacity + 1)
     upto_n, upto_s = np.cumsum(count), np.cumsum(count * size)
     best = -(-int(upto_s[-1]) // capacity)
@@ -110,6 +112,10 @@ def _packed(pieces: DataFrame, capacity: int, part_pieces: int, turn: int) -> Da
                    .applyInPandas(_pack(capacity, turn << 56), PACKED), "packed")
 
 
+def _bins(packed: DataFrame) -> int:
+    return packed.select("sequence_id").distinct().count()
+
+
 def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: int = 0, part_pieces: int = 65_536,
                    most_turns: int = 3) -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset, and the
@@ -127,18 +133,23 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, e
         "*", (-1 - F.monotonically_increasing_id()).alias("sequence_id"),
         F.lit(0).cast("long").alias("offset"), F.lit(1).cast("long").alias("bins"), F.lit(1).cast("long").alias("bound"),
         F.lit(True).alias("full"))
-    packed = _packed(pieces.where(F.col("length") < capacity), capacity, part_pieces, 1)
-    done = []
+    part = pieces.where(F.col("length") < capacity)
+    packed, done = _packed(part, capacity, part_pieces, 1), []
+    lengths = part.groupBy("length").count().collect()  # as many rows as lengths below the capacity
+    bound = bin_bound(np.array([r["length"] for r in lengths], np.int64), capacity,
+                      np.array([r["count"] for r in lengths], np.int64)) if lengths else 0
+    bins = _bins(packed)
     for turn in range(2, 2 + most_turns):
-        gaps = packed.where((F.col("bins") > F.col("bound")) & ~F.col("full"))
-        before = gaps.select("sequence_id").distinct().count()
-        if before < 2:
-            break
-        again = _packed(gaps, capacity, part_pieces, turn)
-        if again.select("sequence_id").distinct().count() >= before:
+        if bins <= bound:
+            break  # certified: no packing takes fewer
+        # each partition may be optimal and their sum not; full bins stay, the rest meets other partitions
+        loose = packed.where(~F.col("full"))
+        again = _packed(loose, capacity, part_pieces, turn)
+        saved = _bins(loose) - _bins(again)
+        if saved <= 0:
             break
-        done.append(packed.where((F.col("bins") <= F.col("bound")) | F.col("full")))
-        packed = again
+        done.append(packed.where("full"))
+        packed, bins = again, bins - saved
     for d in (*done, whole):
         packed = packed.unionByName(d)
     return packed.drop("row", "full")

@@ -15,6 +15,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import connected_components, read, written
 
@@ -99,7 +100,7 @@ def forest_links(points: DataFrame, cosine: float, trees: int, leaf: int, spill:
         done = nodes.join(large, NODE, "left_anti")
         ready = done if ready is None else ready.unionByName(done)
         split = nodes.join(large, NODE)
-        split = split.mapInPandas(_project(seed), split.schema.add("at", "double"))
+        split = split.mapInPandas(_project(seed), T.StructType([*split.schema, T.StructField("at", T.DoubleType())]))
         # rows with equal projections are dealt by their hash
         split = written(split.withColumn("at", F.struct("at", F.xxhash64("row", "tree", "path").alias("tie"))), "projected")
         cuts = split.groupBy(*NODE).agg(F.percentile_approx("at.at", [0.5 - spill, 0.5 + spill], 1000).alias("q"),

@@ -201,7 +201,8 @@ def test_packing(spark, docs, none):
         for own in bins.values():
             own.sort()
             assert own[0][0] == 0 and all(a + n == b for (a, n), (b, _) in zip(own, own[1:])) and sum(own[-1]) <= 2048
-        assert len(bins) <= -(-sum(r.length for r in rows) // 2048) + 3
+        parts = -(-len(rows) // settings.get("part_pieces", 65_536))
+        assert len(bins) <= -(-sum(r.length for r in rows) // 2048) + parts
     assert pack_documents(none, path).count() == 0
 
 
