@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from addrgraph.functions.common import let
 
-from .common import WORD, read, uniform, written
+from .common import WORD, partitions, read, uniform, written
 
 
 def words(text: Column) -> Column:
@@ -102,7 +102,7 @@ def block_times(targets: DataFrame, n_shards: int, block_words: int, cap: int, s
                      F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("end") - F.col("begin") - 1) / run))).alias("run"))
     first = F.col("begin") + F.col("run") * run
     last = F.least(F.col("end"), first + run) - 1
-    per = per.repartition(F.col("source"), F.col("shard"), F.col("run"))
+    per = per.repartition(partitions(targets.sparkSession), "source", "shard", "run")
     slots = per.select("source", "shard", "blocks", F.explode(F.sequence(first, last)).alias("slot"))
     times_round = F.floor(F.col("slot") / F.col("blocks"))
     block = permuted(F.pmod(F.col("slot"), F.col("blocks")), F.col("blocks"),
@@ -135,7 +135,8 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: int = 3, n_s
                 F.least(cut + block_words - F.col("start"), F.col("size")).cast("long").alias("to")))
     times = (block_times(targets, n_shards, block_words, cap, seed).groupBy("source", "block")
              .agg(F.count("*").alias("times")).withColumnsRenamed({"source": "s", "block": "b"}))
-    pieces = pieces.join(times, pieces["source"].eqNullSafe(times["s"]) & (pieces["block"] == times["b"]))
+    # slots come out of few rows, so their size is underrated; both sides grow with the data
+    pieces = pieces.join(times.hint("merge"), pieces["source"].eqNullSafe(times["s"]) & (pieces["block"] == times["b"]))
     return started, pieces.select("row", "block", "from", "to", "times")
 
 
