@@ -7,10 +7,12 @@ pipeline with the scan and never shuffle.
 
 from __future__ import annotations
 
+from html.entities import name2codepoint
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from addrgraph.functions.common import let
+from addrgraph.functions.common import let, strip_ws
 
 # ---------------------------------------------------------------------------
 # Fixed values that must equal the reference's for identical results.
@@ -20,9 +22,8 @@ EMAIL_PATTERN = r"(?i)(?<![A-Z0-9._%+-])[A-Z0-9._%+-]+@[A-Z0-9.-]+\.[A-Z]{2,63}(
 EMAIL_RSTRIP_CHARS = ".,;:)]>"
 # Longest accepted address:
 EMAIL_MAX_LEN = 254
-# Named character references decoded for link values (decoded once, &amp; last):
-NAMED_REFS = [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"),
-              ("&nbsp;", "\u00a0"), ("&amp;", "&")]
+# Named character references of HTML 4, from the standard library's table, and the apostrophe:
+NAMED_REFS = {name: chr(cp) for name, cp in name2codepoint.items()} | {"apos": "'"}
 # ---------------------------------------------------------------------------
 
 _RSTRIP_RE = "[" + "".join("\\" + c if c in "]\\^-" else c for c in EMAIL_RSTRIP_CHARS) + "]+$"
@@ -61,7 +62,7 @@ def valid_email(c: Column | str, mode: str = "basic") -> Column:
 def normalize_email(c: Column | str) -> Column:
     """P3.  Trim, strip trailing punctuation, lower-case, then the basic check;
     null when the value is not an address."""
-    e = F.lower(F.regexp_replace(F.trim(_c(c)), _RSTRIP_RE, ""))
+    e = F.lower(F.regexp_replace(strip_ws(_c(c)), _RSTRIP_RE, ""))
     return let(e, lambda x: F.when(valid_email(x, "basic"), x))
 
 
@@ -101,24 +102,38 @@ def decode_numeric_refs(c: Column | str) -> Column:
     return F.when(t.contains("&#"), decoded).otherwise(t)
 
 
-def _decode_numeric_refs_bound(c: Column) -> Column:
-    return let(c, decode_numeric_refs)
-
-
 def decode_html(c: Column | str) -> Column:
-    """P1.  Numeric references plus the named ones links use, decoded once.
+    """P1.  Numeric references and the named ones of HTML 4, decoded in one pass.
 
-    Named references never decode into an address character, so for address
-    extraction ``decode_numeric_refs`` alone gives identical matches.
-    ``&amp;`` goes last so that ``&amp;lt;`` becomes ``&lt;`` (one pass).
+    The text is split at ``&`` and each tail decided once, so what a reference
+    decodes to is never read again (``&#38;lt;`` gives ``&lt;``).  Unknown and
+    malformed references stay as they are.  Named references never decode into an
+    address character, so for address extraction ``decode_numeric_refs`` alone
+    gives identical matches.
     """
-    def named(t: Column) -> Column:
-        out = t
-        for ref, ch in NAMED_REFS:
-            out = F.replace(out, F.lit(ref), F.lit(ch))
+    names = F.create_map(*[F.lit(x) for name, ch in sorted(NAMED_REFS.items()) for x in (name, ch)])
+
+    def tail(x: Column) -> Column:
+        ref = F.regexp_extract(x, r"^(#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]{1,31});", 1)
+
+        def decided(r: Column) -> Column:
+            hexa = F.lower(F.substring(r, 1, 2)) == "#x"
+            # only digits of the form at hand reach the conversions
+            dec_cp = F.when(r.startswith("#") & ~hexa, F.substring(r, 2, 8)).cast("long")
+            hex_cp = F.conv(F.when(hexa, F.substring(r, 3, 8)), 16, 10).cast("long")
+            ch = (F.when(F.length(r) == 0, F.lit(None).cast("string"))
+                  .when(r.startswith("#"), _decode_code_point(F.coalesce(dec_cp, hex_cp)))
+                  .otherwise(F.try_element_at(names, r)))
+            return F.coalesce(F.concat(ch, F.substring(x, F.length(r) + 2, 1 << 30)), F.concat(F.lit("&"), x))
+
+        return let(ref, decided)
+
+    def whole(t: Column) -> Column:
+        parts = F.split(t, "&", -1)
+        out = F.array_join(F.concat(F.slice(parts, 1, 1), F.transform(F.slice(parts, 2, 1 << 30), tail)), "")
         return F.when(t.contains("&"), out).otherwise(t)
 
-    return let(_decode_numeric_refs_bound(_c(c)), named)
+    return let(_c(c), whole)
 
 
 def email_matches(c: Column | str, decode: bool = True) -> Column:
@@ -142,6 +157,6 @@ def email_matches(c: Column | str, decode: bool = True) -> Column:
 def page_emails(c: Column | str, decode: bool = True, mode: str = "basic") -> Column:
     """P2 + D1 in-row: matches -> trim/strip -> check -> lower -> distinct."""
     m = F.transform(email_matches(c, decode),
-                    lambda x: F.regexp_replace(F.trim(x), _RSTRIP_RE, ""))
+                    lambda x: F.regexp_replace(strip_ws(x), _RSTRIP_RE, ""))
     m = F.filter(m, lambda x: valid_email(x, mode))
     return F.array_distinct(F.transform(m, F.lower))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from addrgraph.functions.common import let
+from addrgraph.functions.common import let, strip_ws
 
 # ---------------------------------------------------------------------------
 # Fixed values that must equal the reference's for identical results.
@@ -28,7 +28,7 @@ DEFAULT_SCHEME_PREFIX = "https://"
 _SCHEME = r"[a-zA-Z][a-zA-Z0-9+.-]*"
 _ORIGIN_RE = rf"^({_SCHEME}://[^/?#]*)"
 _PATH_RE = rf"^{_SCHEME}://[^/?#]*([^?#]*)"
-_HOST_RE = r"^(?i)https?://(?:[^/?#@]*@)?([^/?#:]+)"
+_HOST_RE = r"^(?i)https?://(?:[^/?#@]*@)?(\[[^\]/?#]*\]|[^/?#:]+)"
 
 
 def _c(c: Column | str) -> Column:
@@ -62,11 +62,9 @@ def blocked_extension(c: Column | str) -> Column:
 def skipped_link(c: Column | str) -> Column:
     """F2 (first half): blank, fragment-only, mailto:, tel:, javascript: links."""
     v = _c(c)
-    exact, *folded = SKIPPED_LINK_PREFIXES  # "#" compares exactly, the schemes ignoring case
-    low = F.lower(v)
-    skip = (F.length(F.trim(v)) == 0) | v.startswith(exact)
-    for p in folded:
-        skip = skip | low.startswith(p)
+    skip = F.length(strip_ws(v)) == 0
+    for p in SKIPPED_LINK_PREFIXES:
+        skip = skip | (v.startswith(p) if p == "#" else F.lower(v).startswith(p))
     return skip
 
 
@@ -155,14 +153,14 @@ def normalize_url(c: Column | str) -> Column:
         out = F.regexp_replace(F.regexp_replace(v, "#.*$", ""), r"\?$", "")
         return F.when(F.length(netloc) > 0, out)
 
-    trimmed = F.regexp_replace(F.trim(_c(c)), "[\t\r\n]", "")
+    trimmed = F.regexp_replace(strip_ws(_c(c)), "[\t\r\n]", "")
     return let(trimmed, lambda t: F.when(F.length(t) > 0, let(with_scheme(t), finish)))
 
 
 def strict_seed_url(c: Column | str) -> Column:
     """S2 rule for one line: trimmed, ``https://`` added when no http(s) scheme
     (case-insensitive test); null when not an absolute http(s) URL with a host."""
-    v = F.trim(_c(c))
+    v = strip_ws(_c(c))
     v = F.when(v.rlike(r"(?i)^https?://"), v).otherwise(F.concat(F.lit(DEFAULT_SCHEME_PREFIX), v))
     host = F.regexp_extract(v, r"(?i)^https?://(?:[^/?#@]*@)?(\[[^\]]*\]|[^/?#:]*)", 1)
     port = F.regexp_extract(v, r"(?i)^https?://(?:[^/?#@]*@)?(?:\[[^\]]*\]|[^/?#:]*)(:[^/?#]*)?", 1)
@@ -180,7 +178,7 @@ def normalize_host(c: Column | str) -> Column:
         bare = F.regexp_replace(F.substring_index(F.regexp_replace(v, r"^\*\.", ""), "/", 1), ":[0-9]+$", "")
         return F.when(v.contains("//"), from_url).otherwise(bare)
 
-    return let(host(F.lower(F.trim(_c(c)))), lambda h: F.when((F.length(h) > 0) & h.rlike(HOST_PATTERN), h))
+    return let(host(F.lower(strip_ws(_c(c)))), lambda h: F.when((F.length(h) > 0) & h.rlike(HOST_PATTERN), h))
 
 
 def in_domain(host: Column | str, domain: Column | str) -> Column:
@@ -191,7 +189,7 @@ def in_domain(host: Column | str, domain: Column | str) -> Column:
 
 def registrable_domain(host: Column | str) -> Column:
     """P9 two-label rule: last two labels of a host; an IPv4 address stays whole."""
-    h = F.lower(F.trim(_c(host)))
+    h = F.lower(strip_ws(_c(host)))
     labels = F.split(h, r"\.", -1)
     two = F.array_join(F.slice(labels, -2, 2), ".")
     return (F.when(h.rlike(r"^[0-9]{1,3}(\.[0-9]{1,3}){3}$"), h)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from addrgraph.functions.common import let
+from addrgraph.functions.common import let, strip_ws
 from addrgraph.functions.text import normalize_email
 from addrgraph.functions.urls import host_of, in_domain, normalize_host, normalize_url, registrable_domain
 
@@ -139,16 +139,15 @@ def registrable_domains(hosts: DataFrame, suffixes: DataFrame, host_col: str = "
     rule.  Hosts are made distinct before the candidate suffixes are exploded,
     and the suffix table is broadcast only under its counted size bound.
     """
-    from addrgraph.session import broadcast_if_small
 
-    h = hosts.select(F.lower(F.trim(F.col(host_col))).alias("host")).filter(F.col("host").isNotNull()).distinct()
+    h = hosts.select(F.lower(strip_ws(F.col(host_col))).alias("host")).filter(F.col("host").isNotNull()).distinct()
     labels = F.split(F.col("host"), r"\.", -1)
     n = F.size(labels)
     cand = h.select("host", F.explode(F.transform(
         F.sequence(F.lit(2), F.greatest(n, F.lit(2))),
         lambda i: F.struct(i.alias("i"), F.array_join(F.slice(labels, i, n), ".").alias("suffix")))).alias("c"))
     cand = cand.filter(F.col("c.i") <= n).select("host", F.col("c.i").alias("i"), F.col("c.suffix").alias("suffix"))
-    sfx, _ = broadcast_if_small(suffixes.select(F.lower(F.trim("suffix")).alias("suffix")).distinct())
+    sfx = suffixes.select(F.lower(strip_ws("suffix")).alias("suffix")).distinct()
     best = (cand.join(sfx, "suffix", "left_semi")
             .groupBy("host").agg(F.min("i").alias("i")))
     out = h.join(best, "host", "left")

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from addrgraph.plans.prefix import DEFAULT_ROWS_PER_BUCKET, running_scan
+from addrgraph.functions.common import strip_ws
+from addrgraph.plans.prefix import running_scan
 
 COUNTERS = ["processed_pages", "failed_pages", "unique_email_count", "total_email_hits"]
 
@@ -21,11 +22,11 @@ LOG_PREFIX = "[Scrapy] "
 def drop_incomplete_email_events(events: DataFrame) -> DataFrame:
     """F8.  ``email`` events with a non-blank address and source URL."""
     return (events.filter(F.col("kind") == "email")
-            .filter((F.length(F.trim("email")) > 0) & (F.length(F.trim("source_url")) > 0))
+            .filter((F.length(strip_ws("email")) > 0) & (F.length(strip_ws("source_url")) > 0))
             .select("line_no", "email", "source_url"))
 
 
-def carry_forward(events: DataFrame, rows_per_bucket: int = DEFAULT_ROWS_PER_BUCKET) -> DataFrame:
+def carry_forward(events: DataFrame, rows_per_bucket: int | None = None) -> DataFrame:
     """W2.  One row per ``progress`` event with its counters carried forward.
 
     A counter that is missing or unreadable keeps the last value seen in any
@@ -60,7 +61,7 @@ def log_messages(events: DataFrame) -> DataFrame:
     """Log lines of the run: ``log`` events with a non-blank message, and lines
     that were not JSON, each prefixed as the consumer shows them."""
     msg = (F.when(F.col("kind") == "unparsed", F.col("line"))
-           .when((F.col("kind") == "log") & (F.length(F.trim("message")) > 0), F.col("message")))
+           .when((F.col("kind") == "log") & (F.length(strip_ws("message")) > 0), F.col("message")))
     return (events.select("line_no", msg.alias("__m"))
             .filter(F.col("__m").isNotNull())
             .select("line_no", F.concat(F.lit(LOG_PREFIX), F.col("__m")).alias("message")))
@@ -79,8 +80,8 @@ def keep_last_lines(log: DataFrame, limit: int = LOG_LIMIT_LINES, keep: int = LO
 
 def error_tail(lines: DataFrame, n: int = ERROR_TAIL_LINES, text_col: str = "message") -> DataFrame:
     """L6 (error text).  The last ``n`` non-blank lines, trimmed, joined by `` | ``."""
-    top = (lines.filter(F.length(F.trim(text_col)) > 0)
+    top = (lines.filter(F.length(strip_ws(text_col)) > 0)
            .orderBy(F.col("line_no").desc()).limit(n))
     return top.agg(F.coalesce(F.array_join(
-        F.transform(F.array_sort(F.collect_list(F.struct("line_no", F.trim(text_col).alias("t")))),
+        F.transform(F.array_sort(F.collect_list(F.struct("line_no", strip_ws(text_col).alias("t")))),
                     lambda s: s["t"]), ERROR_TAIL_SEPARATOR), F.lit("")).alias("error_tail"))

@@ -9,10 +9,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from addrgraph.functions.common import let, strip_ws
 from addrgraph.functions.text import decode_html, page_emails
 from addrgraph.functions.urls import (blocked_extension, is_http_url, resolve_url, skipped_link,
                                       url_key)
-from addrgraph.session import spread_small_input
 from addrgraph.sources.pages import with_page_defaults
 
 # ---------------------------------------------------------------------------
@@ -30,7 +30,7 @@ def _strip_quotes(v: Column) -> Column:
 
 
 def _media_type(ct: Column) -> Column:
-    return F.trim(F.substring_index(ct, ";", 1))
+    return strip_ws(F.substring_index(ct, ";", 1))
 
 
 def split_fetchable(pages: DataFrame, missing_type: str = "accept") -> DataFrame:
@@ -78,7 +78,7 @@ def extract_emails(pages: DataFrame, text_col: str = "html", id_col: str = "page
             (F.col(url_col) if url_col else F.lit(None).cast("string")).alias("source_url")]
     if time_col:
         cols.append(F.col(time_col).alias("seen_at"))
-    src = spread_small_input(pages.select(*cols, F.col(text_col).alias("__text")))
+    src = pages.select(*cols, F.col(text_col).alias("__text"))
     out = [c for c in src.columns if c != "__text"]
     arr = page_emails(F.coalesce(F.col("__text"), F.lit("")), decode=decode, mode=mode)
     return src.select(*out, F.explode(arr).alias("email"))
@@ -104,7 +104,7 @@ def link_array(anchors_only: bool = False) -> Column:
         return _strip_quotes(h)
 
     a = F.transform(hrefs, lambda h, i: F.struct(i.alias("pos"), h.alias("raw"), unquote(h).alias("v")))
-    a = F.transform(a, lambda s: F.struct(s["pos"].alias("pos"), s["raw"].alias("raw"), F.trim(
+    a = F.transform(a, lambda s: F.struct(s["pos"].alias("pos"), s["raw"].alias("raw"), strip_ws(
         F.when(s["v"].contains("&"), decode_html(s["v"])).otherwise(s["v"])).alias("v")))
     a = F.filter(a, lambda s: ~skipped_link(s["v"]))
     a = F.transform(a, lambda s: F.struct(s["pos"].alias("pos"), s["raw"].alias("raw"),
@@ -124,15 +124,23 @@ def extract_links(pages: DataFrame, anchors_only: bool = False) -> DataFrame:
     ``anchors_only`` takes ``href`` of ``a``/``area`` elements only.  The rows
     are exploded only at the end (see ``link_array``).  No shuffle.
     """
-    src_pages = spread_small_input(pages.select("page_id", "url", "html"))
-    return src_pages.select("page_id", F.col("url").alias("src_url"), F.inline(link_array(anchors_only)))
+    return pages.select("page_id", F.col("url").alias("src_url"), F.inline(link_array(anchors_only)))
+
+
+def first_per_key(links: Column) -> Column:
+    """An array of links in document order, each key's first only.
+
+    Sorts by (key, position), keeps the first of each key and sorts back:
+    O(n log n) in the page's link count.
+    """
+    by_key = F.array_sort(F.transform(links, lambda s: F.struct(
+        s["dst_key"].alias("dst_key"), s["pos"].alias("pos"), s["raw"].alias("raw"), s["dst_url"].alias("dst_url"))))
+    firsts = let(by_key, lambda arr: F.filter(arr, lambda s, i: (i == 0) | (F.element_at(arr, i)["dst_key"] != s["dst_key"])))
+    return F.array_sort(F.transform(firsts, lambda s: F.struct(
+        s["pos"].alias("pos"), s["raw"].alias("raw"), s["dst_url"].alias("dst_url"), s["dst_key"].alias("dst_key"))))
 
 
 def extract_anchor_links(pages: DataFrame) -> DataFrame:
     """P5 (+D4).  ``href`` of link elements, unique per page (first position
-    kept), blocked extensions denied.  The distinct shuffles only link rows."""
-    links = extract_links(pages, anchors_only=True)
-    return (links.groupBy("page_id", "dst_key")
-            .agg(F.min("pos").alias("pos"), F.min_by("dst_url", "pos").alias("dst_url"),
-                 F.min_by("raw", "pos").alias("raw"), F.first("src_url").alias("src_url"))
-            .select("page_id", "src_url", "pos", "raw", "dst_url", "dst_key"))
+    kept), blocked extensions denied; all inside the page's row, no shuffle."""
+    return pages.select("page_id", F.col("url").alias("src_url"), F.inline(first_per_key(link_array(True))))

@@ -5,10 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from addrgraph.functions.common import let
 from addrgraph.functions.urls import blocked_extension, host_of, url_key
-from addrgraph.operators.extract import extract_links, fetchable, link_array
-from addrgraph.session import broadcast_if_small, spread_small_input
+from addrgraph.operators.extract import fetchable, first_per_key, link_array
 
 
 def seed_hosts(seeds: DataFrame, url_col: str = "url") -> DataFrame:
@@ -24,10 +22,9 @@ def filter_non_html_ext(links: DataFrame, url_col: str = "dst_url") -> DataFrame
 def filter_same_host(links: DataFrame, hosts: DataFrame, url_col: str = "dst_url") -> DataFrame:
     """F3 / J1.  Keep links whose host is one of ``hosts`` (exact, ignoring case).
 
-    A left-semi join; the host table is broadcast only after its size is
-    counted, otherwise Spark shuffles both sides on the host.
+    A left-semi join; Spark broadcasts the host table if its bytes allow.
     """
-    h, _ = broadcast_if_small(hosts.select(F.lower("host").alias("__host")).distinct())
+    h = hosts.select(F.lower("host").alias("__host")).distinct()
     return (links.withColumn("__host", host_of(F.col(url_col)))
             .join(h, "__host", "left_semi").drop("__host"))
 
@@ -50,71 +47,31 @@ def cap_links_per_page(links: DataFrame, max_links: int, page_col: str = "page_i
     return links.withColumn("rank", F.row_number().over(w).cast("long")).filter(F.col("rank") <= max_links)
 
 
-# Counted host sets up to this size are tested inside the row (a hash-set
-# lookup); larger ones go through a join.
-HOST_LITERAL_MAX = 10_000
-
-
-def _in_row_graph(src: DataFrame, hosts: list[str] | None, max_links: int, anchors_only: bool) -> DataFrame:
-    """G1 without a shuffle: filter, per-page distinct (first position) and cap
-    on the page's own array of links, then explode.
-
-    The distinct sorts the page's links by (key, position), keeps the first
-    of each key, and sorts the survivors back into document order: O(n log n)
-    in the page's link count, whatever the page.
-    """
-    a = F.filter(link_array(anchors_only), lambda s: ~blocked_extension(s["dst_url"]))
-    if hosts is not None:
-        a = F.filter(a, lambda s: host_of(s["dst_url"]).isin(hosts))
-    by_key = F.array_sort(F.transform(a, lambda s: F.struct(s["dst_key"].alias("k"), s["pos"].alias("pos"),
-                                                            s["dst_url"].alias("u"))))
-    firsts = let(by_key, lambda arr: F.filter(
-        arr, lambda s, i: (i == 0) | (F.element_at(arr, i)["k"] != s["k"])))
-    ordered = F.array_sort(F.transform(firsts, lambda s: F.struct(s["pos"].alias("pos"), s["u"].alias("dst_url"),
-                                                                  s["k"].alias("dst_key"))))
-    capped = F.slice(ordered, 1, max_links)
-    out = src.select("page_id", url_key(F.col("url")).alias("src_key"),
-                     F.posexplode(capped).alias("__i", "__l"))
-    return out.select("page_id", "src_key", F.col("__l.pos").alias("pos"),
-                      (F.col("__i") + 1).cast("long").alias("rank"),
-                      F.col("__l.dst_url").alias("dst_url"), F.col("__l.dst_key").alias("dst_key"))
-
-
 def link_graph(pages: DataFrame, hosts: DataFrame | None = None, max_links_per_page: int = 200,
                only_fetchable: bool = True, anchors_only: bool = False,
                missing_type: str = "accept") -> DataFrame:
     """G1.  In-scope out-links per page: extract -> scheme filter -> resolve ->
-    extension filter -> same-host filter -> per-page distinct -> cap.
+    extension filter -> per-page distinct -> same-host filter -> cap.
 
     Output ``page_id, src_key, pos, rank, dst_url, dst_key``.  The cap counts
     every in-scope distinct link of the page (order-independent rule).
 
-    When the host set is small (counted), everything happens inside the page
-    row and nothing shuffles.  Otherwise the host test is a semi join and the
-    distinct/cap run after one shuffle of the (small) link rows by page.
+    Extraction, the extension test and the distinct (by key, so links of one
+    host) stay inside the page's row, and the page's text goes no further; the
+    link rows are semi-joined with the hosts and ranked within their page.
+    Without hosts the cap is a slice of the page's array and nothing shuffles.
     """
-    src = fetchable(pages, missing_type) if only_fetchable else pages
-    src = spread_small_input(src.select("page_id", "url", "html"))
-    host_list = None
-    if hosts is not None:
-        h = hosts.select(F.lower("host").alias("host")).distinct()
-        few = h.limit(HOST_LITERAL_MAX + 1).collect()
-        if len(few) > HOST_LITERAL_MAX:
-            return _joined_graph(src, hosts, max_links_per_page, anchors_only)
-        host_list = [r["host"] for r in few]
-    return _in_row_graph(src, host_list, max_links_per_page, anchors_only)
-
-
-def _joined_graph(src: DataFrame, hosts: DataFrame, max_links_per_page: int, anchors_only: bool) -> DataFrame:
-    links = extract_links(src, anchors_only=anchors_only)
-    links = filter_same_host(filter_non_html_ext(links), hosts)
-    links = links.repartition("page_id")
-    first = (links.groupBy("page_id", "dst_key")
-             .agg(F.min("pos").alias("pos"), F.min_by("dst_url", "pos").alias("dst_url"),
-                  F.first("src_url").alias("src_url")))
-    capped = cap_links_per_page(first, max_links_per_page)
-    return capped.select("page_id", url_key(F.col("src_url")).alias("src_key"), "pos",
-                         F.col("rank").cast("long").alias("rank"), "dst_url", "dst_key")
+    src = (fetchable(pages, missing_type) if only_fetchable else pages).select("page_id", "url", "html")
+    links = first_per_key(F.filter(link_array(anchors_only), lambda s: ~blocked_extension(s["dst_url"])))
+    if hosts is None:
+        links = F.slice(links, 1, max_links_per_page)
+    out = src.select("page_id", url_key(F.col("url")).alias("src_key"), F.posexplode(links).alias("__i", "__l"))
+    out = out.select("page_id", "src_key", F.col("__l.pos").alias("pos"), (F.col("__i") + 1).cast("long").alias("rank"),
+                     F.col("__l.dst_url").alias("dst_url"), F.col("__l.dst_key").alias("dst_key"))
+    if hosts is None:
+        return out
+    return cap_links_per_page(filter_same_host(out, hosts), max_links_per_page).select(
+        "page_id", "src_key", "pos", "rank", "dst_url", "dst_key")
 
 
 def unseen_links(links: DataFrame, visited: DataFrame, key_col: str = "dst_key",

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from addrgraph.plans.prefix import DEFAULT_ROWS_PER_BUCKET, running_scan
+from addrgraph.plans.prefix import running_scan
+from addrgraph.session import write_through
 
 REPORT_COLUMNS = ["email", "hits", "first_seen", "last_seen", "source_url"]
 
@@ -19,7 +20,8 @@ def email_report(hits: DataFrame) -> DataFrame:
     """A1 (= J4 in batch).  Per address: hits (pages it was seen on), first and
     last sighting time, and the source URL of the first sighting.
 
-    One hash aggregate with a map-side partial step: a hot address is
+    One aggregate with a map-side partial step (sorted, as the first source is a
+    text): a hot address is
     combined inside each task before the shuffle, so its row count never
     reaches a single reducer.
     """
@@ -53,32 +55,41 @@ def unique_emails(hits: DataFrame) -> DataFrame:
     return hits.select("email").distinct()
 
 
-def crawl_summary(outcome: DataFrame, hits: DataFrame) -> DataFrame:
+def crawl_summary(outcome: DataFrame, hits: DataFrame, enrichment: DataFrame | None = None) -> DataFrame:
     """A2.  One row: processed pages, failed pages, unique addresses, total hits
     and duration (seconds between first and last fetch; 0 without times).
 
     ``outcome`` has one row per processed page with ``ok``; ``hits`` one row
-    per address per page.  Both go through one global aggregate over their
-    union (no join of the two one-row results).
+    per address per page.  ``enrichment``, if given, has the addresses that
+    discovery found: they count as unique addresses and in a column of their own
+    (``enrichment_hits``), not as page hits.  All go through one global aggregate
+    over their union (no join of one-row results).
     """
     fetched = "fetched_at" if "fetched_at" in outcome.columns else None
-    o = outcome.select(F.lit(True).alias("__page"), F.col("ok"), F.lit(None).cast("string").alias("email"),
-                       (F.col(fetched) if fetched else F.lit(None)).cast("timestamp").alias("__t"))
-    h = hits.select(F.lit(False).alias("__page"), F.lit(None).cast("boolean").alias("ok"), F.col("email"),
-                    F.lit(None).cast("timestamp").alias("__t"))
-    u = o.unionByName(h)
+    nothing = F.lit(None).cast("string")
+
+    def rows(df, kind, ok, email, time):
+        return df.select(F.lit(kind).alias("__kind"), ok.cast("boolean").alias("ok"), email.alias("email"),
+                         time.cast("timestamp").alias("__t"))
+
+    u = rows(outcome, "page", F.col("ok"), nothing, F.col(fetched) if fetched else nothing)
+    u = u.unionByName(rows(hits, "hit", nothing, F.col("email"), nothing))
+    if enrichment is not None:
+        u = u.unionByName(rows(enrichment, "found", nothing, F.col("email"), nothing))
+    kind = F.col("__kind")
     dur = F.unix_micros(F.max("__t")) - F.unix_micros(F.min("__t"))
     return u.agg(
-        F.count_if(F.col("__page")).alias("processed_pages"),
-        F.count_if(F.col("__page") & ~F.col("ok")).alias("failed_pages"),
+        F.count_if(kind == "page").alias("processed_pages"),
+        F.count_if((kind == "page") & ~F.col("ok")).alias("failed_pages"),
         F.count_distinct("email").alias("unique_email_count"),
-        F.count_if(~F.col("__page")).alias("total_email_hits"),
+        F.count_if(kind == "hit").alias("total_email_hits"),
+        *([F.count_if(kind == "found").alias("enrichment_hits")] if enrichment is not None else []),
         F.coalesce(dur / F.lit(1e6), F.lit(0.0)).alias("duration_seconds"),
     )
 
 
 def running_progress(outcome: DataFrame, hits: DataFrame, order_col: str = "page_id",
-                     rows_per_bucket: int = DEFAULT_ROWS_PER_BUCKET) -> DataFrame:
+                     rows_per_bucket: int | None = None) -> DataFrame:
     """W1.  After each processed page (in ``order_col`` order): processed,
     failed, unique addresses so far, total hits so far, and the page URL.
 
@@ -87,6 +98,7 @@ def running_progress(outcome: DataFrame, hits: DataFrame, order_col: str = "page
     joined on the page key and the running sums use the bucketed prefix scan
     (``plans.prefix``), never a single-partition window.
     """
+    hits = write_through(hits.select(order_col, "email"), "progress_hits")  # the text is read once
     first = hits.groupBy("email").agg(F.min(order_col).alias(order_col))
     new_unique = first.groupBy(order_col).agg(F.count(F.lit(1)).alias("__new"))
     per_page = hits.groupBy(order_col).agg(F.count(F.lit(1)).alias("__hits"))

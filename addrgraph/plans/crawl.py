@@ -3,26 +3,25 @@
 The reference crawls with a FIFO queue.  Here a run is a level-by-level
 join loop over a link table extracted once:
 
-* ``edges`` (G1) is built once, with the destination page's status joined
-  on, and written as a table bucketed by ``src_key``: no level re-reads
-  ``html`` or the page table, and no level shuffles the edges.
-* FIFO order is the lexicographic order of ``(depth, path)`` where ``path``
-  is the seed rank followed by the link rank on each hop.  A URL reached
-  first in FIFO order is exactly the one with the smallest such path, so the
-  parent of a URL is found with one ``min`` aggregate per level (partial
-  aggregation; no global ranking).
-* The page budget keeps the FIFO prefix: the last level is cut with a top-k
-  on ``path`` (at most the remaining budget).
-* Each level is written once as a table bucketed by key under the shared
-  checkpoint folder (lineage cut, survives executor loss); a new level's
-  candidates come out of their aggregate partitioned the same way, so the
-  anti-joins against every earlier level shuffle nothing.
+* ``edges`` (G1) is built once and written as a table bucketed by ``src_key``:
+  no level re-reads ``html``, and no level shuffles the edges.
+* A page's status is joined after the level's aggregate by URL, when there is
+  one row per URL left; a page that every other page links to is one row there.
+* FIFO order is ``(depth, path)`` where ``path`` holds the parent's rank within
+  its level and the link's rank within the page (for a seed, its rank).  A URL
+  reached first in FIFO order is the one with the smallest such pair, so its
+  parent is one ``min`` aggregate per level (partial aggregation); ranks within
+  a level come from a range-partitioned scan.
+* The page budget keeps the FIFO prefix: ranks below the remaining budget.
+* Each level is written once under the shared checkpoint folder (lineage cut,
+  survives executor loss).
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -30,7 +29,8 @@ from pyspark.sql import functions as F
 from addrgraph.functions.urls import url_key
 from addrgraph.operators.extract import extract_emails
 from addrgraph.operators.links import dedupe_first_wins, link_graph, pages_by_key, seed_hosts
-from addrgraph.session import BROADCAST_MAX_ROWS, bucketed_table, write_through
+from addrgraph.plans.prefix import global_rank
+from addrgraph.session import bucketed_table, write_through
 
 REACH_COLUMNS = ["url_key", "url", "depth", "path", "parent_key", "page_id", "ok", "failure_reason"]
 
@@ -49,58 +49,37 @@ class CrawlOptions:
     same_host_only: bool = True
     missing_type: str = "accept"
     anchors_only: bool = False
-    broadcast_max_rows: int = BROADCAST_MAX_ROWS
 
 
 def crawl_edges(pages: DataFrame, seeds: DataFrame, opts: CrawlOptions,
                 keyed: DataFrame | None = None) -> DataFrame:
     """G1 for a run: out-links of the captured page chosen for each key,
-    limited to the seed hosts when ``same_host_only``, each carrying the
-    status of its destination page (J3 done once, not per level).
+    limited to the seed hosts when ``same_host_only``.
 
-    Output ``src_key, rank, dst_key, dst_url, dst_page_id, dst_ok, dst_reason``.
+    Output ``src_key, rank, dst_key, dst_url``.
     """
     keyed = keyed if keyed is not None else pages_by_key(pages, opts.missing_type)
     hosts = seed_hosts(seeds) if opts.same_host_only else None
     edges = link_graph(pages, hosts, opts.max_links_per_page, only_fetchable=True,
                        anchors_only=opts.anchors_only, missing_type=opts.missing_type)
-    dst = keyed.select(F.col("url_key").alias("dst_key"), F.col("page_id").alias("dst_page_id"),
-                       F.col("ok").alias("dst_ok"), F.col("failure_reason").alias("dst_reason"))
-    edges = edges.select("page_id", "src_key", "rank", "dst_key", "dst_url").join(dst, "dst_key", "left")
-    # Only the capture chosen for the source key contributes links.  Joined on
-    # the source key, so the result leaves hash-partitioned by it, ready to be
-    # written bucketed without another shuffle.
+    # Only the capture chosen for the source key contributes links.  (Written as
+    # a difference so src_key stays the only join key, which is the bucketing's.)
     chosen = keyed.select(F.col("url_key").alias("src_key"), F.col("page_id").alias("__chosen"))
-    # (Written as a difference so the optimizer keeps src_key as the only
-    # join key; page_id as a second key would re-shuffle both sides on it.)
     edges = edges.join(chosen, "src_key").filter((F.col("page_id") - F.col("__chosen")) == 0)
-    return edges.select("src_key", "rank", "dst_key", "dst_url", "dst_page_id", "dst_ok", "dst_reason")
+    return edges.select("src_key", "rank", "dst_key", "dst_url")
 
 
-def _level_columns(df: DataFrame) -> DataFrame:
-    return df.select(
+def _store_level(new: DataFrame, keyed: DataFrame, remaining: int | None) -> tuple[DataFrame, int]:
+    """Write a level with page status and FIFO rank, cut to the budget (L3)."""
+    level = new.join(keyed.select("url_key", "page_id", "ok", "failure_reason"), "url_key", "left")
+    level = level.select(
         "url_key", "url", "depth", "path", "parent_key", "page_id",
         F.coalesce(F.col("ok"), F.lit(False)).alias("ok"),
-        F.when(F.col("page_id").isNull(), F.lit("not captured")).otherwise(F.col("failure_reason"))
-        .alias("failure_reason"))
-
-
-def _store_level(df: DataFrame, bounded: bool) -> tuple[DataFrame, int]:
-    """Write a level once.  Levels of a budgeted run are proven small (at most
-    the budget) and are plain tables that later joins broadcast; otherwise a
-    level is bucketed by key like the edges."""
-    # An unbounded level comes out of joins/aggregates on url_key already
-    # hash-partitioned by it: written bucketed without another shuffle.
-    out = (write_through(df, "crawl_level") if bounded
-           else bucketed_table(df, "crawl_level", "url_key", repartition=False))
-    return out, out.count()
-
-
-def _cut_to_budget(level: DataFrame, n: int, remaining: int | None, bounded: bool) -> tuple[DataFrame, int]:
-    if remaining is not None and n > remaining:
-        # L3: the FIFO prefix of the level; a top-k bounded by the budget.
-        return _store_level(level.orderBy("path").limit(remaining), bounded)[0], remaining
-    return level, n
+        F.when(F.col("page_id").isNull(), F.lit("not captured")).otherwise(F.col("failure_reason")).alias("failure_reason"))
+    level = global_rank(level, ["path"], "__rank")
+    if remaining is not None:
+        level = level.filter(F.col("__rank") < remaining)
+    return level, level.count()  # the rank is a scan over the level as written
 
 
 def crawl_reach(pages: DataFrame, seeds: DataFrame, opts: CrawlOptions = CrawlOptions(),
@@ -113,73 +92,51 @@ def crawl_reach(pages: DataFrame, seeds: DataFrame, opts: CrawlOptions = CrawlOp
     every URL appears once, at its breadth-first depth, with the parent that
     reaches it first in FIFO order.  Only captured HTML pages have out-links.
     One written table per level; one join per level against the edges.
+    ``edges`` (from ``crawl_edges``) lets several runs share one extraction.
     ``on_level(depth, urls, remaining_budget)`` is called after each level with
     counts only (progress reporting; no rows pass through the driver).
     """
-    # The first-wins aggregate is by url_key: written bucketed without another shuffle.
-    keyed = bucketed_table(pages_by_key(pages, opts.missing_type), "crawl_pages", "url_key", repartition=False)
+    spark = pages.sparkSession
+    keyed, keyed_name = bucketed_table(pages_by_key(pages, opts.missing_type), "crawl_pages", "url_key")
     if edges is None:
         edges = crawl_edges(pages, seeds, opts, keyed)
-    # Stored hash-partitioned by source key: a level's join shuffles only the
-    # frontier (or broadcasts it), never the edge table.
-    edges = bucketed_table(edges, "crawl_edges", "src_key", repartition=False)
-
-    # With a budget, a level holds at most max_pages rows and its candidates at
-    # most max_pages * max_links_per_page: a proven bound, so the levels can be
-    # broadcast instead of bucketed.
-    bounded = (opts.max_pages is not None
-               and opts.max_pages * opts.max_links_per_page <= opts.broadcast_max_rows)
+    edges, edges_name = bucketed_table(edges, "crawl_edges", "src_key")
+    try:
+        levels = _levels(keyed, edges, seeds, opts, on_level)
+    finally:  # the levels stand in files of their own
+        for name in (keyed_name, edges_name):
+            spark.sql(f"drop table if exists {name}")
+    return reduce(DataFrame.unionByName, levels).select(*REACH_COLUMNS)
+
+
+def _levels(keyed: DataFrame, edges: DataFrame, seeds: DataFrame, opts: CrawlOptions,
+            on_level: Callable[[int, int, int | None], None] | None) -> list[DataFrame]:
     s = seeds.select(url_key(F.col("url")).alias("url_key"), "url", F.col("seed_rank").cast("long"))
-    s = dedupe_first_wins(s, "url_key", "seed_rank")
-    level = s.select("url_key", "url", F.lit(0).alias("depth"), F.array(F.col("seed_rank")).alias("path"),
-                     F.lit(None).cast("string").alias("parent_key"))
-    level = level.join(keyed.select("url_key", "page_id", "ok", "failure_reason"), "url_key", "left")
-    level, n = _store_level(_level_columns(level), bounded=False)
-    remaining = opts.max_pages
-    level, n = _cut_to_budget(level, n, remaining, bounded)
-    levels = [level]
-    if remaining is not None:
-        remaining -= n
-    if on_level:
-        on_level(0, n, remaining)
-
-    depth = 0
-    while n > 0 and (opts.max_depth is None or depth < opts.max_depth) and (remaining is None or remaining > 0):
-        frontier = level.filter("ok").select(F.col("url_key").alias("src_key"), "path")
-        # The frontier's size is counted (n); broadcast it only under the bound.
-        if n <= opts.broadcast_max_rows:
-            frontier = F.broadcast(frontier)
-        cand = frontier.join(edges, "src_key")
-        best = (cand.groupBy("dst_key")
-                .agg(F.min(F.struct(F.concat("path", F.array(F.col("rank").cast("long"))).alias("path"),
-                                    F.col("src_key").alias("parent_key"),
-                                    F.col("dst_url").alias("url"),
-                                    F.col("dst_page_id").alias("page_id"),
-                                    F.col("dst_ok").alias("ok"),
-                                    F.col("dst_reason").alias("failure_reason"))).alias("b")))
-        new = best.select(F.col("dst_key").alias("url_key"), F.col("b.url").alias("url"),
-                          F.lit(depth + 1).alias("depth"), F.col("b.path").alias("path"),
-                          F.col("b.parent_key").alias("parent_key"), F.col("b.page_id").alias("page_id"),
-                          F.col("b.ok").alias("ok"), F.col("b.failure_reason").alias("failure_reason"))
-        for prev in levels:  # J2: not seen at any earlier level
-            seen = prev.select("url_key")
-            new = new.join(F.broadcast(seen) if bounded else seen, "url_key", "left_anti")
-        new, n = _store_level(_level_columns(new), bounded)
-        if n == 0:
-            break
-        new, n = _cut_to_budget(new, n, remaining, bounded)
-        level = new
+    new = dedupe_first_wins(s, "url_key", "seed_rank").select(
+        "url_key", "url", F.lit(0).alias("depth"), F.array(F.col("seed_rank")).alias("path"),
+        F.lit(None).cast("string").alias("parent_key"))
+    levels, remaining, depth = [], opts.max_pages, 0
+    while True:
+        level, n = _store_level(new, keyed, remaining)
+        if n == 0 and levels:
+            return levels
         levels.append(level)
         if remaining is not None:
             remaining -= n
-        depth += 1
         if on_level:
             on_level(depth, n, remaining)
-
-    out = levels[0]
-    for lv in levels[1:]:
-        out = out.unionByName(lv)
-    return out.select(*REACH_COLUMNS)
+        if n == 0 or depth == opts.max_depth or remaining == 0:
+            return levels
+        depth += 1
+        frontier = level.filter("ok").select(F.col("url_key").alias("src_key"), "__rank")
+        best = (frontier.join(edges, "src_key").groupBy(F.col("dst_key").alias("url_key"))
+                .agg(F.min(F.struct(F.array("__rank", F.col("rank").cast("long")).alias("path"),
+                                    F.col("src_key").alias("parent_key"), F.col("dst_url").alias("url"))).alias("b")))
+        # J2: not seen at any earlier level
+        visited = reduce(DataFrame.union, [lv.select("url_key") for lv in levels])
+        new = best.join(visited, "url_key", "left_anti").select(
+            "url_key", F.col("b.url").alias("url"), F.lit(depth).alias("depth"), F.col("b.path").alias("path"),
+            F.col("b.parent_key").alias("parent_key"))
 
 
 def failed_pages(reach: DataFrame) -> DataFrame:
@@ -209,42 +166,49 @@ class CrawlRun:
     summary: DataFrame
 
 
-# Reached pages up to this count are selected from the page table by a
-# literal id filter, which Parquet uses to skip row groups.
-PAGE_ID_FILTER_MAX = 100_000
-
-
 def crawl_hits(pages: DataFrame, reach: DataFrame, decode: bool = True, mode: str = "basic") -> DataFrame:
-    """P2 on the pages a run processed: ``page_id, source_url, email, depth, path``.
+    """P2 on the pages a run processed: ``page_id, source_url, email, depth, path[, seen_at]``.
 
-    Only the reached pages' ``html`` is decoded.  When the reached set is small
-    (counted; a page budget bounds it) the ids go into the scan as an ``IN``
-    filter, so row groups without a reached page are skipped; otherwise the
-    reached ids are joined (broadcast under the size bound).
+    Addresses are extracted in the scan, so no page text is shuffled; the few
+    sightings then meet the reached pages.  ``seen_at`` is there if the pages
+    carry ``fetched_at``.
     """
-    ok = reach.filter("ok").select("page_id", "url", "depth", "path")
-    n = ok.count()
-    body = pages.select("page_id", "html")
-    if n <= PAGE_ID_FILTER_MAX:
-        ids = [r[0] for r in ok.select("page_id").collect()]
-        body = body.filter(F.col("page_id").isin(ids))
-    side = F.broadcast(ok) if n <= BROADCAST_MAX_ROWS else ok
-    body = body.join(side, "page_id")
-    h = extract_emails(body.withColumnRenamed("url", "src"), url_col="src", decode=decode, mode=mode)
-    return h.join(side.select("page_id", "depth", "path"), "page_id")
+    time_col = "fetched_at" if "fetched_at" in pages.columns else None
+    ok = reach.filter("ok").select("page_id", F.col("url").alias("source_url"), "depth", "path")
+    hits = extract_emails(pages, url_col=None, decode=decode, mode=mode, time_col=time_col).drop("source_url")
+    return hits.join(ok, "page_id")
 
 
 def crawl_report(pages: DataFrame, seeds: DataFrame, opts: CrawlOptions = CrawlOptions(),
-                 decode: bool = True, mode: str = "basic") -> CrawlRun:
+                 decode: bool = True, mode: str = "basic", edges: DataFrame | None = None,
+                 enrichment_emails: DataFrame | None = None) -> CrawlRun:
     """G3.  The whole run: reach -> addresses of processed pages -> per-address
-    report (first source in FIFO order) and the run summary (A2)."""
+    report (first source in FIFO order) and the run summary (A2).
+
+    ``enrichment_emails`` (column ``email``) join the report as sightings of
+    their own source before any page (U2); the summary counts them apart.  With
+    ``fetched_at`` in the pages the report has first and last sighting and the
+    summary the run's duration.
+    """
+    from addrgraph.operators.enrich import ENRICHMENT_SOURCE_URL
     from addrgraph.operators.report import crawl_summary
 
-    reach = crawl_reach(pages, seeds, opts)
-    hits = crawl_hits(pages, reach, decode, mode)
+    timed = "fetched_at" in pages.columns
+    reach = crawl_reach(pages, seeds, opts, edges)
+    hits = write_through(crawl_hits(pages, reach, decode, mode), "crawl_hits")  # for the report and the summary
+    seen = hits.select("email", "source_url", "depth", "path", *(["seen_at"] if timed else []))
+    extra = None
+    if enrichment_emails is not None:
+        extra = enrichment_emails.select("email").distinct()
+        seen = seen.unionByName(extra.select("email", F.lit(ENRICHMENT_SOURCE_URL).alias("source_url"),
+                                             F.lit(-1).alias("depth")), allowMissingColumns=True)
     order = F.struct("depth", "path")
-    report = hits.groupBy("email").agg(F.count(F.lit(1)).alias("hits"),
-                                       F.min_by("source_url", order).alias("source_url"),
-                                       F.min("depth").alias("first_depth"))
-    summary = crawl_summary(reach.select("ok"), hits.select("email"))
+    report = seen.groupBy("email").agg(
+        F.count(F.lit(1)).alias("hits"), F.min_by("source_url", order).alias("source_url"),
+        F.min(F.when(F.col("depth") >= 0, F.col("depth"))).alias("first_depth"),
+        *([F.min("seen_at").alias("first_seen"), F.max("seen_at").alias("last_seen")] if timed else []))
+    outcome = reach.select("ok", "page_id")
+    if timed:
+        outcome = outcome.join(pages.select("page_id", "fetched_at"), "page_id", "left")
+    summary = crawl_summary(outcome.drop("page_id"), hits.select("email"), extra)
     return CrawlRun(reach, hits, report, summary)

@@ -24,7 +24,7 @@ select c_custkey as page_id,
     '<a href="https://h', cast((c_custkey + 10) % {_N} % 5 as string), '.example.com/c/', cast((c_custkey + 10) % {_N} as string), '#s">n</a>',
     '<a href="https://h', cast((c_custkey * 3 + 1) % {_N} % 5 as string), '.example.com/c/', cast((c_custkey * 3 + 1) % {_N} as string), '/">m</a>',
     '<a href="https://h', cast((c_custkey * 7 + 5) % {_N} % 5 as string), '.example.com/c/', cast((c_custkey * 7 + 5) % {_N} as string), '">p</a>',
-    '<a href="/i.png">i</a><a href="mailto:x@y.org">w</a> &lt;user', cast(c_custkey % 37 as string), '&#64;mail', cast(c_custkey % 9 as string), '.example.com&gt;') as html,
+    '<a href="', chr(9), '/i.png', chr(10), '">i</a><a href="mailto:x@y.org">w</a> &lt;user', cast(c_custkey % 37 as string), '&#64;mail', cast(c_custkey % 9 as string), '.example.com&gt;') as html,
   case when c_custkey % 17 = 16 then 404 else 200 end as status,
   case when c_custkey % 13 = 12 then 'application/pdf' when c_custkey % 11 = 10 then null else 'text/html; charset=utf-8' end as content_type
 from customer
@@ -42,8 +42,8 @@ EVENT_LINES_SQL = """
 select event_id as line_no,
   case
     when event_id % 2500 = 2499 then concat('{"type":"summary","processed_pages":', cast(event_id as string), ',"failed_pages":3,"duration_seconds":1.5}')
-    when event_id % 50 = 7 then ''
-    when event_type = 'signup' and event_id % 4 = 0 then concat('{"type":"EMAIL","email":"user', cast(user_id as string), '@example.com","source_url":""}')
+    when event_id % 50 = 7 then chr(9)
+    when event_type = 'signup' and event_id % 4 = 0 then concat('{"type":"EMAIL","email":"user', cast(user_id as string), '@example.com","source_url":"', chr(92), 't"}')
     when event_type = 'signup' then concat('{"type":"email","email":"user', cast(user_id as string), '@example.com","source_url":"https://h.example.com/', cast(event_id as string), '"}')
     when event_type = 'view' and event_id % 3 = 0 then concat('{"type":"progress","processed_pages":"', cast(event_id as string), '","queue_length":', cast(event_id % 11 as string), '}')
     when event_type = 'view' and event_id % 3 = 1 then concat('{"type":"progress","processed_pages":"x","failed_pages":', cast(event_id % 5 as string), ',"current_url":"https://h.example.com/"}')
@@ -63,12 +63,12 @@ select s_suppkey as rec_id,
   case s_suppkey % 12
     when 0 then concat('*.h', cast(s_nationkey as string), '.example.com')
     when 2 then concat('https://H', cast(s_nationkey as string), '.example.com/x?q=1')
-    when 4 then concat('h', cast(s_nationkey as string), '.example.com:8443')
+    when 4 then concat('h', cast(s_nationkey as string), '.example.com:8443', chr(13))
     when 6 then concat('h', cast(s_nationkey as string), '.example.net')
     when 8 then 'bad_host'
     when 10 then 'EXAMPLE.com/path'
     when 1 then concat('User', cast(s_nationkey as string), '@Example.com>,')
-    when 3 then concat('user', cast(s_nationkey as string), '@example.com')
+    when 3 then concat(chr(9), 'user', cast(s_nationkey as string), '@example.com', chr(10))
     when 5 then 'a..b@example.com'
     when 7 then 'no-at.example.com'
     when 9 then 'x@y@example.com'
@@ -78,13 +78,13 @@ from supplier
 
 SEED_LINES_SQL = """
 select n_nationkey as line_no,
-  case n_nationkey % 6
+  case when n_nationkey = 17 then 'http://[2001:db8::1]/a' when n_nationkey = 23 then 'http://[2001:db8::2]:80/b' else case n_nationkey % 6
     when 0 then concat('https://h', cast(n_regionkey as string), '.example.com/c/', cast(n_regionkey as string))
-    when 1 then concat('  h', cast(n_regionkey as string), '.example.com/c/', cast(n_regionkey as string), ' ')
+    when 1 then concat(chr(9), ' h', cast(n_regionkey as string), '.example.com/c/', cast(n_regionkey as string), chr(13))
     when 2 then concat('HTTPS://H', cast(n_regionkey as string), '.example.com/c/', cast(n_regionkey as string))
-    when 3 then ''
+    when 3 then chr(9)
     when 4 then concat('http://h', cast(n_regionkey as string), '.example.com:80/c/', cast(n_regionkey as string), '/')
-    else concat('https://h', cast(n_regionkey as string), '.example.com/c/', cast(n_regionkey as string), '#top') end as line
+    else concat('https://h', cast(n_regionkey as string), '.example.com/c/', cast(n_regionkey as string), '#top') end end as line
 from nation
 """
 

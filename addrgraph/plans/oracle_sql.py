@@ -21,6 +21,23 @@ def _q(s: str) -> str:
     return "'" + s.replace("'", "''") + "'"
 
 
+# Characters dropped at both ends of a value: DuckDB's trim takes them as a list.
+_TRIMMED = " || ".join(f"chr({c})" for c in (32, 9, 10, 11, 12, 13, 133, 160, 5760, *range(8192, 8203), 8232, 8233, 8239, 8287, 12288))
+
+
+def _expand_trims(sql: str) -> str:
+    """Give every ``trim_ws(x)`` its list of characters."""
+    out, at = [], 0
+    while (i := sql.find("trim_ws(", at)) >= 0:
+        depth, end = 1, i + len("trim_ws(")
+        while depth:
+            depth += {"(": 1, ")": -1}.get(sql[end], 0)
+            end += 1
+        out += [sql[at:i], "trim(", _expand_trims(sql[i + len("trim_ws("):end - 1]), ", ", _TRIMMED, ")"]
+        at = end
+    return "".join(out) + sql[at:]
+
+
 def _in_list(vals) -> str:
     return "(" + ", ".join(_q(v) for v in vals) + ")"
 
@@ -39,7 +56,7 @@ def url_key(u: str) -> str:
 
 
 def host_of(u: str) -> str:
-    return f"nullif(lower(regexp_extract({u}, '(?i)^https?://(?:[^/?#@]*@)?([^/?#:]+)', 1)), '')"
+    return f"nullif(lower(regexp_extract({u}, '(?i)^https?://(?:[^/?#@]*@)?(\\[[^\\]/?#]*\\]|[^/?#:]+)', 1)), '')"
 
 
 def path_of(u: str) -> str:
@@ -66,12 +83,12 @@ def valid_email(e: str, strict: bool = False) -> str:
 
 
 def normalize_email(v: str) -> str:
-    e = f"lower(regexp_replace(trim({v}), '[.,;:)\\]>]+$', ''))"
+    e = f"lower(regexp_replace(trim_ws({v}), '[.,;:)\\]>]+$', ''))"
     return f"(case when {valid_email(e)} then {e} end)"
 
 
 def normalize_host(v: str) -> str:
-    x = f"lower(trim({v}))"
+    x = f"lower(trim_ws({v}))"
     from_url = f"regexp_extract({x}, '^(?:[a-z][a-z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)', 1)"
     bare = f"regexp_replace(split_part(regexp_replace({x}, '^\\*\\.', ''), '/', 1), ':[0-9]+$', '')"
     h = f"(case when contains({x}, '//') then {from_url} else {bare} end)"
@@ -83,11 +100,11 @@ def in_domain(h: str, d: str) -> str:
 
 
 def normalize_url(x: str) -> str:
-    v = f"regexp_replace(trim({x}), '[\\t\\r\\n]', '', 'g')"
+    v = f"regexp_replace(trim_ws({x}), '[\\t\\r\\n]', '', 'g')"
     v2 = f"(case when starts_with({v}, 'http://') or starts_with({v}, 'https://') then {v} else 'https://' || {v} end)"
     netloc = f"regexp_extract({v2}, '^https?://([^/?#]*)', 1)"
     out = f"regexp_replace(regexp_replace({v2}, '#.*$', ''), '\\?$', '')"
-    return f"(case when length(trim({x})) > 0 and length({netloc}) > 0 then {out} end)"
+    return f"(case when length(trim_ws({x})) > 0 and length({netloc}) > 0 then {out} end)"
 
 
 def two_label_domain(h: str) -> str:
@@ -102,7 +119,7 @@ def fx(*names: str) -> str:
 
 # F1 on a page table with status/content_type.
 def fetch_cols(t: str, accept_missing: bool = True) -> str:
-    mt = "trim(split_part(content_type, ';', 1))"
+    mt = "trim_ws(split_part(content_type, ';', 1))"
     blank = f"({mt} is null or length({mt}) = 0)"
     s_ok = "(status is null or (status >= 200 and status <= 299))"
     t_ok = f"(case when {blank} then {'true' if accept_missing else 'false'} else contains(lower({mt}), 'html') end)"
@@ -143,12 +160,12 @@ def links_ctes(t: str, prefix: str = "lk", anchors: bool = False) -> str:
     jp = path_of("j")
     fin = (f"(case when regexp_matches(j, {_q(ORIGIN_RE)}) then {jo} || (case when {jp} = '' then '/' else {jp} end) "
            f"|| substr(j, length({jo}) + length({jp}) + 1) else j end)")
-    skip = "(length(trim(val)) = 0 or starts_with(val, '#') or regexp_matches(val, '(?i)^(mailto:|tel:|javascript:)'))"
+    skip = "(length(trim_ws(val)) = 0 or starts_with(val, '#') or regexp_matches(val, '(?i)^(mailto:|tel:|javascript:)'))"
     return f"""{prefix}_h as (
   select page_id, url as src_url, unnest(hs) as raw, generate_subscripts(hs, 1) - 1 as pos
   from (select page_id, url, case when contains(lower({h}), 'href') then regexp_extract_all({h}, {_q(pat)}, 1)
         else []::varchar[] end as hs from {t})),
-{prefix}_v as (select page_id, src_url, pos, raw, trim({dec}) as val from {prefix}_h),
+{prefix}_v as (select page_id, src_url, pos, raw, trim_ws({dec}) as val from {prefix}_h),
 {prefix}_j as (select page_id, src_url, pos, raw,
   case when regexp_matches(src_url, {_q(ORIGIN_RE)}) then regexp_replace({joined}, '#.*$', '') end as j
   from {prefix}_v where not {skip}),
@@ -175,7 +192,7 @@ where {valid_email('e')}"""
 
 
 SEEDS_STRICT = """
-seeds_v as (select line_no as seed_rank, trim(line) as value from seed_lines where length(trim(line)) > 0),
+seeds_v as (select line_no as seed_rank, trim_ws(line) as value from seed_lines where length(trim_ws(line)) > 0),
 seeds_u as (select seed_rank, case when regexp_matches(value, '(?i)^https?://') then value else 'https://' || value end as url from seeds_v),
 seeds_ok as (select seed_rank, url,
    regexp_extract(url, '(?i)^https?://(?:[^/?#@]*@)?(\\[[^\\]]*\\]|[^/?#:]*)', 1) as h,
@@ -242,14 +259,14 @@ def event_ctes() -> str:
         s = f"json_extract_string(line, '$.{f}')"
         t = f"json_type(line, '$.{f}')"
         return (f"(case when kind = 'unparsed' then null when {t} in ('BIGINT', 'UBIGINT') then try_cast({s} as integer) "
-                f"when {t} = 'VARCHAR' and regexp_matches({s}, '^\\s*[+-]?[0-9]+\\s*$') then try_cast(trim({s}) as integer) end)")
+                f"when {t} = 'VARCHAR' and regexp_matches({s}, '^\\s*[+-]?[0-9]+\\s*$') then try_cast(trim_ws({s}) as integer) end)")
 
     def dfield(f):
         s = f"json_extract_string(line, '$.{f}')"
         t = f"json_type(line, '$.{f}')"
         return (f"(case when kind = 'unparsed' then null when {t} in ('BIGINT', 'UBIGINT', 'DOUBLE') then try_cast({s} as double) "
                 f"when {t} = 'VARCHAR' and regexp_matches({s}, '^\\s*[+-]?([0-9][0-9,]*\\.?[0-9]*|\\.[0-9]+)([eE][+-]?[0-9]+)?\\s*$') "
-                f"then try_cast(replace(trim({s}), ',', '') as double) end)")
+                f"then try_cast(replace(trim_ws({s}), ',', '') as double) end)")
 
     def sfield(f):
         return f"(case when kind = 'unparsed' then null else coalesce(json_extract_string(line, '$.{f}'), '') end)"
@@ -263,16 +280,16 @@ ev_k as (select line_no, line,
    case when not json_valid(line) then 'unparsed'
         when json_type(line) = 'OBJECT' and json_extract_string(line, '$.type') is not null
         then lower(json_extract_string(line, '$.type')) end as kind
- from event_lines where length(trim(line)) > 0),
+ from event_lines where length(trim_ws(line)) > 0),
 ev as (select line_no, kind, line, {cols} from ev_k where kind is not null)"""
 
 
 LOG_MSGS = """msgs as (select line_no, '[Scrapy] ' || m as message from (
-  select line_no, case when kind = 'unparsed' then line when kind = 'log' and length(trim(message)) > 0 then message end as m
+  select line_no, case when kind = 'unparsed' then line when kind = 'log' and length(trim_ws(message)) > 0 then message end as m
   from ev) x where m is not null)"""
 
 DISC = f"""{fx('discovery')},
-disc as (select rec_id, lower(trim(source)) as source, lower(trim(kind)) as kind, value from discovery)"""
+disc as (select rec_id, lower(trim_ws(source)) as source, lower(trim_ws(kind)) as kind, value from discovery)"""
 
 ACCEPTED = f"""acc as (select rec_id, source, kind, v as value from (
   select rec_id, source, kind,
@@ -323,14 +340,14 @@ select email as "Email", cast(hits as varchar) as "Hits", strftime(first_seen, '
                              + f"\nselect page_id, pos, dst_key from lk where {host_of('dst_url')} in (select host from seed_hosts)")
     o["filter_non_html_ext"] = (W + site_base + ", " + links_ctes("(select * from site_ok where ok)")
                                 + f"\nselect page_id, pos, dst_key from lk where not {blocked('dst_url')}")
-    o["valid_email"] = (W + DISC + f"\nselect rec_id, {valid_email('trim(value)')} as basic, "
-                        f"{valid_email('trim(value)', strict=True)} as strict from disc")
+    o["valid_email"] = (W + DISC + f"\nselect rec_id, {valid_email('trim_ws(value)')} as basic, "
+                        f"{valid_email('trim_ws(value)', strict=True)} as strict from disc")
     o["filter_hosts_in_domain"] = (W + DISC + f", h as (select rec_id, {normalize_host('value')} as host from disc where kind = 'host')"
                                    f"\nselect rec_id, host from h where host is not null and {in_domain('host', DISCOVERY_TARGET_DOMAIN)}")
     o["filter_sources"] = W + DISC + f"\nselect rec_id, source from disc where source in {_in_list(DEFAULT_SOURCES)}"
     o["drop_incomplete_email_events"] = W + event_ctes() + """
 select line_no, email, source_url from ev
-where kind = 'email' and length(trim(email)) > 0 and length(trim(source_url)) > 0"""
+where kind = 'email' and length(trim_ws(email)) > 0 and length(trim_ws(source_url)) > 0"""
 
     # projections
     o["decode_html"] = W + fx("site") + """
@@ -347,7 +364,7 @@ select page_id, min(pos) as pos, arg_min(dst_url, pos) as dst_url, dst_key from
     o["normalize_url"] = W + fx("seed_lines") + f"\nselect line_no, {normalize_url('line')} as url from seed_lines"
     o["target_domain"] = (W + fx("seed_lines") + "," + SEEDS_LENIENT + f""",
 th as (select seed_rank, {host_of('url')} as host from seeds_l where {host_of('url')} is not null)
-select coalesce(arg_min({two_label_domain('lower(trim(host))')}, seed_rank), '') as target_domain from th""")
+select coalesce(arg_min({two_label_domain('lower(trim_ws(host))')}, seed_rank), '') as target_domain from th""")
     o["normalize_host"] = W + DISC + f"\nselect rec_id, {normalize_host('value')} as host from disc where kind = 'host'"
     o["hosts_to_seeds"] = (W + DISC + ", " + ACCEPTED
                            + "\nselect distinct value as host, 'https://' || value as url from acc where kind = 'host'")
@@ -432,7 +449,7 @@ where rank <= {LINK_CAP}"""
 select line_no, message from msgs
 qualify row_number() over (order by line_no desc) <= case when (select count(*) from msgs) > 1200 then 1000 else 9223372036854775807 end"""
     o["error_tail"] = W + event_ctes() + """,
-t as (select line_no, trim(line) as t from ev where kind = 'unparsed' and length(trim(line)) > 0 order by line_no desc limit 20)
+t as (select line_no, trim_ws(line) as t from ev where kind = 'unparsed' and length(trim_ws(line)) > 0 order by line_no desc limit 20)
 select coalesce(string_agg(t, ' | ' order by line_no), '') as error_tail from t"""
 
     # set operations
@@ -473,4 +490,32 @@ from chd group by email"""
 select (select count(*) from reach) as processed_pages, (select count(*) from reach where not ok) as failed_pages,
   (select count(distinct email) from chd) as unique_email_count, (select count(*) from chd) as total_email_hits,
   0.0::double as duration_seconds"""
-    return o
+    o["crawl_reach_unbudgeted"] = (W + crawl_base + ", " + reach_ctes(CRAWL.max_depth, None)
+                                   + "\nselect url_key, depth, parent_key, page_id, ok from reach")
+    o["crawl_report_unbudgeted"] = W + crawl_base + ", " + reach_ctes(CRAWL.max_depth, None) + ", " + crawl_hits + """
+select email, count(*) as hits, first(source_url order by depth, path) as source_url, min(depth) as first_depth
+from chd group by email"""
+    enriched_base = (f"{site_base}, {fx('seed_lines')}, {SEEDS_LENIENT}, {DISC}, {ACCEPTED}, {HOST_SEEDS}, "
+                     f"""enr_u as (select seed_rank::bigint as seed_rank, url from seeds_l
+      union all select host_rank + coalesce((select max(seed_rank) from seeds_l), -1), url from host_seeds),
+enr_n as (select seed_rank, {normalize_url('url')} as url from enr_u),
+seeds as (select min(seed_rank)::integer as seed_rank, url from enr_n where url is not null group by url), """
+                     f"{SEED_HOSTS}, {SITE_KEYED}, {link_graph_ctes(CRAWL.max_links_per_page)}, {reach}, {crawl_hits}, "
+                     f"""timed as (select email, source_url, depth, path, timestamp '2024-01-01 00:00:00' + to_seconds(page_id) as seen_at from chd
+      union all select distinct value, {_q(ENRICHMENT_SOURCE_URL)}, -1, null::bigint[], null::timestamp from acc where kind = 'email')""")
+    o["crawl_report_enriched"] = W + enriched_base + """
+select email, count(*) as hits, first(source_url order by depth, path) as source_url,
+  min(case when depth >= 0 then depth end) as first_depth, min(seen_at) as first_seen, max(seen_at) as last_seen
+from timed group by email"""
+    o["crawl_summary_enriched"] = W + enriched_base + """
+select (select count(*) from reach) as processed_pages, (select count(*) from reach where not ok) as failed_pages,
+  (select count(distinct email) from timed) as unique_email_count, (select count(*) from chd) as total_email_hits,
+  (select count(*) from timed where depth = -1) as enrichment_hits,
+  (select (max(page_id) - min(page_id))::double from reach) as duration_seconds"""
+    o["order_report_ranked"] = "with " + fx("hits") + """
+select email, count(*) as hits, row_number() over (order by lower(email), email) - 1 as row_no from hits group by email"""
+    o["write_read_event_log"] = "with " + fx("hits") + "\nselect 'email' as kind, email, source_url from hits"
+    o["write_read_report_csv"] = o["export_report_csv"]
+    o["target_domain_with_suffixes"] = "with " + fx("site") + f"""
+select distinct {host_of('url')} as host, {host_of('url')} as domain from site"""
+    return {name: _expand_trims(sql) for name, sql in o.items()}

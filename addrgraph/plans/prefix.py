@@ -1,10 +1,10 @@
-"""Running totals and carried values over a global order, without one partition.
+"""Running totals, carried values and ranks over a global order, without one partition.
 
 A window ``ORDER BY x ROWS UNBOUNDED PRECEDING`` with no ``PARTITION BY``
-moves every row to a single task.  Here the order key is cut into range
-buckets of bounded size (boundaries from ``approxQuantile``), the scan runs
-per bucket in parallel, and the per-bucket totals (one row per bucket, so a
-bounded table) are scanned once and broadcast back as offsets.
+moves every row to a single task.  Here the rows are range-partitioned by the
+order key and written once with the number of their range; the scan runs per
+range in parallel, and the per-range totals (one row per range, so a bounded
+table) are scanned once and joined back as offsets.
 
 Both supported scans are associative: sums, and "last non-null value".
 """
@@ -16,67 +16,47 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# Rows per range bucket; a bucket is one window partition.
-DEFAULT_ROWS_PER_BUCKET = 2_000_000
-
-
-def _bucket_column(df: DataFrame, order_col: str, n_rows: int, rows_per_bucket: int) -> Column:
-    buckets = max(1, math.ceil(n_rows / rows_per_bucket))
-    if buckets == 1:
-        return F.lit(0)
-    probs = [i / buckets for i in range(1, buckets)]
-    cuts = df.approxQuantile(order_col, probs, 0.1 / buckets)
-    cuts = sorted(set(c for c in cuts if c is not None))
-    if not cuts:
-        return F.lit(0)
-    # Bucket = number of cut points <= value; a fixed-depth binary search when
-    # there are many cut points, so the cost per row stays logarithmic.
-    arr = F.array(*[F.lit(float(c)) for c in cuts])
-    x = F.col(order_col).cast("double")
-    return F.size(F.filter(arr, lambda c: c <= x)) if len(cuts) <= 64 else _bsearch(arr, len(cuts), x)
-
-
-def _bsearch(arr: Column, n: int, x: Column) -> Column:
-    """Count of sorted cut points <= x by a fixed-depth binary search expression."""
-    lo, hi = F.lit(0), F.lit(n)
-    for _ in range(max(1, math.ceil(math.log2(n + 1)))):
-        mid = F.floor((lo + hi) / 2).cast("int")
-        go_right = F.element_at(arr, mid + 1) <= x
-        cond = lo < hi
-        lo, hi = (F.when(cond & go_right, mid + 1).otherwise(lo),
-                  F.when(cond & ~go_right, mid).otherwise(hi))
-    return lo
+from addrgraph.session import write_through
+
+
+def in_ranges(df: DataFrame, order: list[str], rows_per_bucket: int | None = None) -> DataFrame:
+    """``df`` written in ranges of ``order`` with the range's number as ``__bucket``.
+
+    As many ranges as shuffle partitions, or as ``rows_per_bucket`` asks.  The
+    input is written first: finding the bounds of the ranges reads it once more.
+    """
+    spark = df.sparkSession
+    rows = write_through(df, "scan_rows")
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    if rows_per_bucket is not None:
+        n = max(1, math.ceil(rows.count() / rows_per_bucket))
+    return write_through(rows.repartitionByRange(n, *order).withColumn("__bucket", F.spark_partition_id()), "scan_ranges")
 
 
 def running_scan(df: DataFrame, order_col: str, sums: dict[str, Column] | None = None,
                  lasts: dict[str, Column] | None = None,
-                 rows_per_bucket: int = DEFAULT_ROWS_PER_BUCKET) -> DataFrame:
+                 rows_per_bucket: int | None = None) -> DataFrame:
     """Add running sums and last-non-null values ordered by ``order_col``.
 
-    ``order_col`` must be a unique numeric key.  ``sums`` maps output name to
+    ``order_col`` must be a unique key.  ``sums`` maps output name to
     the per-row amount; ``lasts`` maps output name to the per-row value whose
     latest non-null occurrence (up to and including the row) is carried.
     """
     sums, lasts = sums or {}, lasts or {}
+    if not sums and not lasts:
+        return df
     tmp = {f"__s_{k}": v for k, v in sums.items()} | {f"__l_{k}": v for k, v in lasts.items()}
-    base = df.select("*", *[v.alias(k) for k, v in tmp.items()])
-    n_rows = base.count()
-    base = base.withColumn("__bucket", _bucket_column(base, order_col, n_rows, rows_per_bucket))
+    base = in_ranges(df.select("*", *[v.alias(k) for k, v in tmp.items()]), [order_col], rows_per_bucket)
 
     w_in = (Window.partitionBy("__bucket").orderBy(order_col)
             .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    inner = base
-    for k in sums:
-        inner = inner.withColumn(f"__rs_{k}", F.sum(f"__s_{k}").over(w_in))
-    for k in lasts:
-        inner = inner.withColumn(f"__rl_{k}", F.last(f"__l_{k}", ignorenulls=True).over(w_in))
+    inner = base.select("*", *[F.sum(f"__s_{k}").over(w_in).alias(f"__rs_{k}") for k in sums],
+                        *[F.last(f"__l_{k}", ignorenulls=True).over(w_in).alias(f"__rl_{k}") for k in lasts])
 
-    # One row per bucket: totals and the bucket's last non-null value.
+    # One row per range: totals and the range's last non-null value.
     aggs = [F.sum(f"__s_{k}").alias(f"__ts_{k}") for k in sums]
     aggs += [F.max_by(f"__l_{k}", F.when(F.col(f"__l_{k}").isNotNull(), F.col(order_col))).alias(f"__tl_{k}")
              for k in lasts]
-    if not aggs:
-        return df
     totals = base.groupBy("__bucket").agg(*aggs)
     w_b = Window.orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(
@@ -84,10 +64,19 @@ def running_scan(df: DataFrame, order_col: str, sums: dict[str, Column] | None =
         *[F.coalesce(F.sum(f"__ts_{k}").over(w_b), F.lit(0)).alias(f"__os_{k}") for k in sums],
         *[F.last(f"__tl_{k}", ignorenulls=True).over(w_b).alias(f"__ol_{k}") for k in lasts],
     )
-    # offsets has exactly one row per bucket: a bounded broadcast.
+    # offsets has exactly one row per range: a bounded broadcast.
     out = inner.join(F.broadcast(offsets), "__bucket", "left")
-    for k in sums:
-        out = out.withColumn(k, F.col(f"__rs_{k}") + F.col(f"__os_{k}"))
-    for k in lasts:
-        out = out.withColumn(k, F.coalesce(F.col(f"__rl_{k}"), F.col(f"__ol_{k}")))
-    return out.select(*df.columns, *sums.keys(), *lasts.keys())
+    return out.select(*df.columns,
+                      *[(F.col(f"__rs_{k}") + F.col(f"__os_{k}")).alias(k) for k in sums],
+                      *[F.coalesce(F.col(f"__rl_{k}"), F.col(f"__ol_{k}")).alias(k) for k in lasts])
+
+
+def global_rank(df: DataFrame, order: list[str], name: str, rows_per_bucket: int | None = None) -> DataFrame:
+    """Add ``name``: 0, 1, ... in the order of ``order`` (unique), over all rows."""
+    base = in_ranges(df, order, rows_per_bucket)
+    before = Window.orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = base.groupBy("__bucket").agg(F.count(F.lit(1)).alias("__n")).select(
+        "__bucket", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
+    inside = F.row_number().over(Window.partitionBy("__bucket").orderBy(*order)) - 1
+    return (base.withColumn("__in", inside).join(F.broadcast(offsets), "__bucket")  # one row per range
+            .select(*df.columns, (F.col("__in") + F.col("__before")).cast("long").alias(name)))

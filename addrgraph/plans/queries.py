@@ -7,12 +7,15 @@ registers them; ``bench.py`` times a subset.
 
 from __future__ import annotations
 
+import os
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from addrgraph.functions import text as T
+from addrgraph.functions.common import strip_ws
 from addrgraph.functions import urls as U
 from addrgraph.operators import enrich as E
 from addrgraph.operators import eventlog as EL
@@ -22,7 +25,12 @@ from addrgraph.operators import report as R
 from addrgraph.plans import crawl as C
 from addrgraph.plans.fixtures import DISCOVERY_TARGET_DOMAIN, fixture
 from addrgraph.sources.discovery import load_discovery
+from addrgraph.plans.prefix import global_rank
+from addrgraph.session import checkpoint_dir
 from addrgraph.sources.eventlog import parse_event_lines, to_event_json
+from addrgraph.sources.eventlog import read_event_log as read_event_log_files
+from addrgraph.sources.eventlog import write_event_log as write_event_log_files
+from addrgraph.sources.export import export_report_csv as write_report_csv
 from addrgraph.sources.export import report_csv_rows
 from addrgraph.sources.pages import with_page_defaults
 from addrgraph.sources.seeds import load_seeds, load_seeds_lenient
@@ -126,8 +134,8 @@ def filter_non_html_ext(spark, d):
 
 def valid_email(spark, d):
     disc = _discovery(spark, d)
-    return disc.select("rec_id", T.valid_email(F.trim("value"), "basic").alias("basic"),
-                       T.valid_email(F.trim("value"), "strict").alias("strict"))
+    return disc.select("rec_id", T.valid_email(strip_ws("value"), "basic").alias("basic"),
+                       T.valid_email(strip_ws("value"), "strict").alias("strict"))
 
 
 def filter_hosts_in_domain(spark, d):
@@ -374,7 +382,71 @@ def crawl_report_summary(spark, d):
     return C.crawl_report(_site(spark, d), _strict_seeds(spark, d), CRAWL).summary
 
 
+def crawl_reach_unbudgeted(spark, d):
+    from dataclasses import replace
+
+    return _reach(spark, d, replace(CRAWL, max_pages=None)).select("url_key", "depth", "parent_key", "page_id", "ok")
+
+
+def crawl_report_unbudgeted(spark, d):
+    from dataclasses import replace
+
+    return C.crawl_report(_site(spark, d), _strict_seeds(spark, d), replace(CRAWL, max_pages=None)).report
+
+
+def _enriched_run(spark, d):
+    """Seeds joined by discovered hosts, timed pages, discovered addresses in the report."""
+    site = _site(spark, d).withColumn("fetched_at", F.expr(
+        "timestamp_ntz'2024-01-01 00:00:00' + make_dt_interval(0, 0, 0, page_id)"))
+    emails = E.sorted_enrichment_emails(_discovery(spark, d), DISCOVERY_TARGET_DOMAIN)
+    return C.crawl_report(site, add_enrichment_seeds(spark, d), CRAWL, enrichment_emails=emails)
+
+
+def crawl_report_enriched(spark, d):
+    return _enriched_run(spark, d).report
+
+
+def crawl_summary_enriched(spark, d):
+    return _enriched_run(spark, d).summary
+
+
+def order_report_ranked(spark, d):
+    """The order itself as a column: rank by a range-partitioned scan over the report."""
+    report = R.email_report(fixture(spark, d, "hits")).withColumn("folded", F.lower("email"))
+    return global_rank(report, ["folded", "email"], "row_no").select("email", "hits", "row_no")
+
+
+def write_read_event_log(spark, d):
+    """S5 and back: sightings written as NDJSON text in the shared folder, read as S4."""
+    hits = fixture(spark, d, "hits").select("email", "source_url")
+    path = os.path.join(checkpoint_dir(spark), "tables", f"event_log_{uuid.uuid4().hex[:12]}")
+    write_event_log_files(hits, path, "email", ["email", "source_url"])
+    return read_event_log_files(spark, path).select("kind", "email", "source_url")
+
+
+def write_read_report_csv(spark, d):
+    """S7 and back: the report written as CSV in the shared folder, read by Spark's CSV reader."""
+    path = os.path.join(checkpoint_dir(spark), "tables", f"report_{uuid.uuid4().hex[:12]}")
+    write_report_csv(R.email_report(fixture(spark, d, "hits")), path)
+    return spark.read.option("header", True).option("escape", '"').csv(path)
+
+
+def target_domain_with_suffixes(spark, d):
+    """P9 with a suffix table: hosts of the site cut to one label above the longest listed suffix."""
+    suffixes = spark.sql("select * from values ('com'), ('example.com') as t(suffix)")
+    hosts = _site(spark, d).select(U.host_of(F.col("url")).alias("host")).distinct()
+    return E.registrable_domains(hosts, suffixes)
+
+
 QUERIES: dict[str, Query] = {
+    "crawl_reach_unbudgeted": crawl_reach_unbudgeted,
+    "crawl_report_unbudgeted": crawl_report_unbudgeted,
+    "crawl_report_enriched": crawl_report_enriched,
+    "crawl_summary_enriched": crawl_summary_enriched,
+    "order_report_ranked": order_report_ranked,
+    "write_read_event_log": write_read_event_log,
+    "write_read_report_csv": write_read_report_csv,
+    "target_domain_with_suffixes": target_domain_with_suffixes,
     # sources and sinks
     "read_pages": read_pages,
     "load_seeds": load_seeds_q,

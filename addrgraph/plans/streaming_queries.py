@@ -15,14 +15,13 @@ from addrgraph.plans.fixtures import fixture
 from addrgraph.session import checkpoint_dir
 from addrgraph.streaming import jobs as K
 
-STAGE_FILES = 4
 
 
 def _stage(spark: SparkSession, df: DataFrame, name: str) -> tuple[str, str]:
     """Write ``df`` as several Parquet files on shared storage; return (data, work) folders."""
     work = K.new_run_folder(os.path.join(checkpoint_dir(spark), "streams"), name)
     data = os.path.join(work, "input")
-    df.repartition(STAGE_FILES).write.mode("overwrite").parquet(data)
+    df.write.mode("overwrite").parquet(data)
     return data, work
 
 

@@ -7,11 +7,6 @@ import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 
-# Rows below which a derived side table may be broadcast.  The count is taken
-# on the actual data (an action on an already small table), never estimated.
-BROADCAST_MAX_ROWS = 2_000_000
-
-
 def get_spark(master: str | None = None, app: str = "addrgraph",
               shuffle_partitions: int | None = None) -> SparkSession:
     """Build (or reuse) a session with the settings the operators assume.
@@ -48,10 +43,9 @@ def checkpoint_dir(spark: SparkSession) -> str:
     """Return the reliable checkpoint folder of this session.
 
     A cluster names a shared folder in ``spark.checkpoint.dir`` (or the
-    context already has one); it is used as is.  Only when neither is set
-    (local runs, tests) is a fresh folder created and registered with the
-    context.  ``spark.checkpoint.dir`` itself is a core setting and is never
-    written at run time.
+    context already has one); it is used as is.  Only when neither is set and
+    the master is local (tests) is a fresh folder created and registered with the
+    context; elsewhere a folder of one machine would lose data, so that is an error.
     """
     sc = spark.sparkContext
     current = sc._jsc.sc().getCheckpointDir()
@@ -59,50 +53,22 @@ def checkpoint_dir(spark: SparkSession) -> str:
         return current.get()
     d = sc.getConf().get("spark.checkpoint.dir", None)
     if not d:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         d = tempfile.mkdtemp(prefix="addrgraph-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
     sc.setCheckpointDir(d)
     return sc._jsc.sc().getCheckpointDir().get()
 
 
-def cut_lineage(df: DataFrame, *partition_cols: str) -> DataFrame:
-    """Materialise ``df`` to the reliable checkpoint folder (survives executor
-    loss, cuts lineage).  See ``cut_lineage_counted``."""
-    return cut_lineage_counted(df, *partition_cols)[0]
-
-
-def cut_lineage_counted(df: DataFrame, *partition_cols: str) -> tuple[DataFrame, int]:
-    """Checkpoint ``df`` reliably and return it with its row count.
-
-    With ``partition_cols`` the data is hash-partitioned on them first, into
-    ``spark.sql.shuffle.partitions`` parts; the checkpoint keeps that
-    partitioning, so later joins and aggregates on those columns do not
-    shuffle this side again.  The frame is cached while the checkpoint is
-    written, so it is computed once; the count reads the checkpoint files.
-    """
-    from pyspark import StorageLevel
-
-    spark = df.sparkSession
-    checkpoint_dir(spark)
-    if partition_cols:
-        n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-        df = df.repartition(n, *partition_cols)
-    cached = df.persist(StorageLevel.MEMORY_AND_DISK)
-    # Eager: the checkpointed plan keeps the partitioning (a lazy one does not).
-    out = cached.checkpoint(eager=True)
-    cached.unpersist()
-    return out, out.count()
-
-
-def bucketed_table(df: DataFrame, name: str, key: str, repartition: bool = True) -> DataFrame:
+def bucketed_table(df: DataFrame, name: str, key: str) -> tuple[DataFrame, str]:
     """Write ``df`` as a table bucketed by ``key`` under the shared checkpoint
-    folder and read it back.
+    folder; returns it read back and its catalog name, which the caller drops.
 
     Lineage is cut and the data survives executor loss.  The bucketing is
     recorded in the catalog, so joins and aggregates on ``key`` read this side
     without a shuffle (with or without AQE).  The data is hash-partitioned by
     the key first, so each task writes one file per bucket, not one per task
-    and bucket; ``repartition=False`` skips that when the frame already comes
-    out of a shuffle on ``key``.
+    and bucket.
     """
     import uuid
 
@@ -110,9 +76,8 @@ def bucketed_table(df: DataFrame, name: str, key: str, repartition: bool = True)
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     table = f"{name}_{uuid.uuid4().hex[:12]}"
     path = os.path.join(checkpoint_dir(spark), "tables", table)
-    (df.repartition(n, key) if repartition else df).write.bucketBy(n, key).format("parquet") \
-        .option("path", path).saveAsTable(table)
-    return spark.table(table)
+    df.repartition(n, key).write.bucketBy(n, key).format("parquet").option("path", path).saveAsTable(table)
+    return spark.table(table), table
 
 
 def write_through(df: DataFrame, name: str) -> DataFrame:
@@ -125,36 +90,3 @@ def write_through(df: DataFrame, name: str) -> DataFrame:
     path = os.path.join(checkpoint_dir(spark), "tables", f"{name}-{uuid.uuid4().hex[:12]}")
     df.write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
-
-
-def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> tuple[DataFrame, int]:
-    """Broadcast ``df`` only when its counted size is within ``max_rows``.
-
-    Returns the (possibly hinted) frame and its row count.  Above the bound the
-    frame is returned unhinted and Spark shuffles (AQE may still convert the
-    join at run time from measured sizes).
-    """
-    from pyspark.sql import functions as F
-
-    n = df.count()
-    return (F.broadcast(df) if n <= max_rows else df), n
-
-
-def spread_small_input(df: DataFrame) -> DataFrame:
-    """Spread a small input over all cores before costly per-row text work.
-
-    A small table (e.g. one file with one row group) scans as a single task.
-    The decision uses the optimizer's size estimate (no job runs): an input
-    smaller than one split per core is round-robin repartitioned; anything
-    larger already scans as at least one split per core and passes through.
-    """
-    if df.isStreaming:
-        return df
-    spark = df.sparkSession
-    par = spark.sparkContext.defaultParallelism
-    split = spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(
-        spark.conf.get("spark.sql.files.maxPartitionBytes", "128m"))
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    if size < split * par:
-        return df.repartition(par)
-    return df

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from addrgraph.functions.common import strip_ws
 
 DISCOVERY_SCHEMA = "rec_id long, source string, kind string, value string"
 
@@ -13,8 +14,8 @@ def load_discovery(df: DataFrame) -> DataFrame:
     kind lower-cased.  Works the same on a streaming DataFrame."""
     cols = [F.col("rec_id")] if "rec_id" in df.columns else [F.monotonically_increasing_id().alias("rec_id")]
     return df.select(*cols,
-                     F.lower(F.trim("source")).alias("source"),
-                     F.lower(F.trim("kind")).alias("kind"),
+                     F.lower(strip_ws("source")).alias("source"),
+                     F.lower(strip_ws("kind")).alias("kind"),
                      F.col("value").cast("string").alias("value"))
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from addrgraph.session import spread_small_input
+from addrgraph.functions.common import strip_ws
 
 # Fields of the protocol, by value kind.
 STRING_FIELDS = ["email", "source_url", "current_url", "message", "reason"]
@@ -29,12 +29,12 @@ def _schema() -> str:
 def _int_value(t: Column) -> Column:
     """32-bit integer from a number or from integer text (surrounding white
     space and a sign allowed); null otherwise (``1.5``, ``1e2``, overflow)."""
-    return F.when(t.rlike(_INT_TEXT), F.trim(t).try_cast("int"))
+    return F.when(t.rlike(_INT_TEXT), strip_ws(t).try_cast("int"))
 
 
 def _double_value(t: Column) -> Column:
     """Double from a number or number text (thousands commas allowed)."""
-    return F.when(t.rlike(_FLOAT_TEXT), F.regexp_replace(F.trim(t), ",", "").try_cast("double"))
+    return F.when(t.rlike(_FLOAT_TEXT), F.regexp_replace(strip_ws(t), ",", "").try_cast("double"))
 
 
 def parse_event_lines(lines: DataFrame, line_col: str = "line", order_col: str = "line_no") -> DataFrame:
@@ -51,9 +51,7 @@ def parse_event_lines(lines: DataFrame, line_col: str = "line", order_col: str =
     parsed a second time, to tell bad JSON from non-object JSON.
     """
     src = lines.select(F.col(order_col).alias("line_no"), F.col(line_col).alias("line"))
-    if not src.isStreaming:
-        src = spread_small_input(src)
-    src = src.filter(F.length(F.trim("line")) > 0)
+    src = src.filter(F.length(strip_ws("line")) > 0)
     j = F.from_json("line", _schema(), {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": _CORRUPT})
     src = src.select("line_no", "line", j.alias("j"))
     kind = (F.when(F.col(f"j.{_CORRUPT}").isNotNull(),

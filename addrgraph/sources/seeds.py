@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from addrgraph.functions.common import strip_ws
 from addrgraph.functions.urls import normalize_url, strict_seed_url
 
 
@@ -30,7 +31,7 @@ def load_seeds(lines: DataFrame, line_col: str = "line", order_col: str = "line_
     there are more).  Duplicates ignoring case collapse to the first line.
     ``seed_rank`` is the line order of the first occurrence.
     """
-    v = lines.select(F.col(order_col).alias("seed_rank"), F.trim(F.col(line_col)).alias("value"))
+    v = lines.select(F.col(order_col).alias("seed_rank"), strip_ws(F.col(line_col)).alias("value"))
     v = v.filter(F.length("value") > 0).withColumn("url", strict_seed_url("value"))
     bad = v.filter(F.col("url").isNull()).orderBy("seed_rank").limit(4).collect()
     if bad:

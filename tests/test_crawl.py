@@ -58,14 +58,45 @@ def test_budget_is_fifo_prefix(spark):
         assert [r["url_key"] for r in cut] == [r["url_key"] for r in full[:n]]
 
 
-def test_small_broadcast_bound_takes_shuffle_path(spark):
+def test_reach_without_broadcasts_is_the_same(spark):
     site = fixture(spark, SF_SMALL, "site")
     seeds = _seeds(spark, [0, 1])
     a = crawl_reach(site, seeds, OPEN).drop("path").collect()
-    b = crawl_reach(site, seeds, replace(OPEN, broadcast_max_rows=0)).drop("path").collect()
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        b = crawl_reach(site, seeds, OPEN).drop("path").collect()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert sorted(map(tuple, a)) == sorted(map(tuple, b))
 
 
+def test_page_linked_by_every_page(spark):
+    n = 300
+    pages = spark.createDataFrame(
+        [(i, f"https://h.com/p{i}", f'<a href="/">home</a><a href="/p{(i + 1) % n}">next</a>') for i in range(n)]
+        + [(n, "https://h.com/", '<a href="\n /p7 \t">seven</a>')], "page_id long, url string, html string")
+    seeds = spark.createDataFrame([(0, "https://h.com/p0")], "seed_rank int, url string")
+    rows = {r["url_key"]: r for r in crawl_reach(pages, seeds, OPEN).collect()}
+    assert {k: r["depth"] for k, r in rows.items()} == {
+        "https://h.com/p0": 0, "https://h.com/": 1, "https://h.com/p1": 1, "https://h.com/p7": 2, "https://h.com/p2": 2,
+        "https://h.com/p8": 3, "https://h.com/p3": 3, "https://h.com/p9": 4, "https://h.com/p4": 4}
+    assert rows["https://h.com/"]["parent_key"] == "https://h.com/p0"
+
+
+def test_no_tables_are_left_in_the_catalog(spark):
+    crawl_reach(fixture(spark, SF_SMALL, "site"), _seeds(spark, [0]), OPEN).count()
+    assert not [t.name for t in spark.catalog.listTables() if t.name.startswith("crawl_")]
+
+
+def test_shared_edges_give_the_same_reach(spark):
+    from addrgraph.plans.crawl import crawl_edges
+
+    site, seeds = fixture(spark, SF_SMALL, "site"), _seeds(spark, [0, 1])
+    edges = crawl_edges(site, seeds, OPEN)
+    a, b = (sorted(map(tuple, crawl_reach(site, seeds, OPEN, edges=e).collect())) for e in (None, edges))
+    assert a == b
+
+
 def test_queue_lengths(spark):
     site = fixture(spark, SF_MID, "site")
     q = queue_length_by_level(crawl_reach(site, _seeds(spark, [0, 1]), OPEN)).orderBy("depth").collect()

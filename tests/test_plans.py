@@ -2,8 +2,10 @@
 
 import pytest
 
+from addrgraph.operators import extract as X
 from addrgraph.operators import links as L
 from addrgraph.plans import crawl as C
+from addrgraph.plans import prefix as P
 from addrgraph.plans import queries as Q
 from addrgraph.plans.fixtures import fixture
 from addrgraph.sources.seeds import load_seeds
@@ -22,38 +24,46 @@ def test_flagship_prunes_columns_and_aggregates_partially(spark):
     assert "hashpartitioning(email" in p
 
 
-def test_link_graph_small_host_set_has_no_hash_shuffle(spark):
+def test_row_local_jobs_do_not_shuffle_text(spark):
     site = fixture(spark, SF_SMALL, "site")
+    pages = Q._pages(spark, SF_SMALL)
+    assert "Exchange" not in _plan(L.link_graph(pages))
+    assert "Exchange" not in _plan(X.extract_links(pages)) and "Exchange" not in _plan(X.extract_anchor_links(pages))
     hosts = L.seed_hosts(load_seeds(fixture(spark, SF_SMALL, "seed_lines")))
-    p = _plan(L.link_graph(site, hosts))
-    assert "hashpartitioning" not in p
-    assert "Window" not in p
+    for p in (_plan(L.link_graph(site, hosts)), _plan(Q.document_email_report(spark, SF_SMALL)), _plan(Q.read_event_log(spark, SF_SMALL))):
+        assert "RoundRobinPartitioning" not in p
+
+
+def test_running_progress_reads_the_text_once(spark):
+    p = _plan(Q.running_progress(spark, SF_SMALL))
+    assert "regexp_extract_all" not in p and "SinglePartition" in p  # of one row per range
 
 
 def test_crawl_level_reads_bucketed_edges_without_exchange(spark, monkeypatch):
     captured = []
-    orig = C.bucketed_table
+    orig = P.write_through
 
-    def spy(df, name, key, **kw):
-        if name == "crawl_level" and captured == ["first"]:
-            captured.append(_plan(df))
-        elif name == "crawl_level" and not captured:
-            captured.append("first")
-        return orig(df, name, key, **kw)
+    def spy(df, name):
+        captured.append((name, _plan(df)))
+        return orig(df, name)
 
-    monkeypatch.setattr(C, "bucketed_table", spy)
+    monkeypatch.setattr(P, "write_through", spy)
     site = fixture(spark, SF_SMALL, "site")
     seeds = load_seeds(fixture(spark, SF_SMALL, "seed_lines"))
-    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
-    try:
-        C.crawl_reach(site, seeds, C.CrawlOptions(max_pages=None, broadcast_max_rows=0)).count()
-    finally:
-        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
-    plan = captured[1]
+    for threshold in (None, "-1"):  # Spark's own choice of joins, and none broadcast
+        captured.clear()
+        if threshold:
+            spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+        try:
+            C.crawl_reach(site, seeds, C.CrawlOptions(max_pages=None)).count()
+        finally:
+            spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        plan = [p for n, p in captured if n == "scan_rows"][1]
+        assert "crawl_edges" in plan and "partial_min" in plan
+        assert "Exchange hashpartitioning(src_key" not in plan.split("crawl_edges")[0] or threshold
+        # one shuffle of link rows per level: the aggregate by destination
+        assert plan.count("Exchange hashpartitioning(dst_key") == 1
     assert "Bucketed: true" in plan
-    # one shuffle per level: the candidates' aggregate by destination key
-    assert plan.count("Exchange hashpartitioning(dst_key") == 1
-    assert "Exchange hashpartitioning(src_key" not in plan
 
 
 def test_crawl_reports_levels(spark):

@@ -1,9 +1,10 @@
 """The bucketed prefix scan equals a plain global window, with many buckets."""
 
+import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from addrgraph.plans.prefix import running_scan
+from addrgraph.plans.prefix import global_rank, running_scan
 
 
 def test_running_scan_many_buckets(spark):
@@ -17,3 +18,22 @@ def test_running_scan_many_buckets(spark):
     b = sorted(tuple(r) for r in want.collect())
     assert a == b
     assert got.select("k").distinct().count() == 5000
+
+
+@pytest.mark.parametrize("buckets", [500, 5000])
+def test_running_scan_very_many_buckets(spark, buckets):
+    n = 20_000
+    df = spark.range(n).select((F.col("id") * 3 + 1).alias("k"), (F.col("id") % 7).alias("v"),
+                               F.when(F.col("id") % 5 == 0, F.col("id")).alias("x"))
+    got = running_scan(df, "k", sums={"s": F.col("v")}, lasts={"l": F.col("x")}, rows_per_bucket=n // buckets)
+    want, total = {}, 0
+    for i in range(n):
+        total += i % 7
+        want[3 * i + 1] = (total, i - i % 5)
+    assert {r["k"]: (r["s"], r["l"]) for r in got.collect()} == want
+
+
+def test_global_rank(spark):
+    df = spark.range(1000).select((F.col("id") * 37 % 1000).alias("k"))
+    got = global_rank(df, ["k"], "r", rows_per_bucket=90).collect()
+    assert all(r["k"] == r["r"] for r in got) and len(got) == 1000

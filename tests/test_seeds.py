@@ -24,3 +24,8 @@ def test_lenient(spark):
     df = _lines(spark, ["https://a.com/x#f", "https://a.com/x", "HTTPS://A.com", "", "https://"])
     got = sorted(tuple(r) for r in load_seeds_lenient(df).collect())
     assert got == [(0, "https://a.com/x"), (2, "https://HTTPS://A.com")]
+
+
+def test_lines_of_white_space_are_blank(spark):
+    df = _lines(spark, ["\t", "https://a.com/\r", "\u00a0"])
+    assert [tuple(r) for r in load_seeds(df).collect()] == [(1, "https://a.com/")]

@@ -71,3 +71,14 @@ def test_random_against_python_re(spark, seed):
 def test_page_emails_distinct_lower(spark):
     got = _one(spark, T.page_emails(F.col("t")), ["A@B.com a@b.COM c@d.org"])
     assert list(got[0]) == ["a@b.com", "c@d.org"]
+
+
+def test_one_pass_decoding_and_names(spark):
+    vals = ["&#38;lt;", "&amp;#64;", "/c&eacute;", "&bogus; & &", "&amp;amp;", "&apos;&quot;&nbsp;x", "&lt&gt;", "&#x26;#64;"]
+    got = _one(spark, T.decode_html(F.col("t")), vals)
+    assert got == ["&lt;", "&#64;", "/c\u00e9", "&bogus; & &", "&amp;", "'\"\u00a0x", "&lt>", "&#64;"]
+
+
+def test_white_space_of_any_kind_is_trimmed(spark):
+    vals = ["\ta@b.com\n", "\u00a0a@b.com\u2003", "\r\n", " a@b.com\x0b"]
+    assert _one(spark, T.normalize_email(F.col("t")), vals) == ["a@b.com", "a@b.com", None, "a@b.com"]

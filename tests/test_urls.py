@@ -99,3 +99,20 @@ def test_ext_and_host(spark):
     assert _two(spark, U.ext_of(F.col("a")), vals) == ["png", "", "", "gz"]
     assert _two(spark, U.host_of(F.col("a")), vals) == ["h.com", "h.com", "h.com", "h.com"]
     assert _two(spark, U.blocked_extension(F.col("a")), vals) == [True, False, False, True]
+
+
+def test_bracketed_hosts_and_white_space(spark):
+    from pyspark.sql import functions as F
+
+    from addrgraph.functions import urls as U
+
+    df = spark.createDataFrame([(0, "http://[::1]:80/a"), (1, "http://u@[2001:DB8::2]/a"), (2, "\tH.example.com\r")], "i int, t string")
+    rows = df.orderBy("i").select(U.host_of(F.col("t")), U.normalize_host(F.col("t"))).collect()
+    assert [r[0] for r in rows[:2]] == ["[::1]", "[2001:db8::2]"] and rows[2][1] == "h.example.com"
+
+
+def test_line_broken_href(spark):
+    from addrgraph.operators.extract import extract_links
+
+    pages = spark.createDataFrame([(1, "https://h.com/a/", '<a href="\n /b ">x</a>')], "page_id long, url string, html string")
+    assert [r["dst_url"] for r in extract_links(pages).collect()] == ["https://h.com/b"]
