@@ -27,7 +27,7 @@ def _pieces(path: str, capacity: int, end_id: int):
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches):
-        ids_of = encoder(path, "library").ids
+        ids_of = encoder(path, "ranks").ids
         for b in batches:
             out = []
             for row, doc_id, text in zip(*(b.column(i).to_pylist() for i in range(3))):

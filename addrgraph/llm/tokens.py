@@ -55,7 +55,7 @@ class TextEncoder:
     pieces that may hold a special token to the library.
     """
 
-    def __init__(self, path: str, merges: str = "library", limit: int = 400_000):
+    def __init__(self, path: str, merges: str = "library", limit: int = 800_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import numpy as np
         from tokenizers import Tokenizer
