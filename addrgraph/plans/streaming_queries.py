@@ -1,6 +1,6 @@
-"""Registered streaming jobs: the input table is staged as files, replayed as
-a stream to completion (``availableNow``, several files per run so there are
-several micro-batches), and the sink is read back.  Each equals its batch twin.
+"""Registered streaming jobs: the input table is staged as files in Spark's own
+partitioning, replayed as a stream to completion (``availableNow``, micro-batches
+bounded in bytes), and the sink is read back.  Each equals its batch twin.
 """
 
 from __future__ import annotations
@@ -16,6 +16,9 @@ from addrgraph.session import checkpoint_dir
 from addrgraph.streaming import jobs as K
 
 
+# Input of one micro-batch.
+MICRO_BATCH_BYTES = 1 << 30
+
 
 def _stage(spark: SparkSession, df: DataFrame, name: str) -> tuple[str, str]:
     """Write ``df`` as several Parquet files on shared storage; return (data, work) folders."""
@@ -26,7 +29,7 @@ def _stage(spark: SparkSession, df: DataFrame, name: str) -> tuple[str, str]:
 
 
 def _replay(spark: SparkSession, data: str, schema) -> DataFrame:
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(data)
+    return spark.readStream.schema(schema).option("maxBytesPerTrigger", MICRO_BATCH_BYTES).parquet(data)
 
 
 def _await(q) -> None:
@@ -100,7 +103,7 @@ STREAM_QUERIES = {
 def stream_oracles() -> dict[str, str]:
     o = O.oracle_sql()
     summary = o["crawl_summary"].replace(",\n  0.0::double as duration_seconds", "")
-    return {
+    out = {
         "stream_email_hits": o["extract_emails_site"],
         "stream_email_report": o["email_report"],
         "stream_unique_emails": "with " + O.fx("hits") + "\nselect distinct email from hits",
@@ -111,3 +114,4 @@ select line_no, kind, email, source_url, current_url, message, reason, processed
   case when kind = 'unparsed' then 'log' else kind end as "table"
 from ev where kind in ('email', 'progress', 'log', 'summary', 'unparsed')""",
     }
+    return {name: O._expand_trims(sql) for name, sql in out.items()}

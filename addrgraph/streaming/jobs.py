@@ -15,6 +15,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from addrgraph.functions.text import page_emails
 from addrgraph.operators.extract import extract_emails, split_fetchable
 from addrgraph.sources.eventlog import parse_event_lines
 
@@ -64,13 +65,33 @@ def read_report(spark: SparkSession, base: str, key: str = "email") -> DataFrame
     """Current report from an update-mode log: the latest row per key.
 
     Each epoch holds the full current aggregate of the keys it changed, so the
-    row from the highest epoch is the current one (a partial + final
-    aggregate; no table is rewritten per micro-batch).
+    row from the highest epoch is the current one (a partial + final aggregate).
+    Epochs up to the newest snapshot are read from it.
     """
     log = spark.read.parquet(base)
     cols = [c for c in log.columns if c not in (key, "__epoch", "epoch")]
+    newest = _newest_snapshot(spark, base)
+    if newest is not None:
+        log = log.filter(F.col("epoch") > newest).unionByName(
+            spark.read.parquet(_snapshot(base, newest)), allowMissingColumns=True)
     last = F.max_by(F.struct(*cols), F.col("__epoch")).alias("__r")
-    return log.groupBy(key).agg(last).select(key, *[F.col(f"__r.{c}").alias(c) for c in cols])
+    return log.groupBy(key).agg(last, F.max("__epoch").alias("__epoch")).select(
+        key, *[F.col(f"__r.{c}").alias(c) for c in cols], "__epoch")
+
+
+def _snapshot(base: str, epoch: int) -> str:
+    return os.path.join(f"{base}-snapshots", f"{epoch:012d}")
+
+
+def _newest_snapshot(spark: SparkSession, base: str) -> int | None:
+    """Epoch of the newest complete snapshot of a log."""
+    if not _exists(spark, f"{base}-snapshots"):
+        return None
+    jvm = spark.sparkContext._jvm
+    top = jvm.org.apache.hadoop.fs.Path(f"{base}-snapshots")
+    fs = top.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    done = [int(s.getPath().getName()) for s in fs.listStatus(top) if _exists(spark, s.getPath().toString() + "/_SUCCESS")]
+    return max(done, default=None)
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
@@ -79,13 +100,6 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
 
 
-def _epochs_before(spark: SparkSession, base: str, epoch: int) -> DataFrame | None:
-    """Rows written by earlier epochs (a replayed epoch never sees itself)."""
-    if not _exists(spark, base):
-        return None
-    return spark.read.parquet(base).filter(F.col("epoch") < epoch)
-
-
 def read_progress(spark: SparkSession, base: str) -> DataFrame:
     """Latest progress row of a K4 sink (one row)."""
     log = spark.read.parquet(base)
@@ -93,12 +107,18 @@ def read_progress(spark: SparkSession, base: str) -> DataFrame:
     return log.agg(F.max_by(F.struct(*cols), F.col("epoch")).alias("r")).select("r.*")
 
 
-def run_email_report(hits_stream: DataFrame, out: str, checkpoint: str, available_now: bool = True):
+def run_email_report(hits_stream: DataFrame, out: str, checkpoint: str, available_now: bool = True,
+                     snapshot_every: int = 20):
     """K2 sink: update mode; each micro-batch's changed rows are appended under
-    its epoch, and ``read_report`` gives the current table."""
+    its epoch, and ``read_report`` gives the current table.  Every
+    ``snapshot_every`` epochs the current table is written as a snapshot, so a
+    reader looks at one table and a bounded number of epochs."""
+    spark = hits_stream.sparkSession
 
     def merge(batch: DataFrame, epoch: int) -> None:
         _append_epoch(out, batch, epoch)
+        if (epoch + 1) % snapshot_every == 0:
+            read_report(spark, out).write.mode("overwrite").parquet(_snapshot(out, epoch))
 
     w = (stream_email_report(hits_stream).writeStream.outputMode("update")
          .option("checkpointLocation", checkpoint).foreachBatch(merge))
@@ -109,39 +129,42 @@ def run_progress(pages_stream: DataFrame, out: str, checkpoint: str, available_n
     """K4.  Running counters per micro-batch: processed, failed, unique
     addresses so far, total hits so far.
 
-    Each micro-batch appends, under its epoch, the addresses it saw first (an
-    anti join against earlier epochs) and one progress row; nothing written
-    before is rewritten, and a replayed epoch overwrites only its own folder.
+    Totals and first sightings are one stateful aggregate: a group for all pages
+    and one for each address, with the times of the first and the last batch
+    that held it.  A batch sees only the groups it changed; an address is new if
+    its first batch is this one.  Only the running count of addresses comes from
+    the row of the epoch before.
     """
     spark = pages_stream.sparkSession
-    seen_dir, prog_dir = os.path.join(out, "seen"), os.path.join(out, "progress")
+    progress = os.path.join(out, "progress")
+    pages = split_fetchable(pages_stream)
+    emails = F.when(F.col("ok"), page_emails(F.coalesce("html", F.lit("")))).otherwise(F.array().cast("array<string>"))
+    pages = pages.select("ok", emails.alias("emails"))
+    page = F.struct(F.lit("page").alias("kind"), F.lit("").alias("key"), F.col("ok"), F.size("emails").alias("found"))
+    each = F.transform("emails", lambda e: F.struct(
+        F.lit("address").alias("kind"), e.alias("key"), F.lit(True).alias("ok"), F.lit(0).alias("found")))
+    rows = pages.select(F.inline(F.concat(F.array(page), each)))
+    rows = rows.withColumn("at", F.current_timestamp())  # one value in a micro-batch
+    groups = rows.groupBy("kind", "key").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(~F.col("ok")).alias("failed"), F.sum("found").alias("found"),
+        F.min("at").alias("first"), F.max("at").alias("last"))
 
     def step(batch: DataFrame, epoch: int) -> None:
-        pages = split_fetchable(batch).persist()
-        emails = extract_emails(pages.filter("ok")).select("email").persist()
-        new = emails.distinct()
-        seen = _epochs_before(spark, seen_dir, epoch)
-        if seen is not None:
-            new = new.join(seen.select("email"), "email", "left_anti")
-        new_dir = os.path.join(seen_dir, f"epoch={epoch:012d}")
-        new.write.mode("overwrite").parquet(new_dir)
-        n_new = spark.read.parquet(new_dir).count()
-        counts = pages.agg(F.count(F.lit(1)).alias("p"), F.count_if(~F.col("ok")).alias("f")).first()
-        n_hits = emails.count()
-        prev = _epochs_before(spark, prog_dir, epoch)
-        base = (0, 0, 0, 0)
-        if prev is not None:
-            last = prev.agg(F.max_by(F.struct("processed_pages", "failed_pages", "unique_email_count",
-                                              "total_email_hits"), F.col("epoch")).alias("r")).first()["r"]
-            base = tuple(last) if last is not None else base
-        row = (base[0] + counts["p"], base[1] + counts["f"], base[2] + n_new, base[3] + n_hits)
-        spark.createDataFrame([row], "processed_pages long, failed_pages long, unique_email_count long, "
-                                     "total_email_hits long") \
-            .write.mode("overwrite").parquet(os.path.join(prog_dir, f"epoch={epoch:012d}"))
-        pages.unpersist()
-        emails.unpersist()
-
-    w = pages_stream.writeStream.option("checkpointLocation", checkpoint).foreachBatch(step)
+        is_page = F.col("kind") == "page"
+        now_row = batch.agg(
+            F.max(F.when(is_page, F.col("n"))).alias("processed_pages"), F.max(F.when(is_page, F.col("failed"))).alias("failed_pages"),
+            F.count_if(~is_page & (F.col("first") == F.col("last"))).alias("new"),
+            F.max(F.when(is_page, F.col("found"))).alias("total_email_hits"))
+        before = os.path.join(progress, f"epoch={epoch - 1:012d}")
+        prev = spark.read.parquet(before).first() if epoch and _exists(spark, before) else None
+        base = prev.asDict() if prev else dict.fromkeys(("processed_pages", "failed_pages", "unique_email_count", "total_email_hits"), 0)
+        now_row.select(
+            *[F.coalesce(F.col(c), F.lit(base[c])).cast("long").alias(c) for c in ("processed_pages", "failed_pages")],
+            (F.col("new") + base["unique_email_count"]).alias("unique_email_count"),
+            F.coalesce("total_email_hits", F.lit(base["total_email_hits"])).cast("long").alias("total_email_hits"),
+        ).write.mode("overwrite").parquet(os.path.join(progress, f"epoch={epoch:012d}"))
+
+    w = groups.writeStream.outputMode("update").option("checkpointLocation", checkpoint).foreachBatch(step)
     return (w.trigger(availableNow=True) if available_now else w).start()
 
 

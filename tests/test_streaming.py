@@ -44,3 +44,44 @@ def test_unique_with_watermark_bounds_state(spark):
     got = sorted(r[0] for r in spark.read.parquet(os.path.join(work, "out")).collect())
     # A watermark wider than the data keeps every address once.
     assert got == sorted(r[0] for r in hits.select("email").distinct().collect())
+
+
+def _staged(spark, df, name, files):
+    import os
+
+    from addrgraph.session import checkpoint_dir
+    from addrgraph.streaming import jobs as K
+
+    work = K.new_run_folder(os.path.join(checkpoint_dir(spark), "streams"), name)
+    df.repartition(files).write.parquet(os.path.join(work, "in"))
+    return work, spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(os.path.join(work, "in"))
+
+
+def test_progress_over_several_batches(spark, monkeypatch):
+    from pyspark.sql import DataFrameReader
+
+    from addrgraph.plans.fixtures import fixture
+    from addrgraph.streaming import jobs as K
+
+    work, src = _staged(spark, fixture(spark, SF_SMALL, "site"), "k4m", 3)
+    read, orig = [], DataFrameReader.parquet
+    monkeypatch.setattr(DataFrameReader, "parquet", lambda self, *p: (read.extend(p), orig(self, *p))[1])
+    q = K.run_progress(src, work + "/out", work + "/ck")
+    q.awaitTermination()
+    monkeypatch.undo()
+    # a batch reads nothing but the one row of the batch before
+    assert [p.rsplit("=", 1)[1] for p in read] == [f"{e:012d}" for e in range(len(read))] and len(read) == 2
+    want = Q.crawl_summary(spark, SF_SMALL).drop("duration_seconds").first()
+    assert tuple(K.read_progress(spark, work + "/out/progress").select(*want.asDict()).first()) == tuple(want)
+
+
+def test_report_snapshots(spark):
+    from addrgraph.plans.fixtures import fixture
+    from addrgraph.streaming import jobs as K
+
+    work, src = _staged(spark, fixture(spark, SF_SMALL, "hits"), "k2m", 5)
+    K.run_email_report(src, work + "/out", work + "/ck", snapshot_every=2).awaitTermination()
+    assert K._newest_snapshot(spark, work + "/out") == 3
+    want = Q.email_report(spark, SF_SMALL)
+    got = K.read_report(spark, work + "/out").select(*want.columns)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
