@@ -150,27 +150,24 @@ def _profiles(heavy: np.ndarray, percent: int):
     return run
 
 
-def _verify(percent: int):
+def _verify(percent: int, pairs_at_once: int = 500):
     def run(batches):
         import zstandard
 
-        unpack, kept = zstandard.ZstdDecompressor().decompress, {}
-
-        def of(node, blob):
-            if node not in kept:
-                if len(kept) >= 256:
-                    kept.pop(next(iter(kept)))
-                kept[node] = shingle_sets([unpack(blob.as_py())])[0]
-            return kept[node]
-
-        for b in batches:
-            keep = []
-            for i, (x, y) in enumerate(zip(b.column(0).to_pylist(), b.column(1).to_pylist())):
-                p, q = of(x, b.column(2)[i]), of(y, b.column(3)[i])
-                both = len(np.intersect1d(p, q, assume_unique=True))
-                if 100 * both >= percent * (len(p) + len(q) - both):
-                    keep.append(i)
-            yield pa.RecordBatch.from_arrays([b.column(k).take(pa.array(keep, pa.int64())) for k in range(2)], ["a", "b"])
+        unpack = zstandard.ZstdDecompressor().decompress
+        for whole in batches:
+            for at in range(0, len(whole), pairs_at_once):
+                b = whole.slice(at, pairs_at_once)
+                a_ids, b_ids = b.column(0).to_pylist(), b.column(1).to_pylist()
+                where = {node: (2, i) for i, node in enumerate(a_ids)} | {node: (3, i) for i, node in enumerate(b_ids)}
+                sets = dict(zip(where, shingle_sets([unpack(b.column(c)[i].as_py()) for c, i in where.values()])))
+                keep = []
+                for i, (x, y) in enumerate(zip(a_ids, b_ids)):
+                    p, q = sets[x], sets[y]
+                    both = len(np.intersect1d(p, q, assume_unique=True))
+                    if 100 * both >= percent * (len(p) + len(q) - both):
+                        keep.append(i)
+                yield pa.RecordBatch.from_arrays([b.column(k).take(pa.array(keep, pa.int64())) for k in range(2)], ["a", "b"])
 
     return run
 
@@ -231,24 +228,66 @@ class RTree:
                     yield hit, np.full(len(hit), p)
 
 
+def _block_pairs(points: np.ndarray, left: np.ndarray, right: np.ndarray, percent: int):
+    """Index arrays of the pairs of a block that the bound lets through: by hand if there are
+    few, else through a tree over the right side."""
+    if len(left) * len(right) <= 4096:
+        x, y = (k.ravel() for k in np.meshgrid(left, right, indexing="ij"))
+        bound = np.minimum(points[x], points[y]).sum(1)
+        hit = (100 + percent) * bound >= percent * (points[x].sum(1) + points[y].sum(1))
+        yield x[hit], y[hit]
+        return
+    tree = RTree(points[right])
+    for q, p in tree.candidates(points[left], percent):
+        yield left[q], right[p]
+
+
 def _block_join(percent: int):
-    def join(key, rows):
-        points = np.stack([np.frombuffer(p, "<u4") for p in rows["point"]]).astype(np.int64)
-        nodes, comps, salts = (rows[c].to_numpy() for c in ("node", "component", "salt"))
-        left, right = np.flatnonzero(salts == key[1]), np.flatnonzero(salts == key[2])
-        found = []
-        if len(left) and len(right):
-            tree = RTree(points[right])
-            for q, p in tree.candidates(points[left], percent):
-                x, y = left[q], right[p]
-                other = comps[x] != comps[y]
-                found.append(np.stack([np.minimum(nodes[x], nodes[y]), np.maximum(nodes[x], nodes[y])])[:, other])
-        pairs = np.unique(np.concatenate(found, axis=1), axis=1) if found else np.empty((2, 0), np.int64)
+    """Candidate pairs between components in the blocks of one group of blocks."""
+    def join(rows):
+        rows = rows.sort_values(["token", "i", "j"], kind="stable", ignore_index=True)
+        points = np.frombuffer(b"".join(rows["point"]), "<u4").reshape(len(rows), -1).astype(np.int64)
+        nodes, comps, salts, i, j, token = (rows[c].to_numpy() for c in ("node", "component", "salt", "i", "j", "token"))
+        change = (token[1:] != token[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])
+        starts = np.append(0, np.flatnonzero(change) + 1)
+        sizes = np.diff(np.append(starts, len(rows)))
+        pair = starts[(sizes == 2) & (i[starts] == j[starts])]  # most blocks have two members
+        found = [(pair, pair + 1)]
+        for start, size in zip(starts.tolist(), sizes.tolist()):
+            own = np.arange(start, start + size)
+            if i[start] != j[start]:
+                found += _block_pairs(points, own[salts[own] == i[start]], own[salts[own] == j[start]], percent)
+            elif size > 2:
+                found += _block_pairs(points, own, own, percent)
+        x, y = (np.concatenate(f) for f in zip(*found))
+        bound = np.minimum(points[x], points[y]).sum(1)
+        keep = (comps[x] != comps[y]) & ((100 + percent) * bound >= percent * (points[x].sum(1) + points[y].sum(1)))
+        x, y = nodes[x[keep]], nodes[y[keep]]
+        pairs = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)]), axis=1)
         return pd.DataFrame({"a": pairs[0], "b": pairs[1]})
 
     return join
 
 
+def _bound_filter(percent: int):
+    def run(batches):
+        for b in batches:
+            x, y = (np.frombuffer(b"".join(b.column(c).to_pylist()), "<u4").reshape(len(b), -1).astype(np.int64)
+                    if len(b) else np.empty((0, 1), np.int64) for c in (2, 3))
+            keep = (100 + percent) * np.minimum(x, y).sum(1) >= percent * (x.sum(1) + y.sum(1))
+            at = pa.array(np.flatnonzero(keep))
+            yield pa.RecordBatch.from_arrays([b.column(c).take(at) for c in range(2)], ["a", "b"])
+
+    return run
+
+
+def _bounded(pairs: DataFrame, points: DataFrame, percent: int) -> DataFrame:
+    """Pairs whose sum of coordinate minima allows the similarity."""
+    both = (pairs.join(points.withColumnsRenamed({"node": "a", "point": "x"}), "a")
+            .join(points.withColumnsRenamed({"node": "b", "point": "y"}), "b").select("a", "b", "x", "y"))
+    return both.mapInArrow(_bound_filter(percent), "a long, b long")
+
+
 def _verified(pairs: DataFrame, active: DataFrame, percent: int) -> DataFrame:
     texts = active.select("node", "blob")
     both = (pairs.join(texts.withColumnsRenamed({"node": "a", "blob": "x"}), "a")
@@ -256,7 +295,7 @@ def _verified(pairs: DataFrame, active: DataFrame, percent: int) -> DataFrame:
     return both.mapInArrow(_verify(percent), "a long, b long")
 
 
-def near_groups(docs: DataFrame, percent: int = 80, groups: int = 64, block_rows: int = 4096, most_heavy: int = 65_536) -> DataFrame:
+def near_groups(docs: DataFrame, percent: int = 80, groups: int = 128, block_rows: int = 4096, most_heavy: int = 65_536) -> DataFrame:
     """row, doc_id, n_shingles and component_id, one row per row of ``docs``.
 
     Two documents link if 100 times their common shingles reach ``percent`` times all of
@@ -281,10 +320,11 @@ def near_groups(docs: DataFrame, percent: int = 80, groups: int = 64, block_rows
     blocks = written(tokens.groupBy("token").agg(hub["node"].alias("hub"), F.count("*").alias("members")).where("members > 1"), "blocks")
     met = written(tokens.join(blocks, "token"), "met")
     active = written(nodes.select(F.col("row").alias("node"), "blob").join(met.select("node").distinct(), "node"), "active")
+    points = written(active.select("node", "blob").mapInArrow(_count_vectors(groups), "node long, point binary"), "points")
     pairs = written(met.where("node <> hub").select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct(), "pairs")
     same = Window.partitionBy("digest")  # one row per task that saw the set
     copies = (nodes.select("digest", F.col("row").alias("b")).withColumn("a", F.min("b").over(same)).where("a < b").select("a", "b"))
-    links = written(_verified(pairs, active, percent).union(copies), "links")
+    links = written(_verified(_bounded(pairs, points, percent), active, percent).union(copies), "links")
     # step 2: blocks that still hold several components
     component = connected_components(links)
     placed = (met.select("token", "node").join(component, "node", "left")
@@ -292,13 +332,14 @@ def near_groups(docs: DataFrame, percent: int = 80, groups: int = 64, block_rows
     mixed = (placed.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("members"))
              .where("low < high").select("token", F.ceil(F.col("members") / block_rows).cast("int").alias("salts")))
     placed = written(placed.join(mixed, "token"), "mixed")
-    points = (active.join(placed.select("node").distinct(), "node", "left_semi").select("node", "blob")
-              .mapInArrow(_count_vectors(groups), "node long, point binary"))
     salted = placed.join(points, "node").withColumn("salt", F.pmod(F.xxhash64("node"), F.col("salts")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("other")
     salted = salted.select("token", "node", "component", "point", "salt", other).withColumn(
         "i", F.least("salt", "other")).withColumn("j", F.greatest("salt", "other"))
-    rest = (salted.groupBy("token", "i", "j").applyInPandas(_block_join(percent), "a long, b long").distinct()
+    # blocks go to tasks together, as most are small
+    together = max(1, -(-placed.count() // (4 * block_rows)))
+    salted = salted.withColumn("task", F.pmod(F.xxhash64("token", "i", "j"), F.lit(together)))
+    rest = (salted.groupBy("task").applyInPandas(_block_join(percent), "a long, b long").distinct()
             .join(pairs, ["a", "b"], "left_anti"))
     links = links.union(written(_verified(rest, active, percent), "links"))
     component = connected_components(links)
