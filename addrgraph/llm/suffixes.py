@@ -25,6 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from addrgraph.session import bucketed_table
+
 from .common import read, text_or_empty, written
 
 TAGGED = "chunk long, kind int, bucket long, b0 binary, b1 binary, b2 binary, b3 binary, b4 binary"
@@ -148,12 +150,12 @@ def _mixed(x):
 
 def anchors(data: np.ndarray, sizes: np.ndarray, length: int, gram: int):
     """Segments of the texts that stand one after the other in ``data``: hash of the anchor,
-    first and last string start, and text number; every string of ``length`` bytes within a
-    text is in one segment."""
+    first and last string start, text number, and the anchor's place; every string of
+    ``length`` bytes within a text is in one segment."""
     none = np.empty(0, np.int64)
     n = len(data)
     if n < length:
-        return none.view(np.uint64), none, none, none
+        return none.view(np.uint64), none, none, none, none
     # rolling hash of ``gram`` bytes by doubling
     h, have, total, done = TABLE[data], 1, None, 0
     while True:
@@ -190,7 +192,7 @@ def anchors(data: np.ndarray, sizes: np.ndarray, length: int, gram: int):
     new[1:] &= ~(valid[:-1] & (picked[1:] == picked[:-1]))
     first = np.flatnonzero(new)
     if not len(first):
-        return none.view(np.uint64), none, none, none
+        return none.view(np.uint64), none, none, none, none
     stop = ~valid
     stop[first] = True
     edges = np.append(np.flatnonzero(stop), len(picked))
@@ -200,7 +202,7 @@ def anchors(data: np.ndarray, sizes: np.ndarray, length: int, gram: int):
     hashed = np.zeros(len(first), np.uint64)
     for column in bytes_.view("<u8").T:
         hashed = _mixed(hashed * np.uint64(0x9E3779B97F4A7C15) + column)
-    return hashed, first, last, np.searchsorted(ends, first, "right")
+    return hashed, first, last, np.searchsorted(ends, first, "right"), picked[first]
 
 
 def _tagged(rows: list[tuple]) -> pa.Table:
@@ -249,19 +251,32 @@ def _sorted_by_bucket(hashed: np.ndarray, bits: int):
     return [(int(buckets[a]), slice(int(a), int(e))) for a, e in zip(starts, [*starts[1:], len(buckets)])]
 
 
+def _packed_marks(hashed: np.ndarray, several: np.ndarray) -> np.ndarray:
+    """47 bits of each hash and a flag, six bytes each; equal cuts of unequal hashes only
+    send a segment that nothing equals."""
+    return np.ascontiguousarray(((hashed >> np.uint64(17) << np.uint64(1)) | several.astype(np.uint64)).view(np.uint8).reshape(-1, 8)[:, :6])
+
+
+def _marks(packed: bytes) -> np.ndarray:
+    wide = np.zeros((len(packed) // 6, 8), np.uint8)
+    wide[:, :6] = np.frombuffer(packed, np.uint8).reshape(-1, 6)
+    return wide.view("<u8").ravel()
+
+
 def _list_anchors(bits: int, length: int, gram: int):
     """Distinct anchors of each chunk by bucket; the lowest bit says: in several of its documents."""
     def run(batches):
         for b in batches:
             for row in zip(*(c.to_pylist() for c in b.columns)):
                 data, sizes, _, ids = _opened(*row[3:7])
-                hashed, _, _, doc = anchors(data, sizes, length, gram)
+                hashed, _, _, doc, _ = anchors(data, sizes, length, gram)
                 order = np.lexsort((ids[doc], hashed))
-                hashed, doc = hashed[order] >> np.uint64(1), ids[doc[order]]
+                hashed, doc = hashed[order], ids[doc[order]]
                 begin = np.flatnonzero(np.append(True, hashed[1:] != hashed[:-1])) if len(hashed) else np.empty(0, np.int64)
-                several = doc[begin] != doc[np.append(begin[1:], len(doc)) - 1] if len(begin) else begin
-                hashed = (hashed[begin] << np.uint64(1)) | several.astype(np.uint64)
-                yield from _tagged([(row[0], 1, bucket, hashed[at].tobytes(), None, None, None, None)
+                several = doc[begin] != doc[np.append(begin[1:], len(doc)) - 1] if len(begin) else np.empty(0, bool)
+                hashed = hashed[begin]
+                packed = _packed_marks(hashed, several)
+                yield from _tagged([(row[0], 1, bucket, packed[at].tobytes(), None, None, None, None)
                                     for bucket, at in _sorted_by_bucket(hashed, bits)]).to_batches()
 
     return run
@@ -269,90 +284,107 @@ def _list_anchors(bits: int, length: int, gram: int):
 
 def _shared_anchors(bucket: pa.Table) -> pa.Table:
     """The anchors of a bucket that several documents have, for each chunk."""
-    lists = [np.frombuffer(x, np.uint64) for x in bucket["b0"].to_pylist()]
+    lists = [_marks(x) for x in bucket["b0"].to_pylist()]
     marked = np.concatenate(lists)
     every, inverse, n = np.unique(marked >> np.uint64(1), return_inverse=True, return_counts=True)
     several = n > 1
     several[inverse[(marked & np.uint64(1)) == 1]] = True
     keep = np.split(several[inverse], np.cumsum([len(x) for x in lists])[:-1])
-    return _tagged([(chunk, 1, 0, (own[k] >> np.uint64(1)).tobytes(), None, None, None, None)
-                    for chunk, own, k in zip(bucket["chunk"].to_pylist(), lists, keep) if k.any()])
+    return _tagged([(chunk, 1, 0, np.frombuffer(packed, np.uint8).reshape(-1, 6)[k].tobytes(), None, None, None, None)
+                    for chunk, packed, k in zip(bucket["chunk"].to_pylist(), bucket["b0"].to_pylist(), keep) if k.any()])
 
 
-def _shared_segments(group: pa.Table, length: int, gram: int):
+def _shared_segments(chunk: pa.Table, told: pa.Table, length: int, gram: int):
     """The chunk opened, and of its segments with shared anchors: document, first string, and
-    the number of the distinct segment, which are listed by anchor and bytes."""
-    kinds = group["kind"].to_pylist()
-    whole = group.slice(kinds.index(0), 1).to_pylist()[0]
+    the number of the distinct segment, which are listed by anchor, bytes and the anchor's offset."""
+    whole = chunk.to_pylist()[0]
     data, sizes, rows, ids = _opened(whole["b0"], whole["b1"], whole["b2"], whole["b3"])
-    shared = [np.frombuffer(x, np.uint64) for x, k in zip(group["b0"].to_pylist(), kinds) if k == 1]
+    shared = [_marks(x) for x, k in zip(told["b0"].to_pylist(), told["kind"].to_pylist()) if k == 1]
     empty = np.empty(0, np.int64)
     if not shared:
         return data, sizes, rows, ids, empty, empty, empty, []
-    hashed, first, last, doc = anchors(data, sizes, length, gram)
-    shared = np.sort(np.concatenate(shared))
-    at = np.minimum(np.searchsorted(shared, hashed >> np.uint64(1)), len(shared) - 1)
-    keep = shared[at] == hashed >> np.uint64(1)
-    hashed, first, last, doc = hashed[keep], first[keep], last[keep], doc[keep]
+    hashed, first, last, doc, place = anchors(data, sizes, length, gram)
+    shared = np.sort(np.concatenate(shared) >> np.uint64(1))
+    mark = hashed >> np.uint64(17)
+    at = np.minimum(np.searchsorted(shared, mark), len(shared) - 1)
+    keep = shared[at] == mark
+    hashed, first, last, doc, place = hashed[keep], first[keep], last[keep], doc[keep], place[keep]
     raw = data.tobytes()
-    keys = [(h, raw[a:e + length]) for h, a, e in zip(hashed.tolist(), first.tolist(), last.tolist())]
+    keys = [(h, raw[a:e + length], p - a) for h, a, e, p in zip(hashed.tolist(), first.tolist(), last.tolist(), place.tolist())]
     distinct = sorted(set(keys))
     number = {k: i for i, k in enumerate(distinct)}
     return data, sizes, rows, ids, doc, first, np.array([number[k] for k in keys], np.int64), distinct
 
 
 def _send_segments(bits: int, length: int, gram: int):
-    def run(group: pa.Table) -> pa.Table:
+    def run(chunk: pa.Table, told: pa.Table) -> pa.Table:
         import zstandard
 
-        _, _, _, ids, doc, _, number, distinct = _shared_segments(group, length, gram)
+        if not len(chunk) or not len(told):
+            return _tagged([])
+        _, _, _, ids, doc, _, number, distinct = _shared_segments(chunk, told, length, gram)
         if not distinct:
             return _tagged([])
         pack = zstandard.ZstdCompressor(level=3).compress
         least, most = np.full(len(distinct), NO_ID), np.full(len(distinct), -2**63)
         np.minimum.at(least, number, ids[doc])
         np.maximum.at(most, number, ids[doc])
-        hashed = np.array([h for h, _ in distinct], np.uint64)
-        return _tagged([(group["chunk"][0].as_py(), 2, bucket, hashed[at].tobytes(),
-                         np.array([len(s) for _, s in distinct[at]], np.int32).tobytes(),
-                         pack(b"".join(s for _, s in distinct[at])), least[at].tobytes(), most[at].tobytes())
+        hashed = np.array([h for h, _, _ in distinct], np.uint64)
+        return _tagged([(chunk["chunk"][0].as_py(), 2, bucket, hashed[at].tobytes(),
+                         np.array([(len(s), o) for _, s, o in distinct[at]], np.int32).T.tobytes(),
+                         pack(b"".join(s for _, s, _ in distinct[at])), least[at].tobytes(), most[at].tobytes())
                         for bucket, at in _sorted_by_bucket(hashed, bits)])
 
     return run
 
 
-def _judge_segments(length: int, shard_bytes: int):
+def _may_share(own: dict, length: int, gram: int) -> list[bytes]:
+    """Segments of one anchor that may have a string in common with another: a string holds
+    ``length - gram`` bytes beside the anchor, so at least half of them stand on one side,
+    next to it, and are the same there."""
+    half = (length - gram + 1) // 2
+    met: dict[tuple, list[bytes]] = {}
+    for segment, (_, at) in own.items():
+        if at >= half:
+            met.setdefault((0, segment[at - half:at]), []).append(segment)
+        if len(segment) - at - gram >= half:
+            met.setdefault((1, segment[at + gram:at + gram + half]), []).append(segment)
+    return list(dict.fromkeys(s for group in met.values() if len(group) > 1 for s in group))
+
+
+def _judge_segments(length: int, gram: int, shard_bytes: int):
     """Per chunk: number of the segment within its bucket, first string, strings, smallest owner."""
     def run(bucket: pa.Table) -> pa.Table:
         import zstandard
 
         unpack = zstandard.ZstdDecompressor().decompress
         sent = bucket.to_pylist()
-        owners: dict[int, dict[bytes, int]] = {}
+        owners: dict[int, dict[bytes, tuple[int, int]]] = {}
         entries = []
         for r, row in enumerate(sent):
             text, at = unpack(row["b2"]), 0
-            columns = (np.frombuffer(row[c], t).tolist() for c, t in (("b0", np.uint64), ("b1", np.int32), ("b3", np.int64), ("b4", np.int64)))
-            for j, (h, size, low, high) in enumerate(zip(*columns)):
+            sizes, offsets = np.frombuffer(row["b1"], np.int32).reshape(2, -1).tolist()
+            columns = (np.frombuffer(row[c], t).tolist() for c, t in (("b0", np.uint64), ("b3", np.int64), ("b4", np.int64)))
+            for j, (size, offset, h, low, high) in enumerate(zip(sizes, offsets, *columns)):
                 segment = text[at:at + size]
                 at += size
                 own = owners.setdefault(h, {})
-                own[segment] = min(low, own.get(segment, low))
+                own[segment] = min((low, offset), own.get(segment, (low, offset)))
                 entries.append((r, j, h, segment, high))
-        # an anchor whose segments are all equal needs no sorting
-        judged = {h: {s: [(0, len(s) - length + 1, low)] for s, low in own.items()} for h, own in owners.items() if len(own) == 1}
+        # a segment that shares no string with another has its own smallest owner throughout
+        judged = {h: {s: [(0, len(s) - length + 1, low)] for s, (low, _) in own.items()} for h, own in owners.items()}
         shard, size = [], 0
 
         def sort_shard():
-            found = smallest_owner([s for _, s in shard], [owners[h][s] for h, s in shard], length)
+            found = smallest_owner([s for _, s in shard], [owners[h][s][0] for h, s in shard], length)
             for (h, s), low in zip(shard, found):
                 cut = np.flatnonzero(np.append(True, low[1:] != low[:-1]))
-                judged.setdefault(h, {})[s] = list(zip(cut.tolist(), np.diff(np.append(cut, len(low))).tolist(), low[cut].tolist()))
+                judged[h][s] = list(zip(cut.tolist(), np.diff(np.append(cut, len(low))).tolist(), low[cut].tolist()))
 
         for h, own in owners.items():
-            if len(own) > 1:
-                shard += [(h, s) for s in own]
-                size += sum(map(len, own))
+            if len(own) > 1 and (some := _may_share(own, length, gram)):
+                shard += [(h, s) for s in some]
+                size += sum(map(len, some))
                 if size >= shard_bytes:
                     sort_shard()
                     shard, size = [], 0
@@ -372,15 +404,19 @@ def _judge_segments(length: int, shard_bytes: int):
 
 
 RESULT = "row long, doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
+NAMES_OUT = [c.split()[0] for c in RESULT.split(", ")]
+KINDS_OUT = [pa.int64()] * 5 + [pa.string(), pa.binary()]
 
 
 def _apply(bits: int, length: int, gram: int, with_text: bool):
-    def run(group: pa.Table) -> pa.Table:
-        data, sizes, rows, ids, doc, first, number, distinct = _shared_segments(group, length, gram)
+    def run(chunk: pa.Table, results: pa.Table) -> pa.Table:
+        if not len(chunk):
+            return pa.table([pa.array([], k) for k in KINDS_OUT], names=NAMES_OUT)
+        data, sizes, rows, ids, doc, first, number, distinct = _shared_segments(chunk, results, length, gram)
         change = np.zeros(len(data) + 1, np.int32)
-        base = dict((bucket, at.start) for bucket, at in _sorted_by_bucket(np.array([h for h, _ in distinct], np.uint64), bits))
+        base = dict((bucket, at.start) for bucket, at in _sorted_by_bucket(np.array([h for h, _, _ in distinct], np.uint64), bits))
         told = [np.stack([np.frombuffer(r["b0"], np.int64) + base[r["bucket"]], *(np.frombuffer(r[c], np.int64) for c in ("b1", "b2", "b3"))])
-                for r in group.filter(pa.compute.equal(group["kind"], 2)).to_pylist()]
+                for r in results.to_pylist() if r["kind"] == 2]
         if told:
             told = np.concatenate(told, axis=1)
             told = told[:, np.argsort(told[0], kind="stable")]
@@ -401,8 +437,7 @@ def _apply(bits: int, length: int, gram: int, with_text: bool):
             spans = int(mask[0]) + int(np.count_nonzero(mask[1:] & ~mask[:-1])) if size else 0
             out.append((row, None if doc_id == NO_ID else doc_id, size, int(mask.sum()), spans, hashlib.sha256(kept).hexdigest(),
                         kept if with_text else None))
-        kinds = [pa.int64()] * 5 + [pa.string(), pa.binary()]
-        return pa.table([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names=[c.split()[0] for c in RESULT.split(", ")])
+        return pa.table([pa.array(c, k) for c, k in zip(zip(*out), KINDS_OUT)], names=NAMES_OUT)
 
     return run
 
@@ -421,15 +456,19 @@ def drop_repeats(docs: DataFrame, length: int = 50, gram: int = 20, chunk_bytes:
         raise ValueError("gram must be from 8 to length - 1")
     slim = docs.select(F.monotonically_increasing_id().alias("row"), docs["doc_id"].cast("long").alias("doc_id"),
                        F.encode(text_or_empty(docs), "UTF-8").alias("text"))
-    chunks = written(slim.mapInArrow(_chunked(chunk_bytes), TAGGED), "chunks")
-    total = chunks.agg(F.sum("bucket")).first()[0] or 0
-    bits = max(0, int(total // bucket_bytes).bit_length())
-    shared = written(chunks.mapInArrow(_list_anchors(bits, length, gram), TAGGED)
-                     .groupBy("bucket").applyInArrow(_shared_anchors, TAGGED), "shared")
-    by_chunk = chunks.union(shared)
-    judged = written(by_chunk.groupBy("chunk").applyInArrow(_send_segments(bits, length, gram), TAGGED)
-                     .groupBy("bucket").applyInArrow(_judge_segments(length, shard_bytes), TAGGED), "judged")
-    out = by_chunk.union(judged).groupBy("chunk").applyInArrow(_apply(bits, length, gram, with_text), RESULT)
+    # bucketed by chunk: the texts are moved once, and both later passes read them in place
+    chunks, name = bucketed_table(slim.mapInArrow(_chunked(chunk_bytes), TAGGED), "llm_chunks", "chunk")
+    try:
+        total = chunks.agg(F.sum("bucket")).first()[0] or 0
+        bits = max(0, int(total // bucket_bytes).bit_length())
+        shared = written(chunks.mapInArrow(_list_anchors(bits, length, gram), TAGGED)
+                         .groupBy("bucket").applyInArrow(_shared_anchors, TAGGED), "shared")
+        judged = written(chunks.groupBy("chunk").cogroup(shared.groupBy("chunk")).applyInArrow(_send_segments(bits, length, gram), TAGGED)
+                         .groupBy("bucket").applyInArrow(_judge_segments(length, gram, shard_bytes), TAGGED), "judged")
+        out = written(chunks.groupBy("chunk").cogroup(shared.union(judged).groupBy("chunk"))
+                      .applyInArrow(_apply(bits, length, gram, with_text), RESULT), "kept")
+    finally:
+        docs.sparkSession.sql(f"drop table if exists {name}")
     return out if with_text else out.drop("kept")
 
 
