@@ -69,7 +69,7 @@ def enrichment_counts(spark: SparkSession, discovery: DataFrame, target_domain:
     acc = accepted_records(discovery, target_domain, requested)
     counts = acc.groupBy("source").agg(F.count_if(F.col("kind") == "email").alias("emails"),
                                       F.count_if(F.col("kind") == "host").alias("hosts"))
-    return (F.broadcast(src).join(counts, "source", "left")
+    return (src.join(counts, "source", "left")
             .select("source_order", "source", F.coalesce("emails", F.lit(0)).alias("emails"),
                     F.coalesce("hosts", F.lit(0)).alias("hosts")))
 
@@ -136,8 +136,7 @@ def registrable_domains(hosts: DataFrame, suffixes: DataFrame, host_col: str = "
     The domain is one label plus the longest suffix of the host found in
     ``suffixes`` (column ``suffix``, entries taken literally); hosts with no
     listed suffix, or that are a suffix themselves, fall back to the two-label
-    rule.  Hosts are made distinct before the candidate suffixes are exploded,
-    and the suffix table is broadcast only under its counted size bound.
+    rule.  Hosts are made distinct before the candidate suffixes are exploded.
     """
 
     h = hosts.select(F.lower(strip_ws(F.col(host_col))).alias("host")).filter(F.col("host").isNotNull()).distinct()

@@ -345,6 +345,7 @@ select email as "Email", cast(hits as varchar) as "Hits", strftime(first_seen, '
     o["filter_hosts_in_domain"] = (W + DISC + f", h as (select rec_id, {normalize_host('value')} as host from disc where kind = 'host')"
                                    f"\nselect rec_id, host from h where host is not null and {in_domain('host', DISCOVERY_TARGET_DOMAIN)}")
     o["filter_sources"] = W + DISC + f"\nselect rec_id, source from disc where source in {_in_list(DEFAULT_SOURCES)}"
+    o["filter_sources_given"] = W + DISC + "\nselect rec_id, source from disc where source in ('crtsh', 'thc')"
     o["drop_incomplete_email_events"] = W + event_ctes() + """
 select line_no, email, source_url from ev
 where kind = 'email' and length(trim_ws(email)) > 0 and length(trim_ws(source_url)) > 0"""

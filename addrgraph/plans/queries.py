@@ -438,7 +438,12 @@ def target_domain_with_suffixes(spark, d):
     return E.registrable_domains(hosts, suffixes)
 
 
+def filter_sources_given(spark, d):
+    return E.filter_sources(_discovery(spark, d), [" CRTSH ", "thc", "bogus", "thc"]).select("rec_id", "source")
+
+
 QUERIES: dict[str, Query] = {
+    "filter_sources_given": filter_sources_given,
     "crawl_reach_unbudgeted": crawl_reach_unbudgeted,
     "crawl_report_unbudgeted": crawl_report_unbudgeted,
     "crawl_report_enriched": crawl_report_enriched,
