@@ -21,6 +21,7 @@ import hashlib
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -72,21 +73,25 @@ def shingle_hashes(texts: list[bytes], words: int = 5) -> tuple[np.ndarray, np.n
     return _mixed(total + length.astype(np.uint64)), offsets
 
 
-def _sliced(texts: list[bytes], most: int = 2 << 20):
+def _sliced(sizes: list[int], most: int = 1 << 20):
     """Index ranges of texts of about ``most`` bytes together."""
     i = 0
-    while i < len(texts):
+    while i < len(sizes):
         j, size = i, 0
-        while j < len(texts) and (j == i or size + len(texts[j]) <= most):
-            size += len(texts[j])
+        while j < len(sizes) and (j == i or size + sizes[j] <= most):
+            size += sizes[j]
             j += 1
         yield i, j
         i = j
 
 
+def _sizes(column) -> list[int]:
+    return pa.compute.binary_length(column).to_pylist()
+
+
 def shingle_sets(texts: list[bytes]) -> list[np.ndarray]:
     out = []
-    for i, j in _sliced(texts):
+    for i, j in _sliced([len(t) for t in texts]):
         hashes, offsets = shingle_hashes(texts[i:j])
         out += [np.unique(hashes[offsets[k]:offsets[k + 1]]) for k in range(j - i)]
     return out
@@ -100,9 +105,9 @@ def _slot_counts(batches):
     """How often each slot of shingle hashes is hit, where clearly more often than the average."""
     counts = np.zeros(SLOTS, np.int64)
     for b in batches:
-        texts = _buffers(b.column(0))
-        for i, j in _sliced(texts):
-            counts += np.bincount((shingle_hashes(texts[i:j])[0] % np.uint64(SLOTS)).astype(np.int64), minlength=SLOTS)
+        for i, j in _sliced(_sizes(b.column(0))):
+            hashes, _ = shingle_hashes(_buffers(b.column(0).slice(i, j - i)))
+            counts += np.bincount((hashes % np.uint64(SLOTS)).astype(np.int64), minlength=SLOTS)
     mean = counts.mean()
     often = np.flatnonzero(counts > mean + 4 * np.sqrt(mean) + 8)
     yield pa.RecordBatch.from_arrays([pa.array(often, pa.int64()), pa.array(counts[often], pa.int64())], ["slot", "n"])
@@ -120,37 +125,39 @@ def _profiles(heavy: np.ndarray, percent: int):
         import zstandard
 
         pack, seen = zstandard.ZstdCompressor(level=3).compress, set()
-        for b in batches:
-            texts = _buffers(b.column(2))
-            counts, digests, nodes, prefixes, blobs = [], [], [], [], []
-            for text, own in zip(texts, shingle_sets(texts)):
-                n = len(own)
-                digest = hashlib.blake2b(own.tobytes(), digest_size=16).digest() if n else None
-                node = n > 0 and digest not in seen
-                counts.append(n)
-                digests.append(digest)
-                nodes.append(node)
-                if node:
-                    if len(seen) >= 1_000_000:
-                        seen.clear()
-                    seen.add(digest)
-                    # frequent shingles last, else in order of hash: any one order is right
-                    late = is_heavy[(own % np.uint64(SLOTS)).astype(np.int64)]
-                    ranked = np.concatenate([own[~late], own[late]])
-                    prefixes.append(ranked[:n - _needed(n, percent) + 1].view(np.int64))
-                    blobs.append(pack(text))
-                else:
-                    prefixes.append(None)
-                    blobs.append(None)
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), b.column(1), pa.array(counts, pa.int64()), pa.array(digests, pa.binary()),
-                 pa.array(nodes, pa.bool_()), pa.array(prefixes, pa.list_(pa.int64())), pa.array(blobs, pa.binary())],
-                ["row", "doc_id", "n", "digest", "node", "prefix", "blob"])
+        for whole in batches:
+            for at, end in _sliced(_sizes(whole.column(2)), 4 << 20):  # a few MB of text at a time
+                b = whole.slice(at, end - at)
+                texts = _buffers(b.column(2))
+                counts, digests, nodes, prefixes, blobs = [], [], [], [], []
+                for text, own in zip(texts, shingle_sets(texts)):
+                    n = len(own)
+                    digest = hashlib.blake2b(own.tobytes(), digest_size=16).digest() if n else None
+                    node = n > 0 and digest not in seen
+                    counts.append(n)
+                    digests.append(digest)
+                    nodes.append(node)
+                    if node:
+                        if len(seen) >= 1_000_000:
+                            seen.clear()
+                        seen.add(digest)
+                        # frequent shingles last, else in order of hash: any one order is right
+                        late = is_heavy[(own % np.uint64(SLOTS)).astype(np.int64)]
+                        ranked = np.concatenate([own[~late], own[late]])
+                        prefixes.append(ranked[:n - _needed(n, percent) + 1].view(np.int64))
+                        blobs.append(pack(text))
+                    else:
+                        prefixes.append(None)
+                        blobs.append(None)
+                yield pa.RecordBatch.from_arrays(
+                    [b.column(0), b.column(1), pa.array(counts, pa.int64()), pa.array(digests, pa.binary()),
+                     pa.array(nodes, pa.bool_()), pa.array(prefixes, pa.list_(pa.int64())), pa.array(blobs, pa.binary())],
+                    ["row", "doc_id", "n", "digest", "node", "prefix", "blob"])
 
     return run
 
 
-def _verify(percent: int, pairs_at_once: int = 500):
+def _verify(percent: int, pairs_at_once: int = 250):
     def run(batches):
         import zstandard
 
@@ -177,10 +184,12 @@ def _count_vectors(groups: int):
         import zstandard
 
         unpack = zstandard.ZstdDecompressor().decompress
-        for b in batches:
-            sets = shingle_sets([unpack(x.as_py()) for x in b.column(1)])
-            points = [np.bincount((s >> np.uint64(40)) % np.uint64(groups), minlength=groups).astype("<u4").tobytes() for s in sets]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(points, pa.binary())], ["node", "point"])
+        for whole in batches:
+            for at in range(0, len(whole), 500):
+                b = whole.slice(at, 500)
+                sets = shingle_sets([unpack(x.as_py()) for x in b.column(1)])
+                points = [np.bincount((s >> np.uint64(40)) % np.uint64(groups), minlength=groups).astype("<u4").tobytes() for s in sets]
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(points, pa.binary())], ["node", "point"])
 
     return run
 
@@ -228,14 +237,18 @@ class RTree:
                     yield hit, np.full(len(hit), p)
 
 
+def _bound_hits(points: np.ndarray, x: np.ndarray, y: np.ndarray, percent: int):
+    """The pairs of points (x, y) that the bound lets through."""
+    bound = np.minimum(points[x], points[y]).sum(1)
+    hit = (100 + percent) * bound >= percent * (points[x].sum(1) + points[y].sum(1))
+    yield x[hit], y[hit]
+
+
 def _block_pairs(points: np.ndarray, left: np.ndarray, right: np.ndarray, percent: int):
     """Index arrays of the pairs of a block that the bound lets through: by hand if there are
     few, else through a tree over the right side."""
     if len(left) * len(right) <= 4096:
-        x, y = (k.ravel() for k in np.meshgrid(left, right, indexing="ij"))
-        bound = np.minimum(points[x], points[y]).sum(1)
-        hit = (100 + percent) * bound >= percent * (points[x].sum(1) + points[y].sum(1))
-        yield x[hit], y[hit]
+        yield from _bound_hits(points, *(k.ravel() for k in np.meshgrid(left, right, indexing="ij")), percent)
         return
     tree = RTree(points[right])
     for q, p in tree.candidates(points[left], percent):
@@ -246,23 +259,31 @@ def _block_join(percent: int):
     """Candidate pairs between components in the blocks of one group of blocks."""
     def join(rows):
         rows = rows.sort_values(["token", "i", "j"], kind="stable", ignore_index=True)
-        points = np.frombuffer(b"".join(rows["point"]), "<u4").reshape(len(rows), -1).astype(np.int64)
+        points = np.frombuffer(b"".join(rows["point"]), "<u4").reshape(len(rows), -1).astype(np.int32)
+        rows = rows.drop(columns="point")
         nodes, comps, salts, i, j, token = (rows[c].to_numpy() for c in ("node", "component", "salt", "i", "j", "token"))
         change = (token[1:] != token[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])
         starts = np.append(0, np.flatnonzero(change) + 1)
         sizes = np.diff(np.append(starts, len(rows)))
-        pair = starts[(sizes == 2) & (i[starts] == j[starts])]  # most blocks have two members
-        found = [(pair, pair + 1)]
+        two = starts[(sizes == 2) & (i[starts] == j[starts])]  # most blocks have two members
+        two = two[comps[two] != comps[two + 1]]
+        found = [np.empty((2, 0), np.int64)]
+
+        def add(pairs):
+            for x, y in pairs:
+                other = comps[x] != comps[y]
+                if other.any():
+                    found.append(np.stack([nodes[x[other]], nodes[y[other]]]))
+
+        for at in range(0, len(two), 4096):
+            add(_bound_hits(points, two[at:at + 4096], two[at:at + 4096] + 1, percent))
         for start, size in zip(starts.tolist(), sizes.tolist()):
             own = np.arange(start, start + size)
             if i[start] != j[start]:
-                found += _block_pairs(points, own[salts[own] == i[start]], own[salts[own] == j[start]], percent)
-            elif size > 2:
-                found += _block_pairs(points, own, own, percent)
-        x, y = (np.concatenate(f) for f in zip(*found))
-        bound = np.minimum(points[x], points[y]).sum(1)
-        keep = (comps[x] != comps[y]) & ((100 + percent) * bound >= percent * (points[x].sum(1) + points[y].sum(1)))
-        x, y = nodes[x[keep]], nodes[y[keep]]
+                add(_block_pairs(points, own[salts[own] == i[start]], own[salts[own] == j[start]], percent))
+            elif size > 2 and comps[own].min() != comps[own].max():
+                add(_block_pairs(points, own, own, percent))
+        x, y = np.concatenate(found, axis=1)
         pairs = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)]), axis=1)
         return pd.DataFrame({"a": pairs[0], "b": pairs[1]})
 
