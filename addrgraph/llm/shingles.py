@@ -33,6 +33,9 @@ FOLD = np.arange(256, dtype=np.uint8)
 FOLD[65:91] += 32
 BASE = 0x9E3779B97F4A7C15  # odd, so it has an inverse modulo 2**64
 SLOTS = 1 << 20
+#: Counts in one byte: exact up to 199, above rounded up to the next of 56 levels a third apart,
+#: so a sum of minima of levels is still no smaller than the overlap.
+LEVELS = np.concatenate([np.arange(200), np.ceil(200 * (4 / 3) ** np.arange(56))]).astype(np.int64)
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -188,18 +191,27 @@ def _count_vectors(groups: int):
             for at in range(0, len(whole), 500):
                 b = whole.slice(at, 500)
                 sets = shingle_sets([unpack(x.as_py()) for x in b.column(1)])
-                points = [np.bincount((s >> np.uint64(40)) % np.uint64(groups), minlength=groups).astype("<u4").tobytes() for s in sets]
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(points, pa.binary())], ["node", "point"])
+                fine = np.array([np.bincount((s >> np.uint64(40)) % np.uint64(groups), minlength=groups) for s in sets])
+                coarse = fine.reshape(len(sets), -1, 4).sum(2)
+                yield pa.RecordBatch.from_arrays(
+                    [b.column(0), pa.array([len(s) for s in sets], pa.int64()),
+                     *(pa.array([row.tobytes() for row in np.searchsorted(LEVELS, x).astype(np.uint8)], pa.binary())
+                       for x in (fine, coarse))], ["node", "n", "fine", "coarse"])
 
     return run
 
 
+def _points(column) -> np.ndarray:
+    codes = np.frombuffer(b"".join(column), np.uint8).reshape(len(column), -1)
+    return LEVELS.astype(np.int32)[codes]
+
+
 class RTree:
     """Points packed into boxes by halving on the widest coordinate; a box keeps the largest
     value of each coordinate and the least total."""
 
-    def __init__(self, points: np.ndarray, leaf: int = 24):
-        self.points, self.totals, self.nodes = points, points.sum(1), []
+    def __init__(self, points: np.ndarray, leaf: int = 24, totals: np.ndarray | None = None):
+        self.points, self.totals, self.nodes = points, points.sum(1) if totals is None else totals, []
         self._build(np.arange(len(points)), leaf)
 
     def _build(self, at, leaf):
@@ -214,9 +226,9 @@ class RTree:
             self.nodes[me][4] = (self._build(order[:half], leaf), self._build(order[half:], leaf))
         return me
 
-    def candidates(self, queries: np.ndarray, percent: int):
+    def candidates(self, queries: np.ndarray, percent: int, totals: np.ndarray | None = None):
         """(query, point) index arrays of all pairs the bound lets through."""
-        totals = queries.sum(1)
+        totals = queries.sum(1) if totals is None else totals
         stack = [(0, np.arange(len(queries)))]
         while stack:
             node, q = stack.pop()
@@ -237,21 +249,21 @@ class RTree:
                     yield hit, np.full(len(hit), p)
 
 
-def _bound_hits(points: np.ndarray, x: np.ndarray, y: np.ndarray, percent: int):
+def _bound_hits(points: np.ndarray, totals: np.ndarray, x: np.ndarray, y: np.ndarray, percent: int):
     """The pairs of points (x, y) that the bound lets through."""
     bound = np.minimum(points[x], points[y]).sum(1)
-    hit = (100 + percent) * bound >= percent * (points[x].sum(1) + points[y].sum(1))
+    hit = (100 + percent) * bound >= percent * (totals[x] + totals[y])
     yield x[hit], y[hit]
 
 
-def _block_pairs(points: np.ndarray, left: np.ndarray, right: np.ndarray, percent: int):
+def _block_pairs(points: np.ndarray, totals: np.ndarray, left: np.ndarray, right: np.ndarray, percent: int):
     """Index arrays of the pairs of a block that the bound lets through: by hand if there are
     few, else through a tree over the right side."""
     if len(left) * len(right) <= 4096:
-        yield from _bound_hits(points, *(k.ravel() for k in np.meshgrid(left, right, indexing="ij")), percent)
+        yield from _bound_hits(points, totals, *(k.ravel() for k in np.meshgrid(left, right, indexing="ij")), percent)
         return
-    tree = RTree(points[right])
-    for q, p in tree.candidates(points[left], percent):
+    tree = RTree(points[right], totals=totals[right])
+    for q, p in tree.candidates(points[left], percent, totals[left]):
         yield left[q], right[p]
 
 
@@ -259,9 +271,8 @@ def _block_join(percent: int):
     """Candidate pairs between components in the blocks of one group of blocks."""
     def join(rows):
         rows = rows.sort_values(["token", "i", "j"], kind="stable", ignore_index=True)
-        points = np.frombuffer(b"".join(rows["point"]), "<u4").reshape(len(rows), -1).astype(np.int32)
-        rows = rows.drop(columns="point")
-        nodes, comps, salts, i, j, token = (rows[c].to_numpy() for c in ("node", "component", "salt", "i", "j", "token"))
+        points = _points(rows["coarse"])
+        nodes, comps, salts, i, j, token, totals = (rows[c].to_numpy() for c in ("node", "component", "salt", "i", "j", "token", "n"))
         change = (token[1:] != token[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])
         starts = np.append(0, np.flatnonzero(change) + 1)
         sizes = np.diff(np.append(starts, len(rows)))
@@ -276,13 +287,13 @@ def _block_join(percent: int):
                     found.append(np.stack([nodes[x[other]], nodes[y[other]]]))
 
         for at in range(0, len(two), 4096):
-            add(_bound_hits(points, two[at:at + 4096], two[at:at + 4096] + 1, percent))
+            add(_bound_hits(points, totals, two[at:at + 4096], two[at:at + 4096] + 1, percent))
         for start, size in zip(starts.tolist(), sizes.tolist()):
             own = np.arange(start, start + size)
             if i[start] != j[start]:
-                add(_block_pairs(points, own[salts[own] == i[start]], own[salts[own] == j[start]], percent))
+                add(_block_pairs(points, totals, own[salts[own] == i[start]], own[salts[own] == j[start]], percent))
             elif size > 2 and comps[own].min() != comps[own].max():
-                add(_block_pairs(points, own, own, percent))
+                add(_block_pairs(points, totals, own, own, percent))
         x, y = np.concatenate(found, axis=1)
         pairs = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)]), axis=1)
         return pd.DataFrame({"a": pairs[0], "b": pairs[1]})
@@ -292,20 +303,22 @@ def _block_join(percent: int):
 
 def _bound_filter(percent: int):
     def run(batches):
-        for b in batches:
-            x, y = (np.frombuffer(b"".join(b.column(c).to_pylist()), "<u4").reshape(len(b), -1).astype(np.int64)
-                    if len(b) else np.empty((0, 1), np.int64) for c in (2, 3))
-            keep = (100 + percent) * np.minimum(x, y).sum(1) >= percent * (x.sum(1) + y.sum(1))
-            at = pa.array(np.flatnonzero(keep))
-            yield pa.RecordBatch.from_arrays([b.column(c).take(at) for c in range(2)], ["a", "b"])
+        for whole in batches:
+            for at in range(0, len(whole), 4096):
+                b = whole.slice(at, 4096)
+                bound = np.minimum(*(_points(b.column(c).to_pylist()) for c in (4, 5))).sum(1)
+                keep = (100 + percent) * bound >= percent * (b.column(2).to_numpy() + b.column(3).to_numpy())
+                yield pa.RecordBatch.from_arrays([b.column(c).take(pa.array(np.flatnonzero(keep))) for c in range(2)], ["a", "b"])
 
     return run
 
 
 def _bounded(pairs: DataFrame, points: DataFrame, percent: int) -> DataFrame:
-    """Pairs whose sum of coordinate minima allows the similarity."""
-    both = (pairs.join(points.withColumnsRenamed({"node": "a", "point": "x"}), "a")
-            .join(points.withColumnsRenamed({"node": "b", "point": "y"}), "b").select("a", "b", "x", "y"))
+    """Pairs whose sizes and sum of coordinate minima allow the similarity."""
+    p = points.select("node", "n", "fine")
+    both = (pairs.join(p.withColumnsRenamed({"node": "a", "n": "m", "fine": "x"}), "a")
+            .join(p.withColumnsRenamed({"node": "b", "fine": "y"}), "b")
+            .where(100 * F.least("m", "n") >= percent * F.greatest("m", "n")).select("a", "b", "m", "n", "x", "y"))
     return both.mapInArrow(_bound_filter(percent), "a long, b long")
 
 
@@ -316,7 +329,7 @@ def _verified(pairs: DataFrame, active: DataFrame, percent: int) -> DataFrame:
     return both.mapInArrow(_verify(percent), "a long, b long")
 
 
-def near_groups(docs: DataFrame, percent: int = 80, groups: int = 128, block_rows: int = 4096, most_heavy: int = 65_536) -> DataFrame:
+def near_groups(docs: DataFrame, percent: int = 80, groups: int = 512, block_rows: int = 4096, most_heavy: int = 65_536) -> DataFrame:
     """row, doc_id, n_shingles and component_id, one row per row of ``docs``.
 
     Two documents link if 100 times their common shingles reach ``percent`` times all of
@@ -337,12 +350,15 @@ def near_groups(docs: DataFrame, percent: int = 80, groups: int = 128, block_row
     nodes = rows.where("node")
     tokens = nodes.select(F.col("row").alias("node"), F.explode("prefix").alias("token"))
     # step 1: a star in every block
+    repeated = (tokens.groupBy("token").agg(F.min("node").alias("low"), F.max("node").alias("high"))
+                .where("low < high").select("token"))
+    met = written(tokens.join(repeated, "token"), "met")
     hub = F.min(F.struct(F.xxhash64("node", F.pmod("token", F.lit(8))).alias("h"), "node"))
-    blocks = written(tokens.groupBy("token").agg(hub["node"].alias("hub"), F.count("*").alias("members")).where("members > 1"), "blocks")
-    met = written(tokens.join(blocks, "token"), "met")
+    hubs = met.groupBy("token").agg(hub["node"].alias("hub"))
     active = written(nodes.select(F.col("row").alias("node"), "blob").join(met.select("node").distinct(), "node"), "active")
-    points = written(active.select("node", "blob").mapInArrow(_count_vectors(groups), "node long, point binary"), "points")
-    pairs = written(met.where("node <> hub").select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct(), "pairs")
+    points = written(active.mapInArrow(_count_vectors(groups), "node long, n long, fine binary, coarse binary"), "points")
+    pairs = written(met.join(hubs, "token").where("node <> hub")
+                    .select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct(), "pairs")
     same = Window.partitionBy("digest")  # one row per task that saw the set
     copies = (nodes.select("digest", F.col("row").alias("b")).withColumn("a", F.min("b").over(same)).where("a < b").select("a", "b"))
     links = written(_verified(_bounded(pairs, points, percent), active, percent).union(copies), "links")
@@ -353,9 +369,9 @@ def near_groups(docs: DataFrame, percent: int = 80, groups: int = 128, block_row
     mixed = (placed.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("members"))
              .where("low < high").select("token", F.ceil(F.col("members") / block_rows).cast("int").alias("salts")))
     placed = written(placed.join(mixed, "token"), "mixed")
-    salted = placed.join(points, "node").withColumn("salt", F.pmod(F.xxhash64("node"), F.col("salts")).cast("int"))
+    salted = placed.join(points.select("node", "n", "coarse"), "node").withColumn("salt", F.pmod(F.xxhash64("node"), F.col("salts")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("other")
-    salted = salted.select("token", "node", "component", "point", "salt", other).withColumn(
+    salted = salted.select("token", "node", "component", "n", "coarse", "salt", other).withColumn(
         "i", F.least("salt", "other")).withColumn("j", F.greatest("salt", "other"))
     # blocks go to tasks together, as most are small
     together = max(1, -(-placed.count() // (4 * block_rows)))
