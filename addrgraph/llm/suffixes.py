@@ -19,6 +19,7 @@ Documents stand in chunks of bounded size, which are written once and joined by
 from __future__ import annotations
 
 import hashlib
+from os.path import commonprefix
 
 import numpy as np
 import pyarrow as pa
@@ -102,26 +103,25 @@ def _induced(t: np.ndarray, letters: int) -> list[int]:
     return induce(order.tolist())
 
 
-def permuted_prefixes(text: np.ndarray, sa: np.ndarray) -> np.ndarray:
-    """For every place of the text, how many letters its suffix shares with the one before it in order."""
+def permuted_prefixes(text: np.ndarray, sa: np.ndarray, most: int | None = None) -> np.ndarray:
+    """For every place of the text (letters from 1 to 65 535), how many letters, up to ``most``,
+    its suffix shares with the one before it in order; all places step on four letters at a time."""
     n = len(text)
-    before = np.full(n, -1, np.int64)
-    before[sa[1:]] = sa[:-1]
-    letters, out, same = [*text.tolist(), -1], [0] * n, 0
-    letters.append(-2)
-    for i, j in enumerate(before.tolist()):
-        if j < 0:
-            same = 0
-            continue
-        a, b = i + same, j + same
-        while a < n and b < n and letters[a] == letters[b]:
-            a += 1
-            b += 1
-        same = a - i
-        out[i] = same
-        if same:
-            same -= 1
-    return np.array(out, np.int64)
+    out = np.zeros(n, np.int64)
+    letters = np.zeros(n + 4, np.uint64)
+    letters[:n] = text
+    four = sum(letters[k:n + 1 + k] << np.uint64(16 * k) for k in range(4))
+    place, before, same = sa[1:], sa[:-1], 0
+    while len(place) and (most is None or same < most):
+        # past the end stands 0, where no two places come together
+        unlike = four[np.minimum(place + same, n)] ^ four[np.minimum(before + same, n)]
+        fits = unlike == 0
+        last = unlike[~fits]
+        out[place[~fits]] = same + sum((last & np.uint64((1 << 16 * k) - 1)) == 0 for k in (1, 2, 3))
+        place, before = place[fits], before[fits]
+        same += 4
+        out[place] = same
+    return out if most is None else np.minimum(out, most)
 
 
 def smallest_owner(segments: list[bytes], owners: list[int], length: int) -> list[np.ndarray]:
@@ -133,7 +133,7 @@ def smallest_owner(segments: list[bytes], owners: list[int], length: int) -> lis
     owner = np.repeat(np.array(owners, np.int64), sizes + 1)
     left = np.repeat(ends, sizes + 1) - np.arange(len(text))
     sa = suffix_array(text)
-    joined = (permuted_prefixes(text, sa)[sa] >= length) & (left[sa] >= length)
+    joined = (permuted_prefixes(text, sa, length)[sa] >= length) & (left[sa] >= length)
     begin = np.flatnonzero(~joined)
     least = np.minimum.reduceat(owner[sa], begin)
     result = np.empty(len(text), np.int64)
@@ -349,7 +349,18 @@ def _may_share(own: dict, length: int, gram: int) -> list[bytes]:
             met.setdefault((0, segment[at - half:at]), []).append(segment)
         if len(segment) - at - gram >= half:
             met.setdefault((1, segment[at + gram:at + gram + half]), []).append(segment)
-    return list(dict.fromkeys(s for group in met.values() if len(group) > 1 for s in group))
+    some = list(dict.fromkeys(s for group in met.values() if len(group) > 1 for s in group))
+    if len(some) > 12:
+        return some
+    # few are held against each other: what two share on both sides of the anchor must reach the length
+    sides = [(s[:own[s][1]][::-1], s[own[s][1] + gram:]) for s in some]
+    keep = set()
+    for i, (left, right) in enumerate(sides):
+        for j in range(i):
+            if not (i in keep and j in keep) and gram + len(commonprefix([left, sides[j][0]])) + len(
+                    commonprefix([right, sides[j][1]])) >= length:
+                keep |= {i, j}
+    return [some[i] for i in sorted(keep)]
 
 
 def _judge_segments(length: int, gram: int, shard_bytes: int):
