@@ -378,7 +378,7 @@ def near_groups(docs: DataFrame, percent: int = 80, groups: int = 512, block_row
     salted = salted.withColumn("task", F.pmod(F.xxhash64("token", "i", "j"), F.lit(together)))
     rest = (salted.groupBy("task").applyInPandas(_block_join(percent), "a long, b long").distinct()
             .join(pairs, ["a", "b"], "left_anti"))
-    links = links.union(written(_verified(rest, active, percent), "links"))
+    links = links.union(written(_verified(_bounded(rest, points, percent), active, percent), "links"))
     component = connected_components(links)
     # back to all rows, by digest
     sets = rows.where("digest is not null").groupBy("digest").agg(
