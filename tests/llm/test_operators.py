@@ -447,6 +447,27 @@ def test_vectors(spark):
     assert vector_groups(df.limit(0)).count() == 0
 
 
+def test_vectors_of_a_group_larger_than_a_task(spark):
+    from addrgraph.llm.vectors import vector_groups
+
+    rng = np.random.default_rng(11)
+    x = rng.standard_normal((2400, 16))
+    x[:1200] = x[0] + 0.25 * rng.standard_normal((1200, 16))  # a third of its pairs or so link
+    x[1200:1500] = x[1200] + 0.01 * rng.standard_normal((300, 16))
+    x = x.astype(np.float32)
+    x[1500:1520] = x[3]  # copies count as often as they stand there
+    df = spark.createDataFrame([(i, r.tolist(), i // 1600) for i, r in enumerate(x)], "vec_id long, embedding array<float>, label int")
+    unit = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
+    label = np.arange(len(x)) // 1600
+    hit = (unit @ unit.T >= 0.93) & (label[:, None] == label) & ~np.eye(len(x), dtype=bool)
+    comp = np.array(components(len(x), np.argwhere(hit).tolist()))
+    for task_points in (100, 700):  # nodes compared whole below the root, and at the root
+        got = {r.vec_id: r for r in vector_groups(df, task_points=task_points, leaf=32).collect()}
+        n = np.array([got[i].n_links for i in range(len(x))])
+        assert (n <= hit.sum(1)).all() and n.sum() >= 0.98 * hit.sum(), n.sum() / hit.sum()
+        assert np.mean([got[i].component_id == comp[i] for i in range(len(x))]) >= 0.98
+
+
 def test_components(spark):
     from addrgraph.llm.common import connected_components
 
