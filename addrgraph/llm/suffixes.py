@@ -8,7 +8,9 @@ first brought together by content:
    least hash, the leftmost of equals), so equal strings pick equal anchors.  Neighbouring
    strings mostly pick the same one: an anchor stands for a segment of strings.
 2. Anchors that occur in one document only are dropped; the others' segments go to the
-   shard of their anchor, equal segments of a chunk of documents once.
+   shard of their anchor, equal segments of a chunk of documents once.  An anchor with more
+   segments than a shard takes is divided: its strings go out one by one, each to the shard
+   of its own hash, so a string comes once from a chunk, however many documents have it.
 3. A shard whose segments of an anchor differ is sorted: induced sorting gives its suffix
    array, the permuted longest common prefixes tell which strings are equal, and each
    string's smallest document goes back to the chunks.
@@ -251,10 +253,10 @@ def _sorted_by_bucket(hashed: np.ndarray, bits: int):
     return [(int(buckets[a]), slice(int(a), int(e))) for a, e in zip(starts, [*starts[1:], len(buckets)])]
 
 
-def _packed_marks(hashed: np.ndarray, several: np.ndarray) -> np.ndarray:
+def _packed_marks(cut: np.ndarray, flag: np.ndarray) -> np.ndarray:
     """47 bits of each hash and a flag, six bytes each; equal cuts of unequal hashes only
     send a segment that nothing equals."""
-    return np.ascontiguousarray(((hashed >> np.uint64(17) << np.uint64(1)) | several.astype(np.uint64)).view(np.uint8).reshape(-1, 8)[:, :6])
+    return np.ascontiguousarray(((cut << np.uint64(1)) | flag.astype(np.uint64)).view(np.uint8).reshape(-1, 8)[:, :6])
 
 
 def _marks(packed: bytes) -> np.ndarray:
@@ -264,7 +266,8 @@ def _marks(packed: bytes) -> np.ndarray:
 
 
 def _list_anchors(bits: int, length: int, gram: int):
-    """Distinct anchors of each chunk by bucket; the lowest bit says: in several of its documents."""
+    """Distinct anchors of each chunk by bucket; the lowest bit says: in several of its documents.
+    Of anchors that occur again in the chunk the place in the list, and how often again."""
     def run(batches):
         for b in batches:
             for row in zip(*(c.to_pylist() for c in b.columns)):
@@ -274,29 +277,45 @@ def _list_anchors(bits: int, length: int, gram: int):
                 hashed, doc = hashed[order], ids[doc[order]]
                 begin = np.flatnonzero(np.append(True, hashed[1:] != hashed[:-1])) if len(hashed) else np.empty(0, np.int64)
                 several = doc[begin] != doc[np.append(begin[1:], len(doc)) - 1] if len(begin) else np.empty(0, bool)
+                again = np.diff(np.append(begin, len(hashed))) - 1
                 hashed = hashed[begin]
-                packed = _packed_marks(hashed, several)
-                yield from _tagged([(row[0], 1, bucket, packed[at].tobytes(), None, None, None, None)
+                packed = _packed_marks(hashed >> np.uint64(17), several)
+                yield from _tagged([(row[0], 1, bucket, packed[at].tobytes(),
+                                     np.stack([np.flatnonzero(again[at]), again[at][again[at] > 0]]).tobytes(), None, None, None)
                                     for bucket, at in _sorted_by_bucket(hashed, bits)]).to_batches()
 
     return run
 
 
-def _shared_anchors(bucket: pa.Table) -> pa.Table:
-    """The anchors of a bucket that several documents have, for each chunk."""
-    lists = [_marks(x) for x in bucket["b0"].to_pylist()]
-    marked = np.concatenate(lists)
-    every, inverse, n = np.unique(marked >> np.uint64(1), return_inverse=True, return_counts=True)
-    several = n > 1
-    several[inverse[(marked & np.uint64(1)) == 1]] = True
-    keep = np.split(several[inverse], np.cumsum([len(x) for x in lists])[:-1])
-    return _tagged([(chunk, 1, 0, np.frombuffer(packed, np.uint8).reshape(-1, 6)[k].tobytes(), None, None, None, None)
-                    for chunk, packed, k in zip(bucket["chunk"].to_pylist(), bucket["b0"].to_pylist(), keep) if k.any()])
+def _shared_anchors(most: int):
+    """The anchors of a bucket that several documents have, for each chunk; the lowest bit says: more than
+    ``most`` times in all, so divided.  ``bucket`` is how often the chunk has such anchors."""
+    def run(bucket: pa.Table) -> pa.Table:
+        lists = [_marks(x) for x in bucket["b0"].to_pylist()]
+        ends = np.cumsum([len(x) for x in lists])
+        times = np.ones(ends[-1], np.int64)
+        for end, x, again in zip(ends, lists, bucket["b1"].to_pylist()):
+            place, n = np.frombuffer(again, np.int64).reshape(2, -1)
+            times[end - len(x) + place] += n
+        marked = np.concatenate(lists)
+        every, inverse, n = np.unique(marked >> np.uint64(1), return_inverse=True, return_counts=True)
+        several = n > 1
+        several[inverse[(marked & np.uint64(1)) == 1]] = True
+        total = np.zeros(len(every), np.int64)
+        np.add.at(total, inverse, times)
+        divided = (several & (total > most))[inverse]
+        packed = _packed_marks(every[inverse], divided)
+        return _tagged([(chunk, 1, int(t[d].sum()), p[k].tobytes(), None, None, None, None)
+                        for chunk, p, k, d, t in zip(bucket["chunk"].to_pylist(), *(np.split(c, ends[:-1]) for c in (
+                            packed, several[inverse], divided, times))) if k.any()])
+
+    return run
 
 
 def _shared_segments(chunk: pa.Table, told: pa.Table, length: int, gram: int):
     """The chunk opened, and of its segments with shared anchors: document, first string, and
-    the number of the distinct segment, which are listed by anchor, bytes and the anchor's offset."""
+    the number of the distinct segment, which are listed by anchor, bytes and the anchor's offset.
+    Every string of a divided anchor is a segment, listed by its own hash."""
     whole = chunk.to_pylist()[0]
     data, sizes, rows, ids = _opened(whole["b0"], whole["b1"], whole["b2"], whole["b3"])
     shared = [_marks(x) for x, k in zip(told["b0"].to_pylist(), told["kind"].to_pylist()) if k == 1]
@@ -304,16 +323,32 @@ def _shared_segments(chunk: pa.Table, told: pa.Table, length: int, gram: int):
     if not shared:
         return data, sizes, rows, ids, empty, empty, empty, []
     hashed, first, last, doc, place = anchors(data, sizes, length, gram)
-    shared = np.sort(np.concatenate(shared) >> np.uint64(1))
+    shared = np.sort(np.concatenate(shared))
+    shared, divided = shared >> np.uint64(1), (shared & np.uint64(1)) == 1
     mark = hashed >> np.uint64(17)
     at = np.minimum(np.searchsorted(shared, mark), len(shared) - 1)
     keep = shared[at] == mark
+    divided = divided[at][keep]
     hashed, first, last, doc, place = hashed[keep], first[keep], last[keep], doc[keep], place[keep]
     raw = data.tobytes()
     keys = [(h, raw[a:e + length], p - a) for h, a, e, p in zip(hashed.tolist(), first.tolist(), last.tolist(), place.tolist())]
     distinct = sorted(set(keys))
     number = {k: i for i, k in enumerate(distinct)}
-    return data, sizes, rows, ids, doc, first, np.array([number[k] for k in keys], np.int64), distinct
+    segment = np.array([number[k] for k in keys], np.int64)
+    if not divided.any():
+        return data, sizes, rows, ids, doc, first, segment, distinct
+    parts = [[k] for k in distinct]
+    for i in np.unique(segment[divided]).tolist():
+        _, s, o = distinct[i]
+        strings = [s[k:k + length] for k in range(len(s) - length + 1)]
+        parts[i] = [(int.from_bytes(hashlib.blake2b(t, digest_size=8).digest(), "little"), t, o - k) for k, t in enumerate(strings)]
+    distinct = sorted({k for own in parts for k in own})
+    number = {k: i for i, k in enumerate(distinct)}
+    listed = np.array([number[k] for own in parts for k in own], np.int64)
+    n = np.array([len(own) for own in parts], np.int64)
+    begin, n = (np.cumsum(n) - n)[segment], n[segment]
+    shift = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    return data, sizes, rows, ids, np.repeat(doc, n), np.repeat(first, n) + shift, listed[np.repeat(begin, n) + shift], distinct
 
 
 def _send_segments(bits: int, length: int, gram: int):
@@ -472,8 +507,11 @@ def drop_repeats(docs: DataFrame, length: int = 50, gram: int = 20, chunk_bytes:
     try:
         total = chunks.agg(F.sum("bucket")).first()[0] or 0
         bits = max(0, int(total // bucket_bytes).bit_length())
+        most = shard_bytes // (2 * length - gram)  # longer no segment is
         shared = written(chunks.mapInArrow(_list_anchors(bits, length, gram), TAGGED)
-                         .groupBy("bucket").applyInArrow(_shared_anchors, TAGGED), "shared")
+                         .groupBy("bucket").applyInArrow(_shared_anchors(most), TAGGED), "shared")
+        total += (shared.agg(F.sum("bucket")).first()[0] or 0) * (length - gram + 1) * length  # strings of divided anchors
+        bits = max(0, int(total // bucket_bytes).bit_length())
         judged = written(chunks.groupBy("chunk").cogroup(shared.groupBy("chunk")).applyInArrow(_send_segments(bits, length, gram), TAGGED)
                          .groupBy("bucket").applyInArrow(_judge_segments(length, gram, shard_bytes), TAGGED), "judged")
         out = written(chunks.groupBy("chunk").cogroup(shared.union(judged).groupBy("chunk"))

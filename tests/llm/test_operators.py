@@ -93,6 +93,36 @@ def test_drop_repeats(spark, docs, none):
     assert Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in rows) == removed(known(table))
 
 
+def test_a_passage_of_all_documents_is_divided(monkeypatch):
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    from addrgraph.llm import suffixes
+
+    rng = np.random.default_rng(2)
+    own = lambda: bytes(rng.integers(97, 123, 60, np.uint8)).decode()
+    passage = "the same notice stands in every document of this table, between words of its own; " * 2
+    texts = [(i, own() + passage + own()) for i in range(300)]
+    sorted_bytes, judge = [], suffixes.smallest_owner
+    monkeypatch.setattr(suffixes, "smallest_owner", lambda s, *more: sorted_bytes.append(sum(map(len, s))) or judge(s, *more))
+    batch = pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(
+        ([i for i, _ in texts], [i for i, _ in texts], [t.encode() for _, t in texts]), (pa.int64(), pa.int64(), pa.binary()))], ["row", "doc_id", "text"])
+    shard_bytes = 2000
+    chunks = list(suffixes._chunked(20_000)([batch]))
+    lists = pa.Table.from_batches(list(suffixes._list_anchors(0, 50, 20)(chunks)))
+    told = suffixes._shared_anchors(shard_bytes // 80)(lists)
+    by = lambda t, c: t.filter(pc.equal(t["chunk"], c))
+    chunks = pa.Table.from_batches(chunks)
+    names = chunks["chunk"].to_pylist()
+    assert len(names) > 3
+    sent = pa.concat_tables([suffixes._send_segments(0, 50, 20)(by(chunks, c), by(told, c)) for c in names])
+    judged = suffixes._judge_segments(50, 20, shard_bytes)(sent)
+    assert max(sorted_bytes, default=0) <= 2 * shard_bytes
+    apply = suffixes._apply(0, 50, 20, False)
+    rows = [r for c in names for r in apply(by(chunks, c), pa.concat_tables([by(told, c), by(judged, c)])).to_pylist()]
+    assert Counter((r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in rows) == removed(texts)
+
+
 def test_suffix_array():
     from addrgraph.llm.suffixes import permuted_prefixes, suffix_array
 
