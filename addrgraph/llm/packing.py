@@ -10,6 +10,7 @@ them and pack again, until no bin is saved.
 from __future__ import annotations
 
 import zlib
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -109,15 +110,14 @@ def _packed(pieces: DataFrame, capacity: int, part_pieces: int, turn: int) -> Da
     parts = max(1, -(-pieces.count() // part_pieces))
     part = F.pmod(F.xxhash64(F.lit(turn), "row", "piece"), F.lit(parts))
     return written(pieces.select(*[c.split()[0] for c in PIECE.split(", ")], part.alias("part")).groupBy("part")
-                   .applyInPandas(_pack(capacity, turn << 56), PACKED), "packed")
+                   .applyInPandas(_pack(capacity, turn << 50), PACKED), "packed")
 
 
 def _bins(packed: DataFrame) -> int:
     return packed.select("sequence_id").distinct().count()
 
 
-def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: int = 0, part_pieces: int = 65_536,
-                   most_turns: int = 3) -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: int = 0, part_pieces: int = 65_536) -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset, and the
     bins and bound of the partition that packed it.
 
@@ -139,7 +139,7 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, e
     bound = bin_bound(np.array([r["length"] for r in lengths], np.int64), capacity,
                       np.array([r["count"] for r in lengths], np.int64)) if lengths else 0
     bins = _bins(packed)
-    for turn in range(2, 2 + most_turns):
+    for turn in count(2):
         if bins <= bound:
             break  # certified: no packing takes fewer
         # each partition may be optimal and their sum not; full bins stay, the rest meets other partitions

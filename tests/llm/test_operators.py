@@ -236,6 +236,28 @@ def test_packing(spark, docs, none):
     assert pack_documents(none, path).count() == 0
 
 
+def test_packing_exchanges_until_no_bin_is_saved(spark, monkeypatch):
+    from addrgraph.llm import packing
+
+    rng = np.random.default_rng(8)
+    texts = [(i, " ".join(["a"] * int(n))) for i, n in enumerate(rng.integers(1, 11, 2000))]
+    bins, packed = [], packing._packed
+
+    def counted(pieces, *settings):
+        out = packed(pieces, *settings)
+        bins.append((pieces.select("sequence_id").distinct().count() if "sequence_id" in pieces.columns else None,
+                     out.select("sequence_id").distinct().count()))
+        return out
+
+    monkeypatch.setattr(packing, "_packed", counted)
+    df = spark.createDataFrame(texts, "doc_id long, text string").coalesce(1)
+    rows = packing.pack_documents(df, library()[0], capacity=20, part_pieces=6).collect()
+    assert len(rows) == len(texts)
+    lengths = np.array([r.length for r in rows])
+    n = len({r.sequence_id for r in rows})
+    assert n == packing.bin_bound(lengths, 20) or bins[-1][1] >= bins[-1][0], bins
+
+
 def test_bin_bound():
     from itertools import count
 
