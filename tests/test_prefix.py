@@ -37,3 +37,31 @@ def test_global_rank(spark):
     df = spark.range(1000).select((F.col("id") * 37 % 1000).alias("k"))
     got = global_rank(df, ["k"], "r", rows_per_bucket=90).collect()
     assert all(r["k"] == r["r"] for r in got) and len(got) == 1000
+
+
+@pytest.mark.parametrize("rows_per_bucket", [17, 250, None])
+def test_segmented_scan_is_a_window_by_segment(spark, rows_per_bucket):
+    """One segment holds a third of all rows, many hold one, one is null."""
+    seg = F.when(F.col("id") % 3 == 0, F.lit(-1)).when(F.col("id") % 50 == 1, F.col("id")).when(F.col("id") % 7 != 2, F.col("id") % 5)
+    df = spark.range(4000).select(((F.col("id") * 1361) % 4001).alias("k"), seg.alias("run"), (F.col("id") % 7).alias("v"),
+                                  F.when(F.col("id") % 11 == 0, F.col("id")).alias("x"))
+    got = running_scan(df, "k", {"s": F.col("v")}, {"l": F.col("x")}, rows_per_bucket, segment="run")
+    w = Window.partitionBy("run").orderBy("k").rowsBetween(Window.unboundedPreceding, 0)
+    want = df.select("*", F.sum("v").over(w).alias("s"), F.last("x", ignorenulls=True).over(w).alias("l"))
+    key = lambda r: (r["run"] is not None, r["run"] or 0, r["k"])
+    assert sorted((tuple(r) for r in got.collect()), key=str) == sorted((tuple(r) for r in want.collect()), key=str)
+    assert len({key(r) for r in got.collect()}) == 4000
+
+
+def test_segmented_scan_spreads_a_run(spark):
+    """A run that holds all rows goes through many ranges."""
+    from addrgraph.plans.prefix import in_ranges
+
+    df = spark.range(3000).select(F.lit("r").alias("run"), F.col("id").alias("k"))
+    sizes = [r["count"] for r in in_ranges(df, ["run", "k"], 300).groupBy("__bucket").count().collect()]
+    assert len(sizes) >= 8 and max(sizes) < 900
+
+
+def test_segmented_scan_of_nothing(spark):
+    df = spark.createDataFrame([], "run string, k long")
+    assert running_scan(df, "k", {"n": F.lit(1)}, segment="run").count() == 0
