@@ -82,3 +82,10 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     # now every node points at its component's smallest node
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).union(
         e.select(F.col("v"), F.col("v"))).groupBy("node").agg(F.min("component").alias("component"))
+
+
+def crc32_sql(text: str) -> str:
+    """DuckDB expression for the unsigned crc32 of an ASCII text (it has no such function)."""
+    letters = f"list_transform(string_split({text}, ''), lambda ch: cast(ascii(ch) as bigint))"
+    eight = "list_reduce([xor(c, x), 0, 0, 0, 0, 0, 0, 0, 0], lambda a, z: xor(a >> 1, (a & 1) * 3988292384))"
+    return f"xor(list_reduce(list_prepend(cast(4294967295 as bigint), {letters}), lambda c, x: {eight}), 4294967295)"

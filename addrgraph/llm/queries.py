@@ -1,6 +1,7 @@
 """Registered queries of this subpackage and their DuckDB twins."""
 
 from .dedup import ORACLE_OP1, op1_grace_hash_dedup
+from .merkle import ORACLE_OP11, op11_octopus_manifest
 from .mixing import op8_block_mix
 from .packing import op5_bound_certified_packing
 from .quality import op9_attention_quality
@@ -14,7 +15,7 @@ from .vectors import op10_projection_forest
 QUERIES = {f.__name__: f for f in (
     op1_grace_hash_dedup, op2_sharded_suffix_arrays, op3_linked_secrets, op4_hypergeometric_shards,
     op5_bound_certified_packing, op6_digest_cache_counts, op7_count_vector_rtree, op8_block_mix, op9_attention_quality,
-    op10_projection_forest)}
+    op10_projection_forest, op11_octopus_manifest)}
 #: The other queries depend on hashes, draws or models that SQL does not have, or reach a
 #: closure or packing that it cannot express on whole tables; tests/llm holds them against brute force.
-ORACLES = {"op1_grace_hash_dedup": ORACLE_OP1}
+ORACLES = {"op1_grace_hash_dedup": ORACLE_OP1, "op11_octopus_manifest": ORACLE_OP11}
