@@ -4,6 +4,10 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -70,8 +74,6 @@ def bucketed_table(df: DataFrame, name: str, key: str) -> tuple[DataFrame, str]:
     the key first, so each task writes one file per bucket, not one per task
     and bucket.
     """
-    import uuid
-
     spark = df.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     table = f"{name}_{uuid.uuid4().hex[:12]}"
@@ -80,13 +82,44 @@ def bucketed_table(df: DataFrame, name: str, key: str) -> tuple[DataFrame, str]:
     return spark.table(table), table
 
 
+_SCOPE: ContextVar[str | None] = ContextVar("scratch", default=None)
+
+
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A fresh path below the shared checkpoint folder, in the open ``scratch`` scope if there is one."""
+    base = _SCOPE.get() or os.path.join(checkpoint_dir(spark), "tables")
+    return os.path.join(base, f"{name}-{uuid.uuid4().hex[:12]}")
+
+
 def write_through(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once as Parquet under the shared checkpoint folder and read
     it back: lineage is cut, the data survives executor loss, and later joins
     see its real size."""
-    import uuid
-
-    spark = df.sparkSession
-    path = os.path.join(checkpoint_dir(spark), "tables", f"{name}-{uuid.uuid4().hex[:12]}")
+    path = scratch_path(df.sparkSession, name)
     df.write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+@contextmanager
+def scratch(spark: SparkSession, name: str) -> Iterator[Callable[[DataFrame, str], DataFrame]]:
+    """A scope for intermediate tables: what is written inside is deleted at its end.
+
+    Yields ``keep(df, name)``, which writes a table that stays and reads it back; only
+    such tables may be used after the scope.
+    """
+    outer, path = _SCOPE.get(), scratch_path(spark, name)
+
+    def keep(df: DataFrame, kept: str) -> DataFrame:
+        inner = _SCOPE.set(outer)
+        try:
+            return write_through(df, kept)
+        finally:
+            _SCOPE.reset(inner)
+
+    token = _SCOPE.set(path)
+    try:
+        yield keep
+    finally:
+        _SCOPE.reset(token)
+        top = spark._jvm.org.apache.hadoop.fs.Path(path)
+        top.getFileSystem(spark._jsc.hadoopConfiguration()).delete(top, True)
