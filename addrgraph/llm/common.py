@@ -2,13 +2,10 @@
 
 from __future__ import annotations
 
-import os
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from addrgraph.session import checkpoint_dir
+from addrgraph.session import write_through
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: White space that separates words: the blank and the characters 09 to 0D.
@@ -28,17 +25,10 @@ def text_or_empty(docs: DataFrame, column: str = "text") -> Column:
     return F.coalesce(docs[column].cast("string"), F.lit(""))
 
 
-def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh path below the shared checkpoint folder."""
-    return os.path.join(checkpoint_dir(spark), "llm", f"{name}-{uuid.uuid4().hex[:12]}")
-
-
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lost executors don't
     recompute it, and row numbers given before stay as they are."""
-    path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return write_through(df, f"llm-{name}")
 
 
 def partitions(spark: SparkSession) -> int:

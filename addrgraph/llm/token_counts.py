@@ -13,7 +13,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import read, scratch_path, text_or_empty, written
+from addrgraph.session import scratch_path
+
+from .common import read, text_or_empty, written
 from .tokens import encoder, file_digest
 
 CACHE = "content binary, tokenizer string, n_tokens long"
