@@ -77,7 +77,7 @@ def bucketed_table(df: DataFrame, name: str, key: str) -> tuple[DataFrame, str]:
     spark = df.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     table = f"{name}_{uuid.uuid4().hex[:12]}"
-    path = os.path.join(checkpoint_dir(spark), "tables", table)
+    path = scratch_path(spark, table)
     df.repartition(n, key).write.bucketBy(n, key).format("parquet").option("path", path).saveAsTable(table)
     return spark.table(table), table
 
