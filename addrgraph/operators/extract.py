@@ -10,17 +10,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from addrgraph.functions.common import let, strip_ws
+from addrgraph.functions.markup import link_values, unquoted
 from addrgraph.functions.text import decode_html, page_emails
 from addrgraph.functions.urls import (blocked_extension, is_http_url, resolve_url, skipped_link,
                                       url_key)
 from addrgraph.sources.pages import with_page_defaults
 
 # ---------------------------------------------------------------------------
-# Link-attribute patterns.  One capture group holding the value
+# Fixed value: the link-attribute pattern.  One capture group holding the value
 # with its quotes, if any (stripped afterwards).
 HREF_PATTERN = r"""(?i)href\s*=\s*("[^">]+"|'[^'>]+'|[^\s>]+)"""
-# Link elements only (a, area), for the anchor-only extractor:
-ANCHOR_HREF_PATTERN = r"""(?is)<(?:a|area)\b[^>]*?\bhref\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)"""
 # ---------------------------------------------------------------------------
 
 
@@ -92,17 +91,13 @@ def link_array(anchors_only: bool = False) -> Column:
     per rule; each stage's values are stored in the array, so later rules
     read them instead of recomputing.
     """
-    pattern = ANCHOR_HREF_PATTERN if anchors_only else HREF_PATTERN
     html = F.coalesce(F.col("html"), F.lit(""))
-    hrefs = F.when(F.lower(html).contains("href"), F.regexp_extract_all(html, F.lit(pattern), 1)).otherwise(
-        F.array().cast("array<string>"))
+    if anchors_only:
+        hrefs, unquote = link_values(html), unquoted
+    else:
+        hrefs, unquote = F.when(F.lower(html).contains("href"), F.regexp_extract_all(html, F.lit(HREF_PATTERN), 1)).otherwise(
+            F.array().cast("array<string>")), _strip_quotes
     src = F.col("url")
-
-    def unquote(h: Column) -> Column:
-        if anchors_only:
-            return F.regexp_replace(h, r"""^(["'])(.*)\1$""", "$2")
-        return _strip_quotes(h)
-
     a = F.transform(hrefs, lambda h, i: F.struct(i.alias("pos"), h.alias("raw"), unquote(h).alias("v")))
     a = F.transform(a, lambda s: F.struct(s["pos"].alias("pos"), s["raw"].alias("raw"), strip_ws(
         F.when(s["v"].contains("&"), decode_html(s["v"])).otherwise(s["v"])).alias("v")))
@@ -121,7 +116,7 @@ def extract_links(pages: DataFrame, anchors_only: bool = False) -> DataFrame:
 
     Output ``page_id, src_url, pos, raw, dst_url, dst_key``: the raw attribute
     value, the resolved absolute http(s) URL without fragment, and its key.
-    ``anchors_only`` takes ``href`` of ``a``/``area`` elements only.  The rows
+    ``anchors_only`` takes ``href`` of ``a``/``area`` elements only (``functions.markup``).  The rows
     are exploded only at the end (see ``link_array``).  No shuffle.
     """
     return pages.select("page_id", F.col("url").alias("src_url"), F.inline(link_array(anchors_only)))

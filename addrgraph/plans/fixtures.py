@@ -2,6 +2,7 @@
 unchanged in Spark SQL and in DuckDB.
 
 ``site``        captured, linked web site with failures      (from customer)
+``markup``      pages of awkward markup              (from customer)
 ``hits``        address sightings with time                  (from events)
 ``event_lines`` the typed NDJSON log                         (from events)
 ``discovery``   enrichment records                           (from supplier)
@@ -30,6 +31,25 @@ select c_custkey as page_id,
 from customer
 """
 
+# Markup whose links a search for ``href`` alone would get wrong.
+MARKUP_SQL = """
+select c_custkey as page_id,
+  concat('https://h', cast(c_custkey % 5 as string), '.example.com/m/', cast(c_custkey as string)) as url,
+  concat(
+    '<!-- <a href="/comment', cast(c_custkey as string), '">no</a> --><title>a <a href="/title"> b</title>',
+    '<script type="x>y">var s = "<a href=/script', cast(c_custkey as string), '>"; // </a></script>',
+    '<a data-href="/data', cast(c_custkey as string), '" href="/t/', cast(c_custkey % 17 as string), '">t</a>',
+    '<a title="href=/value" href=/w/', cast(c_custkey % 13 as string), '>w</a>',
+    '<A class="a > b" HREF = ', chr(39), '/q?a=', cast(c_custkey % 7 as string), '&amp;b="2"', chr(39), '>q</A>',
+    '<area shape=rect href="/t/', cast(c_custkey % 17 as string), '#part"/><abbr href="/abbr">x</abbr><link href="/l.css">',
+    '<a href>none</a><a name="n">none</a><a href="/i/', cast(c_custkey as string), '.png">i</a>',
+    '<a', chr(10), chr(9), 'href="/p/', cast(c_custkey as string), '" href="/second">p</a>',
+    case when c_custkey % 5 = 0 then concat('<style>a:after { content: "<a href=/style>" }</style><a href=', chr(39), chr(39), '>e</a>') else '<textarea><a href="/area"></textarea>' end,
+    case when c_custkey % 3 = 0 then '<a onclick="f(1 > 2)" href=up/x>u</a>' else '<!DOCTYPE html><p href="/p">' end,
+    case when c_custkey % 11 = 0 then '<!-- open <a href="/open">' else '<a href="//h9.example.com/n">n</a>' end) as html
+from customer
+"""
+
 HITS_SQL = """
 select event_id as page_id,
   concat('https://h', cast(user_id % 5 as string), '.example.com/e/', cast(event_id % 997 as string)) as source_url,
@@ -90,6 +110,7 @@ from nation
 
 FIXTURE_SQL = {
     "site": (SITE_SQL, ["customer"]),
+    "markup": (MARKUP_SQL, ["customer"]),
     "hits": (HITS_SQL, ["events"]),
     "event_lines": (EVENT_LINES_SQL, ["events"]),
     "discovery": (DISCOVERY_SQL, ["supplier"]),

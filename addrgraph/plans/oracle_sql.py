@@ -130,17 +130,28 @@ def fetch_cols(t: str, accept_missing: bool = True) -> str:
 
 
 HREF_RE = """(?i)href\\s*=\\s*("[^">]+"|'[^'>]+'|[^\\s>]+)"""
-ANCHOR_RE = """(?is)<(?:a|area)\\b[^>]*?\\bhref\\s*=\\s*("[^"]*"|'[^']*'|[^\\s>]+)"""
+TEXT_ELEMENTS = ["script", "style", "textarea", "title", "xmp", "iframe", "noembed", "noframes"]
+
+
+def anchor_values(h: str) -> str:
+    """Raw ``href`` values of link elements, step by step: all tokens, of these the link
+    elements, of each its attributes, of these the first by that name."""
+    quoted = """"[^"]*"|'[^']*'"""
+    text = "|".join(f"<{e}(?:[\\s/][^>]*)?>.*?(?:</{e}|$)" for e in TEXT_ELEMENTS)
+    tokens = f"regexp_extract_all({h}, {_q(f'(?is)<!--(?:.*?-->|.*$)|{text}|</?[a-z](?:[^' + chr(34) + f'{chr(39)}>]|{quoted})*>')})"
+    links = f"list_filter({tokens}, lambda t: regexp_matches(t, '(?i)^<(a|area)[\\s/]'))"
+    attributes = f"""regexp_extract_all(regexp_replace(t, '(?i)^<(a|area)|>$', '', 'g'), {_q(f'[^\\s/=]+(?:\\s*=\\s*(?:{quoted}|[^\\s>]*))?')})"""
+    first = f"list_filter({attributes}, lambda x: lower(trim(split_part(x, '=', 1))) = 'href')[1]"
+    return f"""list_filter(list_transform({links}, lambda t: regexp_extract({first}, '(?s)^[^=]*=\\s*(.*)$', 1)), lambda v: length(v) > 0)"""
 
 
 def links_ctes(t: str, prefix: str = "lk", anchors: bool = False) -> str:
     """CTEs ``{prefix}`` = extract_links over table ``t`` (page_id, url, html):
     page_id, src_url, pos, raw, dst_url, dst_key."""
-    pat = ANCHOR_RE if anchors else HREF_RE
     h = "coalesce(html, '')"
+    values = anchor_values(h) if anchors else f"regexp_extract_all({h}, {_q(HREF_RE)}, 1)"
     if anchors:
-        unq = (f"(case when regexp_matches(raw, '^\"(.*)\"$') or regexp_matches(raw, '^''(.*)''$') "
-               f"then substr(raw, 2, length(raw) - 2) else raw end)")
+        unq = f"(case when raw[1] in ({_q(chr(34))}, {_q(chr(39))}) then raw[2:-2] else raw end)"
     else:
         unq = ("(case when regexp_matches(raw, '^\"[^\">]+\"$') or regexp_matches(raw, '^''[^''>]+''$') "
                "then substr(raw, 2, length(raw) - 2) else raw end)")
@@ -163,7 +174,7 @@ def links_ctes(t: str, prefix: str = "lk", anchors: bool = False) -> str:
     skip = "(length(trim_ws(val)) = 0 or starts_with(val, '#') or regexp_matches(val, '(?i)^(mailto:|tel:|javascript:)'))"
     return f"""{prefix}_h as (
   select page_id, url as src_url, unnest(hs) as raw, generate_subscripts(hs, 1) - 1 as pos
-  from (select page_id, url, case when contains(lower({h}), 'href') then regexp_extract_all({h}, {_q(pat)}, 1)
+  from (select page_id, url, case when contains(lower({h}), 'href') then {values}
         else []::varchar[] end as hs from {t})),
 {prefix}_v as (select page_id, src_url, pos, raw, trim_ws({dec}) as val from {prefix}_h),
 {prefix}_j as (select page_id, src_url, pos, raw,
@@ -359,6 +370,8 @@ select page_id, replace(replace(replace(html, '&#64;', '@'), '&lt;', '<'), '&gt;
     o["normalize_email"] = W + DISC + f"\nselect rec_id, {normalize_email('value')} as email from disc where kind = 'email'"
     o["extract_links"] = W + links_ctes("pages") + "\nselect page_id, pos, raw, dst_url, dst_key from lk"
     o["extract_anchor_links"] = (W + links_ctes("pages", anchors=True) + """
+select page_id, min(pos) as pos, arg_min(dst_url, pos) as dst_url, dst_key from lk group by page_id, dst_key""")
+    o["extract_anchor_links_markup"] = (W + fx("markup") + ",\n" + links_ctes("markup", anchors=True) + """
 select page_id, min(pos) as pos, arg_min(dst_url, pos) as dst_url, dst_key from lk group by page_id, dst_key""")
     o["resolve_links"] = W + fx("site") + ", " + links_ctes("site") + "\nselect page_id, pos, dst_url from lk"
     o["canonical_url"] = f"select page_id, url, {url_key('url')} as url_key from pages"

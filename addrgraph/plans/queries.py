@@ -183,6 +183,11 @@ def extract_anchor_links(spark, d):
     return X.extract_anchor_links(_pages(spark, d)).select("page_id", "pos", "dst_url", "dst_key")
 
 
+def extract_anchor_links_markup(spark, d):
+    """P5 on markup with comments, scripts, quoted ``>`` and attributes that only look like ``href``."""
+    return X.extract_anchor_links(fixture(spark, d, "markup")).select("page_id", "pos", "dst_url", "dst_key")
+
+
 def resolve_links(spark, d):
     return X.extract_links(_site(spark, d)).select("page_id", "pos", "dst_url")
 
@@ -478,6 +483,7 @@ QUERIES: dict[str, Query] = {
     "normalize_email": normalize_email,
     "extract_links": extract_links,
     "extract_anchor_links": extract_anchor_links,
+    "extract_anchor_links_markup": extract_anchor_links_markup,
     "resolve_links": resolve_links,
     "canonical_url": canonical_url,
     "normalize_url": normalize_url,
