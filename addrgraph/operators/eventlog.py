@@ -26,32 +26,42 @@ def drop_incomplete_email_events(events: DataFrame) -> DataFrame:
             .select("line_no", "email", "source_url"))
 
 
-def carry_forward(events: DataFrame, rows_per_bucket: int | None = None) -> DataFrame:
+def carry_forward(events: DataFrame, rows_per_bucket: int | None = None, run_col: str | None = None) -> DataFrame:
     """W2.  One row per ``progress`` event with its counters carried forward.
 
     A counter that is missing or unreadable keeps the last value seen in any
-    progress or summary event before it (0 at the start); ``queue_length``
-    does not carry (missing = 0).  The carry is a distributed prefix scan.
+    progress or summary event of its run before it (0 at the start);
+    ``queue_length`` does not carry (missing = 0).  ``run_col`` names the run of
+    a line where a log holds several, which may be interleaved; a null run is one
+    like any other.  The carry is a distributed prefix scan that starts anew with
+    each run, and a run of any length is spread over many ranges.
     """
-    ev = events.filter(F.col("kind").isin("progress", "summary"))
+    run = [run_col] if run_col else []
+    ev = events.filter(F.col("kind").isin("progress", "summary")).select(
+        *run, "line_no", "kind", *COUNTERS, "queue_length", "current_url")
     scanned = running_scan(ev, "line_no", lasts={f"__c_{c}": F.col(c) for c in COUNTERS},
-                           rows_per_bucket=rows_per_bucket)
+                           rows_per_bucket=rows_per_bucket, segment=run_col)
     return (scanned.filter(F.col("kind") == "progress")
-            .select("line_no",
+            .select(*run, "line_no",
                     *[F.coalesce(F.col(f"__c_{c}"), F.lit(0)).alias(c) for c in COUNTERS],
                     F.coalesce("queue_length", F.lit(0)).alias("queue_length"),
                     F.col("current_url")))
 
 
-def event_log_summary(events: DataFrame) -> DataFrame:
+def event_log_summary(events: DataFrame, run_col: str | None = None) -> DataFrame:
     """A6.  Final counters after the whole log: the last readable value of each
     (progress and summary events alike), 0 when none; duration from the last
-    summary event (0 when it is not positive or no summary was seen)."""
-    ev = events.filter(F.col("kind").isin("progress", "summary"))
-    last = [F.coalesce(F.max_by(c, F.when(F.col(c).isNotNull(), F.col("line_no"))), F.lit(0)).alias(c)
+    summary event (0 when it is not positive or no summary was seen).
+
+    With ``run_col`` one row per run that has a line of any kind, so a run that
+    failed before its first progress line is there with zeros (partial aggregates:
+    a run that holds a third of all lines is combined where they are read)."""
+    counts = F.col("kind").isin("progress", "summary")
+    last = [F.coalesce(F.max_by(c, F.when(counts & F.col(c).isNotNull(), F.col("line_no"))), F.lit(0)).alias(c)
             for c in COUNTERS]
     is_sum = F.col("kind") == "summary"
     dur = F.max_by(F.coalesce("duration_seconds", F.lit(0.0)), F.when(is_sum, F.col("line_no")))
+    ev = events.groupBy(run_col) if run_col else events.filter(counts)
     return ev.agg(*last,
                   F.coalesce(F.greatest(dur, F.lit(0.0)), F.lit(0.0)).alias("duration_seconds"),
                   (F.count_if(is_sum) > 0).alias("saw_summary"))

@@ -89,27 +89,31 @@ def crawl_summary(outcome: DataFrame, hits: DataFrame, enrichment: DataFrame | N
 
 
 def running_progress(outcome: DataFrame, hits: DataFrame, order_col: str = "page_id",
-                     rows_per_bucket: int | None = None) -> DataFrame:
+                     rows_per_bucket: int | None = None, run_col: str | None = None) -> DataFrame:
     """W1.  After each processed page (in ``order_col`` order): processed,
     failed, unique addresses so far, total hits so far, and the page URL.
 
-    A first sighting is found by a group-by on the address (min page), so a
-    hot address does not become one window partition; per-page counts are
-    joined on the page key and the running sums use the bucketed prefix scan
-    (``plans.prefix``), never a single-partition window.
+    With ``run_col`` (in both inputs) the counters are those of the page's run and
+    start anew with each.  A first sighting is found by a group-by on the address
+    (min page), so a hot address does not become one window partition; the sums are
+    a segmented scan over ranges (``plans.prefix``), so no task holds all pages or a
+    whole run.  The sightings are written once, as the text is read once.
     """
-    hits = write_through(hits.select(order_col, "email"), "progress_hits")  # the text is read once
-    first = hits.groupBy("email").agg(F.min(order_col).alias(order_col))
-    new_unique = first.groupBy(order_col).agg(F.count(F.lit(1)).alias("__new"))
-    per_page = hits.groupBy(order_col).agg(F.count(F.lit(1)).alias("__hits"))
-    pages = (outcome.select(order_col, "url", "ok")
-             .join(per_page, order_col, "left").join(new_unique, order_col, "left"))
+    run = [run_col] if run_col else []
+    hits = write_through(hits.select(*run, order_col, "email"), "progress_hits")
+    first = hits.groupBy(*run, "email").agg(F.min(order_col).alias(order_col))
+    # pages, sightings and first sightings meet in one aggregate by page
+    rows = (outcome.select(*run, order_col, "url", "ok")
+            .unionByName(hits.select(*run, order_col, F.lit(1).alias("__hit")), allowMissingColumns=True)
+            .unionByName(first.select(*run, order_col, F.lit(1).alias("__new")), allowMissingColumns=True))
+    pages = rows.groupBy(*run, order_col).agg(
+        F.max("url").alias("url"), F.bool_and("ok").alias("ok"), F.count("ok").alias("__page"),
+        F.count("__hit").alias("__hits"), F.count("__new").alias("__firsts")).where("__page > 0")
     out = running_scan(
         pages, order_col,
         sums={"processed_pages": F.lit(1).cast("long"),
               "failed_pages": F.when(F.col("ok"), 0).otherwise(1).cast("long"),
-              "unique_email_count": F.coalesce(F.col("__new"), F.lit(0)).cast("long"),
-              "total_email_hits": F.coalesce(F.col("__hits"), F.lit(0)).cast("long")},
-        rows_per_bucket=rows_per_bucket)
-    return out.select(order_col, F.col("url").alias("current_url"), "processed_pages", "failed_pages",
+              "unique_email_count": F.col("__firsts"), "total_email_hits": F.col("__hits")},
+        rows_per_bucket=rows_per_bucket, segment=run_col, stored=True)
+    return out.select(*run, order_col, F.col("url").alias("current_url"), "processed_pages", "failed_pages",
                       "unique_email_count", "total_email_hits")

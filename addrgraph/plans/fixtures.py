@@ -5,6 +5,7 @@ unchanged in Spark SQL and in DuckDB.
 ``markup``      pages of awkward markup              (from customer)
 ``hits``        address sightings with time                  (from events)
 ``event_lines`` the typed NDJSON log                         (from events)
+``run_lines``   the same of several interleaved runs  (from events)
 ``discovery``   enrichment records                           (from supplier)
 ``seed_lines``  raw seed input                               (from nation)
 """
@@ -75,6 +76,11 @@ select event_id as line_no,
 from events
 """
 
+# The log of several runs, interleaved; run 0 has a third of all lines.
+RUN_LINES_SQL = EVENT_LINES_SQL.replace(
+    "select event_id as line_no,",
+    "select event_id as line_no, case when event_id % 3 = 0 then 0 else 1 + user_id % 40 end as run_id,")
+
 DISCOVERY_SQL = """
 select s_suppkey as rec_id,
   case s_suppkey % 7 when 0 then 'crtsh' when 1 then 'rapiddns' when 2 then 'waybackarchive' when 3 then 'commoncrawl'
@@ -113,6 +119,7 @@ FIXTURE_SQL = {
     "markup": (MARKUP_SQL, ["customer"]),
     "hits": (HITS_SQL, ["events"]),
     "event_lines": (EVENT_LINES_SQL, ["events"]),
+    "run_lines": (RUN_LINES_SQL, ["events"]),
     "discovery": (DISCOVERY_SQL, ["supplier"]),
     "seed_lines": (SEED_LINES_SQL, ["nation"]),
 }

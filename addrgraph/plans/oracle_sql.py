@@ -265,7 +265,9 @@ reach as (select b.k as url_key, b.url, b.depth, b.path, b.parent_key, p.page_id
           from wfifo b left join site_keyed p on p.url_key = b.k {budget})"""
 
 
-def event_ctes() -> str:
+def event_ctes(t: str = "event_lines", keep: str = "") -> str:
+    """CTE ``ev``: the typed events of a table of lines; ``keep`` is a column to take along."""
+    k = f"{keep}, " if keep else ""
     def ifield(f):
         s = f"json_extract_string(line, '$.{f}')"
         t = f"json_type(line, '$.{f}')"
@@ -286,13 +288,13 @@ def event_ctes() -> str:
     ints = ["processed_pages", "failed_pages", "unique_email_count", "total_email_hits", "queue_length"]
     cols = ", ".join([f"{sfield(f)} as {f}" for f in strs] + [f"{ifield(f)} as {f}" for f in ints]
                      + [f"{dfield('duration_seconds')} as duration_seconds"])
-    return f"""{fx('event_lines')},
-ev_k as (select line_no, line,
+    return f"""{fx(t)},
+ev_k as (select {k}line_no, line,
    case when not json_valid(line) then 'unparsed'
         when json_type(line) = 'OBJECT' and json_extract_string(line, '$.type') is not null
         then lower(json_extract_string(line, '$.type')) end as kind
- from event_lines where length(trim_ws(line)) > 0),
-ev as (select line_no, kind, line, {cols} from ev_k where kind is not null)"""
+ from {t} where length(trim_ws(line)) > 0),
+ev as (select {k}line_no, kind, line, {cols} from ev_k where kind is not null)"""
 
 
 LOG_MSGS = """msgs as (select line_no, '[Scrapy] ' || m as message from (
@@ -449,6 +451,41 @@ cf as (select line_no, kind,
   from pe window w as (order by line_no rows between unbounded preceding and current row))
 select line_no, processed_pages, failed_pages, unique_email_count, total_email_hits, queue_length, current_url
 from cf where kind = 'progress'"""
+    o["carry_forward_runs"] = W + event_ctes("run_lines", "run_id") + """,
+cf as (select run_id, line_no, kind,
+  coalesce(last_value(processed_pages ignore nulls) over w, 0) as processed_pages,
+  coalesce(last_value(failed_pages ignore nulls) over w, 0) as failed_pages,
+  coalesce(last_value(unique_email_count ignore nulls) over w, 0) as unique_email_count,
+  coalesce(last_value(total_email_hits ignore nulls) over w, 0) as total_email_hits,
+  coalesce(queue_length, 0) as queue_length, current_url
+  from ev where kind in ('progress', 'summary')
+  window w as (partition by run_id order by line_no rows between unbounded preceding and current row))
+select run_id, line_no, processed_pages, failed_pages, unique_email_count, total_email_hits, queue_length, current_url
+from cf where kind = 'progress'"""
+    o["event_log_summary_runs"] = W + event_ctes("run_lines", "run_id") + """,
+told as (select * from ev where kind in ('progress', 'summary')),
+last as (select run_id, arg_max(processed_pages, line_no) filter (where processed_pages is not null) as processed_pages,
+  arg_max(failed_pages, line_no) filter (where failed_pages is not null) as failed_pages,
+  arg_max(unique_email_count, line_no) filter (where unique_email_count is not null) as unique_email_count,
+  arg_max(total_email_hits, line_no) filter (where total_email_hits is not null) as total_email_hits,
+  arg_max(coalesce(duration_seconds, 0.0), line_no) filter (where kind = 'summary') as duration_seconds,
+  count(*) filter (where kind = 'summary') as n from told group by run_id)
+select r.run_id, coalesce(processed_pages, 0) as processed_pages, coalesce(failed_pages, 0) as failed_pages,
+  coalesce(unique_email_count, 0) as unique_email_count, coalesce(total_email_hits, 0) as total_email_hits,
+  coalesce(greatest(duration_seconds, 0.0), 0.0)::double as duration_seconds, coalesce(n, 0) > 0 as saw_summary
+from (select distinct run_id from ev) r left join last l on l.run_id = r.run_id"""
+    o["running_progress_runs"] = W + f"{site_base}, {SITE_HITS}" + """,
+sr as (select *, case when page_id % 3 = 0 then 0 else page_id % 7 end as run_id from site_ok),
+hr as (select h.*, s.run_id from site_hits h join sr s on s.page_id = h.page_id),
+ph as (select page_id, count(*) as h from hr group by 1),
+fu as (select fp as page_id, count(*) as n from (select run_id, email, min(page_id) as fp from hr group by 1, 2) x group by 1)
+select s.run_id, s.page_id, s.url as current_url,
+  (count(*) over w)::bigint as processed_pages,
+  (sum(case when s.ok then 0 else 1 end) over w)::bigint as failed_pages,
+  (sum(coalesce(fu.n, 0)) over w)::bigint as unique_email_count,
+  (sum(coalesce(ph.h, 0)) over w)::bigint as total_email_hits
+from sr s left join ph on ph.page_id = s.page_id left join fu on fu.page_id = s.page_id
+window w as (partition by s.run_id order by s.page_id rows between unbounded preceding and current row)"""
     o["cap_links_per_page"] = W + links_ctes("pages") + f"""
 select page_id, pos, rank, dst_key from (select *, row_number() over (partition by page_id order by pos) as rank from lk) x
 where rank <= {LINK_CAP}"""

@@ -294,6 +294,28 @@ def carry_forward(spark, d):
     return EL.carry_forward(_events(spark, d))
 
 
+def _run_events(spark, d):
+    return parse_event_lines(fixture(spark, d, "run_lines"), keep=["run_id"])
+
+
+def carry_forward_runs(spark, d):
+    """W2 over a log of interleaved runs."""
+    return EL.carry_forward(_run_events(spark, d), run_col="run_id")
+
+
+def event_log_summary_runs(spark, d):
+    """A6 for each run of a log."""
+    return EL.event_log_summary(_run_events(spark, d), run_col="run_id")
+
+
+def running_progress_runs(spark, d):
+    """W1 where the pages belong to several runs, one of them a third of all."""
+    run = F.when(F.col("page_id") % 3 == 0, F.lit(0)).otherwise(F.col("page_id") % 7).cast("long")
+    site = X.split_fetchable(_site(spark, d)).withColumn("run_id", run)
+    hits = X.extract_emails(site.filter("ok")).withColumn("run_id", run)
+    return R.running_progress(site, hits, run_col="run_id")
+
+
 def cap_links_per_page(spark, d):
     links = X.extract_links(_pages(spark, d))
     return L.cap_links_per_page(links, LINK_CAP).select("page_id", "pos", "rank", "dst_key")
@@ -509,6 +531,9 @@ QUERIES: dict[str, Query] = {
     # windows
     "running_progress": running_progress,
     "carry_forward": carry_forward,
+    "carry_forward_runs": carry_forward_runs,
+    "event_log_summary_runs": event_log_summary_runs,
+    "running_progress_runs": running_progress_runs,
     "cap_links_per_page": cap_links_per_page,
     # sorts, limits
     "order_report": order_report,

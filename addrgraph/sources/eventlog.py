@@ -37,29 +37,32 @@ def _double_value(t: Column) -> Column:
     return F.when(t.rlike(_FLOAT_TEXT), F.regexp_replace(strip_ws(t), ",", "").try_cast("double"))
 
 
-def parse_event_lines(lines: DataFrame, line_col: str = "line", order_col: str = "line_no") -> DataFrame:
+def parse_event_lines(lines: DataFrame, line_col: str = "line", order_col: str = "line_no",
+                      keep: list[str] | None = None) -> DataFrame:
     """S4.  Typed events from NDJSON text rows.
 
     Blank lines are skipped.  A line that is not JSON becomes ``kind='unparsed'``
     (kept as a log line).  JSON that is not an object, or an object without
     ``type``, is ignored.  ``kind`` is the lower-cased ``type``.  Missing or
     unreadable numbers are null (the carry-forward rule fills them later).
+    ``keep`` names columns to take along, such as the run that wrote the line.
 
     Each line is parsed once (``from_json`` with every protocol field read as
     text); scalar values keep their JSON text, so the number rules apply to
     numbers and to number text alike.  Only lines the parser rejects are
     parsed a second time, to tell bad JSON from non-object JSON.
     """
-    src = lines.select(F.col(order_col).alias("line_no"), F.col(line_col).alias("line"))
+    keep = keep or []
+    src = lines.select(*keep, F.col(order_col).alias("line_no"), F.col(line_col).alias("line"))
     src = src.filter(F.length(strip_ws("line")) > 0)
     j = F.from_json("line", _schema(), {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": _CORRUPT})
-    src = src.select("line_no", "line", j.alias("j"))
+    src = src.select(*keep, "line_no", "line", j.alias("j"))
     kind = (F.when(F.col(f"j.{_CORRUPT}").isNotNull(),
                    F.when(F.try_parse_json("line").isNull(), F.lit("unparsed")))
             .when(F.col("j.type").isNotNull(), F.lower("j.type")))
     src = src.withColumn("kind", kind).filter(F.col("kind").isNotNull())
     unparsed = F.col("kind") == "unparsed"
-    cols = [F.col("line_no"), F.col("kind"), F.col("line")]
+    cols = [*map(F.col, keep), F.col("line_no"), F.col("kind"), F.col("line")]
     cols += [F.when(~unparsed, F.coalesce(F.col(f"j.{f}"), F.lit(""))).alias(f) for f in STRING_FIELDS]
     cols += [_int_value(F.col(f"j.{f}")).alias(f) for f in INT_FIELDS]
     cols += [_double_value(F.col(f"j.{f}")).alias(f) for f in DOUBLE_FIELDS]
