@@ -67,14 +67,15 @@ def event_log_summary(events: DataFrame, run_col: str | None = None) -> DataFram
                   (F.count_if(is_sum) > 0).alias("saw_summary"))
 
 
-def log_messages(events: DataFrame) -> DataFrame:
+def log_messages(events: DataFrame, keep: list | None = None) -> DataFrame:
     """Log lines of the run: ``log`` events with a non-blank message, and lines
-    that were not JSON, each prefixed as the consumer shows them."""
+    that were not JSON, each prefixed as the consumer shows them.  ``keep`` has
+    columns to take along."""
+    keep = keep or []
     msg = (F.when(F.col("kind") == "unparsed", F.col("line"))
            .when((F.col("kind") == "log") & (F.length(strip_ws("message")) > 0), F.col("message")))
-    return (events.select("line_no", msg.alias("__m"))
-            .filter(F.col("__m").isNotNull())
-            .select("line_no", F.concat(F.lit(LOG_PREFIX), F.col("__m")).alias("message")))
+    rows = events.select(*keep, "line_no", msg.alias("__m")).filter(F.col("__m").isNotNull())
+    return rows.withColumn("message", F.concat(F.lit(LOG_PREFIX), F.col("__m"))).drop("__m")
 
 
 def keep_last_lines(log: DataFrame, limit: int = LOG_LIMIT_LINES, keep: int = LOG_KEEP_LINES) -> DataFrame:

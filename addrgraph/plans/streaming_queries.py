@@ -10,14 +10,18 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from addrgraph.operators.eventlog import LOG_KEEP_LINES, LOG_LIMIT_LINES
 from addrgraph.plans import oracle_sql as O
 from addrgraph.plans.fixtures import fixture
 from addrgraph.session import checkpoint_dir
+from addrgraph.sources.eventlog import parse_event_lines
 from addrgraph.streaming import jobs as K
 
 
 # Input of one micro-batch.
 MICRO_BATCH_BYTES = 1 << 30
+# Micro-batches in which a log is replayed.
+REPLAY_BATCHES = 3
 
 
 def _stage(spark: SparkSession, df: DataFrame, name: str) -> tuple[str, str]:
@@ -91,7 +95,41 @@ def stream_event_demux(spark: SparkSession, d: str) -> DataFrame:
             .withColumn("table", F.when(F.col("kind") == "unparsed", "log").otherwise(F.col("kind"))))
 
 
+def _replay_runs(spark: SparkSession, d: str, name: str):
+    """The log of several runs as a stream of typed events in a few micro-batches, in order of line."""
+    lines = fixture(spark, d, "run_lines")
+    work = K.new_run_folder(os.path.join(checkpoint_dir(spark), "streams"), name)
+    data = os.path.join(work, "input")
+    for part in range(REPLAY_BATCHES):
+        # consecutive lines of the log; a file source takes older files first
+        size = F.expr("(select count(*) from events)") / REPLAY_BATCHES
+        mine = lines.where(F.least(F.floor(F.col("line_no") / size), F.lit(REPLAY_BATCHES - 1)) == part)
+        mine.coalesce(1).write.mode("append").parquet(data)
+    src = spark.readStream.schema(lines.schema).option("maxFilesPerTrigger", 1).parquet(data)
+    return parse_event_lines(src, keep=["run_id"]), work
+
+
+def stream_carry_forward(spark: SparkSession, d: str) -> DataFrame:
+    """Live W2 over several micro-batches: carried counters of interleaved runs."""
+    events, work = _replay_runs(spark, d, "w2")
+    out = os.path.join(work, "out")
+    _await(K.run_carry_forward(events, out, os.path.join(work, "ckpt")))
+    rows = spark.read.parquet(out)
+    return rows.select(F.col("run").cast("long").alias("run_id"), *[c for c in rows.columns if c != "run"])
+
+
+def stream_retained_log(spark: SparkSession, d: str) -> DataFrame:
+    """Live L6: the log that each run shows after all appends, line by line."""
+    events, work = _replay_runs(spark, d, "l6")
+    out = os.path.join(work, "out")
+    _await(K.run_retained_log(events, out, os.path.join(work, "ckpt")))
+    shown = K.KeyedTable(spark, out).read()
+    return shown.select(F.col("run").cast("long").alias("run_id"), "appended", "length", F.inline("lines"))
+
+
 STREAM_QUERIES = {
+    "stream_carry_forward": stream_carry_forward,
+    "stream_retained_log": stream_retained_log,
     "stream_email_hits": stream_email_hits,
     "stream_email_report": stream_email_report,
     "stream_unique_emails": stream_unique_emails,
@@ -106,6 +144,16 @@ def stream_oracles() -> dict[str, str]:
     out = {
         "stream_email_hits": o["extract_emails_site"],
         "stream_email_report": o["email_report"],
+        "stream_carry_forward": o["carry_forward_runs"],
+        "stream_retained_log": "with " + O.event_ctes("run_lines", "run_id") + f""",
+m as (select run_id, line_no, '[Scrapy] ' || t as message, row_number() over (partition by run_id order by line_no) as nth,
+  count(*) over (partition by run_id) as appended from (
+    select *, case when kind = 'unparsed' then line when kind = 'log' and length(trim_ws(message)) > 0 then message end as t from ev)
+  where t is not null)
+select run_id, appended, length::int as length, line_no, message
+from (select *, case when appended <= {LOG_LIMIT_LINES} then appended
+  else {LOG_KEEP_LINES} + (appended - {LOG_LIMIT_LINES} - 1) % ({LOG_LIMIT_LINES} + 1 - {LOG_KEEP_LINES}) end as length from m)
+where nth > appended - length""",
         "stream_unique_emails": "with " + O.fx("hits") + "\nselect distinct email from hits",
         "stream_progress": summary,
         "stream_event_demux": "with " + O.event_ctes() + """

@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 from addrgraph.functions.text import page_emails
 from addrgraph.operators.extract import extract_emails, split_fetchable
 from addrgraph.sources.eventlog import parse_event_lines
+from addrgraph.streaming.merge import KeyedTable
+from addrgraph.streaming.state import start_keyed, stream_carry_forward, stream_retained_log
 
 EVENT_KINDS = ["email", "progress", "log", "summary"]
 
@@ -54,44 +56,9 @@ def stream_unique_emails(hits_stream: DataFrame, watermark: str | None = None) -
     return hits_stream.dropDuplicates(["email"])
 
 
-def _append_epoch(base: str, batch: DataFrame, epoch: int) -> None:
-    """Write one micro-batch's updated rows under its epoch (overwrite: a
-    replayed epoch rewrites the same folder, so the sink stays exactly-once)."""
-    batch.withColumn("__epoch", F.lit(epoch).cast("long")).write.mode("overwrite").parquet(
-        os.path.join(base, f"epoch={epoch:012d}"))
-
-
-def read_report(spark: SparkSession, base: str, key: str = "email") -> DataFrame:
-    """Current report from an update-mode log: the latest row per key.
-
-    Each epoch holds the full current aggregate of the keys it changed, so the
-    row from the highest epoch is the current one (a partial + final aggregate).
-    Epochs up to the newest snapshot are read from it.
-    """
-    log = spark.read.parquet(base)
-    cols = [c for c in log.columns if c not in (key, "__epoch", "epoch")]
-    newest = _newest_snapshot(spark, base)
-    if newest is not None:
-        log = log.filter(F.col("epoch") > newest).unionByName(
-            spark.read.parquet(_snapshot(base, newest)), allowMissingColumns=True)
-    last = F.max_by(F.struct(*cols), F.col("__epoch")).alias("__r")
-    return log.groupBy(key).agg(last, F.max("__epoch").alias("__epoch")).select(
-        key, *[F.col(f"__r.{c}").alias(c) for c in cols], "__epoch")
-
-
-def _snapshot(base: str, epoch: int) -> str:
-    return os.path.join(f"{base}-snapshots", f"{epoch:012d}")
-
-
-def _newest_snapshot(spark: SparkSession, base: str) -> int | None:
-    """Epoch of the newest complete snapshot of a log."""
-    if not _exists(spark, f"{base}-snapshots"):
-        return None
-    jvm = spark.sparkContext._jvm
-    top = jvm.org.apache.hadoop.fs.Path(f"{base}-snapshots")
-    fs = top.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    done = [int(s.getPath().getName()) for s in fs.listStatus(top) if _exists(spark, s.getPath().toString() + "/_SUCCESS")]
-    return max(done, default=None)
+def read_report(spark: SparkSession, base: str) -> DataFrame:
+    """Current report of a K2 sink."""
+    return KeyedTable(spark, base).read()
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
@@ -108,23 +75,33 @@ def read_progress(spark: SparkSession, base: str) -> DataFrame:
 
 
 def run_email_report(hits_stream: DataFrame, out: str, checkpoint: str, available_now: bool = True,
-                     snapshot_every: int = 20):
-    """K2 sink: update mode; each micro-batch's changed rows are appended under
-    its epoch, and ``read_report`` gives the current table.  Every
-    ``snapshot_every`` epochs the current table is written as a snapshot, so a
-    reader looks at one table and a bounded number of epochs."""
-    spark = hits_stream.sparkSession
-
-    def merge(batch: DataFrame, epoch: int) -> None:
-        _append_epoch(out, batch, epoch)
-        if (epoch + 1) % snapshot_every == 0:
-            read_report(spark, out).write.mode("overwrite").parquet(_snapshot(out, epoch))
-
+                     buckets: int | None = None):
+    """K2 sink: update mode; a micro-batch merges its changed rows into a table keyed by
+    address and rewrites only the hash buckets that hold them (``streaming.merge``)."""
+    table = KeyedTable(hits_stream.sparkSession, out, ["email"], buckets)
     w = (stream_email_report(hits_stream).writeStream.outputMode("update")
-         .option("checkpointLocation", checkpoint).foreachBatch(merge))
+         .option("checkpointLocation", checkpoint).foreachBatch(table.merge))
     return (w.trigger(availableNow=True) if available_now else w).start()
 
 
+def run_carry_forward(events_stream: DataFrame, out: str, checkpoint: str, run_col: str = "run_id", available_now: bool = True):
+    """Live W2: progress rows with carried counters, appended as Parquet (exactly once)."""
+    w = (stream_carry_forward(events_stream, run_col).writeStream.format("parquet").option("path", out)
+         .option("checkpointLocation", checkpoint).outputMode("append"))
+    w = w.trigger(availableNow=True) if available_now else w
+    return start_keyed(events_stream.sparkSession, w.start)
+
+
+def run_retained_log(events_stream: DataFrame, out: str, checkpoint: str, run_col: str = "run_id", available_now: bool = True):
+    """Live L6: the log that each run shows, in a table keyed by run."""
+    spark = events_stream.sparkSession
+    table = KeyedTable(spark, out, ["run"])
+    w = (stream_retained_log(events_stream, run_col).writeStream.outputMode("update")
+         .option("checkpointLocation", checkpoint).foreachBatch(table.merge))
+    w = w.trigger(availableNow=True) if available_now else w
+    return start_keyed(spark, w.start)
+
+
 def run_progress(pages_stream: DataFrame, out: str, checkpoint: str, available_now: bool = True):
     """K4.  Running counters per micro-batch: processed, failed, unique
     addresses so far, total hits so far.

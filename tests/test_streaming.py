@@ -75,13 +75,112 @@ def test_progress_over_several_batches(spark, monkeypatch):
     assert tuple(K.read_progress(spark, work + "/out/progress").select(*want.asDict()).first()) == tuple(want)
 
 
-def test_report_snapshots(spark):
+def test_report_is_merged_by_bucket(spark):
+    """Buckets that a batch does not touch keep their files; old ones go; a replayed epoch changes nothing."""
     from addrgraph.plans.fixtures import fixture
     from addrgraph.streaming import jobs as K
 
     work, src = _staged(spark, fixture(spark, SF_SMALL, "hits"), "k2m", 5)
-    K.run_email_report(src, work + "/out", work + "/ck", snapshot_every=2).awaitTermination()
-    assert K._newest_snapshot(spark, work + "/out") == 3
+    K.run_email_report(src, work + "/out", work + "/ck", buckets=4).awaitTermination()
     want = Q.email_report(spark, SF_SMALL)
-    got = K.read_report(spark, work + "/out").select(*want.columns)
-    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    current = lambda: sorted(map(tuple, K.read_report(spark, work + "/out").select(*want.columns).collect()))
+    assert current() == sorted(map(tuple, want.collect()))
+    table = K.KeyedTable(spark, work + "/out")
+    assert len(table.epochs()) == 2  # of five
+    table.merge(want.withColumn("hits", want["hits"] + 1), 4)
+    assert current() == sorted(map(tuple, want.collect()))
+
+
+def test_keyed_table(spark):
+    import os
+
+    from addrgraph.session import scratch_path
+    from addrgraph.streaming.merge import KeyedTable
+
+    path = scratch_path(spark, "keyed")
+    rows = lambda *r: spark.createDataFrame(list(r), "k string, n long")
+    table = KeyedTable(spark, path, ["k"], buckets=3)
+    with pytest.raises(ValueError):
+        table.read()
+    table.merge(rows(), 0)
+    want = {}
+    for epoch in range(1, 9):
+        batch = {k: epoch for k in ["a", None, f"k{epoch}", f"k{epoch // 2}"]}
+        KeyedTable(spark, path, ["k"], buckets=7).merge(rows(*batch.items()), epoch)  # a restarted writer
+        want |= batch
+        got = table.read().collect()
+        assert {r.k: r.n for r in got} == want and len(got) == len(want)
+        table.merge(rows(("a", -1)), epoch)
+        assert {r.k: r.n for r in table.read().collect()} == want
+    files = [f for d, _, names in os.walk(path.removeprefix("file:") + "/data") for f in names if f.endswith(".parquet")]
+    assert len(files) <= 14  # the buckets of two manifests, however many epochs there were
+    # an epoch that failed before its manifest was renamed is written anew
+    table.merge(rows(("z", 1)), 9)
+    os.remove(os.path.join(path.removeprefix("file:"), "manifests", f"{9:012d}"))
+    assert {r.k: r.n for r in table.read().collect()} == want
+    table.merge(rows(("z", 2)), 9)
+    assert {r.k: r.n for r in table.read().collect()} == want | {"z": 2}
+
+
+def _run_stream(spark, lines, name, files):
+    """``lines`` (run, line_no, line) in order as that many files, one a micro-batch."""
+    import os
+
+    from addrgraph.session import checkpoint_dir
+    from addrgraph.sources.eventlog import parse_event_lines
+    from addrgraph.streaming import jobs as K
+
+    work = K.new_run_folder(os.path.join(checkpoint_dir(spark), "streams"), name)
+    size = -(-len(lines) // files)
+    schema = "run_id string, line_no long, line string"
+
+    def add(part):
+        spark.createDataFrame(lines[part * size:(part + 1) * size], schema).coalesce(1).write.mode("append").parquet(work + "/in")
+
+    def src():
+        s = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(work + "/in")
+        return parse_event_lines(s, keep=["run_id"])
+
+    return work, add, src
+
+
+def test_live_carry_forward_and_restart(spark):
+    from test_eventlog import interleaved, simulate
+
+    from addrgraph.streaming import jobs as K
+
+    lines = sorted(interleaved(spark, 900)[1], key=lambda r: r[1])
+    work, add, src = _run_stream(spark, lines, "w2", 4)
+    before = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+    for part in range(4):
+        add(part)
+        if part:  # the first start sees two files, each later one a file more
+            K.run_carry_forward(src(), work + "/out", work + "/ck").awaitTermination()
+    assert spark.conf.get("spark.sql.streaming.stateStore.providerClass") == before
+    want = [(r[0] or "", *r[1:]) for r in simulate(lines)[0]]
+    assert sorted(map(tuple, spark.read.parquet(work + "/out").collect())) == sorted(want) and len(want) > 300
+
+
+def test_live_retention(spark):
+    """The length after each batch, and the lines, as if every line was appended alone."""
+    from addrgraph.streaming import jobs as K
+    from addrgraph.streaming.state import retained_length
+
+    lines = [("a" if i % 4 else "b", i, f'{{"type":"log","message":"m{i}"}}' if i % 5 else f"text {i}") for i in range(3300)]
+    work, add, src = _run_stream(spark, lines, "l6", 3)
+    shown, told = {"a": [], "b": []}, []
+    for part in range(3):
+        add(part)
+        K.run_retained_log(src(), work + "/out", work + "/ck").awaitTermination()
+        for run, no, line in lines[part * 1100:(part + 1) * 1100]:
+            shown[run].append((no, "[Scrapy] " + (line if line.startswith("text") else f"m{no}")))
+            if len(shown[run]) > 1200:
+                shown[run] = shown[run][-1000:]
+        got = {r.run: [(x.line_no, x.message) for x in r.lines] for r in K.KeyedTable(spark, work + "/out").read().collect()}
+        assert got == shown
+        told.append({r.run: r.length for r in K.KeyedTable(spark, work + "/out").read().collect()})
+    assert told[-1] == {k: len(v) for k, v in shown.items()} and told[-1]["a"] < 1200
+    n, length = 0, 0
+    for n in range(1, 5000):
+        length = length + 1 if length < 1200 else 1000
+        assert retained_length(n) == length
