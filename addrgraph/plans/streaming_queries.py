@@ -16,6 +16,7 @@ from addrgraph.plans.fixtures import fixture
 from addrgraph.session import checkpoint_dir
 from addrgraph.sources.eventlog import parse_event_lines
 from addrgraph.streaming import jobs as K
+from addrgraph.streaming.progress import run_observed
 
 
 # Input of one micro-batch.
@@ -127,7 +128,19 @@ def stream_retained_log(spark: SparkSession, d: str) -> DataFrame:
     return shown.select(F.col("run").cast("long").alias("run_id"), "appended", "length", F.inline("lines"))
 
 
+def stream_progress_observed(spark: SparkSession, d: str) -> DataFrame:
+    """K4 by observed metrics: the last counters that the listener kept."""
+    site = fixture(spark, d, "site")
+    data, work = _stage(spark, site, "k4o")
+    run = run_observed(_replay(spark, data, site.schema), os.path.join(work, "out"), os.path.join(work, "ckpt"),
+                       name=os.path.basename(work))
+    run.wait()
+    last = F.max_by(F.struct("processed_pages", "failed_pages", "unique_email_count", "total_email_hits"), "epoch")
+    return run.listener.log.read().agg(last.alias("r")).select("r.*")
+
+
 STREAM_QUERIES = {
+    "stream_progress_observed": stream_progress_observed,
     "stream_carry_forward": stream_carry_forward,
     "stream_retained_log": stream_retained_log,
     "stream_email_hits": stream_email_hits,
@@ -156,6 +169,7 @@ from (select *, case when appended <= {LOG_LIMIT_LINES} then appended
 where nth > appended - length""",
         "stream_unique_emails": "with " + O.fx("hits") + "\nselect distinct email from hits",
         "stream_progress": summary,
+        "stream_progress_observed": summary,
         "stream_event_demux": "with " + O.event_ctes() + """
 select line_no, kind, email, source_url, current_url, message, reason, processed_pages, failed_pages,
   unique_email_count, total_email_hits, queue_length, duration_seconds,

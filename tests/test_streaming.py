@@ -184,3 +184,63 @@ def test_live_retention(spark):
     for n in range(1, 5000):
         length = length + 1 if length < 1200 else 1000
         assert retained_length(n) == length
+
+
+def test_observed_progress_over_batches_and_restart(spark):
+    """The listener's table equals K4's after every batch; callbacks get the same; no job of its own."""
+    import os
+
+    from addrgraph.plans.fixtures import fixture
+    from addrgraph.streaming.progress import run_observed
+
+    from addrgraph.streaming import jobs as K
+    from addrgraph.session import checkpoint_dir
+
+    site = fixture(spark, SF_SMALL, "site")
+    work = K.new_run_folder(os.path.join(checkpoint_dir(spark), "streams"), "k4o")
+    told, lines, rows = [], [], [r.asDict() for r in site.collect()]
+
+    def src():
+        return spark.readStream.schema(site.schema).option("maxFilesPerTrigger", 1).parquet(work + "/in")
+
+    for part in range(3):
+        spark.createDataFrame(rows[part * 50:(part + 1) * 50], site.schema).coalesce(1).write.mode("append").parquet(work + "/in")
+        if part != 1:  # two batches in the second start
+            run = run_observed(src(), work + "/out", work + "/ck", f"observed-{part}", told.append, on_log=lines.append)
+            last = run.wait()
+            assert run.listener.error is None
+    steps = []
+    for n in (50, 100, 150):
+        some = spark.createDataFrame(rows[:n], site.schema)
+        steps.append(tuple(Q.R.crawl_summary(*(lambda s: (s, Q.X.extract_emails(s.filter("ok"))))(Q.X.split_fetchable(some)))
+                           .select("processed_pages", "failed_pages", "unique_email_count", "total_email_hits").first()))
+    got = [(p.processed_pages, p.failed_pages, p.unique_email_count, p.total_email_hits) for p in told]
+    assert got == steps and tuple(last.__dict__.values())[1:] == steps[-1]
+    table = sorted(tuple(r)[1:] for r in run.listener.log.read().collect())
+    assert table == sorted(steps)
+    firsts = spark.read.parquet(work + "/out/emails").collect()
+    assert len(firsts) == len({r.email for r in firsts}) == steps[-1][2]
+    assert any("started" in x for x in lines) and any("ended" in x for x in lines) and any("failed" in x for x in lines)
+
+
+def test_observed_run_reports_failures_and_bad_callbacks(spark):
+    from addrgraph.streaming.progress import run_observed
+
+    schema = "page_id long, url string, html string, status int, content_type string"
+    work, src = _staged(spark, spark.createDataFrame([(1, "https://h/", "a@b.example.com", 200, None)] * 3, schema), "k4f", 2)
+    lines, batches = [], []
+
+    def refuse(_):
+        raise RuntimeError("no")
+
+    run = run_observed(src, work + "/out", work + "/ck", "bad-callback", refuse,
+                       lambda batch, epoch: batches.append((epoch, batch.count())), lines.append)
+    assert run.wait().total_email_hits == 3 and isinstance(run.listener.error, RuntimeError)
+    assert sum(n for _, n in batches) == 1
+
+    def fail(batch, epoch):
+        raise ValueError("sink is full")
+
+    work, src = _staged(spark, spark.createDataFrame([(1, "https://h/", "a@b.example.com", 200, None)], schema), "k4g", 1)
+    with pytest.raises(Exception, match="sink is full"):
+        run_observed(src, work + "/out", work + "/ck", "bad-sink", None, fail, lines.append).wait()
