@@ -9,6 +9,10 @@ from addrgraph.functions.urls import blocked_extension, host_of, url_key
 from addrgraph.operators.extract import fetchable, first_per_key, link_array
 
 
+#: Hosts that a page's own filter may hold (a set in the plan); more are joined.
+IN_ROW_HOSTS = 4096
+
+
 def seed_hosts(seeds: DataFrame, url_col: str = "url") -> DataFrame:
     """A5.  Distinct lower-cased hosts of the seeds (partial aggregation)."""
     return seeds.select(host_of(F.col(url_col)).alias("host")).filter(F.col("host").isNotNull()).distinct()
@@ -56,22 +60,28 @@ def link_graph(pages: DataFrame, hosts: DataFrame | None = None, max_links_per_p
     Output ``page_id, src_key, pos, rank, dst_url, dst_key``.  The cap counts
     every in-scope distinct link of the page (order-independent rule).
 
-    Extraction, the extension test and the distinct (by key, so links of one
-    host) stay inside the page's row, and the page's text goes no further; the
-    link rows are semi-joined with the hosts and ranked within their page.
-    Without hosts the cap is a slice of the page's array and nothing shuffles.
+    Every step stays inside the page's row, so nothing shuffles and the page's text
+    goes no further.  Up to ``IN_ROW_HOSTS`` hosts are part of the row's filter.
+    Beyond that bound the link rows are semi-joined with the hosts and a page's links
+    are put together again where they are, so at most one row per page is exchanged.
     """
     src = (fetchable(pages, missing_type) if only_fetchable else pages).select("page_id", "url", "html")
-    links = first_per_key(F.filter(link_array(anchors_only), lambda s: ~blocked_extension(s["dst_url"])))
-    if hosts is None:
-        links = F.slice(links, 1, max_links_per_page)
-    out = src.select("page_id", url_key(F.col("url")).alias("src_key"), F.posexplode(links).alias("__i", "__l"))
-    out = out.select("page_id", "src_key", F.col("__l.pos").alias("pos"), (F.col("__i") + 1).cast("long").alias("rank"),
-                     F.col("__l.dst_url").alias("dst_url"), F.col("__l.dst_key").alias("dst_key"))
-    if hosts is None:
-        return out
-    return cap_links_per_page(filter_same_host(out, hosts), max_links_per_page).select(
-        "page_id", "src_key", "pos", "rank", "dst_url", "dst_key")
+    links = F.filter(link_array(anchors_only), lambda s: ~blocked_extension(s["dst_url"]))
+    few = None
+    if hosts is not None:
+        some = hosts.select(F.lower("host").alias("host")).distinct().limit(IN_ROW_HOSTS + 1).collect()
+        few = [r["host"] for r in some if r["host"] is not None] if len(some) <= IN_ROW_HOSTS else None
+    if hosts is None or few is not None:
+        if few is not None:
+            links = F.filter(links, lambda s: host_of(s["dst_url"]).isin(few) if few else F.lit(False))
+        src = src.select("page_id", url_key(F.col("url")).alias("src_key"), first_per_key(links).alias("__ls"))
+    else:
+        rows = filter_same_host(src.select("page_id", url_key(F.col("url")).alias("src_key"),
+                                           F.explode(first_per_key(links)).alias("__l")), hosts, "__l.dst_url")
+        src = rows.groupBy("page_id", "src_key").agg(F.sort_array(F.collect_list("__l")).alias("__ls"))  # by position
+    out = src.select("page_id", "src_key", F.posexplode(F.slice("__ls", 1, max_links_per_page)).alias("__i", "__l"))
+    return out.select("page_id", "src_key", F.col("__l.pos").alias("pos"), (F.col("__i") + 1).cast("long").alias("rank"),
+                      F.col("__l.dst_url").alias("dst_url"), F.col("__l.dst_key").alias("dst_key"))
 
 
 def unseen_links(links: DataFrame, visited: DataFrame, key_col: str = "dst_key",

@@ -5,23 +5,25 @@ join loop over a link table extracted once:
 
 * ``edges`` (G1) is built once and written as a table bucketed by ``src_key``:
   no level re-reads ``html``, and no level shuffles the edges.
+* All levels stand in one table of visited URLs, bucketed by ``url_key`` and grown
+  by one append per level.  A level's frontier, the anti-join with all that was
+  seen, and the page status read their tables where they are; the only rows that
+  move are a level's candidate links, to their aggregate by URL.
 * A page's status is joined after the level's aggregate by URL, when there is
   one row per URL left; a page that every other page links to is one row there.
-* FIFO order is ``(depth, path)`` where ``path`` holds the parent's rank within
-  its level and the link's rank within the page (for a seed, its rank).  A URL
-  reached first in FIFO order is the one with the smallest such pair, so its
-  parent is one ``min`` aggregate per level (partial aggregation); ranks within
-  a level come from a range-partitioned scan.
-* The page budget keeps the FIFO prefix: ranks below the remaining budget.
-* Each level is written once under the shared checkpoint folder (lineage cut,
-  survives executor loss).
+* FIFO order is ``(depth, path)`` where ``path`` holds the seed's rank and the link's
+  rank in each page on the way.  A URL reached first in FIFO order is the one with
+  the smallest path, so its parent is one ``min`` aggregate per level (partial
+  aggregation).  Every ``PATH_STEPS`` levels the path is replaced by its rank among
+  the level's, from a range-partitioned scan, so it stays short at any depth.
+* The page budget keeps the FIFO prefix: the level that exceeds it, which is the
+  last one, is ranked and cut.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
-from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -30,8 +32,10 @@ from addrgraph.functions.urls import url_key
 from addrgraph.operators.extract import extract_emails
 from addrgraph.operators.links import dedupe_first_wins, link_graph, pages_by_key, seed_hosts
 from addrgraph.plans.prefix import global_rank
-from addrgraph.session import bucketed_table, write_through
+from addrgraph.session import BucketedLog, bucketed_table, write_through
 
+#: Levels after which paths are replaced by their ranks.
+PATH_STEPS = 16
 REACH_COLUMNS = ["url_key", "url", "depth", "path", "parent_key", "page_id", "ok", "failure_reason"]
 
 
@@ -69,19 +73,6 @@ def crawl_edges(pages: DataFrame, seeds: DataFrame, opts: CrawlOptions,
     return edges.select("src_key", "rank", "dst_key", "dst_url")
 
 
-def _store_level(new: DataFrame, keyed: DataFrame, remaining: int | None) -> tuple[DataFrame, int]:
-    """Write a level with page status and FIFO rank, cut to the budget (L3)."""
-    level = new.join(keyed.select("url_key", "page_id", "ok", "failure_reason"), "url_key", "left")
-    level = level.select(
-        "url_key", "url", "depth", "path", "parent_key", "page_id",
-        F.coalesce(F.col("ok"), F.lit(False)).alias("ok"),
-        F.when(F.col("page_id").isNull(), F.lit("not captured")).otherwise(F.col("failure_reason")).alias("failure_reason"))
-    level = global_rank(level, ["path"], "__rank")
-    if remaining is not None:
-        level = level.filter(F.col("__rank") < remaining)
-    return level, level.count()  # the rank is a scan over the level as written
-
-
 def crawl_reach(pages: DataFrame, seeds: DataFrame, opts: CrawlOptions = CrawlOptions(),
                 edges: DataFrame | None = None,
                 on_level: Callable[[int, int, int | None], None] | None = None) -> DataFrame:
@@ -91,7 +82,7 @@ def crawl_reach(pages: DataFrame, seeds: DataFrame, opts: CrawlOptions = CrawlOp
     Seeds are depth 0 in ``seed_rank`` order (deduped by key, first wins);
     every URL appears once, at its breadth-first depth, with the parent that
     reaches it first in FIFO order.  Only captured HTML pages have out-links.
-    One written table per level; one join per level against the edges.
+    Each level is written once.
     ``edges`` (from ``crawl_edges``) lets several runs share one extraction.
     ``on_level(depth, urls, remaining_budget)`` is called after each level with
     counts only (progress reporting; no rows pass through the driver).
@@ -101,44 +92,65 @@ def crawl_reach(pages: DataFrame, seeds: DataFrame, opts: CrawlOptions = CrawlOp
     if edges is None:
         edges = crawl_edges(pages, seeds, opts, keyed)
     edges, edges_name = bucketed_table(edges, "crawl_edges", "src_key")
+    visited = BucketedLog(spark, "crawl_visited", "url_key")
     try:
-        levels = _levels(keyed, edges, seeds, opts, on_level)
+        last, cut = _levels(keyed, edges, seeds, opts, visited, on_level)
+        reach = spark.read.schema(visited.table().schema).parquet(visited.path)
     finally:  # the levels stand in files of their own
+        visited.drop()
         for name in (keyed_name, edges_name):
             spark.sql(f"drop table if exists {name}")
-    return reduce(DataFrame.unionByName, levels).select(*REACH_COLUMNS)
+    if cut is not None:
+        reach = reach.filter(F.col("depth") < last).unionByName(cut)
+    return reach.select(*REACH_COLUMNS)
 
 
-def _levels(keyed: DataFrame, edges: DataFrame, seeds: DataFrame, opts: CrawlOptions,
-            on_level: Callable[[int, int, int | None], None] | None) -> list[DataFrame]:
+def _levels(keyed: DataFrame, edges: DataFrame, seeds: DataFrame, opts: CrawlOptions, visited: BucketedLog,
+            on_level: Callable[[int, int, int | None], None] | None) -> tuple[int, DataFrame | None]:
+    """Append level after level to ``visited``; the last depth, and its rows within the budget
+    if the budget cuts it."""
     s = seeds.select(url_key(F.col("url")).alias("url_key"), "url", F.col("seed_rank").cast("long"))
     new = dedupe_first_wins(s, "url_key", "seed_rank").select(
         "url_key", "url", F.lit(0).alias("depth"), F.array(F.col("seed_rank")).alias("path"),
         F.lit(None).cast("string").alias("parent_key"))
-    levels, remaining, depth = [], opts.max_pages, 0
+    remaining, depth = opts.max_pages, 0
     while True:
-        level, n = _store_level(new, keyed, remaining)
-        if n == 0 and levels:
-            return levels
-        levels.append(level)
+        level = new.join(keyed.select("url_key", "page_id", "ok", "failure_reason"), "url_key", "left").select(
+            "url_key", "url", "depth", "path", "parent_key", "page_id",
+            F.coalesce(F.col("ok"), F.lit(False)).alias("ok"),
+            F.when(F.col("page_id").isNull(), F.lit("not captured")).otherwise(F.col("failure_reason")).alias("failure_reason"))
+        visited.append(level)
+        level = visited.table().filter(F.col("depth") == depth)
+        n, cut = level.count(), None
         if remaining is not None:
+            if n > remaining:
+                cut = write_through(global_rank(level, ["path"], "__rank", stored=True)
+                                    .filter(F.col("__rank") < remaining).drop("__rank"), "crawl_cut")
+                n = remaining
             remaining -= n
-        if on_level:
+        if on_level and (n or not depth):
             on_level(depth, n, remaining)
         if n == 0 or depth == opts.max_depth or remaining == 0:
-            return levels
+            return depth, cut
+        if depth % PATH_STEPS == PATH_STEPS - 1:
+            level = level.drop("path").join(_short_paths(level), "url_key")
         depth += 1
-        frontier = level.filter("ok").select(F.col("url_key").alias("src_key"), "__rank")
+        frontier = level.filter("ok").select(F.col("url_key").alias("src_key"), "path")
         best = (frontier.join(edges, "src_key").groupBy(F.col("dst_key").alias("url_key"))
-                .agg(F.min(F.struct(F.array("__rank", F.col("rank").cast("long")).alias("path"),
+                .agg(F.min(F.struct(F.concat("path", F.array(F.col("rank").cast("long"))).alias("path"),
                                     F.col("src_key").alias("parent_key"), F.col("dst_url").alias("url"))).alias("b")))
         # J2: not seen at any earlier level
-        visited = reduce(DataFrame.union, [lv.select("url_key") for lv in levels])
-        new = best.join(visited, "url_key", "left_anti").select(
+        new = best.join(visited.table().select("url_key"), "url_key", "left_anti").select(
             "url_key", F.col("b.url").alias("url"), F.lit(depth).alias("depth"), F.col("b.path").alias("path"),
             F.col("b.parent_key").alias("parent_key"))
 
 
+def _short_paths(level: DataFrame) -> DataFrame:
+    """url_key and the rank of the path among the level's, as a path of one number."""
+    ranked = global_rank(level.select("url_key", "path"), ["path"], "__rank", stored=True)
+    return write_through(ranked.select("url_key", F.array("__rank").alias("path")), "crawl_paths")
+
+
 def failed_pages(reach: DataFrame) -> DataFrame:
     """G4.  Reached URLs that were not captured or not HTML (processed and failed)."""
     return reach.filter(~F.col("ok")).select("url_key", "url", "depth", "page_id", "failure_reason")

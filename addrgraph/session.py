@@ -82,6 +82,29 @@ def bucketed_table(df: DataFrame, name: str, key: str) -> tuple[DataFrame, str]:
     return spark.table(table), table
 
 
+class BucketedLog:
+    """A table bucketed by ``key`` that grows by appends; the folder stays when the catalog entry is dropped.
+
+    Joins and aggregates on ``key`` read all that was appended without a shuffle.  Rows
+    should come hash-partitioned by the key, as a join or aggregate on it leaves them: then
+    an append writes a file per bucket."""
+
+    def __init__(self, spark: SparkSession, name: str, key: str):
+        self.spark, self.key, self.name = spark, key, f"{name}_{uuid.uuid4().hex[:12]}"
+        self.path = scratch_path(spark, self.name)
+        self.buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+    def append(self, df: DataFrame) -> None:
+        (df.write.mode("append").bucketBy(self.buckets, self.key).format("parquet").option("path", self.path)
+         .saveAsTable(self.name))
+
+    def table(self) -> DataFrame:
+        return self.spark.table(self.name)
+
+    def drop(self) -> None:
+        self.spark.sql(f"drop table if exists {self.name}")
+
+
 _SCOPE: ContextVar[str | None] = ContextVar("scratch", default=None)
 
 

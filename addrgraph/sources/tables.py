@@ -19,8 +19,9 @@ def read_table(spark: SparkSession, data_dir: str, name: str) -> DataFrame:
 
 
 def register_tables(spark: SparkSession, data_dir: str, names: list[str] | None = None) -> None:
-    """Expose the folder's tables as temporary views named after the table."""
+    """Expose the folder's tables as temporary views named after the table; without
+    ``names`` those that are there."""
     for name in names or TABLES:
-        p = table_path(data_dir, name)
-        if os.path.exists(p) or "://" in p:
+        path = spark._jvm.org.apache.hadoop.fs.Path(table_path(data_dir, name))
+        if names or path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
             read_table(spark, data_dir, name).createOrReplaceTempView(name)

@@ -124,3 +124,17 @@ def test_unlimited_depth_reaches_closure(spark):
     ok = {r["url_key"] for r in deep if r["ok"]}
     edges = link_graph(site, seed_hosts(seeds)).select("src_key", "dst_key").collect()
     assert all(e["dst_key"] in keys for e in edges if e["src_key"] in ok)
+
+
+@pytest.mark.parametrize("steps", [1, 2])
+def test_short_paths_keep_the_order(spark, monkeypatch, steps):
+    """Paths replaced by their ranks after every level, or every other one."""
+    from addrgraph.plans import crawl as C
+
+    site, seeds = fixture(spark, SF_MID, "site"), _seeds(spark, [2, 0, 1])
+    deep = replace(OPEN, max_depth=7)
+    full = crawl_reach(site, seeds, deep).orderBy("depth", "path").drop("path").collect()
+    monkeypatch.setattr(C, "PATH_STEPS", steps)
+    assert crawl_reach(site, seeds, deep).orderBy("depth", "path").drop("path").collect() == full
+    cut = crawl_reach(site, seeds, replace(deep, max_pages=60)).orderBy("depth", "path").drop("path").collect()
+    assert cut == full[:60] and len(full) > 60

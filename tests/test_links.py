@@ -2,6 +2,8 @@
 
 from pyspark.sql import functions as F
 
+import pytest
+
 from addrgraph.operators import links as L
 from addrgraph.operators.extract import extract_links, fetchable
 from addrgraph.plans.fixtures import fixture
@@ -10,7 +12,9 @@ from addrgraph.sources.seeds import load_seeds
 from conftest import SF_SMALL
 
 
-def test_graph_equals_its_steps(spark):
+@pytest.mark.parametrize("in_row", [0, 4096])
+def test_graph_equals_its_steps(spark, monkeypatch, in_row):
+    monkeypatch.setattr(L, "IN_ROW_HOSTS", in_row)  # the hosts joined, and in the row
     site = fixture(spark, SF_SMALL, "site")
     hosts = L.seed_hosts(load_seeds(fixture(spark, SF_SMALL, "seed_lines")))
     for cap in (1, 2, 200):
@@ -31,3 +35,11 @@ def test_in_row_distinct_keeps_first_position(spark):
     rows = [tuple(r) for r in L.link_graph(pages, None, 10).select("pos", "rank", "dst_key").collect()]
     assert rows == [(0, 1, "https://h.com/b"), (1, 2, "https://h.com/a"), (4, 3, "https://other.org/x"),
                     (6, 4, "https://h.com/d")]
+
+
+@pytest.mark.parametrize("in_row", [0, 4096])
+def test_graph_without_a_host_is_empty(spark, monkeypatch, in_row):
+    monkeypatch.setattr(L, "IN_ROW_HOSTS", in_row)
+    site = fixture(spark, SF_SMALL, "site")
+    assert L.link_graph(site, spark.createDataFrame([], "host string")).count() == 0
+    assert L.link_graph(site, spark.createDataFrame([(None,)], "host string")).count() == 0

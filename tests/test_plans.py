@@ -5,7 +5,7 @@ import pytest
 from addrgraph.operators import extract as X
 from addrgraph.operators import links as L
 from addrgraph.plans import crawl as C
-from addrgraph.plans import prefix as P
+from addrgraph import session as S
 from addrgraph.plans import queries as Q
 from addrgraph.plans.fixtures import fixture
 from addrgraph.sources.seeds import load_seeds
@@ -36,34 +36,40 @@ def test_row_local_jobs_do_not_shuffle_text(spark):
 
 def test_running_progress_reads_the_text_once(spark):
     p = _plan(Q.running_progress(spark, SF_SMALL))
-    assert "regexp_extract_all" not in p and "SinglePartition" in p  # of one row per range
+    assert "regexp_extract_all" not in p and "SinglePartition" in p  # of at most two rows per range
 
 
-def test_crawl_level_reads_bucketed_edges_without_exchange(spark, monkeypatch):
-    captured = []
-    orig = P.write_through
-
-    def spy(df, name):
-        captured.append((name, _plan(df)))
-        return orig(df, name)
-
-    monkeypatch.setattr(P, "write_through", spy)
+def test_link_rows_are_not_exchanged(spark, monkeypatch):
+    site = S.write_through(fixture(spark, SF_SMALL, "site"), "site")
+    hosts = L.seed_hosts(load_seeds(fixture(spark, SF_SMALL, "seed_lines")))
+    assert "Exchange" not in _plan(L.link_graph(site, hosts))
+    monkeypatch.setattr(L, "IN_ROW_HOSTS", 0)  # more hosts than a row's filter may hold
+    p = _plan(L.link_graph(site, hosts))
+    # a page's links are one row before they move
+    assert p.count("Exchange hashpartitioning(page_id") == 1 and "partial_collect_list" in p and "Window" not in p
+
+
+@pytest.mark.parametrize("threshold", [None, "-1"])
+def test_crawl_level_moves_candidates_only(spark, monkeypatch, threshold):
+    """Edges, page status and all visited URLs are read where they are, with Spark's own choice of joins and with none broadcast."""
+    plans, orig = [], S.BucketedLog.append
+    monkeypatch.setattr(S.BucketedLog, "append", lambda self, df: (plans.append(_plan(df)), orig(self, df))[1])
     site = fixture(spark, SF_SMALL, "site")
     seeds = load_seeds(fixture(spark, SF_SMALL, "seed_lines"))
-    for threshold in (None, "-1"):  # Spark's own choice of joins, and none broadcast
-        captured.clear()
-        if threshold:
-            spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
-        try:
-            C.crawl_reach(site, seeds, C.CrawlOptions(max_pages=None)).count()
-        finally:
-            spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
-        plan = [p for n, p in captured if n == "scan_rows"][1]
-        assert "crawl_edges" in plan and "partial_min" in plan
-        assert "Exchange hashpartitioning(src_key" not in plan.split("crawl_edges")[0] or threshold
-        # one shuffle of link rows per level: the aggregate by destination
+    if threshold:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    try:
+        C.crawl_reach(site, seeds, C.CrawlOptions(max_pages=None)).count()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert len(plans) == 5  # one append per level
+    for plan in plans[1:]:
+        assert "partial_min" in plan and plan.count("Exchange hashpartitioning") == 1  # the aggregate by destination
         assert plan.count("Exchange hashpartitioning(dst_key") == 1
-    assert "Bucketed: true" in plan
+        for table in ("crawl_edges", "crawl_pages", "crawl_visited"):
+            assert table in plan
+    if threshold:
+        assert plans[-1].count("Bucketed: true") == 4  # frontier, edges, visited, pages
 
 
 def test_crawl_reports_levels(spark):
