@@ -130,30 +130,53 @@ def add_enrichment_hits(hits: DataFrame, emails: DataFrame) -> DataFrame:
     return e.select(*cols).unionByName(hits.select(*cols))
 
 
-def registrable_domains(hosts: DataFrame, suffixes: DataFrame, host_col: str = "host") -> DataFrame:
-    """P9 with a public-suffix table: ``host, domain`` for each distinct host.
+def load_suffix_rules(lines: DataFrame, line_col: str = "line") -> DataFrame:
+    """Rules (column ``suffix``) from the lines of a public-suffix list: the text up to the first
+    white space; blank lines and ``//`` comments are skipped."""
+    rule = F.split(strip_ws(F.col(line_col)), r"\s", 2)[0]
+    return lines.select(F.lower(rule).alias("suffix")).filter((F.length("suffix") > 0) & ~F.col("suffix").startswith("//"))
+
+
+def suffix_rules(suffixes: DataFrame) -> DataFrame:
+    """Rules as a table ``key, exception``: ``!`` marks an exception; a key may begin with the label ``*``."""
+    rule = F.lower(strip_ws("suffix"))
+    exception = rule.startswith("!")
+    key = F.regexp_replace(rule, r"^!?\.?", "")
+    return (suffixes.select(key.alias("key"), exception.alias("exception")).filter(F.length("key") > 0)
+            .groupBy("key").agg(F.max("exception").alias("exception")))
 
-    The domain is one label plus the longest suffix of the host found in
-    ``suffixes`` (column ``suffix``, entries taken literally); hosts with no
-    listed suffix, or that are a suffix themselves, fall back to the two-label
-    rule.  Hosts are made distinct before the candidate suffixes are exploded.
+
+def registrable_domains(hosts: DataFrame, suffixes: DataFrame, host_col: str = "host") -> DataFrame:
+    """P9 with public-suffix rules: ``host, domain`` for each distinct host.
+
+    ``suffixes`` has a rule per row (column ``suffix``): a literal suffix; one whose first
+    label is ``*``, which stands for any one label; or an exception ``!suffix``, which takes
+    a name out of a wildcard's reach.  The rules are a trie over reversed labels, kept as a
+    table of its paths: every tail of a host, and every tail with its first label replaced
+    by ``*``, meets the rules in one join by text.  A matching exception decides (its suffix
+    is the rule without its first label), else the match of most labels.  The domain is the
+    suffix and one label more.  Hosts with no match, or that are a suffix themselves, follow
+    the two-label rule; addresses in numbers match nothing.  Hosts are made distinct before
+    their tails are exploded.
     """
 
     h = hosts.select(F.lower(strip_ws(F.col(host_col))).alias("host")).filter(F.col("host").isNotNull()).distinct()
     labels = F.split(F.col("host"), r"\.", -1)
     n = F.size(labels)
-    cand = h.select("host", F.explode(F.transform(
-        F.sequence(F.lit(2), F.greatest(n, F.lit(2))),
-        lambda i: F.struct(i.alias("i"), F.array_join(F.slice(labels, i, n), ".").alias("suffix")))).alias("c"))
-    cand = cand.filter(F.col("c.i") <= n).select("host", F.col("c.i").alias("i"), F.col("c.suffix").alias("suffix"))
-    sfx = suffixes.select(F.lower(strip_ws("suffix")).alias("suffix")).distinct()
-    best = (cand.join(sfx, "suffix", "left_semi")
-            .groupBy("host").agg(F.min("i").alias("i")))
-    out = h.join(best, "host", "left")
+    tails = F.transform(F.sequence(F.lit(1), n), lambda i: F.struct(
+        i.alias("i"), F.array_join(F.slice(labels, i, n), ".").alias("key")))
+    wild = F.transform(F.sequence(F.lit(1), n), lambda i: F.struct(
+        i.alias("i"), F.array_join(F.concat(F.array(F.lit("*")), F.slice(labels, i + 1, n)), ".").alias("key")))
+    named = h.filter(~F.col("host").rlike(r"(^|\.)[0-9]+$|[\[\]:]"))
+    cand = named.select("host", F.inline(F.concat(tails, wild)))
+    starts = cand.join(suffix_rules(suffixes), "key").groupBy("host").agg(
+        F.min(F.when(F.col("exception"), F.col("i") + 1)).alias("excepted"),
+        F.min(F.when(~F.col("exception"), F.col("i"))).alias("listed"))
+    best = starts.select("host", F.coalesce("excepted", "listed").alias("i"))
     lab = F.split(F.col("host"), r"\.", -1)
-    listed = F.array_join(F.slice(lab, F.col("i") - 1, F.size(lab)), ".")
-    return out.select("host", F.when(F.col("i").isNotNull(), listed)
-                      .otherwise(registrable_domain(F.col("host"))).alias("domain"))
+    domain = F.array_join(F.slice(lab, F.greatest(F.col("i") - 1, F.lit(1)), F.size(lab)), ".")
+    return h.join(best, "host", "left").select("host", F.when(F.col("i") > 1, domain).otherwise(
+        registrable_domain(F.col("host"))).alias("domain"))
 
 
 def target_domain(seeds: DataFrame, url_col: str = "url", suffixes: DataFrame | None = None) -> DataFrame:

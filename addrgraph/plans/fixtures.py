@@ -4,6 +4,7 @@ unchanged in Spark SQL and in DuckDB.
 ``site``        captured, linked web site with failures      (from customer)
 ``markup``      pages of awkward markup              (from customer)
 ``hits``        address sightings with time                  (from events)
+``hosts``       hosts under listed suffixes            (from customer)
 ``event_lines`` the typed NDJSON log                         (from events)
 ``run_lines``   the same of several interleaved runs  (from events)
 ``discovery``   enrichment records                           (from supplier)
@@ -59,6 +60,24 @@ select event_id as page_id,
 from events
 """
 
+# Hosts under suffixes that wildcard and exception rules describe.
+HOSTS_SQL = """
+select c_custkey as rec_id,
+  case c_custkey % 11
+    when 0 then concat('w', cast(c_custkey % 50 as string), '.Shop', cast(c_custkey % 20 as string), '.co.uk')
+    when 1 then concat('x', cast(c_custkey % 9 as string), '.www.ck')
+    when 2 then concat('p', cast(c_custkey % 40 as string), '.q', cast(c_custkey % 30 as string), '.ck')
+    when 3 then concat('q', cast(c_custkey % 30 as string), '.ck')
+    when 4 then concat('a', cast(c_custkey % 13 as string), '.b', cast(c_custkey % 10 as string), '.kawasaki.jp')
+    when 5 then concat('h', cast(c_custkey % 7 as string), '.city.kawasaki.jp')
+    when 6 then concat('s', cast(c_custkey % 100 as string), '.t.example.com')
+    when 7 then concat('10.0.', cast(c_custkey % 30 as string), '.7')
+    when 8 then concat('n', cast(c_custkey % 25 as string), '.unlisted')
+    when 9 then case when c_custkey % 2 = 0 then 'www.ck' else 'ck' end
+    else concat('k', cast(c_custkey % 6 as string), '.c', cast(c_custkey % 8 as string), '.kobe.jp') end as host
+from customer
+"""
+
 EVENT_LINES_SQL = """
 select event_id as line_no,
   case
@@ -118,12 +137,17 @@ FIXTURE_SQL = {
     "site": (SITE_SQL, ["customer"]),
     "markup": (MARKUP_SQL, ["customer"]),
     "hits": (HITS_SQL, ["events"]),
+    "hosts": (HOSTS_SQL, ["customer"]),
     "event_lines": (EVENT_LINES_SQL, ["events"]),
     "run_lines": (RUN_LINES_SQL, ["events"]),
     "discovery": (DISCOVERY_SQL, ["supplier"]),
     "seed_lines": (SEED_LINES_SQL, ["nation"]),
 }
 
+# Lines of a public-suffix list, as the list's own documentation gives them.
+SUFFIX_LINES = ["// example rules", "com", "uk", "co.uk  // a comment", "", "*.ck", "!www.ck", "jp", "*.kawasaki.jp",
+                "!city.kawasaki.jp", "*.kobe.jp"]
+
 # Target domain of the discovery fixture.
 DISCOVERY_TARGET_DOMAIN = "example.com"
 

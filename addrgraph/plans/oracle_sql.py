@@ -13,7 +13,7 @@ from __future__ import annotations
 
 from addrgraph.functions.urls import BLOCKED_EXTENSIONS, HOST_PATTERN
 from addrgraph.operators.enrich import DEFAULT_SOURCES, ENRICHMENT_SOURCE_URL
-from addrgraph.plans.fixtures import DISCOVERY_TARGET_DOMAIN, FIXTURE_SQL
+from addrgraph.plans.fixtures import DISCOVERY_TARGET_DOMAIN, FIXTURE_SQL, SUFFIX_LINES
 from addrgraph.plans.queries import BUDGET_PAGES, CRAWL, LINK_CAP
 
 
@@ -569,4 +569,15 @@ select email, count(*) as hits, row_number() over (order by lower(email), email)
     o["write_read_report_csv"] = o["export_report_csv"]
     o["target_domain_with_suffixes"] = "with " + fx("site") + f"""
 select distinct {host_of('url')} as host, {host_of('url')} as domain from site"""
+    rules = ", ".join(f"({_q(x.split()[0])})" for x in SUFFIX_LINES if x and not x.startswith("//"))
+    o["registrable_domains"] = "with " + fx("hosts") + f""",
+r as (select rule, starts_with(rule, '!') as exc, starts_with(rule, '*.') as wild,
+  regexp_replace(rule, '^(!|\\*\\.)', '') as tail from (values {rules}) t(rule)),
+h as (select distinct lower(host) as host from hosts),
+m as (select host, exc, len(string_split(tail, '.')) + (case when wild then 1 when exc then -1 else 0 end) as n
+  from h join r on ((not wild and host = tail) or ends_with(host, '.' || tail)) and not regexp_matches(host, '[0-9]$')),
+b as (select host, coalesce(max(n) filter (where exc), max(n)) as n from m group by host)
+select h.host, case when len(string_split(h.host, '.')) > b.n
+  then array_to_string(string_split(h.host, '.')[-(b.n + 1):], '.') else {two_label_domain('h.host')} end as domain
+from h left join b on b.host = h.host"""
     return {name: _expand_trims(sql) for name, sql in o.items()}

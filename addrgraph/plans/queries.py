@@ -23,7 +23,7 @@ from addrgraph.operators import extract as X
 from addrgraph.operators import links as L
 from addrgraph.operators import report as R
 from addrgraph.plans import crawl as C
-from addrgraph.plans.fixtures import DISCOVERY_TARGET_DOMAIN, fixture
+from addrgraph.plans.fixtures import DISCOVERY_TARGET_DOMAIN, SUFFIX_LINES, fixture
 from addrgraph.sources.discovery import load_discovery
 from addrgraph.plans.prefix import global_rank
 from addrgraph.session import checkpoint_dir
@@ -465,12 +465,19 @@ def target_domain_with_suffixes(spark, d):
     return E.registrable_domains(hosts, suffixes)
 
 
+def registrable_domains(spark, d):
+    """P9 with wildcard and exception rules over all hosts."""
+    rules = E.load_suffix_rules(spark.createDataFrame([(x,) for x in SUFFIX_LINES], "line string"))
+    return E.registrable_domains(fixture(spark, d, "hosts"), rules)
+
+
 def filter_sources_given(spark, d):
     return E.filter_sources(_discovery(spark, d), [" CRTSH ", "thc", "bogus", "thc"]).select("rec_id", "source")
 
 
 QUERIES: dict[str, Query] = {
     "filter_sources_given": filter_sources_given,
+    "registrable_domains": registrable_domains,
     "crawl_reach_unbudgeted": crawl_reach_unbudgeted,
     "crawl_report_unbudgeted": crawl_report_unbudgeted,
     "crawl_report_enriched": crawl_report_enriched,
