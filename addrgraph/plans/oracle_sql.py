@@ -569,6 +569,8 @@ select email, count(*) as hits, row_number() over (order by lower(email), email)
     o["write_read_report_csv"] = o["export_report_csv"]
     o["target_domain_with_suffixes"] = "with " + fx("site") + f"""
 select distinct {host_of('url')} as host, {host_of('url')} as domain from site"""
+    o["load_discovery_files"] = ("with " + DISC + f"""
+select rec_id, source, kind, value from disc where source in {_in_list(DEFAULT_SOURCES)}""")
     rules = ", ".join(f"({_q(x.split()[0])})" for x in SUFFIX_LINES if x and not x.startswith("//"))
     o["registrable_domains"] = "with " + fx("hosts") + f""",
 r as (select rule, starts_with(rule, '!') as exc, starts_with(rule, '*.') as wild,

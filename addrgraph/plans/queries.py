@@ -25,8 +25,9 @@ from addrgraph.operators import report as R
 from addrgraph.plans import crawl as C
 from addrgraph.plans.fixtures import DISCOVERY_TARGET_DOMAIN, SUFFIX_LINES, fixture
 from addrgraph.sources.discovery import load_discovery
+from addrgraph.sources.discovery_files import read_discovery_files
 from addrgraph.plans.prefix import global_rank
-from addrgraph.session import checkpoint_dir
+from addrgraph.session import checkpoint_dir, scratch_path
 from addrgraph.sources.eventlog import parse_event_lines, to_event_json
 from addrgraph.sources.eventlog import read_event_log as read_event_log_files
 from addrgraph.sources.eventlog import write_event_log as write_event_log_files
@@ -465,6 +466,29 @@ def target_domain_with_suffixes(spark, d):
     return E.registrable_domains(hosts, suffixes)
 
 
+#: Formats in which the discovery records are laid out as files of their sources.
+SOURCE_FORMATS = {"crtsh": "json", "rapiddns": "csv", "waybackarchive": "parquet", "commoncrawl": "json", "thc": "csv",
+                  "duckduckgo": "parquet", "nosuch": "json"}
+
+
+def source_folder(spark, d) -> str:
+    """The discovery records as ``<source>.<format>`` folders in the shared folder."""
+    top = scratch_path(spark, "sources")
+    records = fixture(spark, d, "discovery")
+    for source, fmt in SOURCE_FORMATS.items():
+        w = records.filter(F.col("source") == source).drop("source").write
+        if fmt == "csv":
+            w = w.options(header=True, escape='"', quoteAll=True, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
+        w.format(fmt).save(f"{top}/{source}.{fmt}")
+    return top
+
+
+def load_discovery_files(spark, d):
+    """S6 from one file or folder per source, each by its format's reader."""
+    records, _ = read_discovery_files(spark, source_folder(spark, d))
+    return records
+
+
 def registrable_domains(spark, d):
     """P9 with wildcard and exception rules over all hosts."""
     rules = E.load_suffix_rules(spark.createDataFrame([(x,) for x in SUFFIX_LINES], "line string"))
@@ -477,6 +501,7 @@ def filter_sources_given(spark, d):
 
 QUERIES: dict[str, Query] = {
     "filter_sources_given": filter_sources_given,
+    "load_discovery_files": load_discovery_files,
     "registrable_domains": registrable_domains,
     "crawl_reach_unbudgeted": crawl_reach_unbudgeted,
     "crawl_report_unbudgeted": crawl_report_unbudgeted,

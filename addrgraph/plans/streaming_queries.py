@@ -12,7 +12,11 @@ from pyspark.sql import functions as F
 
 from addrgraph.operators.eventlog import LOG_KEEP_LINES, LOG_LIMIT_LINES
 from addrgraph.plans import oracle_sql as O
-from addrgraph.plans.fixtures import fixture
+from addrgraph.operators import enrich as E
+from addrgraph.plans.fixtures import DISCOVERY_TARGET_DOMAIN, fixture
+from addrgraph.plans.queries import source_folder
+from addrgraph.sources.discovery import load_discovery
+from addrgraph.sources.discovery_files import stream_discovery_files
 from addrgraph.session import checkpoint_dir
 from addrgraph.sources.eventlog import parse_event_lines
 from addrgraph.streaming import jobs as K
@@ -139,7 +143,19 @@ def stream_progress_observed(spark: SparkSession, d: str) -> DataFrame:
     return run.listener.log.read().agg(last.alias("r")).select("r.*")
 
 
+def stream_discovery(spark: SparkSession, d: str) -> DataFrame:
+    """S6 as a stream of source files into the enrichment rules: distinct accepted values (A4)."""
+    work = K.new_run_folder(os.path.join(checkpoint_dir(spark), "streams"), "s6")
+    rows = stream_discovery_files(spark, source_folder(spark, d)).filter("error is null").drop("error")
+    accepted = E.accepted_records(load_discovery(rows), DISCOVERY_TARGET_DOMAIN).select("kind", "value")
+    q = (accepted.dropDuplicates(["kind", "value"]).writeStream.format("parquet").option("path", os.path.join(work, "out"))
+         .option("checkpointLocation", os.path.join(work, "ckpt")).outputMode("append").trigger(availableNow=True).start())
+    _await(q)
+    return spark.read.parquet(os.path.join(work, "out"))
+
+
 STREAM_QUERIES = {
+    "stream_discovery": stream_discovery,
     "stream_progress_observed": stream_progress_observed,
     "stream_carry_forward": stream_carry_forward,
     "stream_retained_log": stream_retained_log,
@@ -157,6 +173,7 @@ def stream_oracles() -> dict[str, str]:
     out = {
         "stream_email_hits": o["extract_emails_site"],
         "stream_email_report": o["email_report"],
+        "stream_discovery": o["enrichment_sets"],
         "stream_carry_forward": o["carry_forward_runs"],
         "stream_retained_log": "with " + O.event_ctes("run_lines", "run_id") + f""",
 m as (select run_id, line_no, '[Scrapy] ' || t as message, row_number() over (partition by run_id order by line_no) as nth,
