@@ -55,6 +55,28 @@ def unique_emails(hits: DataFrame) -> DataFrame:
     return hits.select("email").distinct()
 
 
+#: Logarithm of a sketch's registers, and the relative error that three in 370 counts exceed.
+SKETCH_LG = 14
+SKETCH_ERROR = 3 * 1.04 / 2 ** (SKETCH_LG / 2)
+
+
+def email_sketches(hits: DataFrame, keys: list[str]) -> DataFrame:
+    """D2 in mergeable form: per group of ``keys`` a sketch of its distinct addresses (at most
+    about 16 KB, whatever their number).  Partial aggregates hold sketches, not addresses."""
+    return hits.groupBy(*keys).agg(F.hll_sketch_agg("email", F.lit(SKETCH_LG)).alias("sketch"))
+
+
+def unite_sketches(sketches: DataFrame, keys: list[str]) -> DataFrame:
+    """Sketches united by ``keys``: stored days or sources give any range's without their rows."""
+    return sketches.groupBy(*keys).agg(F.hll_union_agg("sketch").alias("sketch"))
+
+
+def estimated_emails(sketches: DataFrame) -> DataFrame:
+    """``unique_emails_estimate`` of each sketch: off by more than ``SKETCH_ERROR`` of the count in
+    three of 370 cases.  ``unique_emails`` is the exact count and stays the contract."""
+    return sketches.withColumn("unique_emails_estimate", F.hll_sketch_estimate("sketch")).drop("sketch")
+
+
 def crawl_summary(outcome: DataFrame, hits: DataFrame, enrichment: DataFrame | None = None) -> DataFrame:
     """A2.  One row: processed pages, failed pages, unique addresses, total hits
     and duration (seconds between first and last fetch; 0 without times).

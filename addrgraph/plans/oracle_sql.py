@@ -569,6 +569,10 @@ select email, count(*) as hits, row_number() over (order by lower(email), email)
     o["write_read_report_csv"] = o["export_report_csv"]
     o["target_domain_with_suffixes"] = "with " + fx("site") + f"""
 select distinct {host_of('url')} as host, {host_of('url')} as domain from site"""
+    o["unique_emails_sketch"] = "with " + fx("hits") + """,
+d as (select distinct cast(seen_at as date) as day from hits),
+f as (select email, min(cast(seen_at as date)) as day from hits group by email)
+select d.day, (select count(*) from f where f.day <= d.day) as unique_emails, true as within_error from d"""
     o["load_discovery_files"] = ("with " + DISC + f"""
 select rec_id, source, kind, value from disc where source in {_in_list(DEFAULT_SOURCES)}""")
     rules = ", ".join(f"({_q(x.split()[0])})" for x in SUFFIX_LINES if x and not x.startswith("//"))

@@ -11,7 +11,7 @@ import os
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from addrgraph.functions import text as T
@@ -27,7 +27,7 @@ from addrgraph.plans.fixtures import DISCOVERY_TARGET_DOMAIN, SUFFIX_LINES, fixt
 from addrgraph.sources.discovery import load_discovery
 from addrgraph.sources.discovery_files import read_discovery_files
 from addrgraph.plans.prefix import global_rank
-from addrgraph.session import checkpoint_dir, scratch_path
+from addrgraph.session import checkpoint_dir, scratch_path, write_through
 from addrgraph.sources.eventlog import parse_event_lines, to_event_json
 from addrgraph.sources.eventlog import read_event_log as read_event_log_files
 from addrgraph.sources.eventlog import write_event_log as write_event_log_files
@@ -247,6 +247,23 @@ def unique_emails(spark, d):
     return R.unique_emails(_doc_hits(spark, d))
 
 
+def unique_emails_sketch(spark, d):
+    """D2 by stored sketches per source host and day, united over each day and all before it,
+    beside the exact counts; the estimate is reported as within its stated error or not."""
+    hits = fixture(spark, d, "hits").select("email", U.host_of(F.col("source_url")).alias("host"), F.to_date("seen_at").alias("day"))
+    stored = write_through(R.email_sketches(hits, ["host", "day"]), "sketches")
+    days = stored.select("day").distinct()
+    upto = stored.withColumnRenamed("day", "of").join(days, F.col("of") <= F.col("day"))
+    estimate = R.estimated_emails(R.unite_sketches(upto, ["day"]))
+    first = hits.groupBy("email").agg(F.min("day").alias("day")).groupBy("day").agg(F.count("*").alias("new"))
+    # one row per day
+    upto_day = Window.orderBy("day").rowsBetween(Window.unboundedPreceding, 0)
+    exact = days.join(first, "day", "left").select("day", F.sum(F.coalesce("new", F.lit(0))).over(upto_day).alias("unique_emails"))
+    off = F.abs(F.col("unique_emails_estimate") - F.col("unique_emails"))
+    return exact.join(estimate, "day").select(
+        "day", "unique_emails", (off <= F.greatest(F.lit(1.0), F.lit(R.SKETCH_ERROR) * F.col("unique_emails"))).alias("within_error"))
+
+
 def dedupe_urls_first_wins(spark, d):
     return L.pages_by_key(_pages(spark, d)).select("url_key", "page_id", "url")
 
@@ -551,6 +568,7 @@ QUERIES: dict[str, Query] = {
     "match_links_to_pages": match_links_to_pages,
     # distinct
     "unique_emails": unique_emails,
+    "unique_emails_sketch": unique_emails_sketch,
     "dedupe_urls_first_wins": dedupe_urls_first_wins,
     # aggregates
     "email_report": email_report,
