@@ -543,6 +543,9 @@ select (select count(*) from reach) as processed_pages, (select count(*) from re
   0.0::double as duration_seconds"""
     o["crawl_reach_unbudgeted"] = (W + crawl_base + ", " + reach_ctes(CRAWL.max_depth, None)
                                    + "\nselect url_key, depth, parent_key, page_id, ok from reach")
+    o["crawl_report_budget"] = W + crawl_base + ", " + reach_ctes(CRAWL.max_depth, BUDGET_PAGES) + ", " + crawl_hits + """
+select email, count(*) as hits, first(source_url order by depth, path) as source_url, min(depth) as first_depth
+from chd group by email"""
     o["crawl_report_unbudgeted"] = W + crawl_base + ", " + reach_ctes(CRAWL.max_depth, None) + ", " + crawl_hits + """
 select email, count(*) as hits, first(source_url order by depth, path) as source_url, min(depth) as first_depth
 from chd group by email"""

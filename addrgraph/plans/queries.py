@@ -439,6 +439,13 @@ def crawl_report_unbudgeted(spark, d):
     return C.crawl_report(_site(spark, d), _strict_seeds(spark, d), replace(CRAWL, max_pages=None)).report
 
 
+def crawl_report_budget(spark, d):
+    """G3 where the page budget binds: only pages within it give addresses."""
+    from dataclasses import replace
+
+    return C.crawl_report(_site(spark, d), _strict_seeds(spark, d), replace(CRAWL, max_pages=BUDGET_PAGES)).report
+
+
 def _enriched_run(spark, d):
     """Seeds joined by discovered hosts, timed pages, discovered addresses in the report."""
     site = _site(spark, d).withColumn("fetched_at", F.expr(
@@ -522,6 +529,7 @@ QUERIES: dict[str, Query] = {
     "registrable_domains": registrable_domains,
     "crawl_reach_unbudgeted": crawl_reach_unbudgeted,
     "crawl_report_unbudgeted": crawl_report_unbudgeted,
+    "crawl_report_budget": crawl_report_budget,
     "crawl_report_enriched": crawl_report_enriched,
     "crawl_summary_enriched": crawl_summary_enriched,
     "order_report_ranked": order_report_ranked,
