@@ -135,12 +135,11 @@ def exact_groups(docs: DataFrame, text_column: str = "text", bucket_bytes: int =
 def drop_exact_copies(docs: DataFrame, text_column: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns."""
     sha = F.sha2(F.encode(lower_ascii(text_or_empty(docs, text_column)), "UTF-8"), 256)
-    stay = (exact_groups(docs, text_column).where("kept")
-            .select(F.col("doc_id").alias("keep_id"), F.col("text_sha256").alias("keep_sha")).distinct())
-    keyed = docs.select(F.struct("*").alias("doc"), docs["doc_id"].cast("long").alias("id"), sha.alias("sha"))
-    joined = keyed.join(stay, F.col("id").eqNullSafe(F.col("keep_id")) & (F.col("sha") == F.col("keep_sha")), "left_semi")
-    # a repeated row passes the join as often as it stands there
-    return joined.dropDuplicates(["id", "sha"]).select("doc.*")
+    key = lambda i, sha: F.concat(F.coalesce(i.cast("string"), F.lit("")), F.lit(":"), sha)
+    stay = exact_groups(docs, text_column).where("kept").select(key(F.col("doc_id"), F.col("text_sha256")).alias("key")).distinct()
+    keyed = docs.select(F.struct("*").alias("doc"), key(docs["doc_id"].cast("long"), sha).alias("key"))
+    # a repeated row passes the join as often as it stands there; the rows lie by key then and move no more
+    return keyed.join(stay, "key", "left_semi").dropDuplicates(["key"]).select("doc.*")
 
 
 def op1_grace_hash_dedup(spark, sf_dir):

@@ -4,12 +4,13 @@ Every pair at or above the similarity has one of its rarest shingles in common (
 filter: the first ``n - ceil(s n) + 1`` in one global order), so documents meet only in
 the blocks of such shingles.  Blocks are joined in two steps:
 
-1. Star: each block's members are verified against one member, picked by hash.  This
-   joins most groups of near copies at a cost linear in their size.
+1. Stars: each block's members are verified against one member, picked by hash; those that
+   it does not link are held against the member with most links so far, and so on while
+   rounds find links.  A round is linear in the members, and joins most groups of near copies.
 2. Rest: in blocks that still hold more than one component, documents are points of
    shingle counts by hash group in an R-tree.  The sum of coordinate minima bounds the
-   overlap from above, for a box as for a point; pairs that pass and lie in different
-   components are verified on whole texts.
+   overlap from above, for a box as for a point; pairs that pass, on coordinates four
+   together and then one by one, and lie in different components are verified on whole texts.
 
 Every link between different components is looked at, so components are exact.
 """
@@ -154,8 +155,8 @@ def _profiles(heavy: np.ndarray, percent: int):
                         blobs.append(None)
                 yield pa.RecordBatch.from_arrays(
                     [b.column(0), b.column(1), pa.array(counts, pa.int64()), pa.array(digests, pa.binary()),
-                     pa.array(nodes, pa.bool_()), pa.array(prefixes, pa.list_(pa.int64())), pa.array(blobs, pa.binary())],
-                    ["row", "doc_id", "n", "digest", "node", "prefix", "blob"])
+                     pa.array(nodes, pa.bool_()), pa.array(prefixes, pa.list_(pa.int64())), pa.array(blobs, pa.binary()), b.column(3)],
+                    ["row", "doc_id", "n", "digest", "node", "prefix", "blob", "sha"])
 
     return run
 
@@ -192,11 +193,10 @@ def _count_vectors(groups: int):
                 b = whole.slice(at, 500)
                 sets = shingle_sets([unpack(x.as_py()) for x in b.column(1)])
                 fine = np.array([np.bincount((s >> np.uint64(40)) % np.uint64(groups), minlength=groups) for s in sets])
-                coarse = fine.reshape(len(sets), -1, 4).sum(2)
+                codes = np.searchsorted(LEVELS, fine).astype(np.uint8)
                 yield pa.RecordBatch.from_arrays(
                     [b.column(0), pa.array([len(s) for s in sets], pa.int64()),
-                     *(pa.array([row.tobytes() for row in np.searchsorted(LEVELS, x).astype(np.uint8)], pa.binary())
-                       for x in (fine, coarse))], ["node", "n", "fine", "coarse"])
+                     pa.array([row.tobytes() for row in codes], pa.binary())], ["node", "n", "fine"])
 
     return run
 
@@ -268,10 +268,12 @@ def _block_pairs(points: np.ndarray, totals: np.ndarray, left: np.ndarray, right
 
 
 def _block_join(percent: int):
-    """Candidate pairs between components in the blocks of one group of blocks."""
+    """Candidate pairs between components in the blocks of one group of blocks.  Boxes and
+    first bounds use coordinates four together; what leaves has passed the single ones."""
     def join(rows):
         rows = rows.sort_values(["token", "i", "j"], kind="stable", ignore_index=True)
-        points = _points(rows["coarse"])
+        fine = _points(rows["fine"])
+        points = fine.reshape(len(fine), -1, 4).sum(2, dtype=np.int32)
         nodes, comps, salts, i, j, token, totals = (rows[c].to_numpy() for c in ("node", "component", "salt", "i", "j", "token", "n"))
         change = (token[1:] != token[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])
         starts = np.append(0, np.flatnonzero(change) + 1)
@@ -282,9 +284,11 @@ def _block_join(percent: int):
 
         def add(pairs):
             for x, y in pairs:
-                other = comps[x] != comps[y]
-                if other.any():
-                    found.append(np.stack([nodes[x[other]], nodes[y[other]]]))
+                other = np.flatnonzero(comps[x] != comps[y])
+                for at in range(0, len(other), 4096):
+                    p, q = x[other[at:at + 4096]], y[other[at:at + 4096]]
+                    for p, q in _bound_hits(fine, totals, p, q, percent):
+                        found.append(np.stack([nodes[p], nodes[q]]))
 
         for at in range(0, len(two), 4096):
             add(_bound_hits(points, totals, two[at:at + 4096], two[at:at + 4096] + 1, percent))
@@ -329,78 +333,113 @@ def _verified(pairs: DataFrame, active: DataFrame, percent: int) -> DataFrame:
     return both.mapInArrow(_verify(percent), "a long, b long")
 
 
-def near_groups(docs: DataFrame, percent: int = 80, groups: int = 512, block_rows: int = 4096, most_heavy: int = 65_536) -> DataFrame:
-    """row, doc_id, n_shingles and component_id, one row per row of ``docs``.
+def _star_links(met: DataFrame, points: DataFrame, active: DataFrame, percent: int, least_share: float) -> tuple[DataFrame, DataFrame]:
+    """Links and looked-at pairs (a < b) of star rounds over blocks ``met`` (token, node).
+
+    The first hub of a block is picked by hash (eight choices, so that not all blocks of one
+    group pick the same).  Members that their hub does not link meet the member with most
+    links so far, as long as a round links ``least_share`` of the pairs it looks at."""
+    pair = [F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")]
+    first = F.min(F.struct(F.xxhash64("node", F.pmod("token", F.lit(8))).alias("h"), "node"))
+    hubs = met.groupBy("token").agg(first["node"].alias("hub"))
+    left, links, seen = met, None, None
+    while True:
+        tried = written(left.join(hubs, "token").where("node <> hub").select("token", "node", *pair), "tried")
+        pairs = tried.select("a", "b").distinct()
+        if seen is not None:
+            pairs = pairs.join(seen, ["a", "b"], "left_anti")
+        pairs = written(pairs, "pairs")
+        new = written(_verified(_bounded(pairs, points, percent), active, percent), "star")
+        links = new if links is None else links.union(new)
+        seen = pairs if seen is None else seen.union(pairs)
+        looked, found = pairs.count(), new.count()
+        if found < least_share * looked or not found:
+            return links, seen
+        left = written(tried.join(links, ["a", "b"], "left_anti").select("token", "node"), "unlinked")
+        ends = links.select(F.col("a").alias("node")).union(links.select("b")).groupBy("node").agg(F.count("*").alias("degree"))
+        open_ = left.select("token").distinct()
+        best = F.max(F.struct("degree", F.xxhash64("node").alias("h"), "node"))
+        hubs = met.join(open_, "token").join(ends, "node").groupBy("token").agg(best["node"].alias("hub"))
+
+
+def near_groups(docs: DataFrame, percent: int = 80, groups: int = 512, block_rows: int = 4096, most_heavy: int = 65_536,
+                least_share: float = 0.02) -> DataFrame:
+    """row, doc_id, n_shingles, component_id, sha and kept, one row per row of ``docs``.
 
     Two documents link if 100 times their common shingles reach ``percent`` times all of
     theirs.  Null, empty and blank texts have no shingle and link with nothing; repeated
-    rows and copies are in one component; null ids count for no component's smallest id; an
-    empty table gives no row; other columns are ignored.  ``most_heavy`` bounds a list of
-    frequent hash slots that decides the order of shingles, not which pairs are found;
-    blocks above ``block_rows`` are joined part by part.
+    rows and copies are in one component; null ids count for no component's smallest id; a
+    very long text is one point like any other; an empty table gives no row; other columns are
+    ignored.  ``kept`` marks each component's smallest (id, digest of the text ``sha``), null
+    ids last, and every row without a shingle.  ``most_heavy`` bounds a list of frequent hash
+    slots that decides the order of shingles, not which pairs are found; ``least_share`` says
+    when stars give way to the tree; blocks above ``block_rows`` are joined part by part.
     """
     text = F.encode(text_or_empty(docs), "UTF-8")
     slots = docs.select(text.alias("text")).mapInArrow(_slot_counts, "slot long, n long")
     total = slots.groupBy("slot").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "slot").limit(most_heavy)
     heavy = np.array([r.slot for r in total.select("slot").collect()], np.int64)  # most_heavy numbers
     rows = written(docs.select(F.monotonically_increasing_id().alias("row"), docs["doc_id"].cast("long").alias("doc_id"),
-                               text.alias("text")).mapInArrow(
+                               text.alias("text"), F.unhex(F.sha2(text, 256)).alias("sha")).mapInArrow(
         _profiles(heavy, percent),
-        "row long, doc_id long, n long, digest binary, node boolean, prefix array<long>, blob binary"), "profiles")
+        "row long, doc_id long, n long, digest binary, node boolean, prefix array<long>, blob binary, sha binary"), "profiles")
     nodes = rows.where("node")
     tokens = nodes.select(F.col("row").alias("node"), F.explode("prefix").alias("token"))
-    # step 1: a star in every block
+    # step 1: stars in every block
     repeated = (tokens.groupBy("token").agg(F.min("node").alias("low"), F.max("node").alias("high"))
                 .where("low < high").select("token"))
     met = written(tokens.join(repeated, "token"), "met")
-    hub = F.min(F.struct(F.xxhash64("node", F.pmod("token", F.lit(8))).alias("h"), "node"))
-    hubs = met.groupBy("token").agg(hub["node"].alias("hub"))
     active = written(nodes.select(F.col("row").alias("node"), "blob").join(met.select("node").distinct(), "node"), "active")
-    points = written(active.mapInArrow(_count_vectors(groups), "node long, n long, fine binary, coarse binary"), "points")
-    pairs = written(met.join(hubs, "token").where("node <> hub")
-                    .select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct(), "pairs")
+    points = written(active.mapInArrow(_count_vectors(groups), "node long, n long, fine binary"), "points")
+    stars, seen = _star_links(met, points, active, percent, least_share)
     same = Window.partitionBy("digest")  # one row per task that saw the set
     copies = (nodes.select("digest", F.col("row").alias("b")).withColumn("a", F.min("b").over(same)).where("a < b").select("a", "b"))
-    links = written(_verified(_bounded(pairs, points, percent), active, percent).union(copies), "links")
+    links = written(stars.union(copies), "links")
     # step 2: blocks that still hold several components
-    component = connected_components(links)
-    placed = (met.select("token", "node").join(component, "node", "left")
-              .withColumn("component", F.coalesce("component", "node")))
+    component = written(connected_components(links), "components")
+    placed = (met.join(component, "node", "left").withColumn("component", F.coalesce("component", "node")))
     mixed = (placed.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("members"))
              .where("low < high").select("token", F.ceil(F.col("members") / block_rows).cast("int").alias("salts")))
     placed = written(placed.join(mixed, "token"), "mixed")
-    salted = placed.join(points.select("node", "n", "coarse"), "node").withColumn("salt", F.pmod(F.xxhash64("node"), F.col("salts")).cast("int"))
+    # blocks go to tasks together, as most are small; each member goes out once per part of its block
+    together = max(1, -(-(placed.agg(F.sum("salts")).first()[0] or 0) // (4 * block_rows)))
+    salted = placed.join(points, "node").withColumn("salt", F.pmod(F.xxhash64("node"), F.col("salts")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("other")
-    salted = salted.select("token", "node", "component", "n", "coarse", "salt", other).withColumn(
+    salted = salted.select("token", "node", "component", "n", "fine", "salt", other).withColumn(
         "i", F.least("salt", "other")).withColumn("j", F.greatest("salt", "other"))
-    # blocks go to tasks together, as most are small
-    together = max(1, -(-placed.count() // (4 * block_rows)))
     salted = salted.withColumn("task", F.pmod(F.xxhash64("token", "i", "j"), F.lit(together)))
     rest = (salted.groupBy("task").applyInPandas(_block_join(percent), "a long, b long").distinct()
-            .join(pairs, ["a", "b"], "left_anti"))
-    links = links.union(written(_verified(_bounded(rest, points, percent), active, percent), "links"))
+            .join(seen, ["a", "b"], "left_anti"))
+    links = links.union(written(_verified(written(rest, "rest"), active, percent), "links"))
     component = connected_components(links)
     # back to all rows, by digest
+    best = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "sha")
     sets = rows.where("digest is not null").groupBy("digest").agg(
-        F.min("doc_id").alias("first_id"), F.min(F.when(F.col("node"), F.col("row"))).alias("node"))
+        F.min(best).alias("best"), F.min(F.when(F.col("node"), F.col("row"))).alias("node"))
     sets = sets.join(component, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    least = sets.groupBy("component").agg(F.min("first_id").alias("component_id"))
-    sets = sets.join(least, "component").select("digest", "component_id")
-    return rows.select("row", "doc_id", "n", "digest").join(sets, "digest", "left").select(
+    least = sets.groupBy("component").agg(F.min("best").alias("keep"))
+    sets = sets.join(least, "component").select("digest", "keep")
+    alone = F.col("digest").isNull()
+    return rows.select("row", "doc_id", "n", "digest", "sha").join(sets, "digest", "left").select(
         "row", "doc_id", F.col("n").alias("n_shingles"),
-        F.when(F.col("digest").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+        F.when(alone, F.col("doc_id")).otherwise(F.col("keep.doc_id")).alias("component_id"), "sha",
+        (alone | (F.col("doc_id").eqNullSafe(F.col("keep.doc_id")) & (F.col("sha") == F.col("keep.sha")))).alias("kept"))
 
 
 def keep_one_of_each_group(docs: DataFrame, percent: int = 80) -> DataFrame:
-    """The rows of ``docs`` with the smallest id of their group, with all their columns.
+    """One document of each group, with all its columns: the smallest id, null ids last.
 
-    Rows without an id stay, as nothing tells them apart; rows that repeat the smallest id all stay
-    (exact dedup is another operator's work).
+    Rows are told apart by id and text, so where an id stands twice only the text that links
+    goes.  Rows that repeat the kept one in both all stay (exact dedup is another operator's
+    work), as do rows without a shingle.  An empty table stays empty.
     """
-    drop = near_groups(docs, percent).where("doc_id <> component_id").select(F.col("doc_id").alias("drop_id")).distinct()
-    keyed = docs.select(F.struct("*").alias("doc"), docs["doc_id"].cast("long").alias("id"))
-    return keyed.join(drop, keyed["id"] == drop["drop_id"], "left_anti").select("doc.*")
+    key = lambda i, sha: F.concat(F.coalesce(i.cast("string"), F.lit("")), F.lit(":"), sha)
+    groups = near_groups(docs, percent)
+    drop = groups.where(~F.col("kept")).select(key(F.col("doc_id"), F.lower(F.hex("sha"))).alias("key")).distinct()
+    sha = F.sha2(F.encode(text_or_empty(docs), "UTF-8"), 256)
+    keyed = docs.select(F.struct("*").alias("doc"), key(docs["doc_id"].cast("long"), sha).alias("key"))
+    return keyed.join(drop, "key", "left_anti").select("doc.*")
 
 
 def op7_count_vector_rtree(spark, sf_dir):
-    return near_groups(read(spark, sf_dir, "documents")).drop("row")
+    return near_groups(read(spark, sf_dir, "documents")).drop("row", "sha")

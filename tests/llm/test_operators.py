@@ -358,12 +358,49 @@ def test_near_groups(spark, docs, none):
     rows = [(1000 + k, " ".join(chain[2 * k:2 * k + 50])) for k in range(12)]  # linked in a chain only
     more = docs.select("doc_id", "text").union(spark.createDataFrame(rows, "doc_id long, text string"))
     table = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
-    for df, settings in ((more, {}), (more, {"block_rows": 3, "most_heavy": 1, "groups": 4}), (table, {})):
+    for df, settings in ((more, {}), (more, {"block_rows": 3, "most_heavy": 1, "groups": 4, "least_share": 2}), (table, {"least_share": 0})):
         got = Counter((r.doc_id, r.n_shingles, r.component_id) for r in near_groups(df, **settings).collect())
         assert got == near_expected(known(df))
     assert near_groups(none).count() == 0
     kept = keep_one_of_each_group(docs)
-    assert kept.columns == docs.columns and kept.where("doc_id = 7").count() == 0 and kept.where("doc_id is null").count() == 2
+    # of the group of a null id another stays; a null id without a shingle links with nothing
+    assert kept.columns == docs.columns and kept.where("doc_id = 7").count() == 0 and kept.where("doc_id is null").count() == 1
+
+
+def test_one_of_each_group_stays(spark):
+    """Repeated and null ids: no text goes without one of its group."""
+    from addrgraph.llm.shingles import keep_one_of_each_group
+
+    word = lambda k: " ".join(f"{k}{i}" for i in range(60))
+    base, other, lone = word("a"), word("b"), word("c")
+    rows = [(1, base), (2, base + " tail"), (2, lone), (None, other), (None, other + " tail"), (None, other + " end"),
+            (5, word("d")), (5, word("d") + " x"), (6, word("e")), (6, word("e")), (8, None), (8, ""), (None, " ")]
+    df = spark.createDataFrame([(*r, "en", "s", 1, None, "x", None) for r in rows], SCHEMA).repartition(3)
+    got = Counter((r.doc_id, r.text) for r in keep_one_of_each_group(df).collect())
+    least = min([other, other + " tail", other + " end"], key=lambda t: hashlib.sha256(t.encode()).hexdigest())
+    first = min([word("d"), word("d") + " x"], key=lambda t: hashlib.sha256(t.encode()).hexdigest())
+    assert got == Counter([(1, base), (2, lone), (None, least), (5, first), (6, word("e")), (6, word("e")), (8, None), (8, ""), (None, " ")])
+
+
+def test_group_around_one_text(spark):
+    """Copies that link with their base only: stars find it; the same with the tree alone."""
+    import random
+
+    from addrgraph.llm.shingles import near_groups
+
+    r = random.Random(5)
+    base = [f"w{i}" for i in range(200)]
+    rows = [(0, " ".join(base))]
+    for i in range(1, 120):
+        words = list(base)
+        for at in r.sample(range(0, 200, 6), 3):
+            words[at] = f"x{i}y{at}"
+        rows.append((i, " ".join(words)))
+    want = near_expected(rows)
+    assert sum(k[2] == 0 for k in want) == 120
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    for settings in ({}, {"least_share": 2, "block_rows": 30}):
+        assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in near_groups(df, **settings).collect()) == want
 
 
 def test_rtree_loses_no_pair():
