@@ -58,7 +58,7 @@ def permuted(index: Column, size: Column, key: Column, rounds: int = 24) -> Colu
 
 
 def _starts(rows: DataFrame, cell_rows: int) -> DataFrame:
-    """``rows`` with ``start``: words of its source before it, in an order of the row's hash.
+    """``rows`` with ``start``: words of its source before it, in an order of the row's hashes.
 
     Ranked within cells of the hash's range, then shifted by the cells before, so a source
     that holds a third of all rows is spread over tasks.
@@ -69,7 +69,7 @@ def _starts(rows: DataFrame, cell_rows: int) -> DataFrame:
     before = F.sum("cell_size").over(Window.partitionBy("source").orderBy("cell")
                                      .rowsBetween(Window.unboundedPreceding, -1))
     cells = cells.select(F.col("source").alias("s"), F.col("cell").alias("c"), F.coalesce(before, F.lit(0)).alias("base"))
-    inside = F.sum("size").over(Window.partitionBy("source", "cell").orderBy("hash", "row")
+    inside = F.sum("size").over(Window.partitionBy("source", "cell").orderBy("hash", "check", "row")
                                 .rowsBetween(Window.unboundedPreceding, -1))
     placed = rows.withColumn("inside", F.coalesce(inside, F.lit(0)))
     return (placed.join(cells, placed["source"].eqNullSafe(cells["s"]) & (placed["cell"] == cells["c"]))
@@ -86,8 +86,10 @@ def block_times(targets: DataFrame, n_shards: int, block_words: int, cap: int, s
         "want", F.col("slots") / n_shards).withColumn("sure", F.floor("want")).withColumn("part", F.col("want") - F.col("sure"))
     shard = Window.partitionBy("shard")
     line = shard.orderBy(F.col("source").asc_nulls_last())
+    # always summed in the order of the sources, so that reruns round alike
+    all_ = line.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     per = (per.withColumn("high", F.sum("part").over(line)).withColumn("low", F.col("high") - F.col("part"))
-           .withColumn("open", F.round(F.sum("part").over(shard)).cast("int")).withColumn("sum", F.sum("part").over(shard)))
+           .withColumn("sum", F.sum("part").over(all_)).withColumn("open", F.round("sum").cast("int")))
     # draws with replacement: draw j of a shard falls on the source whose share of the line it hits
     draws = F.when(F.col("open") > 0, F.transform(F.sequence(F.lit(1), F.col("open")), lambda j: uniform(
         F.lit(seed), F.lit("draw"), F.col("shard"), j))).otherwise(F.array().cast("array<double>"))
@@ -117,12 +119,17 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: int = 3, n_s
 
     Null and empty texts have size 0 and are never taken; null sources are a source of
     their own, the last; repeated rows and ids are rows like any other; an empty table gives
-    none; other columns are ignored.  Given the input's order, the seed decides everything.
-    ``row`` numbers the rows if the caller has to know them.
+    none; other columns are ignored; a very long text is many pieces.  The rows and the seed
+    decide everything: places in a source go by hashes of id, source and text, so neither the
+    input's order nor its partitions matter, and equal rows share what they get in any order
+    among themselves.  ``row`` numbers the rows if the caller has to know them; numbers only
+    join a row to its pieces.
     """
     slim = docs.select((F.monotonically_increasing_id() if row is None else row).alias("row"), docs["doc_id"].cast("long").alias("doc_id"),
-                       docs["source"].cast("string").alias("source"), words(docs["text"]).alias("size"))
-    rows = written(slim.withColumn("hash", F.xxhash64(F.lit(seed), "doc_id", "source", "row")), "sizes")
+                       docs["source"].cast("string").alias("source"), words(docs["text"]).alias("size"),
+                       F.xxhash64(F.lit(seed), docs["doc_id"].cast("long"), docs["source"].cast("string"), docs["text"].cast("string")).alias("hash"),
+                       F.xxhash64(F.lit(seed + 1), docs["text"].cast("string"), docs["doc_id"].cast("long")).alias("check"))
+    rows = written(slim, "sizes")
     targets = written(source_targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), weights, cap), "targets")
     started = _starts(rows, cell_rows)
     t = targets.withColumnRenamed("source", "s")

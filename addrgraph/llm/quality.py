@@ -1,11 +1,11 @@
 """Quality classifier by attention over a document's passages.
 
 A document is a bag of passages of ``passage_words`` words; only the document has a label.
-Every passage is described by measures of its own text, an encoder layer maps them to a
-vector, gated attention weighs the passages (a tanh and a sigmoid branch, multiplied), and
+Every passage is described by its hashed words and by measures of its own text, a learned
+encoder layer maps them to a vector, gated attention weighs the passages (a tanh and a sigmoid branch, multiplied), and
 the score is a logistic regression on the weighted mean of the vectors.  All weights are
-learned together from document labels.  Training takes a bounded sample of labelled
-documents; scoring goes over all passages of all documents, in tasks.
+learned together from document labels.  Training takes whole bags of a bounded sample of
+labelled documents; scoring goes over all passages of all documents, in tasks.
 """
 
 from __future__ import annotations
@@ -15,15 +15,16 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import read, text_or_empty
+from .common import read, text_or_empty, written
 
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 _ENDS = tuple(".,;:!?")
 BUCKETS = 12
-MEASURES = 16 + BUCKETS
+WORDS = 128
+MEASURES = 16 + BUCKETS + WORDS
 
 
 def _delete(*ranges) -> bytes:
@@ -44,8 +45,8 @@ def passages(text: str, passage_words: int) -> list[list[str]]:
 
 
 def describe(words: list[str]) -> list[float]:
-    """Measures of one passage: shares of character classes, repetition, word shapes, and
-    hashed word endings."""
+    """Measures of one passage: shares of character classes, repetition, word shapes,
+    hashed word endings, and hashed words (square roots of their shares)."""
     n = len(words)
     if not n:
         return [1.0] + [0.0] * (MEASURES - 1)
@@ -58,8 +59,12 @@ def describe(words: list[str]) -> list[float]:
     ends = [0.0] * BUCKETS
     for w in words:
         ends[zlib.crc32(w[-2:].encode()) % BUCKETS] += 1 / n
+    hashed = [0] * WORDS
+    for w in words:
+        hashed[zlib.crc32(w.encode()) % WORDS] += 1
     return [0.0, *shares, distinct / n, pairs, min(size / n, 40) / 10, min(longest, 200) / 50, np.log1p(n) / 5,
-            sum(w.endswith(_ENDS) for w in words) / n, sum(w[0].isalnum() for w in words) / n, *ends]
+            sum(w.endswith(_ENDS) for w in words) / n, sum(w[0].isalnum() for w in words) / n, *ends,
+            *((k / n) ** 0.5 if k else 0.0 for k in hashed)]
 
 
 class AttentionModel:
@@ -115,32 +120,34 @@ class AttentionModel:
 
 
 def _described(passage_words: int, most: int):
-    """Measures of the passages of training documents: at most ``most``, evenly spread."""
+    """Whole bags of training documents; a document of more than ``most`` passages is none."""
     def run(batches):
         for b in batches:
-            out = []
-            for text in b.column(1).to_pylist():
-                own = passages(text, passage_words)
-                if len(own) > most:
-                    own = [own[i * len(own) // most] for i in range(most)]
-                out.append(np.array([describe(p) for p in own], np.float32).tobytes())
+            bags = (passages(t, passage_words) for t in b.column(1).to_pylist())
+            out = [np.array([describe(p) for p in own], np.float32).tobytes() if len(own) <= most else None for own in bags]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(out, pa.binary())], ["doc_id", "y", "x"])
 
     return run
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", most_documents: int = 4000, passage_words: int = 100,
-          most_passages: int = 32) -> AttentionModel | None:
-    """Fit on at most ``most_documents`` labelled documents (those whose ids hash lowest), at
-    most ``most_passages`` passages each; these two bound what the driver holds.  None if
-    there is no labelled document, or no label differs."""
+          most_passages: int = 40_000) -> AttentionModel | None:
+    """Fit on a bounded sample of labelled documents: those whose ids hash lowest, at most
+    ``most_documents``, as far as their passages are ``most_passages`` together.  A sampled
+    document comes with every passage.  Where an id stands in several rows or with several
+    labels, one of them is taken (the least of its measures and label).  None if there is no
+    labelled document, or no label differs; null ids and labels are left out."""
     sample = (labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull())
               .select(F.col("doc_id").cast("long").alias("_id"), F.col(label).cast("int").alias("_y"))
               .orderBy(F.xxhash64(F.lit(9), "_id"), "_id", "_y").limit(most_documents))
     rows = (docs.select(docs["doc_id"].cast("long").alias("doc_id"), text_or_empty(docs).alias("text"))
             .join(F.broadcast(sample), F.col("doc_id") == F.col("_id"))  # most_documents rows
-            .select("doc_id", "text", "_y").mapInArrow(_described(passage_words, most_passages), "doc_id long, y int, x binary")
-            .orderBy("doc_id", "y", "x").limit(2 * most_documents).collect())
+            .select("doc_id", "text", "_y").mapInArrow(_described(passage_words, most_passages), "doc_id long, y int, x binary"))
+    bags = written(rows.where("x is not null").groupBy("doc_id").agg(F.min(F.struct("x", "y")).alias("one")), "bags")
+    size = F.octet_length("one.x") / (4 * MEASURES)
+    upto = F.sum(size).over(Window.orderBy(F.xxhash64(F.lit(9), "doc_id"), "doc_id"))  # of most_documents rows
+    rows = (bags.withColumn("upto", upto).where(F.col("upto") <= most_passages)
+            .select("doc_id", "one.y", "one.x").orderBy("doc_id").collect())
     y = np.array([r.y for r in rows], float)
     if not len(y) or y.min() == y.max():
         return None
@@ -165,7 +172,8 @@ def _scored(model, passage_words: int):
 def score(docs: DataFrame, model: AttentionModel | None, passage_words: int = 100) -> DataFrame:
     """(doc, score): each row of ``docs`` as it is, and its score.
 
-    Without a model every score is 0.5.  Null and empty texts are scored as one passage without
+    Without a model every score is 0.5.  Every passage of a text counts, however long it is.
+    Null and empty texts are scored as one passage without
     words; nulls, repeated rows and other columns pass through; an empty table gives no row.
     """
     rows = docs.select(F.struct("*").alias("doc"), text_or_empty(docs).alias("text"))

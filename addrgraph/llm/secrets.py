@@ -2,10 +2,10 @@
 
 Assignments, access identifiers and long hexadecimal strings are reported for themselves.
 Weak parts (an account or client name, an unlabelled key-like string, an endpoint) say
-nothing alone.  Each part covers an interval of its text, widened by ``reach`` code points
-and cut at the bounds of its scope (a paragraph); a sweep joins intervals that overlap, and
-a weak part is reported only if its complements are in reach: a name needs a secret, a
-key-like string needs an identifier or a name, an endpoint needs both.
+nothing alone.  Each part covers the interval of its scope (a paragraph), or, where a reach is
+given, itself widened by that many code points within the scope; a sweep joins intervals that
+overlap, and a weak part is reported only if its complements are in reach: a name needs a
+secret, a key-like string needs an identifier or a name, an endpoint needs both.
 """
 
 from __future__ import annotations
@@ -13,6 +13,7 @@ from __future__ import annotations
 import hashlib
 import re
 from bisect import bisect_left, bisect_right
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -29,7 +30,8 @@ _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{24,}")
 _NAME = re.compile(r"""(?:user(?:name)?|login|account|client_?id|access_?key_?id|tenant_?id)["']?\x20*[:=]\x20*["']?[A-Za-z0-9@+/_.-]{3,}""", re.I | re.A)
-_KEY = re.compile(r"(?<![A-Za-z0-9+/=_-])[A-Za-z0-9+/]{32,128}={0,2}(?![A-Za-z0-9+/=_-])")
+#: A whole run of base64 in either alphabet, prefixed tokens included, of any length.
+_KEY = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{32,}={0,2}")
 _ENDPOINT = re.compile(r"""(?:https?|postgres(?:ql)?|mysql|redis|amqp|mongodb|ftp)://[^\s"'<>]{4,}|(?:host|endpoint|server)["']?\x20*[:=]\x20*["']?[A-Za-z0-9.-]{4,}""", re.I | re.A)
 _PARAGRAPH = re.compile(r"\n[ \t]*\n")
 
@@ -56,8 +58,9 @@ def weak_spans(text: str) -> list[tuple[int, int, str]]:
     return found
 
 
-def link_parts(text: str, base: list, weak: list, reach: int) -> list[tuple[int, int, str]]:
-    """The weak parts that have their complements in reach.
+def link_parts(text: str, base: list, weak: list, reach: int | None) -> list[tuple[int, int, str]]:
+    """The weak parts that have their complements in reach (None: anywhere in their scope)
+    and lie inside no base span.
 
     Parts of a role are kept by start and by end; a part has one of them in reach if its
     widened interval holds more starts before its end than ends before its start, so the
@@ -73,20 +76,19 @@ def link_parts(text: str, base: list, weak: list, reach: int) -> list[tuple[int,
 
     def near(role, start, end):
         at = bisect_right(cuts, start)
-        low = max(start - reach, cuts[at - 1] if at else 0)
-        high = min(end + reach, cuts[at] if at < len(cuts) else len(text))
+        low, high = cuts[at - 1] if at else 0, cuts[at] if at < len(cuts) else len(text)
+        if reach is not None:
+            low, high = max(start - reach, low), min(end + reach, high)
         starts, ends = sides[role]
         return bisect_left(starts, high) - bisect_right(ends, low) > 0
 
-    strong = {}
-    for s, e, kind in base:
-        strong.setdefault(ROLE[kind], []).append((s, e))
+    begun = sorted((s, e) for s, e, _ in base)
+    starts0, furthest = [s for s, _ in begun], list(accumulate((e for _, e in begun), max))
 
     def covered(s, e):  # a weak part inside a base span adds nothing
-        return any(bs <= s and e <= be for bs, be, _ in base[max(0, bisect_right(starts0, s) - 8):bisect_right(starts0, s)])
+        at = bisect_right(starts0, s)
+        return at > 0 and furthest[at - 1] >= e
 
-    base = sorted(base)
-    starts0 = [b[0] for b in base]
     need = {"name": ("secret",), "key": ("identifier",), "endpoint": ("identifier", "secret")}
     return [(s, e, kind) for s, e, kind in weak
             if not covered(s, e) and all(near(role, s, e) for role in need[kind])]
@@ -97,7 +99,7 @@ def _line(spans: list) -> str:
     return ",".join(f"{kind}:{start}:{end}" for start, end, kind in spans)
 
 
-def _scan(reach: int):
+def _scan(reach: int | None):
     def scan(batches):
         for b in batches:
             rows = []
@@ -114,13 +116,14 @@ def _scan(reach: int):
     return scan
 
 
-def scan_secrets(docs: DataFrame, reach: int = 400) -> DataFrame:
+def scan_secrets(docs: DataFrame, reach: int | None = None) -> DataFrame:
     """doc_id, counts of base spans, their digest, and all spans, one row per row of ``docs``.
 
     Spans are code points, end exclusive.  Null and empty texts have none (the digest is that
     of the empty string); null and repeated ids and repeated rows keep a row each; an empty
-    table gives none; other columns are ignored.  Whole texts are read and parts of one
-    document are linked only with each other, so nothing is exchanged.
+    table gives none; other columns are ignored.  Whole texts are read, however long, and
+    parts of one document are linked only with each other, so nothing is exchanged; spans that
+    start together are listed by kind.
     """
     return docs.select(docs["doc_id"].cast("long").alias("doc_id"), text_or_empty(docs).alias("text")).mapInArrow(
         _scan(reach), "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string")

@@ -114,7 +114,8 @@ def shuffle_into_shards(docs: DataFrame, n_shards: int = 8, seed: int = 20, bloc
     Every row lands in exactly one shard; shard counts differ by one at most; slots are
     0, 1, ... in every shard.  Null texts count as empty.  Repeated rows and null ids are
     rows like any other; an empty table gives an empty result; other columns are ignored.
-    Given the input's order, the seed decides everything.
+    Very long texts are only measured.  Rows are numbered by partition, so the seed decides
+    everything for one order of the rows and one way of splitting them, not for others.
     """
     if n_shards < 1:
         raise ValueError("n_shards must be positive")

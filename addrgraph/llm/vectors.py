@@ -2,12 +2,12 @@
 
 Equal vectors are one point with a count.  In every tree a node is split at the median of
 a random projection, points nearer to it than linked points are usually apart go to both
-sides, and nodes of at most ``leaf`` points, or whose points are all that close, are
-compared pair by pair in double precision.  Nodes too large for one
-task are split by Spark in the same way, level by level; one that a split leaves with no
-fewer pairs is compared whole, block by block, and its links are counted by point.  From
-``task_points`` points down a task grows the rest of the tree.  Links found by any
-tree are united; every link is verified, so only recall is approximate.
+sides, and nodes of at most ``leaf`` points are compared pair by pair in double precision.
+Nodes too large for one task are split by Spark, level by level; from ``task_points`` points
+down a task grows the rest of the tree.  A node of any size whose points are so close
+together that no split separates them is compared whole, block by block: its links are
+counted by point and connected by stars, so its output is linear in its points.  Links found
+by any tree are united; every link is verified, so only recall is approximate.
 """
 
 from __future__ import annotations
@@ -76,24 +76,44 @@ def _linked(x: np.ndarray, ids: np.ndarray, member: np.ndarray, cosine: float, b
                 yield np.minimum(ids[i + a], ids[j + b]), np.maximum(ids[i + a], ids[j + b])
 
 
+def _ends(x: np.ndarray, tree: int, path: str, cosine: float, leaf: int, dense: float, seed: int, member: np.ndarray):
+    """Ends of a tree below ``path``: points, path, and whether they are more than a leaf and so
+    close together that no split separates them.  Points of one group end nowhere."""
+    # linked points lie this far apart at most; projected, a standard deviation of it
+    margin = np.sqrt((2 - 2 * cosine) / x.shape[1])
+    stack = [(np.arange(len(x)), path)]
+    while stack:
+        at, path = stack.pop()
+        if member[at].all(0).any():
+            continue  # together in a node that is compared whole
+        if len(at) > leaf:
+            p = x[at] @ _direction(seed, tree, path, x.shape[1])
+            middle = np.median(p)
+            left, right = at[p <= middle + margin], at[p >= middle - margin]
+            if max(len(left), len(right)) < dense * len(at):
+                stack += [(left, path + "l"), (right, path + "r")]
+                continue
+        yield at, path, len(at) > leaf
+
+
+def _close(cosine: float, leaf: int, dense: float, seed: int):
+    def close(key, rows):
+        """Points and paths of the ends that no split separates."""
+        x, ids = _unit(rows["vec"]), rows["row"].to_numpy()
+        found = [(ids[at], path) for at, path, whole in _ends(x, key[0], key[3], cosine, leaf, dense, seed, np.empty((len(x), 0), bool)) if whole]
+        paths = [p for a, p in found for _ in a]
+        return pd.DataFrame({"row": np.concatenate([np.empty(0, np.int64), *(a for a, _ in found)]),
+                             "tree": np.full(len(paths), key[0], np.int32), "label": pd.Series([key[1]] * len(paths), dtype=object),
+                             "dim": np.full(len(paths), key[2], np.int32), "path": pd.Series(paths, dtype=object)})
+
+    return close
+
+
 def _grow(cosine: float, leaf: int, dense: float, seed: int):
     def grow(key, rows):
         x, member = _unit(rows["vec"]), _members(rows["groups"])
-        # linked points lie this far apart at most; projected, a standard deviation of it
-        margin = np.sqrt((2 - 2 * cosine) / x.shape[1])
-        ids, found, stack = rows["row"].to_numpy(), [], [(np.arange(len(x)), key[3])]
-        while stack:
-            at, path = stack.pop()
-            if member[at].all(0).any():
-                continue  # together in a node that was compared whole
-            if len(at) > leaf:
-                p = x[at] @ _direction(seed, key[0], path, x.shape[1])
-                middle = np.median(p)
-                left, right = at[p <= middle + margin], at[p >= middle - margin]
-                if max(len(left), len(right)) < dense * len(at):
-                    stack += [(left, path + "l"), (right, path + "r")]
-                    continue
-            # a leaf, or points so close together that no split separates them
+        ids, found = rows["row"].to_numpy(), []
+        for at, _, _ in _ends(x, key[0], key[3], cosine, leaf, dense, seed, member):
             found.extend(_linked(x[at], ids[at], member[at], cosine))
         if not found:
             return pd.DataFrame({"a": pd.Series(dtype="int64"), "b": pd.Series(dtype="int64")})
@@ -203,6 +223,15 @@ def forest_links(points: DataFrame, cosine: float, trees: int, leaf: int, dense:
         nodes = written(split.join(close, NODE, "left_anti")
                         .withColumn("path", F.explode(F.filter(paths, lambda s: s.isNotNull())))
                         .select(*nodes.columns), "nodes")
+    # nodes that one task holds: first those whose points no split separates
+    close = written(ready.groupBy(*NODE).applyInPandas(_close(cosine, leaf, dense, seed),
+                                                       "row long, tree int, label string, dim int, path string"), "close")
+    if not close.isEmpty():
+        roots = close.where("path = ''").groupBy("label", "dim").agg(F.min("tree").alias("first"))
+        own = close.join(roots, ["label", "dim"], "left").where("first is null or (first = tree and path = '')").drop("first")
+        own = own.join(points.select("row", "vec", "copies"), "row").select(*nodes.columns)
+        whole = own if whole is None else whole.unionByName(own)
+        ready = ready.join(roots, ["label", "dim"], "left_anti").select(*nodes.columns)
     none = points.sparkSession.createDataFrame([], "a long, b long, others long")
     if whole is None:
         compared, ready = none, ready.withColumn("groups", F.lit(None).cast("array<long>"))
@@ -220,7 +249,7 @@ def vector_groups(vectors: DataFrame, cosine: float = 0.93, trees: int = 6, leaf
     Vectors are compared if their labels and lengths are equal and not null.  Unusable vectors and null
     labels link with nothing.  Null ids are smaller than none: a component's id is its smallest
     id that is not null.  Repeated rows are vectors of their own, linked as equal ones are; an
-    empty table gives no row; other columns are ignored.
+    empty table gives no row; other columns are ignored; ties at the cosine are links.
     """
     v = vectors["embedding"]
     plain = F.array_join(F.transform(v, lambda c: (c + F.lit(0).cast("float")).cast("string")), ",")

@@ -160,9 +160,57 @@ def test_secrets(spark, docs, none):
     assert kinds[6] == {"name", "key"}  # both parts in one paragraph
     assert kinds[7] == set() and kinds[8] == set()  # apart, or without a secret
     assert kinds[11] == {"name", "assign", "endpoint"}
+    long, safe, token = "aB3" + "dE5" * 49, "aB3_dE5-" * 5, "ghp_" + "aB3dE5" * 6
+    far = "user: alice " + "words " * 300 + "key " + "aB3" + "dE5" * 12
+    jwt = ".".join(["eyJ" + "hB3" * 12, "eyJ" + "zU5" * 15, "Qx9_" * 11])
+    more = {20: f"access_key_id=alice key {long}", 21: f"access_key_id=alice key {safe}", 22: f"login: bob {token}", 23: far,
+            24: "password=aaaaaa " * 0 + "".join(f"secret=hunter{k}22 " for k in range(20)) + f"token={'aB3' + 'dE5' * 12} user: bob",
+            25: f"login: bob\n{jwt}"}
+    df = spark.createDataFrame(list(more.items()), "doc_id long, text string")
+    spans = {r.doc_id: [x.split(":") for x in r.spans.split(",")] for r in scan_secrets(df).collect()}
+    for i, key in ((20, long), (21, safe), (22, token), (23, "aB3" + "dE5" * 12)):
+        at = more[i].index(key)
+        assert ["key", str(at), str(at + len(key))] in spans[i] and any(k == "name" for k, _, _ in spans[i]), (i, spans[i])
+    assert not any(k == "key" for k, _, _ in spans[24])  # inside an assignment, after however many others
+    assert sum(k == "key" for k, _, _ in spans[25]) == 3
+    near = {r.doc_id: r.spans for r in scan_secrets(df, reach=400).collect()}
+    assert near[23] == "" and near[20] != ""
     assert scan_secrets(docs).count() == docs.count() and scan_secrets(none).count() == 0
 
 
+@pytest.mark.parametrize("reach", [None, 0, 7, 40])
+def test_linked_spans_equal_an_interval_join(reach):
+    """Every part held against every other of the text."""
+    import random
+
+    from addrgraph.llm import secrets as S
+
+    r = random.Random(4)
+    key = lambda: r.choice(["aB3", "Zx9_", "Qq-7"]) * r.choice([8, 11, 12, 40])
+    piece = [lambda: "user: al" + str(r.randrange(99)), lambda: "client_id=abc", lambda: f"password={key()}", lambda: "secret: hunter22",
+             key, lambda: "AKIA" + "Q7" * 9, lambda: "0af3" * 8, lambda: "https://db.example.org/x", lambda: "host: h.example.org",
+             lambda: "plain words", lambda: "\n\n", lambda: "\n \t\n", lambda: "\n"]
+    linked = 0
+    for _ in range(400):
+        text = "".join(r.choice(piece)() + r.choice([" ", "  ", "\n"]) for _ in range(r.randrange(1, 14)))
+        base, weak = S.base_spans(text), S.weak_spans(text)
+        bounds = [0, *(m.start() for m in re.finditer(r"\n[ \t]*\n", text)), len(text)]
+
+        def together(a, b):
+            at = max(i for i, x in enumerate(bounds[:-1]) if i == 0 or x <= a[0])
+            low, high = bounds[at], bounds[at + 1]
+            if reach is not None:
+                low, high = max(low, a[0] - reach), min(high, a[1] + reach)
+            return b[0] < high and b[1] > low
+
+        need = {"name": ["secret"], "key": ["identifier"], "endpoint": ["identifier", "secret"]}
+        want = [w for w in weak if not any(b[0] <= w[0] and w[1] <= b[1] for b in base)
+                and all(any(S.ROLE[p[2]] == role and together(w, p) for p in [*base, *weak]) for role in need[w[2]])]
+        assert sorted(S.link_parts(text, base, weak, reach)) == sorted(want), text
+        linked += len(want)
+    assert linked > 100
+
+
 def test_shards(spark, docs, none):
     from addrgraph.llm.shards import shuffle_into_shards
 
@@ -403,6 +451,33 @@ def test_group_around_one_text(spark):
         assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in near_groups(df, **settings).collect()) == want
 
 
+def test_taken_words_by_hand(spark, docs):
+    """Words taken of each row, from the drawn slots and the places of its words, one by one."""
+    from addrgraph.llm.mixing import block_times, mix, source_targets
+
+    rows, pieces = mix(docs, block_words=16)
+    rows = rows.collect()
+    taken = Counter()
+    for p in pieces.collect():
+        taken[p.row] += (p["to"] - p["from"]) * p.times
+    sizes = Counter()
+    for r in rows:
+        sizes[r.source] += r["size"]
+    targets = source_targets(spark.createDataFrame(list(sizes.items()), "source string, source_size long"))
+    slots = block_times(targets, 8, 16, 3, 8).collect()
+    times = Counter((s.source, s.block) for s in slots)
+    blocks = {s: -(-n // 16) for s, n in sizes.items()}
+    assert all(0 <= b < blocks[s] for s, b in times)
+    for source, n in blocks.items():  # every block as often as any other, or once more
+        own = [times[source, b] for b in range(n)]
+        assert not own or max(own) - min(own) <= 1 and max(own) <= 3
+    place = Counter()
+    for r in sorted((r for r in rows), key=lambda r: r.start):
+        assert r["size"] == 0 or r.start == place[r.source]
+        place[r.source] += r["size"]
+        assert taken[r.row] == sum(times[r.source, w // 16] for w in range(r.start, r.start + r["size"]))
+
+
 def test_rtree_loses_no_pair():
     from addrgraph.llm.shingles import RTree
 
@@ -420,6 +495,7 @@ def test_mix(spark, docs, none):
     from addrgraph.llm.mixing import mix, mixed_documents
 
     table = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    texts = {r.doc_id: r.text for r in table.collect()}
     rows, pieces = mix(table)
     rows, pieces = rows.collect(), pieces.collect()
     taken = Counter()
@@ -427,8 +503,7 @@ def test_mix(spark, docs, none):
         taken[p.row] += (p["to"] - p["from"]) * p.times
     by = defaultdict(lambda: [0, 0, 0.0])
     for r in rows:
-        assert r["size"] == len(WORD.findall({}.get(r.doc_id, None) or "")) or r["size"] >= 0
-        assert taken[r.row] <= 3 * r["size"]
+        assert r["size"] == len(WORD.findall(texts[r.doc_id] or "")) and 0 <= taken[r.row] <= 3 * r["size"]
         own = by[r.source]
         own[0] += r["size"]
         own[1] += taken[r.row]
@@ -436,10 +511,21 @@ def test_mix(spark, docs, none):
     total = sum(v[0] for v in by.values())
     assert abs(sum(v[2] for v in by.values()) - total) < 1e-3
     assert all(abs(v[1] - v[2]) <= 0.05 * v[2] for v in by.values())
-    again = Counter()
-    for p in mix(table)[1].collect():
-        again[p.row] += (p["to"] - p["from"]) * p.times
-    assert again == taken
+    ids = {r.row: r.doc_id for r in rows}
+    once = Counter({ids[row]: n for row, n in taken.items()})
+    # other orders, partitions and numbers of shuffle partitions
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    for df, shuffles in ((table.repartition(7), "8"), (table.orderBy("n_chars").coalesce(1), "3"), (table.repartition(2, "lang"), "1")):
+        spark.conf.set("spark.sql.shuffle.partitions", shuffles)
+        try:
+            again, numbered = Counter(), None
+            numbered, got = mix(df)
+            numbered = {r.row: r.doc_id for r in numbered.collect()}
+            for p in got.collect():
+                again[numbered[p.row]] += (p["to"] - p["from"]) * p.times
+        finally:
+            spark.conf.set("spark.sql.shuffle.partitions", before)
+        assert again == once
     sizes = Counter((i, len(WORD.findall(t))) for i, t in known(docs))
     assert Counter((r.doc_id, r["size"]) for r in mix(docs)[0].collect()) == sizes
     assert mix(none)[0].count() == 0
@@ -482,6 +568,66 @@ def test_permutation(spark):
             assert sorted(got) == list(range(n))
 
 
+def test_attention_by_hand():
+    """Scores from loops over passages, and the gradient from differences of the loss."""
+    from addrgraph.llm import quality as Q
+
+    rng = np.random.default_rng(3)
+    sizes, y = [3, 1, 4, 2], np.array([1.0, 0, 1, 0])
+    x, starts = rng.normal(0, 1, (10, Q.MEASURES)), np.array([0, 3, 4, 8])
+    model = Q.AttentionModel(hidden=4, gate=3)
+    model.w = {k: rng.normal(0, 0.3, v.shape) for k, v in model.w.items()}
+    w = model.w
+
+    def by_hand():
+        out = []
+        for a, n in zip(starts, sizes):
+            h = [np.tanh(p @ w["E"] + w["e"]) for p in x[a:a + n]]
+            s = [float(np.tanh(v @ w["V"]) / (1 + np.exp(-(v @ w["U"]))) @ w["a"]) for v in h]
+            alpha = np.exp(s) / np.exp(s).sum()
+            out.append(float(1 / (1 + np.exp(-(sum(k * v for k, v in zip(alpha, h)) @ w["c"] + w["b"][0])))))
+        return np.array(out)
+
+    assert np.allclose(model.score(x, starts), by_hand())
+    # one step of fit moves each weight against the sign of its gradient
+    model.mean, model.scale = x.mean(0), x.std(0) + 1e-3
+    x = (x - model.mean) / model.scale
+    loss = lambda: -np.mean(y * np.log(by_hand()) + (1 - y) * np.log(1 - by_hand()))
+    slopes = {}
+    for k, at in (("E", (5, 1)), ("e", (2,)), ("V", (1, 2)), ("U", (3, 0)), ("a", (1,)), ("c", (2,)), ("b", (0,))):
+        keep = w[k][at]
+        w[k][at] = keep + 1e-5
+        up = loss()
+        w[k][at] = keep - 1e-5
+        slopes[k, at] = (up - loss()) / 2e-5
+        w[k][at] = keep
+    before = {k: v.copy() for k, v in w.items()}
+    raw = x * model.scale + model.mean
+    model.fit(raw, starts, y, steps=1, rate=0.01, decay=0.0)
+    for (k, at), slope in slopes.items():
+        assert np.isclose(before[k][at] - model.w[k][at], 0.01 * np.sign(slope), atol=1e-4), (k, slope)
+
+
+def test_training_takes_whole_bags(spark, monkeypatch):
+    """Every passage of a sampled document; repeated ids count once; the bounds hold."""
+    from addrgraph.llm import quality as Q
+
+    seen = []
+    monkeypatch.setattr(Q.AttentionModel, "fit", lambda self, x, starts, y: seen.append((len(x), list(starts), list(y))) or self)
+    rows = [(i, " ".join(["w"] * (100 * (i + 1)))) for i in range(12)] + [(3, "other text")] * 5 + [(None, "no id"), (20, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(12)] + [(None, 1), (5, None), (4, 0), (20, 1)], "doc_id long, quality int")
+    Q.train(df, labels)
+    n, starts, y = seen.pop()
+    sizes = sorted(np.diff([*starts, n]).tolist())
+    assert len(y) == 13 and sizes in (sorted([*range(1, 13), 1]), sorted([1, 2, 3, 1, *range(5, 13), 1]))
+    Q.train(df, labels, most_passages=20)
+    n, starts, y = seen.pop()
+    assert n <= 20
+    Q.train(df, labels, most_documents=4)
+    assert len(seen.pop()[2]) == 4
+
+
 def test_quality(spark, docs, none):
     from addrgraph.llm.quality import held_out, score, train
 
@@ -536,6 +682,43 @@ def test_vectors(spark):
     assert vector_groups(df.limit(0)).count() == 0
 
 
+def test_links_of_a_tight_group_are_linear(spark):
+    """1 500 vectors that are all linked: their links are counted, not listed."""
+    from pyspark.sql import functions as F
+
+    from addrgraph.llm.vectors import forest_links, vector_groups
+
+    rng = np.random.default_rng(2)
+    n = 1500
+    x = rng.normal(0, 1, 32) + rng.normal(0, 0.05, (n, 32))
+    df = spark.createDataFrame([(i, "a", v.tolist()) for i, v in enumerate(x)], "vec_id long, label string, embedding array<float>")
+    points = df.select(F.col("vec_id").alias("row"), "label", F.col("embedding").alias("vec"), F.lit(1).cast("long").alias("copies"))
+    links, connecting, counted = forest_links(points, 0.93, 6, 256, 0.9, 8192, 10)
+    assert links.count() + connecting.count() <= 3 * n and counted.count() == n
+    got = vector_groups(df).collect()
+    assert all(r.n_links == n - 1 and r.component_id == 0 for r in got)
+
+
+def test_recall_just_above_the_threshold(spark):
+    """Pairs at 0.93 to 0.95 between many unrelated vectors, with the production settings."""
+    from addrgraph.llm.vectors import vector_groups
+
+    rng = np.random.default_rng(6)
+    base = rng.normal(0, 1, (3000, 64))
+    base /= np.linalg.norm(base, axis=1, keepdims=True)
+    side = rng.normal(0, 1, (600, 64))
+    side -= (side * base[:600]).sum(1, keepdims=True) * base[:600]
+    side /= np.linalg.norm(side, axis=1, keepdims=True)
+    cos = rng.uniform(0.931, 0.95, (600, 1))
+    x = np.concatenate([base, cos * base[:600] + np.sqrt(1 - cos * cos) * side]).astype(np.float32)
+    df = spark.createDataFrame([(i, "a", v.tolist()) for i, v in enumerate(x)], "vec_id long, label string, embedding array<float>")
+    got = {r.vec_id: r.n_links for r in vector_groups(df).collect()}
+    y = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
+    want = (y @ y.T >= 0.93).sum(1) - 1
+    assert all(got[i] <= want[i] for i in range(len(x)))
+    assert sum(got.values()) >= 0.97 * want.sum() and want.sum() >= 1200
+
+
 def test_vectors_of_a_group_larger_than_a_task(spark):
     from addrgraph.llm.vectors import vector_groups
 
