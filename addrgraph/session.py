@@ -78,7 +78,8 @@ def bucketed_table(df: DataFrame, name: str, key: str) -> tuple[DataFrame, str]:
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     table = f"{name}_{uuid.uuid4().hex[:12]}"
     path = scratch_path(spark, table)
-    df.repartition(n, key).write.bucketBy(n, key).format("parquet").option("path", path).saveAsTable(table)
+    with shuffles_freed(spark):
+        df.repartition(n, key).write.bucketBy(n, key).format("parquet").option("path", path).saveAsTable(table)
     return spark.table(table), table
 
 
@@ -95,8 +96,9 @@ class BucketedLog:
         self.buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     def append(self, df: DataFrame) -> None:
-        (df.write.mode("append").bucketBy(self.buckets, self.key).format("parquet").option("path", self.path)
-         .saveAsTable(self.name))
+        with shuffles_freed(self.spark):
+            (df.write.mode("append").bucketBy(self.buckets, self.key).format("parquet").option("path", self.path)
+             .saveAsTable(self.name))
 
     def table(self) -> DataFrame:
         return self.spark.table(self.name)
@@ -119,10 +121,26 @@ def write_through(df: DataFrame, name: str) -> DataFrame:
     it back: lineage is cut, the data survives executor loss, and later joins
     see its real size."""
     path = scratch_path(df.sparkSession, name)
-    df.write.mode("overwrite").parquet(path)
+    with shuffles_freed(df.sparkSession):
+        df.write.mode("overwrite").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+_FREE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def shuffles_freed(spark: SparkSession) -> Iterator[None]:
+    """Executions started inside remove their shuffle files when they end, so that a job of many
+    written tables holds the shuffles of one at a time.  A frame executed again shuffles again."""
+    before = spark.conf.get(_FREE_SHUFFLES, "false")
+    spark.conf.set(_FREE_SHUFFLES, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(_FREE_SHUFFLES, before)
+
+
 @contextmanager
 def scratch(spark: SparkSession, name: str) -> Iterator[Callable[[DataFrame, str], DataFrame]]:
     """A scope for intermediate tables: what is written inside is deleted at its end.
