@@ -26,6 +26,8 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from addrgraph.session import scratch
+
 from .common import connected_components, read, text_or_empty, written
 
 SPACE = np.zeros(256, bool)
@@ -375,6 +377,11 @@ def near_groups(docs: DataFrame, percent: int = 80, groups: int = 512, block_row
     slots that decides the order of shingles, not which pairs are found; ``least_share`` says
     when stars give way to the tree; blocks above ``block_rows`` are joined part by part.
     """
+    with scratch(docs.sparkSession, "near") as keep:
+        return keep(_near_groups(docs, percent, groups, block_rows, most_heavy, least_share), "near-groups")
+
+
+def _near_groups(docs: DataFrame, percent: int, groups: int, block_rows: int, most_heavy: int, least_share: float) -> DataFrame:
     text = F.encode(text_or_empty(docs), "UTF-8")
     slots = docs.select(text.alias("text")).mapInArrow(_slot_counts, "slot long, n long")
     total = slots.groupBy("slot").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "slot").limit(most_heavy)
