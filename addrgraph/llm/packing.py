@@ -2,9 +2,11 @@
 
 Pieces are dealt to partitions of bounded size and packed by best-fit decreasing.  Dual
 feasible functions bound each partition's bin count, and that of all pieces together, from
-below; where a bound is met the packing is certified optimal.  As long as there is a gap to
-the common bound, partitions give up the pieces of their bins that are not full, exchange
-them and pack again, until no bin is saved.
+below; where a bound is met the packing is certified optimal.  Partitions with a gap to their
+own bound give up the pieces of their bins that are not full, exchange them and pack again
+until no bin is saved; certified ones keep theirs.  Partitions that are each optimal need not
+be so together: while the common bound is not met, the bins that are not full of all of them
+are exchanged in the same way.
 """
 
 from __future__ import annotations
@@ -123,7 +125,9 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, e
 
     Null and empty texts are the end id alone; null and repeated ids and repeated rows are
     documents of their own; an empty table gives no row; other columns are ignored.  A
-    document of more than ``capacity`` tokens is cut, its first piece taking what is left over.
+    document of more than ``capacity`` tokens is cut, its first piece taking what is left over,
+    so a very long text is many whole sequences and one piece.  Pieces of equal length are
+    packed in the order of their rows.
     """
     pieces = written(docs.select(F.monotonically_increasing_id().alias("row"), docs["doc_id"].cast("long").alias("doc_id"),
                                  text_or_empty(docs).alias("text"))
@@ -139,17 +143,22 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, e
     bound = bin_bound(np.array([r["length"] for r in lengths], np.int64), capacity,
                       np.array([r["count"] for r in lengths], np.int64)) if lengths else 0
     bins = _bins(packed)
+    certified = F.col("bins") <= F.col("bound")
+    together = False
     for turn in count(2):
         if bins <= bound:
             break  # certified: no packing takes fewer
-        # each partition may be optimal and their sum not; full bins stay, the rest meets other partitions
-        loose = packed.where(~F.col("full"))
+        loose = packed.where(~F.col("full")) if together else packed.where(~F.col("full") & ~certified)
         again = _packed(loose, capacity, part_pieces, turn)
         saved = _bins(loose) - _bins(again)
         if saved <= 0:
-            break
+            if together:
+                break
+            together = True
+            continue
         done.append(packed.where("full"))
-        packed, bins = again, bins - saved
+        packed = again if together else again.unionByName(packed.where(~F.col("full") & certified))
+        bins -= saved
     for d in (*done, whole):
         packed = packed.unionByName(d)
     return packed.drop("row", "full")

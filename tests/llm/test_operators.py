@@ -306,6 +306,27 @@ def test_packing_exchanges_until_no_bin_is_saved(spark, monkeypatch):
     assert n == packing.bin_bound(lengths, 20) or bins[-1][1] >= bins[-1][0], bins
 
 
+def test_certified_partitions_keep_their_bins(spark, monkeypatch):
+    """What is exchanged first are bins of partitions with a gap only."""
+    from addrgraph.llm import packing
+
+    rng = np.random.default_rng(4)
+    texts = [(i, " ".join(["a"] * int(n))) for i, n in enumerate(rng.choice([3, 5, 6, 8, 9, 12], 900))]
+    calls, packed = [], packing._packed
+
+    def seen(pieces, *settings):
+        calls.append((pieces.columns, pieces.where("bins <= bound").count() if "bins" in pieces.columns else None,
+                      pieces.where("full").count() if "full" in pieces.columns else None))
+        return packed(pieces, *settings)
+
+    monkeypatch.setattr(packing, "_packed", seen)
+    df = spark.createDataFrame(texts, "doc_id long, text string").coalesce(1)
+    rows = packing.pack_documents(df, library()[0], capacity=20, part_pieces=40).collect()
+    assert len(rows) == len(texts) and len(calls) > 1
+    assert calls[1][1] == 0  # no certified partition's
+    assert all(c[2] == 0 for c in calls[1:])  # and never a full bin
+
+
 def test_bin_bound():
     from itertools import count
 
