@@ -1,6 +1,9 @@
 """From raw documents to packed training sequences, stage by stage.
 
-Every stage reads what its predecessor wrote and works on all of it.
+Every stage reads what its predecessor wrote and works on all of it.  An empty table stays
+empty through all stages; null texts count as empty, and a document without words is scored
+like any other, is its own group of near copies, and is never taken by the mix.  Ids may be
+null or stand in several rows; columns beside those of documents pass through up to packing.
 """
 
 from __future__ import annotations
@@ -16,18 +19,19 @@ from addrgraph.llm.shingles import keep_one_of_each_group
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier scores at 0.5 or more."""
+    """Documents that the classifier scores at 0.5 or more (all, if no label differs)."""
     labels = read(spark, sf_dir, "labels")
     return score(docs, train(docs, labels.where(~held_out(labels["doc_id"])))).where("score >= 0.5").select("doc.*")
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the document with the largest id."""
+    """Of equal texts (A-Z lower-cased) the document with the largest id, of rows that repeat it one."""
     return drop_exact_copies(docs)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents linked by their shingles the one with the smallest id."""
+    """Of documents linked by their shingles the one with the smallest id, null ids last; rows are
+    told apart by id and text, so another text under a dropped document's id stays."""
     return keep_one_of_each_group(docs)
 
 
