@@ -12,6 +12,10 @@ the blocks of such shingles.  Blocks are joined in two steps:
    overlap from above, for a box as for a point; pairs that pass, on coordinates four
    together and then one by one, and lie in different components are verified on whole texts.
 
+In a block, sizes and places bound the overlap too: of a pair whose first common shingle is
+the block's, no shingle before it is common, so what each has from there on is the most.
+A pair that another block's shingle rules out is looked at in the block of its first one.
+
 Every link between different components is looked at, so components are exact.
 """
 
@@ -23,7 +27,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from addrgraph.session import scratch
@@ -277,6 +281,7 @@ def _block_join(percent: int):
         fine = _points(rows["fine"])
         points = fine.reshape(len(fine), -1, 4).sum(2, dtype=np.int32)
         nodes, comps, salts, i, j, token, totals = (rows[c].to_numpy() for c in ("node", "component", "salt", "i", "j", "token", "n"))
+        onward = totals - rows["pos"].to_numpy()
         change = (token[1:] != token[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])
         starts = np.append(0, np.flatnonzero(change) + 1)
         sizes = np.diff(np.append(starts, len(rows)))
@@ -286,7 +291,8 @@ def _block_join(percent: int):
 
         def add(pairs):
             for x, y in pairs:
-                other = np.flatnonzero(comps[x] != comps[y])
+                other = np.flatnonzero((comps[x] != comps[y]) & (
+                    (100 + percent) * np.minimum(onward[x], onward[y]) >= percent * (totals[x] + totals[y])))
                 for at in range(0, len(other), 4096):
                     p, q = x[other[at:at + 4096]], y[other[at:at + 4096]]
                     for p, q in _bound_hits(fine, totals, p, q, percent):
@@ -335,19 +341,28 @@ def _verified(pairs: DataFrame, active: DataFrame, percent: int) -> DataFrame:
     return both.mapInArrow(_verify(percent), "a long, b long")
 
 
+def _may_link(n, pos, m, at, percent: int) -> Column:
+    """Whether sizes, and places of a first common shingle, allow two sets the similarity."""
+    return ((100 * F.least(n, m) >= percent * F.greatest(n, m))
+            & ((100 + percent) * F.least(n - pos, m - at) >= percent * (n + m)))
+
+
 def _star_links(met: DataFrame, points: DataFrame, active: DataFrame, percent: int, least_share: float) -> tuple[DataFrame, DataFrame]:
-    """Links and looked-at pairs (a < b) of star rounds over blocks ``met`` (token, node).
+    """Links and looked-at pairs (a < b) of star rounds over blocks ``met`` (token, node, n, pos).
 
     The first hub of a block is picked by hash (eight choices, so that not all blocks of one
     group pick the same).  Members that their hub does not link meet the member with most
     links so far, as long as a round links ``least_share`` of the pairs it looks at."""
     pair = [F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")]
-    first = F.min(F.struct(F.xxhash64("node", F.pmod("token", F.lit(8))).alias("h"), "node"))
-    hubs = met.groupBy("token").agg(first["node"].alias("hub"))
+    first = F.min(F.struct(F.xxhash64("node", F.pmod("token", F.lit(8))).alias("h"), "node", "n", "pos"))
+    best = F.max(F.struct("degree", F.xxhash64("node").alias("h"), "node", "n", "pos"))
+    as_hub = lambda x: [x["node"].alias("hub"), x["n"].alias("m"), x["pos"].alias("at")]
+    hubs = met.groupBy("token").agg(first.alias("x")).select("token", *as_hub(F.col("x")))
     left, links, seen = met, None, None
     while True:
-        tried = written(left.join(hubs, "token").where("node <> hub").select("token", "node", *pair), "tried")
-        pairs = tried.select("a", "b").distinct()
+        fits = _may_link(F.col("n"), F.col("pos"), F.col("m"), F.col("at"), percent)
+        tried = written(left.join(hubs, "token").where("node <> hub").select("token", "node", "n", "pos", *pair, fits.alias("fits")), "tried")
+        pairs = tried.where("fits").select("a", "b").distinct()
         if seen is not None:
             pairs = pairs.join(seen, ["a", "b"], "left_anti")
         pairs = written(pairs, "pairs")
@@ -357,11 +372,10 @@ def _star_links(met: DataFrame, points: DataFrame, active: DataFrame, percent: i
         looked, found = pairs.count(), new.count()
         if found < least_share * looked or not found:
             return links, seen
-        left = written(tried.join(links, ["a", "b"], "left_anti").select("token", "node"), "unlinked")
+        left = written(tried.join(links, ["a", "b"], "left_anti").select("token", "node", "n", "pos"), "unlinked")
         ends = links.select(F.col("a").alias("node")).union(links.select("b")).groupBy("node").agg(F.count("*").alias("degree"))
         open_ = left.select("token").distinct()
-        best = F.max(F.struct("degree", F.xxhash64("node").alias("h"), "node"))
-        hubs = met.join(open_, "token").join(ends, "node").groupBy("token").agg(best["node"].alias("hub"))
+        hubs = met.join(open_, "token").join(ends, "node").groupBy("token").agg(best.alias("x")).select("token", *as_hub(F.col("x")))
 
 
 def near_groups(docs: DataFrame, percent: int = 80, groups: int = 512, block_rows: int = 4096, most_heavy: int = 65_536,
@@ -391,7 +405,7 @@ def _near_groups(docs: DataFrame, percent: int, groups: int, block_rows: int, mo
         _profiles(heavy, percent),
         "row long, doc_id long, n long, digest binary, node boolean, prefix array<long>, blob binary, sha binary"), "profiles")
     nodes = rows.where("node")
-    tokens = nodes.select(F.col("row").alias("node"), F.explode("prefix").alias("token"))
+    tokens = nodes.select(F.col("row").alias("node"), "n", F.posexplode("prefix").alias("pos", "token"))
     # step 1: stars in every block
     repeated = (tokens.groupBy("token").agg(F.min("node").alias("low"), F.max("node").alias("high"))
                 .where("low < high").select("token"))
@@ -405,14 +419,19 @@ def _near_groups(docs: DataFrame, percent: int, groups: int, block_rows: int, mo
     # step 2: blocks that still hold several components
     component = written(connected_components(links), "components")
     placed = (met.join(component, "node", "left").withColumn("component", F.coalesce("component", "node")))
-    mixed = (placed.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("members"))
-             .where("low < high").select("token", F.ceil(F.col("members") / block_rows).cast("int").alias("salts")))
+    mixed = placed.groupBy("token").agg(
+        F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("members"), F.min("n").alias("n"),
+        F.max("n").alias("m"), F.min(F.col("n") - F.col("pos")).alias("onward"))
+    # most blocks have two members, and sizes or places rule most of these out
+    two = (100 * F.col("n") >= percent * F.col("m")) & ((100 + percent) * F.col("onward") >= percent * (F.col("n") + F.col("m")))
+    mixed = (mixed.where("low < high").where((F.col("members") > 2) | two)
+             .select("token", F.ceil(F.col("members") / block_rows).cast("int").alias("salts")))
     placed = written(placed.join(mixed, "token"), "mixed")
     # blocks go to tasks together, as most are small; each member goes out once per part of its block
     together = max(1, -(-(placed.agg(F.sum("salts")).first()[0] or 0) // (4 * block_rows)))
-    salted = placed.join(points, "node").withColumn("salt", F.pmod(F.xxhash64("node"), F.col("salts")).cast("int"))
+    salted = placed.join(points.select("node", "fine"), "node").withColumn("salt", F.pmod(F.xxhash64("node"), F.col("salts")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("other")
-    salted = salted.select("token", "node", "component", "n", "fine", "salt", other).withColumn(
+    salted = salted.select("token", "node", "component", "n", "pos", "fine", "salt", other).withColumn(
         "i", F.least("salt", "other")).withColumn("j", F.greatest("salt", "other"))
     salted = salted.withColumn("task", F.pmod(F.xxhash64("token", "i", "j"), F.lit(together)))
     rest = (salted.groupBy("task").applyInPandas(_block_join(percent), "a long, b long").distinct()
