@@ -156,14 +156,15 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", most_docum
     return AttentionModel().fit(np.concatenate(bags), starts, y)
 
 
-def _scored(model, passage_words: int):
+def _scored(model, passage_words: int, rows_at_once: int = 200):
     def run(batches):
         for b in batches:
             out = np.full(len(b), 0.5)
-            if model is not None and len(b):
-                bags = [[describe(p) for p in passages(t, passage_words)] for t in b.column(1).to_pylist()]
+            for at in range(0, len(b) if model is not None else 0, rows_at_once):
+                texts = b.column(1).slice(at, rows_at_once).to_pylist()
+                bags = [np.array([describe(p) for p in passages(t, passage_words)], np.float32) for t in texts]
                 starts = np.concatenate([[0], np.cumsum([len(x) for x in bags])[:-1]]).astype(int)
-                out = model.score(np.array([m for x in bags for m in x]), starts)
+                out[at:at + rows_at_once] = model.score(np.concatenate(bags).astype(float), starts)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.float64())], ["doc", "score"])
 
     return run
