@@ -43,6 +43,7 @@ SLOTS = 1 << 20
 #: Counts in one byte: exact up to 199, above rounded up to the next of 56 levels a third apart,
 #: so a sum of minima of levels is still no smaller than the overlap.
 LEVELS = np.concatenate([np.arange(200), np.ceil(200 * (4 / 3) ** np.arange(56))]).astype(np.int64)
+_INT_LEVELS = LEVELS.astype(np.int32)
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -207,9 +208,16 @@ def _count_vectors(groups: int):
     return run
 
 
-def _points(column) -> np.ndarray:
-    codes = np.frombuffer(b"".join(column), np.uint8).reshape(len(column), -1)
-    return LEVELS.astype(np.int32)[codes]
+def _codes(column) -> np.ndarray:
+    return np.frombuffer(b"".join(column), np.uint8).reshape(len(column), -1)
+
+
+def _overlap_bound(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Sums of coordinate minima of two arrays of codes, row by row; codes are in the order of their levels."""
+    out = np.empty(len(a), np.int64)
+    for at in range(0, len(a), 1024):
+        out[at:at + 1024] = _INT_LEVELS[np.minimum(a[at:at + 1024], b[at:at + 1024])].sum(1)
+    return out
 
 
 class RTree:
@@ -278,8 +286,9 @@ def _block_join(percent: int):
     first bounds use coordinates four together; what leaves has passed the single ones."""
     def join(rows):
         rows = rows.sort_values(["token", "i", "j"], kind="stable", ignore_index=True)
-        fine = _points(rows["fine"])
-        points = fine.reshape(len(fine), -1, 4).sum(2, dtype=np.int32)
+        fine = _codes(rows.pop("fine"))  # kept as codes: a byte a coordinate
+        points = np.concatenate([_INT_LEVELS[fine[at:at + 1024]].reshape(-1, fine.shape[1] // 4, 4).sum(2, dtype=np.int32)
+                                 for at in range(0, len(fine), 1024)])
         nodes, comps, salts, i, j, token, totals = (rows[c].to_numpy() for c in ("node", "component", "salt", "i", "j", "token", "n"))
         onward = totals - rows["pos"].to_numpy()
         change = (token[1:] != token[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])
@@ -295,8 +304,8 @@ def _block_join(percent: int):
                     (100 + percent) * np.minimum(onward[x], onward[y]) >= percent * (totals[x] + totals[y])))
                 for at in range(0, len(other), 4096):
                     p, q = x[other[at:at + 4096]], y[other[at:at + 4096]]
-                    for p, q in _bound_hits(fine, totals, p, q, percent):
-                        found.append(np.stack([nodes[p], nodes[q]]))
+                    hit = (100 + percent) * _overlap_bound(fine[p], fine[q]) >= percent * (totals[p] + totals[q])
+                    found.append(np.stack([nodes[p[hit]], nodes[q[hit]]]))
 
         for at in range(0, len(two), 4096):
             add(_bound_hits(points, totals, two[at:at + 4096], two[at:at + 4096] + 1, percent))
@@ -318,7 +327,7 @@ def _bound_filter(percent: int):
         for whole in batches:
             for at in range(0, len(whole), 4096):
                 b = whole.slice(at, 4096)
-                bound = np.minimum(*(_points(b.column(c).to_pylist()) for c in (4, 5))).sum(1)
+                bound = _overlap_bound(*(_codes(b.column(c).to_pylist()) for c in (4, 5)))
                 keep = (100 + percent) * bound >= percent * (b.column(2).to_numpy() + b.column(3).to_numpy())
                 yield pa.RecordBatch.from_arrays([b.column(c).take(pa.array(np.flatnonzero(keep))) for c in range(2)], ["a", "b"])
 
@@ -428,7 +437,7 @@ def _near_groups(docs: DataFrame, percent: int, groups: int, block_rows: int, mo
              .select("token", F.ceil(F.col("members") / block_rows).cast("int").alias("salts")))
     placed = written(placed.join(mixed, "token"), "mixed")
     # blocks go to tasks together, as most are small; each member goes out once per part of its block
-    together = max(1, -(-(placed.agg(F.sum("salts")).first()[0] or 0) // (4 * block_rows)))
+    together = max(1, -(-(placed.agg(F.sum("salts")).first()[0] or 0) // (2 * block_rows)))
     salted = placed.join(points.select("node", "fine"), "node").withColumn("salt", F.pmod(F.xxhash64("node"), F.col("salts")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("other")
     salted = salted.select("token", "node", "component", "n", "pos", "fine", "salt", other).withColumn(
