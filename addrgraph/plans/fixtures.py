@@ -148,14 +148,21 @@ FIXTURE_SQL = {
 SUFFIX_LINES = ["// example rules", "com", "uk", "co.uk  // a comment", "", "*.ck", "!www.ck", "jp", "*.kawasaki.jp",
                 "!city.kawasaki.jp", "*.kobe.jp"]
 
+# Customers that one task makes pages of.
+TASK_ROWS = 10_000
+
 # Target domain of the discovery fixture.
 DISCOVERY_TARGET_DOMAIN = "example.com"
 
 
 def fixture(spark: SparkSession, data_dir: str, name: str) -> DataFrame:
-    """Build one derived table from the folder's tables (lazy)."""
+    """Build one derived table from the folder's tables (lazy).
+
+    Pages and hosts come from ``customer``, and all work on them is done in the row, so
+    that table is dealt by rows: a narrow file of one row group would else be one task.
+    """
     sql, deps = FIXTURE_SQL[name]
-    register_tables(spark, data_dir, deps)
+    register_tables(spark, data_dir, deps, task_rows={"customer": TASK_ROWS})
     # hits.seen_at stays TIMESTAMP_NTZ like events.ts; the streaming jobs cast
     # it to TIMESTAMP (UTC session) before a watermark.
     return spark.sql(sql)

@@ -138,3 +138,20 @@ def test_short_paths_keep_the_order(spark, monkeypatch, steps):
     assert crawl_reach(site, seeds, deep).orderBy("depth", "path").drop("path").collect() == full
     cut = crawl_reach(site, seeds, replace(deep, max_pages=60)).orderBy("depth", "path").drop("path").collect()
     assert cut == full[:60] and len(full) > 60
+
+
+def test_site_of_one_row_group_is_dealt(spark, tmp_path):
+    """Pages are made and read by tasks of bounded rows, however narrow the customers' file is."""
+    from pyspark.sql import functions as F
+
+    from addrgraph.plans.fixtures import SITE_SQL
+
+    n = 40_000
+    customers = spark.range(n).selectExpr("case when id % 1000 = 7 then null else id div 2 end as c_custkey", "'x' as c_name")
+    customers.coalesce(1).write.parquet(str(tmp_path / "customer.parquet"))
+    site = fixture(spark, str(tmp_path), "site")
+    sizes = [r["n"] for r in site.groupBy(F.spark_partition_id()).agg(F.count(F.lit(1)).alias("n")).collect()]
+    assert sum(sizes) == n and max(sizes) <= n // 2
+    spark.read.parquet(str(tmp_path / "customer.parquet")).createOrReplaceTempView("customer")
+    want = spark.sql(SITE_SQL)
+    assert site.exceptAll(want).isEmpty() and want.exceptAll(site).isEmpty()
