@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
+from collections.abc import Iterator
+from contextlib import contextmanager
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,6 +17,8 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: White space that separates words: the blank and the characters 09 to 0D.
 WORD = "[^\\x20\\x09-\\x0D]+"
 
+_BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
@@ -31,6 +39,28 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return write_through(df, f"llm-{name}")
 
 
+@contextmanager
+def text_batches(spark: SparkSession, rows: int = 500) -> Iterator[None]:
+    """Executions started inside hand Python functions so many rows at a time: a batch of whole
+    texts stands in the executor's memory several times over, on both sides."""
+    before = spark.conf.get(_BATCH_ROWS)
+    spark.conf.set(_BATCH_ROWS, str(min(rows, int(before)) if int(before) > 0 else rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(_BATCH_ROWS, before)
+
+
+def memory_returned() -> None:
+    """Give back what the worker's earlier tasks have freed but the allocators keep."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # no glibc: nothing to trim
+        pass
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

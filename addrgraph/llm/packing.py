@@ -19,18 +19,22 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import read, text_or_empty, written
+from .common import memory_returned, read, text_batches, text_or_empty, written
 from .tokens import encoder
 
 PIECE = "row long, doc_id long, piece int, start long, length long, ids_crc32 long"
 PACKED = PIECE + ", sequence_id long, offset long, bins long, bound long, full boolean"
 
 
+REMEMBERED = 200_000  # word pieces a worker keeps the ids of
+
+
 def _pieces(path: str, capacity: int, end_id: int):
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches):
-        ids_of = encoder(path, "ranks").ids
+        memory_returned()
+        ids_of = encoder(path, "ranks", REMEMBERED).ids
         for b in batches:
             out = []
             for row, doc_id, text in zip(*(b.column(i).to_pylist() for i in range(3))):
@@ -129,9 +133,10 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, e
     so a very long text is many whole sequences and one piece.  Pieces of equal length are
     packed in the order of their rows.
     """
-    pieces = written(docs.select(F.monotonically_increasing_id().alias("row"), docs["doc_id"].cast("long").alias("doc_id"),
-                                 text_or_empty(docs).alias("text"))
-                     .mapInArrow(_pieces(tokenizer_path, capacity, end_id), PIECE), "pieces")
+    with text_batches(docs.sparkSession):
+        pieces = written(docs.select(F.monotonically_increasing_id().alias("row"), docs["doc_id"].cast("long").alias("doc_id"),
+                                     text_or_empty(docs).alias("text"))
+                         .mapInArrow(_pieces(tokenizer_path, capacity, end_id), PIECE), "pieces")
     # a piece as long as a sequence is one, in any packing
     whole = pieces.where(F.col("length") == capacity).select(
         "*", (-1 - F.monotonically_increasing_id()).alias("sequence_id"),

@@ -15,8 +15,10 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from .common import read, text_or_empty, written
 
@@ -156,12 +158,14 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", most_docum
     return AttentionModel().fit(np.concatenate(bags), starts, y)
 
 
-def _scored(model, passage_words: int, rows_at_once: int = 200):
+def _scored(model, passage_words: int, field: str | None, rows_at_once: int = 200):
+    """``doc`` and its score; the text is a field of ``doc``, else the second column."""
     def run(batches):
         for b in batches:
             out = np.full(len(b), 0.5)
+            column = pc.struct_field(b.column(0), field) if field else b.column(1)
             for at in range(0, len(b) if model is not None else 0, rows_at_once):
-                texts = b.column(1).slice(at, rows_at_once).to_pylist()
+                texts = [t or "" for t in column.slice(at, rows_at_once).to_pylist()]
                 bags = [np.array([describe(p) for p in passages(t, passage_words)], np.float32) for t in texts]
                 starts = np.concatenate([[0], np.cumsum([len(x) for x in bags])[:-1]]).astype(int)
                 out[at:at + rows_at_once] = model.score(np.concatenate(bags).astype(float), starts)
@@ -177,8 +181,10 @@ def score(docs: DataFrame, model: AttentionModel | None, passage_words: int = 10
     Null and empty texts are scored as one passage without
     words; nulls, repeated rows and other columns pass through; an empty table gives no row.
     """
-    rows = docs.select(F.struct("*").alias("doc"), text_or_empty(docs).alias("text"))
-    return rows.mapInArrow(_scored(model, passage_words), rows.select("doc", F.lit(0.0).alias("score")).schema)
+    own = docs.select(docs["text"]).schema[0]
+    field = own.name if own.dataType == StringType() else None  # a text that needs no cast is moved once
+    rows = docs.select(F.struct("*").alias("doc"), *([] if field else [text_or_empty(docs).alias("text")]))
+    return rows.mapInArrow(_scored(model, passage_words, field), rows.select("doc", F.lit(0.0).alias("score")).schema)
 
 
 def held_out(doc_id):

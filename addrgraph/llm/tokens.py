@@ -99,12 +99,13 @@ class TextEncoder:
             return len(self._whole(text))
 
 
-def encoder(path: str, merges: str) -> TextEncoder:
-    """One encoder per worker process, so what it remembers serves all its tasks."""
+def encoder(path: str, merges: str, limit: int = 800_000) -> TextEncoder:
+    """One encoder per worker process, so what it remembers serves all its tasks; it remembers
+    at most ``limit`` pieces, about 200 bytes each."""
     kept = sys.modules.setdefault("addrgraph_worker_state", types.ModuleType("addrgraph_worker_state")).__dict__
-    if (path, merges) not in kept:
-        kept[path, merges] = TextEncoder(path, merges)
-    return kept[path, merges]
+    if (path, merges, limit) not in kept:
+        kept[path, merges, limit] = TextEncoder(path, merges, limit)
+    return kept[path, merges, limit]
 
 
 def file_digest(path: str) -> str:

@@ -284,6 +284,48 @@ def test_packing(spark, docs, none):
     assert pack_documents(none, path).count() == 0
 
 
+def test_packing_bounds_what_a_worker_holds(spark, monkeypatch):
+    """Whole texts reach Python some hundred rows at a time, and an encoder remembers a bounded number of pieces."""
+    import public_tokenizers
+
+    from addrgraph.llm import packing as P
+    from addrgraph.llm.tokens import encoder
+
+    pieces = P._pieces
+
+    def bounded(*args):
+        inner = pieces(*args)
+
+        def run(batches):
+            def checked():
+                for b in batches:
+                    assert len(b) <= 500, len(b)
+                    yield b
+
+            return inner(checked())
+
+        return run
+
+    monkeypatch.setattr(P, "_pieces", bounded)
+    rows = spark.range(1300).selectExpr("id as doc_id", "concat('word ', id) as text").coalesce(1)
+    path, before = public_tokenizers.path("byte_bpe_50k.json"), spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert P.pack_documents(rows, path).count() == 1300
+    assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == before
+    few, many = encoder(path, "ranks", 7), encoder(path, "ranks")
+    text = " ".join(f"w{i}x" for i in range(60))
+    assert few.ids(text) == many.ids(text) and len(few._ids) <= 7 < len(many._ids)
+
+
+def test_scored_texts_are_moved_once(spark, docs):
+    """A text that is a string already goes to Python inside its row only; others are cast."""
+    from addrgraph.llm.quality import score
+
+    plan = score(docs, None)._jdf.queryExecution().analyzed().toString()
+    assert "coalesce" not in plan
+    binary = docs.selectExpr("doc_id", "cast(text as binary) as text")
+    assert score(binary, None).count() == docs.count() == score(docs, None).count()
+
+
 def test_packing_exchanges_until_no_bin_is_saved(spark, monkeypatch):
     from addrgraph.llm import packing
 
