@@ -3,7 +3,8 @@
 Words of such vocabularies never reach over a blank that follows a non-blank
 character, so a text is cut there and each distinct piece is encoded once per
 worker and remembered; a text whose cuts would not be safe (blanks in a row, a
-piece that ends in white space, a NUL) is encoded whole.
+piece that ends in white space, a NUL) is encoded whole.  Ids of pieces that a
+full memory doesn't hold are made a text at a time, in one call.
 """
 
 from __future__ import annotations
@@ -15,6 +16,10 @@ import sys
 import types
 
 
+#: What ``str.isspace`` holds for white space.
+WHITE = "".join(filter(str.isspace, map(chr, range(1 << 16))))
+
+
 class _Whole(Exception):
     """This text must be encoded whole."""
 
@@ -65,6 +70,7 @@ class TextEncoder:
         tokenizer.no_padding()
         self._whole = lambda text: tokenizer.encode(text, add_special_tokens=False).ids
         new, ranks = self._whole, _merge_ranks(path) if merges == "ranks" else None
+        self._plain = None
         if ranks:
             import public_tokenizers
             import tiktoken
@@ -73,6 +79,21 @@ class TextEncoder:
             plain = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks,
                                       special_tokens={}).encode_ordinary
             new = lambda piece: self._whole(piece) if any(s in piece for s in special) else plain(piece)
+            sizes = np.zeros(max(ranks.values()) + 1, np.int64)
+            sizes[list(ranks.values())] = [len(w) for w in ranks]
+
+            def apart(pieces: list[str]) -> list[bytes]:
+                """Ids of each piece, made in one call: every piece but a text's first begins with the blank it was cut at."""
+                text = "".join(pieces)
+                if any(s in text for s in special):
+                    return [self._pack(new(piece)) for piece in pieces]
+                ids = np.array(plain(text), "<u4")
+                upto = np.cumsum(list(map(len, pieces if text.isascii() else [p.encode() for p in pieces])))
+                ends = np.searchsorted(np.cumsum(sizes[ids]), upto) + 1
+                raw, ends = ids.tobytes(), (4 * ends).tolist()
+                return [raw[a:e] for a, e in zip([0, *ends], ends)]
+
+            self._plain = apart
         self._pack = lambda ids: np.array(ids, "<u4").tobytes()
         self._ids = _Pieces(lambda piece: self._pack(new(piece)), limit)
         self._counts = _Pieces(lambda piece: len(new(piece)), limit)
@@ -86,7 +107,23 @@ class TextEncoder:
         if not text:
             return b""
         try:
-            return b"".join(map(self._ids.__getitem__, self._cut(text)))
+            pieces = self._cut(text)
+            if self._plain is None:
+                return b"".join(map(self._ids.__getitem__, pieces))
+            found = list(map(self._ids.get, pieces))
+            new = [i for i, ids in enumerate(found) if ids is None]
+            room = max(0, self._ids.limit - len(self._ids))
+            for i in new[:room]:
+                found[i] = self._ids[pieces[i]]
+            if len(new) <= room:
+                return b"".join(found)
+            if pieces[0] == "" or text[-1] in WHITE or any(w + " " in text for w in WHITE):
+                raise _Whole
+            for at in range(room, len(new), 10_000):
+                own = new[at:at + 10_000]
+                for i, ids in zip(own, self._plain([pieces[i] for i in own])):
+                    found[i] = ids
+            return b"".join(found)
         except _Whole:
             return self._pack(self._whole(text))
 

@@ -432,6 +432,21 @@ def test_piecewise_encoding_equals_library():
         assert all(np.frombuffer(e.ids(text), "<u4").tolist() == ids for e in encoders)
 
 
+def test_pieces_beyond_the_memory_are_encoded_together():
+    """A full memory stays, and a text's other pieces take one call."""
+    from addrgraph.llm.tokens import TextEncoder
+
+    path, tokenizer = library()
+    e = TextEncoder(path, "ranks", 7)
+    calls, apart = [], e._plain
+    e._plain = lambda pieces: calls.append(len(pieces)) or apart(pieces)
+    for k in range(3):
+        words = [f"w{i}x{k} né{i}é 中文{i}\tz{k}" for i in range(60)]
+        for text in (" ".join(words), " ".join([*words, "<|endoftext|>", "end"]), "  ".join(words), " ".join(words) + "\u2003 x"):
+            assert np.frombuffer(e.ids(text), "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids
+    assert len(e._ids) == 7 and calls[0] == 173 and len(calls) == 6
+
+
 def shingled(text):
     w = WORD.findall(text.translate(FOLD))
     return frozenset(tuple(w[k:k + 5]) for k in range(len(w) - 4)) if len(w) >= 5 else frozenset([tuple(w)] if w else [])
