@@ -38,6 +38,7 @@ SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
 FOLD = np.arange(256, dtype=np.uint8)
 FOLD[65:91] += 32
+LETTER = FOLD.astype(np.uint64) + np.uint64(1)
 BASE = 0x9E3779B97F4A7C15  # odd, so it has an inverse modulo 2**64
 SLOTS = 1 << 20
 #: Counts in one byte: exact up to 199, above rounded up to the next of 56 levels a third apart,
@@ -62,26 +63,36 @@ def shingle_hashes(texts: list[bytes], words: int = 5) -> tuple[np.ndarray, np.n
     """Hashes of the shingles of all texts, in order, and where each text's begin (one more
     than texts).  A text of fewer words has one shingle; one without words has none."""
     sizes = np.array([len(t) + 1 for t in texts], np.int64)
-    data = FOLD[np.frombuffer(b" ".join(texts) + b" ", np.uint8)]
+    data = np.frombuffer(b" ".join(texts) + b" ", np.uint8)
     begins = np.concatenate([[0], np.cumsum(sizes)])
-    space = SPACE[data]
-    edge = np.flatnonzero(np.diff(np.concatenate([[True], space, [True]]).astype(np.int8)))
+    space = np.ones(len(data) + 2, bool)
+    np.take(SPACE, data, out=space[1:-1])
+    edge = np.flatnonzero(space[1:] != space[:-1])
     start, end = edge[::2], edge[1::2]
-    powers = _powers(BASE, len(data))
-    sums = np.concatenate([[np.uint64(0)], np.cumsum((data.astype(np.uint64) + np.uint64(1)) * powers)])
+    sums = np.zeros(len(data) + 1, np.uint64)
+    value = LETTER[data]
+    value *= _powers(BASE, len(data))
+    np.cumsum(value, out=sums[1:])
     word = (sums[end] - sums[start]) * _powers(pow(BASE, -1, 2**64), len(data))[start]
     word = _mixed(word + (end - start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
     first = np.searchsorted(start, begins)  # first word of each text
     n = np.diff(first)
     count = np.where(n >= words, n - words + 1, np.minimum(n, 1))
     offsets = np.concatenate([[0], np.cumsum(count)])
-    at = np.arange(offsets[-1]) - np.repeat(offsets[:-1], count) + np.repeat(first[:-1], count)
-    length = np.repeat(np.minimum(n, words), count)
-    total = np.zeros(len(at), np.uint64)
+    at = np.arange(offsets[-1]) + np.repeat(first[:-1] - offsets[:-1], count)
+    # of the shingle that begins at every word, whichever text the next words are of
     padded = np.concatenate([word, np.zeros(words, np.uint64)])
-    for k in range(words):
-        total = np.where(k < length, total * np.uint64(0x2545F4914F6CDD1D) + padded[at + k], total)
-    return _mixed(total + length.astype(np.uint64)), offsets
+    total = word.copy()
+    for k in range(1, words):
+        total *= np.uint64(0x2545F4914F6CDD1D)
+        total += padded[k:len(word) + k]
+    total = total[at] + np.uint64(words)
+    for text in np.flatnonzero((n > 0) & (n < words)).tolist():  # one shorter shingle
+        short = 0
+        for w in word[first[text]:first[text + 1]].tolist():
+            short = (short * 0x2545F4914F6CDD1D + w) % 2**64
+        total[offsets[text]] = (short + int(n[text])) % 2**64
+    return _mixed(total), offsets
 
 
 def _sliced(sizes: list[int], most: int = 1 << 20):
@@ -104,7 +115,11 @@ def shingle_sets(texts: list[bytes]) -> list[np.ndarray]:
     out = []
     for i, j in _sliced([len(t) for t in texts]):
         hashes, offsets = shingle_hashes(texts[i:j])
-        out += [np.unique(hashes[offsets[k]:offsets[k + 1]]) for k in range(j - i)]
+        for k in range(j - i):
+            own = np.sort(hashes[offsets[k]:offsets[k + 1]])
+            new = np.ones(len(own), bool)
+            np.not_equal(own[1:], own[:-1], out=new[1:])
+            out.append(own[new])
     return out
 
 

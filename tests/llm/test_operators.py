@@ -432,6 +432,20 @@ def test_piecewise_encoding_equals_library():
         assert all(np.frombuffer(e.ids(text), "<u4").tolist() == ids for e in encoders)
 
 
+def test_shingle_hashes_of_neighbours_are_their_own():
+    """A text's hashes don't depend on the texts it is hashed with, and shorter ones have one shingle of all their words."""
+    from addrgraph.llm.shingles import LETTER, shingle_hashes, shingle_sets
+
+    texts = [t.encode() for t in ("", "a", " A\t", "a b c d", "a b c d e", "a b c d e f", "B", "b\nc  d\x0be A b c", "é", "\x1f x")] * 3
+    hashes, offsets = shingle_hashes(texts)
+    assert LETTER[ord("A")] == LETTER[ord("a")] and np.diff(offsets).tolist() == [0, 1, 1, 1, 1, 2, 1, 3, 1, 1] * 3
+    for k, t in enumerate(texts):
+        assert hashes[offsets[k]:offsets[k + 1]].tolist() == shingle_hashes([t])[0].tolist()
+    own = {t: s.tolist() for t, s in zip(texts, shingle_sets(texts))}
+    assert own[b"a"] == own[b" A\t"] and all(s == sorted(set(s)) for s in own.values())
+    assert own[b"a b c d e"][0] in own[b"a b c d e f"] and not set(own[b"a b c d"]) & set(own[b"a b c d e"])
+
+
 def test_pieces_beyond_the_memory_are_encoded_together():
     """A full memory stays, and a text's other pieces take one call."""
     from addrgraph.llm.tokens import TextEncoder
