@@ -11,7 +11,7 @@ first brought together by content:
    shard of their anchor, equal segments of a chunk of documents once.  An anchor with more
    segments than a shard takes is divided: its strings go out one by one, each to the shard
    of its own hash, so a string comes once from a chunk, however many documents have it.
-3. A shard whose segments of an anchor differ is sorted: induced sorting gives its suffix
+3. A shard whose segments of an anchor differ is sorted: prefix doubling gives its suffix
    array, the permuted longest common prefixes tell which strings are equal, and each
    string's smallest document goes back to the chunks.
 
@@ -40,69 +40,40 @@ TABLE = np.random.default_rng(50).integers(0, 2**32, 256, dtype=np.uint32)
 
 
 def suffix_array(text: np.ndarray) -> np.ndarray:
-    """Starts of the suffixes of ``text`` (whole numbers above 0) in order, by induced sorting."""
-    if not len(text):
+    """Starts of the suffixes of ``text`` (whole numbers above 0) in order, by prefix doubling: places
+    that agree in their first letters stand in one group, and only groups of several are sorted on,
+    by the group of the place as many letters further."""
+    text = np.asarray(text, np.int64)
+    n = len(text)
+    if not n:
         return np.empty(0, np.int64)
-    return np.array(_induced(np.append(np.asarray(text, np.int64), 0), int(text.max()) + 1)[1:], np.int64)
-
-
-def _induced(t: np.ndarray, letters: int) -> list[int]:
-    """``t`` ends in 0, which stands nowhere else."""
-    n = len(t)
-    # a suffix is small if it is smaller than the next: the first unequal neighbours decide
-    step = t[1:] - t[:-1]
-    turn = np.minimum.accumulate(np.where(step != 0, np.arange(n - 1), n)[::-1])[::-1]
-    small = np.append(step[np.minimum(turn, n - 2)] > 0, True) if n > 1 else np.array([True])
-    leftmost = np.flatnonzero(small[1:] & ~small[:-1]) + 1
-    counts = np.bincount(t, minlength=letters)
-    ends = np.cumsum(counts)
-    heads = ends - counts
-    letter, large_before = t.tolist(), np.append(False, ~small[:-1]).tolist()
-
-    def induce(order: list[int]) -> list[int]:
-        sa = [-1] * n
-        at = ends.tolist()
-        for i in reversed(order):
-            c = letter[i]
-            at[c] -= 1
-            sa[at[c]] = i
-        at = heads.tolist()
-        for i in sa:  # grows ahead of the loop
-            if i > 0 and large_before[i]:
-                c = letter[i - 1]
-                sa[at[c]] = i - 1
-                at[c] += 1
-        at = ends.tolist()
-        for x in range(n - 1, -1, -1):
-            i = sa[x]
-            if i > 0 and not large_before[i]:
-                c = letter[i - 1]
-                at[c] -= 1
-                sa[at[c]] = i - 1
-        return sa
-
-    is_leftmost = np.zeros(n, bool)
-    is_leftmost[leftmost] = True
-    sa = np.array(induce(leftmost.tolist()), np.int64)
-    order = sa[is_leftmost[sa]]
-    # equal substrings between leftmost small places get equal names
-    until = np.full(n, n - 1, np.int64)
-    until[leftmost[:-1]] = leftmost[1:]
-    size = until[order] - order + 1
-    equal = np.append(False, size[1:] == size[:-1])
-    open_, off = np.flatnonzero(equal), 0
-    while len(open_):
-        fits = t[order[open_] + off] == t[order[open_ - 1] + off]
-        equal[open_[~fits]] = False
-        off += 1
-        open_ = open_[fits]
-        open_ = open_[size[open_] > off]
-    names = np.cumsum(~equal) - 1
-    if names[-1] + 1 < len(leftmost):
-        reduced = np.empty(n, np.int64)
-        reduced[order] = names
-        order = leftmost[np.array(_induced(reduced[leftmost], int(names[-1]) + 1), np.int64)]
-    return induce(order.tolist())
+    letter = np.cumsum(np.bincount(text) > 0)[text].astype(np.uint64)  # 1, 2, ...; 0 stands past the end
+    bits = int(letter.max()).bit_length()
+    same = 64 // bits
+    letter = np.append(letter, np.zeros(same, np.uint64))
+    word = letter[:n].copy()
+    for k in range(1, same):
+        word <<= np.uint64(bits)
+        word |= letter[k:n + k]
+    sa = np.argsort(word)
+    word = word[sa]
+    new = np.append(True, word[1:] != word[:-1])
+    place = np.arange(n)  # of the groups that are still open
+    group = np.zeros(n + 1, np.int64)  # place of a group's first, from 1
+    own = sa
+    while True:
+        group[own] = np.maximum.accumulate(np.where(new, place, 0)) + 1
+        several = ~(new & np.append(new[1:], True))
+        place = place[several]
+        if not len(place):
+            return sa
+        own = sa[place]
+        key = group[own] * (n + 1) + group[np.minimum(own + same, n)]
+        order = np.argsort(key)
+        own, key = own[order], key[order]
+        sa[place] = own
+        new = np.append(True, key[1:] != key[:-1])
+        same *= 2
 
 
 def permuted_prefixes(text: np.ndarray, sa: np.ndarray, most: int | None = None) -> np.ndarray:
@@ -126,22 +97,29 @@ def permuted_prefixes(text: np.ndarray, sa: np.ndarray, most: int | None = None)
     return out if most is None else np.minimum(out, most)
 
 
-def smallest_owner(segments: list[bytes], owners: list[int], length: int) -> list[np.ndarray]:
-    """For every string of ``length`` bytes of every segment, the smallest owner of an equal one."""
+def smallest_owner(segments: list[bytes], owners: list[int], length: int) -> tuple[np.ndarray, ...]:
+    """For every string of ``length`` bytes of every segment, the smallest owner of an equal one:
+    runs of neighbours with the same, as number of the segment, first string, strings, owner."""
     sizes = np.array([len(s) for s in segments], np.int64)
     text = np.frombuffer(b"".join(s + b"\0" for s in segments), np.uint8).astype(np.int64) + 2
     ends = np.cumsum(sizes + 1) - 1
     text[ends] = 1  # smaller than any letter
     owner = np.repeat(np.array(owners, np.int64), sizes + 1)
-    left = np.repeat(ends, sizes + 1) - np.arange(len(text))
+    starts_one = np.repeat(ends, sizes + 1) - np.arange(len(text)) >= length
     sa = suffix_array(text)
-    joined = (permuted_prefixes(text, sa, length)[sa] >= length) & (left[sa] >= length)
+    joined = (permuted_prefixes(text, sa, length)[sa] >= length) & starts_one[sa]
     begin = np.flatnonzero(~joined)
     least = np.minimum.reduceat(owner[sa], begin)
     result = np.empty(len(text), np.int64)
     result[sa] = np.repeat(least, np.diff(np.append(begin, len(sa))))
-    starts = ends - sizes
-    return [result[a:a + n - length + 1] for a, n in zip(starts.tolist(), sizes.tolist())]
+    # a run ends where the next begins, or with its segment's strings
+    opens = starts_one.copy()
+    opens[1:] &= ~starts_one[:-1] | (result[1:] != result[:-1])
+    edges = np.flatnonzero(opens | ~starts_one)
+    at = np.flatnonzero(opens[edges])
+    first = edges[at]
+    segment = np.searchsorted(ends, first)
+    return segment, first - (ends - sizes)[segment], edges[at + 1] - first, result[first]
 
 
 def _mixed(x):
@@ -150,14 +128,8 @@ def _mixed(x):
     return x ^ (x >> np.uint64(31))
 
 
-def anchors(data: np.ndarray, sizes: np.ndarray, length: int, gram: int):
-    """Segments of the texts that stand one after the other in ``data``: hash of the anchor,
-    first and last string start, text number, and the anchor's place; every string of
-    ``length`` bytes within a text is in one segment."""
-    none = np.empty(0, np.int64)
-    n = len(data)
-    if n < length:
-        return none.view(np.uint64), none, none, none, none
+def _picked(data: np.ndarray, length: int, gram: int) -> np.ndarray:
+    """For every string of ``length`` bytes of ``data``, where its anchor stands."""
     # rolling hash of ``gram`` bytes by doubling
     h, have, total, done = TABLE[data], 1, None, 0
     while True:
@@ -182,29 +154,45 @@ def anchors(data: np.ndarray, sizes: np.ndarray, length: int, gram: int):
         span *= 2
     if span < window:
         key = np.minimum(key[:len(key) - (window - span)], key[window - span:])
-    picked = (key & np.uint64(0xFFFFFFFF)).astype(np.int64)
-    del key, total, h
-    ends = np.cumsum(sizes)
-    inside = np.zeros(len(picked) + 1, np.int32)
-    some = sizes >= length
-    np.add.at(inside, (ends - sizes)[some], 1)
-    np.add.at(inside, np.minimum(ends - length + 1, len(picked))[some], -1)
-    valid = np.cumsum(inside[:-1]) > 0
-    new = valid.copy()
-    new[1:] &= ~(valid[:-1] & (picked[1:] == picked[:-1]))
-    first = np.flatnonzero(new)
-    if not len(first):
+    return key.astype(np.uint32)  # the low half
+
+
+def anchors(data: np.ndarray, sizes: np.ndarray, length: int, gram: int, block: int = 1 << 15):
+    """Segments of the texts that stand one after the other in ``data``: hash of the anchor,
+    first and last string start, text number, and the anchor's place; every string of
+    ``length`` bytes within a text is in one segment.  Anchors are picked for ``block`` strings
+    at a time, which a processor's cache holds."""
+    none = np.empty(0, np.int64)
+    n = len(data)
+    if n < length:
         return none.view(np.uint64), none, none, none, none
-    stop = ~valid
-    stop[first] = True
-    edges = np.append(np.flatnonzero(stop), len(picked))
-    last = edges[np.searchsorted(edges, first, "right")] - 1
-    bytes_ = np.zeros((len(first), -(-gram // 8) * 8), np.uint8)
-    bytes_[:, :gram] = data[picked[first][:, None] + np.arange(gram)]
+    picked = np.concatenate([_picked(data[a:a + block + length - 1], length, gram) + np.uint32(a) for a in range(0, n - length + 1, block)])
+    # a segment begins with its text or where another anchor is picked, and ends before the next or with the text's strings
+    some = np.flatnonzero(sizes >= length)
+    if not len(some):
+        return none.view(np.uint64), none, none, none, none
+    until = np.cumsum(sizes)[some] - length + 1
+    begin = until - sizes[some] + length - 1
+    first = np.flatnonzero(picked[1:] != picked[:-1]) + 1
+    of = np.searchsorted(begin, first, "right") - 1
+    first = first[(of >= 0) & (first < until[of])]
+    marked = np.zeros(len(picked), bool)
+    marked[first] = True
+    marked[begin] = True
+    first = np.flatnonzero(marked)
+    of = np.searchsorted(begin, first, "right") - 1
+    last = np.minimum(np.append(first[1:], n), until[of]) - 1
+    place = picked[first].astype(np.int64)
+    # the gram's bytes eight at a time, the last ones filled up with zeros
+    padded = np.append(data, np.zeros(8, np.uint8))
+    eight = np.ndarray((n + 1,), "<u8", padded, strides=(1,))
     hashed = np.zeros(len(first), np.uint64)
-    for column in bytes_.view("<u8").T:
+    for at in range(0, gram, 8):
+        column = eight[place + at]
+        if gram - at < 8:
+            column &= np.uint64((1 << 8 * (gram - at)) - 1)
         hashed = _mixed(hashed * np.uint64(0x9E3779B97F4A7C15) + column)
-    return hashed, first, last, np.searchsorted(ends, first, "right"), picked[first]
+    return hashed, first, last, some[of], place
 
 
 def _tagged(rows: list[tuple]) -> pa.Table:
@@ -314,7 +302,7 @@ def _shared_anchors(most: int):
 
 def _shared_segments(chunk: pa.Table, told: pa.Table, length: int, gram: int):
     """The chunk opened, and of its segments with shared anchors: document, first string, and
-    the number of the distinct segment, which are listed by anchor, bytes and the anchor's offset.
+    the number of the distinct segment (bytes and the anchor's offset), which are listed by anchor.
     Every string of a divided anchor is a segment, listed by its own hash."""
     whole = chunk.to_pylist()[0]
     data, sizes, rows, ids = _opened(whole["b0"], whole["b1"], whole["b2"], whole["b3"])
@@ -331,10 +319,16 @@ def _shared_segments(chunk: pa.Table, told: pa.Table, length: int, gram: int):
     divided = divided[at][keep]
     hashed, first, last, doc, place = hashed[keep], first[keep], last[keep], doc[keep], place[keep]
     raw = data.tobytes()
-    keys = [(h, raw[a:e + length], p - a) for h, a, e, p in zip(hashed.tolist(), first.tolist(), last.tolist(), place.tolist())]
-    distinct = sorted(set(keys))
-    number = {k: i for i, k in enumerate(distinct)}
-    segment = np.array([number[k] for k in keys], np.int64)
+    keys = zip(hashed.tolist(), [raw[a:e] for a, e in zip(first.tolist(), (last + length).tolist())], (place - first).tolist())
+    number: dict[tuple[int, bytes, int], int] = {}
+    segment = np.array([number.setdefault(k, len(number)) for k in keys], np.int64)
+    distinct = list(number)
+    # by anchor; of one anchor in the order they come, which is the chunk's
+    order = np.argsort(np.array([h for h, _, _ in distinct], np.uint64), kind="stable")
+    distinct = [distinct[i] for i in order.tolist()]
+    renumbered = np.empty(len(order), np.int64)
+    renumbered[order] = np.arange(len(order))
+    segment = renumbered[segment]
     if not divided.any():
         return data, sizes, rows, ids, doc, first, segment, distinct
     parts = [[k] for k in distinct]
@@ -405,46 +399,68 @@ def _judge_segments(length: int, gram: int, shard_bytes: int):
 
         unpack = zstandard.ZstdDecompressor().decompress
         sent = bucket.to_pylist()
-        owners: dict[int, dict[bytes, tuple[int, int]]] = {}
-        entries = []
-        for r, row in enumerate(sent):
-            text, at = unpack(row["b2"]), 0
-            sizes, offsets = np.frombuffer(row["b1"], np.int32).reshape(2, -1).tolist()
-            columns = (np.frombuffer(row[c], t).tolist() for c, t in (("b0", np.uint64), ("b3", np.int64), ("b4", np.int64)))
-            for j, (size, offset, h, low, high) in enumerate(zip(sizes, offsets, *columns)):
-                segment = text[at:at + size]
-                at += size
-                own = owners.setdefault(h, {})
-                own[segment] = min((low, offset), own.get(segment, (low, offset)))
-                entries.append((r, j, h, segment, high))
+        number: dict[tuple[int, bytes], int] = {}  # distinct segments of each anchor
+        which, offsets = [], []
+        for row in sent:
+            text = unpack(row["b2"])
+            size, offset = np.frombuffer(row["b1"], np.int32).reshape(2, -1)
+            end = np.cumsum(size, dtype=np.int64)
+            segments = [text[a:e] for a, e in zip((end - size).tolist(), end.tolist())]
+            which.append(np.array([number.setdefault(k, len(number)) for k in
+                                   zip(np.frombuffer(row["b0"], np.uint64).tolist(), segments)], np.int64))
+            offsets.append(offset)
+        own, offset = np.concatenate(which), np.concatenate(offsets)
+        low, high = (np.frombuffer(b"".join(row[c] for row in sent), np.int64) for c in ("b3", "b4"))
+        # of each distinct segment the smallest owner, and a place of the anchor
+        order = np.lexsort((offset, low, own))
+        order = order[np.append(True, own[order][1:] != own[order][:-1])]
+        owner, at = low[order], offset[order]
+        anchor = np.fromiter((h for h, _ in number), np.uint64, len(number))
+        segments = [s for _, s in number]
         # a segment that shares no string with another has its own smallest owner throughout
-        judged = {h: {s: [(0, len(s) - length + 1, low)] for s, (low, _) in own.items()} for h, own in owners.items()}
+        whole = np.ones(len(number), bool)
+        runs = []
         shard, size = [], 0
 
         def sort_shard():
-            found = smallest_owner([s for _, s in shard], [owners[h][s][0] for h, s in shard], length)
-            for (h, s), low in zip(shard, found):
-                cut = np.flatnonzero(np.append(True, low[1:] != low[:-1]))
-                judged[h][s] = list(zip(cut.tolist(), np.diff(np.append(cut, len(low))).tolist(), low[cut].tolist()))
-
-        for h, own in owners.items():
-            if len(own) > 1 and (some := _may_share(own, length, gram)):
-                shard += [(h, s) for s in some]
-                size += sum(map(len, some))
-                if size >= shard_bytes:
-                    sort_shard()
-                    shard, size = [], 0
+            of, *columns = smallest_owner([segments[i] for i in shard], owner[shard].tolist(), length)
+            runs.append((np.array(shard, np.int64)[of], *columns))
+
+        order = np.argsort(anchor, kind="stable")
+        begin = np.flatnonzero(np.append(True, anchor[order][1:] != anchor[order][:-1]))
+        end = np.append(begin[1:], len(order))
+        several = end - begin > 1
+        order = order.tolist()
+        for a, e in zip(begin[several].tolist(), end[several].tolist()):
+            one = {segments[i]: i for i in order[a:e]}
+            some = [one[s] for s in _may_share({s: (owner[i], int(at[i])) for s, i in one.items()}, length, gram)]
+            shard += some
+            size += sum(len(segments[i]) for i in some)
+            if size >= shard_bytes:
+                sort_shard()
+                whole[shard] = False
+                shard, size = [], 0
         if shard:
             sort_shard()
-        out: dict[int, list] = {}
-        for r, j, h, segment, high in entries:
-            out.setdefault(r, []).extend((j, start, n, low) for start, n, low in judged[h][segment] if low < high)
-        rows = []
-        for r, found in out.items():
-            if found:
-                columns = np.array(found, np.int64).T
-                rows.append((sent[r]["chunk"], 2, sent[r]["bucket"], *(c.tobytes() for c in columns), None))
-        return _tagged(rows)
+            whole[shard] = False
+        alone = np.flatnonzero(whole)
+        strings = np.array([len(segments[i]) - length + 1 for i in alone.tolist()], np.int64)
+        runs.append((alone, np.zeros(len(alone), np.int64), strings, owner[alone]))
+        of, *columns = (np.concatenate(c) for c in zip(*runs))
+        order = np.argsort(of, kind="stable")
+        of, columns = of[order], [c[order] for c in columns]
+        # the runs of every segment that was sent, where another owner than its own is the smallest
+        first = np.searchsorted(of, np.arange(len(number) + 1))
+        n = np.diff(first)[own]
+        entry = np.repeat(np.arange(len(own)), n)
+        run_at = np.arange(len(entry)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first[own], n)
+        found = columns[2][run_at] < high[entry]
+        entry, run_at = entry[found], run_at[found]
+        ends = np.cumsum([len(w) for w in which])
+        cut = np.searchsorted(entry, np.append(0, ends))
+        return _tagged([(row["chunk"], 2, row["bucket"], (entry[a:e] - (end - len(w))).tobytes(),
+                         *(c[run_at[a:e]].tobytes() for c in columns), None)
+                        for row, w, end, a, e in zip(sent, which, ends.tolist(), cut[:-1].tolist(), cut[1:].tolist()) if e > a])
 
     return run
 
@@ -466,8 +482,8 @@ def _apply(bits: int, length: int, gram: int, with_text: bool):
         if told:
             told = np.concatenate(told, axis=1)
             told = told[:, np.argsort(told[0], kind="stable")]
-            low, high = np.searchsorted(told[0], number), np.searchsorted(told[0], number, "right")
-            n = high - low
+            begin = np.searchsorted(told[0], np.arange(len(distinct) + 1))
+            low, n = begin[number], np.diff(begin)[number]
             at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(low, n)
             who = np.repeat(np.arange(len(number)), n)
             goes = told[3][at] < ids[doc[who]]

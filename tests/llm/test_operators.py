@@ -137,6 +137,60 @@ def test_suffix_array():
             assert plcp[b] == next((k for k, (c, d) in enumerate(zip(p, q)) if c != d), min(len(p), len(q)))
 
 
+def test_suffix_arrays_are_sorted_by_arrays():
+    """A shard costs a few sorts of its size, not a Python step a byte."""
+    import time
+
+    from addrgraph.llm.suffixes import suffix_array
+
+    rng = np.random.default_rng(7)
+    words = [rng.integers(3, 30, 60) for _ in range(50)]
+    text = np.concatenate([np.append(words[i][rng.integers(0, 10):], 1) for i in rng.integers(0, 50, 4000)])
+    order = rng.permutation(len(text)).astype(np.uint64)
+
+    def seconds(f, *a):
+        times = []
+        for _ in range(3):
+            t = time.process_time()
+            f(*a)
+            times.append(time.process_time() - t)
+        return min(times)
+
+    assert seconds(suffix_array, text) < 10 * seconds(lambda x: np.argsort(x, kind="stable"), order)
+
+
+def test_smallest_owners_come_in_runs():
+    from addrgraph.llm.suffixes import smallest_owner
+
+    rng = np.random.default_rng(6)
+    for _ in range(60):
+        segments = [bytes(rng.integers(97, 99, rng.integers(5, 30), np.uint8)) for _ in range(rng.integers(1, 12))]
+        owners = rng.integers(-3, 9, len(segments)).tolist()
+        strings = [(i, k, s[k:k + 5]) for i, s in enumerate(segments) for k in range(len(s) - 4)]
+        want = {(i, k): min(owners[j] for j, _, u in strings if u == t) for i, k, t in strings}
+        runs = list(zip(*(c.tolist() for c in smallest_owner(segments, owners, 5))))
+        got = [((i, first + k), low) for i, first, n, low in runs for k in range(n)]
+        assert len(got) == len(want) and dict(got) == want
+        assert all(a[0] != b[0] or a[3] != b[3] for a, b in zip(runs, runs[1:]))  # as few as there can be
+
+
+def test_anchors_are_picked_by_block():
+    from addrgraph.llm.suffixes import anchors
+
+    rng = np.random.default_rng(8)
+    for _ in range(100):
+        sizes = rng.choice([0, 1, 49, 50, 51, 80, 300], rng.integers(1, 8)).astype(np.int64)
+        data = rng.integers(97, 97 + rng.integers(1, 5), sizes.sum(), dtype=np.uint8)
+        whole = anchors(data, sizes, 50, 20, 1 << 20)
+        for block in (1, 37, 64):
+            assert all((a == b).all() for a, b in zip(whole, anchors(data, sizes, 50, 20, block)))
+        hashed, first, last, doc, place = whole
+        covered = [(d, k) for d, a, b in zip(doc.tolist(), first.tolist(), last.tolist()) for k in range(a, b + 1)]
+        starts = (np.cumsum(sizes) - sizes).tolist()
+        assert covered == [(d, starts[d] + k) for d, n in enumerate(sizes.tolist()) for k in range(n - 49)]
+        assert ((first <= place) & (place + 20 <= first + 50) & (last <= place)).all()
+
+
 def test_secrets(spark, docs, none):
     from addrgraph.llm.secrets import scan_secrets
 
